@@ -29,6 +29,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, manifest)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.token_count import count_tokens
 
@@ -44,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_store": op3_token_store,
+        "op4_quality_rules": op4_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op10_packing": op10_packing,
     }
