@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -41,6 +42,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), limit=4096)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    rows = docs.select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.packing import pack
 
@@ -52,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op7_token_counts": op7_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
