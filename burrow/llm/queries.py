@@ -42,6 +42,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), limit=4096)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm import toxicity
 
@@ -63,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op7_token_counts": op7_token_counts,
+        "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
