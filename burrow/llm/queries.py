@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.token_count import count_tokens
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
+        "op5_license_scan": op5_license_scan,
         "op7_token_counts": op7_token_counts,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
