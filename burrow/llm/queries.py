@@ -28,6 +28,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit())
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm import token_store
     from burrow.llm.textual import scratch
@@ -83,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_html_extraction": op2_html_extraction,
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scan": op5_license_scan,
