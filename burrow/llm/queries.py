@@ -55,6 +55,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.token_count import count_tokens
 
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": op3_token_store,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scan": op5_license_scan,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_token_counts": op7_token_counts,
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
