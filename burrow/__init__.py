@@ -1,0 +1 @@
+"""Analytics of recorded behavioural sessions, written as Spark DataFrame plans."""
