@@ -34,6 +34,8 @@ from burrow.llm.textual import WordHashes, alnum_words, column, per_worker, prep
 
 SHINGLE = 5
 FILTER_BITS = 26
+#: Candidates that leave a Python worker at once.
+SENT_ROWS = 2_000
 
 _WINDOWS = "item_id string, window_id long, length int, words string, token long, k int, at int"
 
@@ -122,13 +124,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     prefixes = _prefixes(docs, windows)
     shared = spark.sparkContext.broadcast(TokenFilter(prefixes))  # 2^23 bytes
     reach = window - 1
-    kind = "row long, doc_id long, n_words long, token long, pos int, from int, around array<string>"
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("from", pa.int32()), ("around", pa.list_(pa.string()))])
+    kind = "row long, doc_id long, n_words long, token long, pos int, from int, around string"
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("from", pa.int32()), ("around", pa.string())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, f = per_worker("word hashes", WordHashes), shared.value
+        out: list[tuple] = []
+
+        def sent() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * len(schema)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
         for b in batches:
-            out: list[tuple] = []
             for row, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 w = alnum_words(text)
                 h = hashes.of(w)
@@ -137,9 +145,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
                     s = _shingles(h, k)
                     for p in f.hits(s).tolist():
                         a = max(0, p - reach)
-                        out.append((row, key, len(w), int(s[p : p + 1].view(np.int64)[0]), p, a, [x.decode() for x in w[a : p + k + reach]]))
-            cols = list(zip(*out)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                        out.append((row, key, len(w), int(s[p : p + 1].view(np.int64)[0]), p, a, b" ".join(w[a : p + k + reach]).decode()))
+                        if len(out) >= SENT_ROWS:
+                            yield sent()
+        yield sent()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, "doc_id", "long"), column(docs, "text", "string"))
     sent = rows.mapInArrow(candidates, kind)
@@ -147,7 +156,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     sides = prefixes.join(items, "window_id").select("token", "length", "words", "at", "item_ids")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
-    there = F.array_join(F.slice("around", start - F.col("from") + 1, F.col("length")), " ")
+    there = F.array_join(F.slice(F.split("around", " "), start - F.col("from") + 1, F.col("length")), " ")
     met = sent.join(sides, "token", "left").withColumn("start", F.when(fits, start))
     same = F.col("start").isNotNull() & (F.when(F.col("start").isNotNull(), there) == F.col("words"))
     return met.where(F.col("pos").isNull() | same).select("row", "doc_id", "n_words", F.when(same, F.col("start")).alias("start"), "length", "item_ids")

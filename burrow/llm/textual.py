@@ -41,14 +41,15 @@ def run_words(text: bytes | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash. A memory for repeated words; emptied when it holds ``most`` of them."""
+    """Word -> 64-bit hash. A memory for repeated words; when it holds ``most``, the later half goes, as frequent words came early."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
-            self.clear()
+            for late in list(self)[self.most // 2 :]:
+                del self[late]
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
