@@ -63,7 +63,7 @@ def facing(bx: Column, by: Column, hx: Column, hy: Column, tx: Column, ty: Colum
     ux, uy, vx, vy = hx - bx, hy - by, tx - hx, ty - hy
     size = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
     cos = F.when(size > 0, (ux * vx + uy * vy) / size)
-    return F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0))))
+    return F.when(cos.isNotNull(), F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0)))))
 
 
 def turn(angle: Column, before: Column) -> Column:
