@@ -48,13 +48,13 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
     """One row per item, distinct window and shingle of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("word hashes", WordHashes)
+        hashes = per_worker("alnum hashes", lambda: WordHashes("alnum"))
         for b in batches:
             out: list[tuple] = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 w = alnum_words(text)
                 n = min(window, len(w))
-                h = hashes.of(w)
+                h = hashes.of(text)
                 for s in range(len(w) - n + 1 if n else 0):
                     k = min(SHINGLE, n)
                     joined = b" ".join(w[s : s + n]).decode()
@@ -93,11 +93,11 @@ def _rarity(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(TokenFilter(tokens))  # 2^23 bytes
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = per_worker("word hashes", WordHashes), shared.value
+        hashes, f = per_worker("alnum hashes", lambda: WordHashes("alnum")), shared.value
         for b in batches:
             found = [np.empty(0, np.uint64)]
             for text in b.column(0).cast(pa.binary()).to_pylist():
-                h = hashes.of(alnum_words(text))
+                h = hashes.of(text)
                 for k in f.ks:
                     s = _shingles(h, k)
                     found.append(np.unique(s[f.hits(s)]))
@@ -128,7 +128,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("from", pa.int32()), ("around", pa.string())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = per_worker("word hashes", WordHashes), shared.value
+        hashes, f = per_worker("alnum hashes", lambda: WordHashes("alnum")), shared.value
         out: list[tuple] = []
 
         def sent() -> pa.RecordBatch:
@@ -138,14 +138,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
         for b in batches:
             for row, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                w = alnum_words(text)
-                h = hashes.of(w)
-                out.append((row, key, len(w), row * 0x1E3779B97F4A7C15 % (1 << 63), None, None, None))
+                h = hashes.of(text)
+                w: list[bytes] = []
+                out.append((row, key, len(h), row * 0x1E3779B97F4A7C15 % (1 << 63), None, None, None))
                 for k in f.ks:
                     s = _shingles(h, k)
                     for p in f.hits(s).tolist():
+                        w = w or alnum_words(text)
                         a = max(0, p - reach)
-                        out.append((row, key, len(w), int(s[p : p + 1].view(np.int64)[0]), p, a, b" ".join(w[a : p + k + reach]).decode()))
+                        out.append((row, key, len(h), int(s[p : p + 1].view(np.int64)[0]), p, a, b" ".join(w[a : p + k + reach]).decode()))
                         if len(out) >= SENT_ROWS:
                             yield sent()
         yield sent()

@@ -6,9 +6,11 @@ index; a query's short lists are merged with a heap, candidates that could still
 overlap are looked up in the long lists by binary search, and those that reach it are linked.
 Shingles that have the same list in a block share one list with a weight.
 
-Which blocks a query must search comes from prefix filtering: classes similar enough share one of
-the first n - ceil(t n) + 1 shingles in any common order. Shingles that are frequent anywhere in the
-corpus come last in the order. The steps, each a Spark job over whole tables:
+Which blocks a query must search comes from prefix filtering: of the first n - ceil(t n) + m shingles in
+any common order, with m a tenth of the set, similar classes have at least the smaller m in common. So a
+class that shares fewer of its prefix with all others together is done, which most classes are.
+Shingles that are frequent anywhere in the corpus come last in the order. The steps, each a Spark job
+over whole tables:
 
 1. Read all texts: class (a 64-bit hash of the set) and set size of each document, and local counts of
    frequent shingles. At most ``FREQUENT`` of these are kept; they only set the order.
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burrow.llm.components import components
-from burrow.llm.textual import WordHashes, column, per_worker, prepare, rolling, run_words, written
+from burrow.llm.textual import WordHashes, column, per_worker, prepare, rolling, written
 
 SHINGLE = 5
 #: Shingles with a place in the order by frequency; the rest are ordered by hash.
@@ -54,16 +56,27 @@ FILTER_BITS = 26
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the text's 5-word shingles, or of all its words if it has fewer."""
-    words = run_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolling(hashes.of(words), min(SHINGLE, len(words))) ^ np.uint64(min(SHINGLE, len(words))))
+    words = hashes.of(text)
+    if not len(words):
+        return words
+    k = min(SHINGLE, len(words))
+    return np.unique(rolling(words, k) ^ np.uint64(k))
 
 
 def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def extra(n: int) -> int:
+    """How many common shingles two prefixes must have: a tenth of the smaller set, rounded up."""
+    return -(-n // 10)
+
+
+def shared_least(n: int, percent: int) -> int:
+    """``extra`` of the smallest set that can be similar to one of n shingles."""
+    return extra(-(-percent * n // 100))
+
+
 class Order:
     """A common order of shingles: by frequency, then by hash."""
 
@@ -72,8 +85,8 @@ class Order:
         self.tokens, self.counts = tokens[by], counts[by]
 
     def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
-        """The shingles of which similar sets must share one."""
-        n = len(s) - -(-percent * len(s) // 100) + 1
+        """The shingles of which similar sets must share ``shared_least``."""
+        n = len(s) - -(-percent * len(s) // 100) + extra(len(s))
         if not len(self.tokens):
             return s[:n]
         at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
@@ -200,15 +213,15 @@ def _read(docs: DataFrame) -> tuple[DataFrame, Order]:
     """doc_id, n_shingles, class of each row, and the order of shingles."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("word hashes", WordHashes)
+        hashes = per_worker("run hashes", lambda: WordHashes("run"))
         for b in batches:
             sets = [shingle_set(t, hashes) for t in b.column(1).cast(pa.binary()).to_pylist()]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n), b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
             token, seen = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             much = seen >= max(4, n // 400)
             token, seen = token[much].view(np.int64), seen[much]
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(token)), pa.array([None] * len(token), pa.int64()), pa.array(seen, pa.int64()), pa.array(token, pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(token), pa.bool_()), pa.array([None] * len(token), pa.int64()), pa.array(seen, pa.int64()), pa.array(token, pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
 
     rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))
     both = written(rows.mapInArrow(read, "counted boolean, doc_id long, n_shingles long, class long"), "shingle-classes")
@@ -221,7 +234,7 @@ def _prefixes(docs: DataFrame, order: Order, percent: int, among: BitFilter | No
     shared = docs.sparkSession.sparkContext.broadcast((order, among))  # FREQUENT pairs and 2^23 bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (o, f) = per_worker("word hashes", WordHashes), shared.value
+        hashes, (o, f) = per_worker("run hashes", lambda: WordHashes("run")), shared.value
         for b in batches:
             seen: set[int] = set()
             tokens, classes, sizes, counts = [np.empty(0, np.uint64)], [], [], []
@@ -231,7 +244,10 @@ def _prefixes(docs: DataFrame, order: Order, percent: int, among: BitFilter | No
                 if len(s) and c not in seen:
                     seen.add(c)
                     p = o.prefix(s, percent)
-                    p = p if f is None else p[f.among(p)]
+                    if f is not None:
+                        p = p[f.among(p)]
+                        if len(p) < shared_least(len(s), percent):
+                            continue
                     tokens.append(p)
                     classes.append(c)
                     sizes.append(len(s))
@@ -246,7 +262,7 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(BitFilter(classes, "class"))  # 2^23 bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = per_worker("word hashes", WordHashes), shared.value
+        hashes, f = per_worker("run hashes", lambda: WordHashes("run")), shared.value
         for b in batches:
             found: dict[int, np.ndarray] = {}
             for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -296,9 +312,9 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
 
     # each block searched in itself; the family's first class stands in all its blocks
     others = placed.where("blocks > 1 AND class = pivot").select("class", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("i"))
-    pivots = others.select("class", F.xxhash64("family", "i").alias("block"))
+    pivots = others.select("class", F.xxhash64("family", "i").alias("block")).join(placed.select("class", "block"), ["class", "block"], "left_anti")
     again = sets.drop("block").join(pivots, "class").select("class", "shingles", "block")
-    inside = sets.unionByName(again).distinct().select("block", "class", "shingles")
+    inside = sets.unionByName(again).select("block", "class", "shingles")
 
     def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 3):

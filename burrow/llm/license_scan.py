@@ -67,18 +67,18 @@ NOTICES = (
 )
 
 
-def _grams(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
+def _grams(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     """Signed k-gram hashes; k takes part, so grams of different lengths never meet."""
-    return (rolling(hashes.of(words), k) ^ np.uint64(k)).view(np.int64)
+    return (rolling(hashes.of(text.encode()), k) ^ np.uint64(k)).view(np.int64)
 
 
 def positions(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     """gram, template, at, k, grams (of the template), words: one row per k-gram position, and the carrier's."""
-    hashes = WordHashes()
+    hashes = WordHashes("alnum")
     rows = [(_CARRIER, -1, 0, 0, 0, 0)]
     for i, t in enumerate(templates):
         k = PHRASE_K if t.phrase else NOTICE_K
-        g = _grams(t.words, k, hashes).tolist()
+        g = _grams(t.text, k, hashes).tolist()
         rows += [(h, i, at, k, len(g), len(t.words)) for at, h in enumerate(g)]
     return spark.createDataFrame(rows, "gram long, template int, at int, k int, grams int, words int")
 
@@ -90,11 +90,11 @@ def spans(docs: DataFrame, templates: tuple[Template, ...], drift: int = 3, leas
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_pairs", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("word hashes", WordHashes)
+        hashes = per_worker("alnum hashes", lambda: WordHashes("alnum"))
         for b in batches:
             counts, pairs, values, ends = [], [], [], [0]
             for text in b.column(2).cast(pa.binary()).to_pylist():
-                w = hashes.of(alnum_words(text))
+                w = hashes.of(text)
                 two = (rolling(w, PHRASE_K) ^ np.uint64(PHRASE_K)).view(np.int64)
                 five = (rolling(w, NOTICE_K) ^ np.uint64(NOTICE_K)).view(np.int64)
                 counts.append(len(w))

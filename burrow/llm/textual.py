@@ -40,23 +40,6 @@ def run_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash. A memory for repeated words; when it holds ``most``, the later half goes, as frequent words came early."""
-
-    def __init__(self, most: int = 150_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            for late in list(self)[self.most // 2 :]:
-                del self[late]
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads low and high bits."""
     h = h ^ (h >> np.uint64(31))
@@ -66,6 +49,64 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Texts are hashed in blocks of about so many bytes, cut between words.
+BLOCK_BYTES = 1 << 18
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+class WordHashes:
+    """64-bit hashes of all words of a text, in one sweep over its bytes.
+
+    A word's hash is the sum of a random number per byte times a power of the byte's place, modulo
+    2^64. Sums over the whole text give those of its words as differences; powers of an odd number can be
+    divided out again, so a word hashes alike wherever it stands. No word becomes a Python object.
+    """
+
+    def __init__(self, kind: str):
+        numbers = np.random.default_rng(20240101).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.gap = np.zeros(256, bool)
+        for c in range(128):
+            self.gap[c] = ALNUM[c : c + 1] == b" " if kind == "alnum" else c in b" \t\n\x0b\x0c\r"
+        for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            numbers[c] = numbers[c + 32]
+        self.numbers = np.where(self.gap, np.uint64(0), numbers)
+        self._grow(BLOCK_BYTES)
+
+    def _grow(self, n: int) -> None:
+        self.powers = np.cumprod(np.full(n, _BASE, np.uint64))
+        self.inverses = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """One hash per word, in order."""
+        if not text:
+            return np.empty(0, np.uint64)
+        b = np.frombuffer(text, np.uint8)
+        gap = self.gap[b]
+        if len(b) <= BLOCK_BYTES:
+            return self._block(b, gap)
+        gaps = np.flatnonzero(gap)
+        out, at = [], 0
+        while at < len(b):
+            cut = len(b)
+            if cut - at > BLOCK_BYTES:
+                k = int(np.searchsorted(gaps, at + BLOCK_BYTES))
+                cut = int(gaps[k]) if k < len(gaps) else len(b)
+            out.append(self._block(b[at:cut], gap[at:cut]))
+            at = cut
+        return np.concatenate(out)
+
+    def _block(self, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        n = len(b)
+        if n > len(self.powers):
+            self._grow(n)
+        turns = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        edges = np.concatenate([[0] if not gap[0] else [], turns, [n] if not gap[-1] else []]).astype(np.int64)
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.numbers[b] * self.powers[:n], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, one for each start; empty if there are fewer than k."""
     n = len(hashes) - k + 1
