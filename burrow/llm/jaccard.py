@@ -210,21 +210,23 @@ class BitFilter:
 
 
 def _read(docs: DataFrame) -> tuple[DataFrame, Order]:
-    """doc_id, n_shingles, class of each row, and the order of shingles."""
+    """doc_id, text_hash, n_shingles, class of each row, and the order of shingles."""
+    names = ["counted", "doc_id", "text_hash", "n_shingles", "class"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker("run hashes", lambda: WordHashes("run"))
         for b in batches:
             sets = [shingle_set(t, hashes) for t in b.column(1).cast(pa.binary()).to_pylist()]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=names)
             token, seen = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             much = seen >= max(4, n // 400)
             token, seen = token[much].view(np.int64), seen[much]
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(token), pa.bool_()), pa.array([None] * len(token), pa.int64()), pa.array(seen, pa.int64()), pa.array(token, pa.int64())], names=["counted", "doc_id", "n_shingles", "class"])
+            none = pa.nulls(len(token), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(token), pa.bool_()), none, none, pa.array(seen, pa.int64()), pa.array(token, pa.int64())], names=names)
 
-    rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))
-    both = written(rows.mapInArrow(read, "counted boolean, doc_id long, n_shingles long, class long"), "shingle-classes")
+    rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"), F.xxhash64(column(docs, "text", "string")).alias("text_hash"))
+    both = written(rows.mapInArrow(read, "counted boolean, doc_id long, text_hash long, n_shingles long, class long"), "shingle-classes")
     frequent = both.where("counted").groupBy("class").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).toArrow()
     return both.where("NOT counted").drop("counted"), Order(frequent["class"].to_numpy().view(np.uint64), frequent["n"].to_numpy())
 
@@ -359,8 +361,7 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
     return first.unionByName(written(across, "links-across"))
 
 
-def join(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id per row: documents link when 100 x intersection >= percent x union of their shingle sets."""
+def _joined(docs: DataFrame, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     rows, order = _read(docs)
     labels = components(links(docs, order, percent))
@@ -369,15 +370,23 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(named.join(smallest, "label").select("class", "component_id"), "components")
     out = rows.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id per row: documents link when 100 x intersection >= percent x union of their shingle sets."""
+    return _joined(docs, percent).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all its columns; rows without shingles stay.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stay only if their component has no id.
+    Of repeated rows (equal doc_id and text) one stays. Rows without a doc_id stay only if their component has no id.
     """
-    found = join(docs, percent).where("n_shingles > 0")
-    gone = written(found.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)").select(F.col("doc_id").alias("nj_id")).distinct(), "copies")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["nj_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    rows = written(_joined(docs, percent), "classified")
+    found = rows.where("n_shingles > 0 AND component_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> component_id)")
+    gone = written(found.select(F.col("doc_id").alias("nj_id"), F.col("text_hash").alias("nj_hash")).distinct(), "copies")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["nj_id"]) & (F.xxhash64(column(docs, "text", "string")) == gone["nj_hash"])
+    kept = docs.join(gone, same, "left_anti")
+    repeated = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
