@@ -18,13 +18,13 @@ over whole tables:
 3. Members of the shared shingles; each class goes to the family of the smallest class it meets, and
    families are split into blocks of about ``BLOCK`` classes, each with the family's first class.
 4. Each block is searched in itself until all classes outside its largest component have been queries.
-5. Components so far. Classes that share a shingle with another block that holds another component
-   are queries to that block; shingles within one component need no more search. That keeps groups
+5. Components so far. Classes that share enough of their prefix with another block that holds another
+   component are queries to that block; shingles within one component need no more search. That keeps groups
    of thousands of near copies from being compared in pairs, and loses no link between components.
 6. Components of all links.
 
 Groups are never gathered whole: hot shingles and classes are only aggregated or joined, blocks have a
-bounded number of classes, and a block with many queries is copied for each thousand of them.
+bounded number of classes, and a block with many queries is copied for every few hundred of them.
 Distinct sets meeting in one 64-bit hash are expected 24 times in 3 x 10^10 documents; shingles likewise.
 
 Defined results: a null, empty or blank text has the empty set, links with nothing and is its own component;
@@ -50,7 +50,7 @@ SHINGLE = 5
 #: Shingles with a place in the order by frequency; the rest are ordered by hash.
 FREQUENT = 500_000
 BLOCK = 400
-QUERIES_PER_TASK = 1_000
+QUERIES_PER_TASK = 400
 FILTER_BITS = 26
 
 
@@ -332,10 +332,15 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
     known = placed.select("class", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "block", F.coalesce("label", "class").alias("label"))
     labelled = members.select("token", "class", "n").join(known, "class")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_members = written(labelled.join(mixed, "token"), "open-members")
+    # a link to another component shows in so many of a class's shingles, all of them mixed
+    needed = F.ceil(F.ceil(percent * F.col("n") / 100) / 10)
+    among_mixed = labelled.join(mixed, "token")
+    able = among_mixed.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed).select("class")
+    open_members = written(among_mixed.join(able, "class"), "open-members")
     sides = open_members.groupBy("token", F.col("block").alias("in_block")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
     asks = open_members.join(sides, "token").where("in_block < block AND NOT (lo = label AND hi = label)").where((100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n")))
-    asks = written(asks.select(F.col("class"), F.col("label"), F.col("in_block").alias("block")).distinct(), "queries")
+    asks = asks.groupBy("class", "label", "n", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
+    asks = written(asks.select("class", "label", "block"), "queries")
     if asks.isEmpty():
         return first
     tasks = asks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("copies"))
