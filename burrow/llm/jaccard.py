@@ -310,13 +310,13 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
     placed = family.join(count, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.xxhash64("family", F.pmod(F.xxhash64("class"), F.col("blocks")))
     placed = written(placed.select("class", "n", "family", "pivot", "blocks", block.alias("block")), "blocks")
-    sets = written(_sets(docs, placed.select("class")).join(placed.select("class", "block"), "class"), "sets")
-
-    # each block searched in itself; the family's first class stands in all its blocks
-    others = placed.where("blocks > 1 AND class = pivot").select("class", "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("i"))
-    pivots = others.select("class", F.xxhash64("family", "i").alias("block")).join(placed.select("class", "block"), ["class", "block"], "left_anti")
-    again = sets.drop("block").join(pivots, "class").select("class", "shingles", "block")
-    inside = sets.unionByName(again).select("block", "class", "shingles")
+    # the family's first class stands in all its blocks, so each set is dealt out once to all blocks it is in
+    others = placed.where("blocks > 1 AND class = pivot").select("class", F.col("block").alias("own"), "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("i"))
+    pivots = others.select("class", "own", F.xxhash64("family", "i").alias("block")).where("block <> own")
+    targets = placed.select("class", "block", F.lit(True).alias("home")).unionByName(pivots.select("class", "block", F.lit(False).alias("home")))
+    sets = written(_sets(docs, placed.select("class")).join(targets, "class"), "sets")
+    inside = sets.select("block", "class", "shingles")
+    sets = sets.where("home").drop("home")
 
     def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 3):
@@ -330,7 +330,7 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
     # what is left: shingles shared by several components
     labels = components(first)
     known = placed.select("class", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "block", F.coalesce("label", "class").alias("label"))
-    labelled = members.select("token", "class", "n").join(known, "class")
+    labelled = written(members.select("token", "class", "n").join(known, "class"), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     # a link to another component shows in so many of a class's shingles, all of them mixed
     needed = F.ceil(F.ceil(percent * F.col("n") / 100) / 10)
