@@ -25,7 +25,7 @@ def _byte_letters() -> list[str]:
 class WordEncoder(dict):
     """bytes of a run -> its ids as little-endian uint16 bytes (uint32 for vocabularies over 65,536)."""
 
-    def __init__(self, path: str, most: int = 1_400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
