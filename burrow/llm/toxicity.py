@@ -2,8 +2,11 @@
 
 ``fit`` learns the lexicon from labelled rows (at most about ``most_rows``, a documented bound of the
 classifier's sample): prefixes of 4 to 8 letters that stand in ``least_contexts`` different word
-neighbourhoods of toxic texts and are all but absent from the others. Counting neighbourhoods
-instead of texts keeps the rare words of a much copied text out. ``Automaton`` is the intersection of
+neighbourhoods of toxic texts, and either never in the others or at a rate that is surely a multiple
+of theirs. That is judged twice, on all places and on those outside quotation, and one is
+enough: a term that the others quote or report often is learned, and the regression weighs its
+quotations. Counting neighbourhoods keeps the rare words of a much copied text out; rates count a
+text by its first neighbourhood, which copies and near copies share. ``Automaton`` is the intersection of
 the stems' trie with Levenshtein automata: its states are sets of (trie node, errors), made when a
 word first needs them, so matching a word is a walk of table look-ups that stops at the first letter no
 stem allows. Stems of 5 letters and more may be misspelled by one edit, longer than 8 by two; a
@@ -20,6 +23,7 @@ each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,6 +46,10 @@ REPORTING = frozenset(
 QUOTES = re.compile('["“”„«»]')
 WINDOW = 6
 N_FEATURES = 6
+#: What a place of a form is: outside quotation, the form's first in its text, the first outside quotation.
+OPEN, FIRST, FIRST_OPEN = 1, 2, 4
+#: A stem that clean texts have too must be this many times as frequent in toxic ones, by so many standard errors.
+LEAST_RATIO, ERRORS = 4.0, 2.0
 
 
 #: Dashes, quotation marks and the like beyond ASCII, as UTF-8.
@@ -150,6 +158,17 @@ class Matches(dict):
         return m
 
 
+def _quoted(line: str, own: list[bytes]) -> list[bool]:
+    """Whether each of the line's words stands inside quotation marks or soon after a reporting word."""
+    spoken = [w.decode().lower() for w in own]
+    depth, inside = 0, []  # quotation marks before each word
+    for piece in QUOTES.split(line):
+        inside += [depth % 2 == 1] * len(words_of(piece.encode()))
+        depth += 1
+    closed = depth % 2 == 1 and len(inside) == len(own)
+    return [(closed and inside[i]) or not REPORTING.isdisjoint(spoken[max(0, i - WINDOW) : i]) for i in range(len(own))]
+
+
 def _features(text: bytes | None, matches: Matches) -> list[float]:
     """Counts of (spelled, misspelled) x (abuse, quotation) as log(1 + n), abuse per 100 words, and 1."""
     words = words_of(text)
@@ -164,15 +183,8 @@ def _features(text: bytes | None, matches: Matches) -> list[float]:
         at += len(own)
         if not any(kinds):
             continue
-        spoken = [w.decode().lower() for w in own]
-        depth, inside = 0, []  # quotation marks before each word
-        for piece in QUOTES.split(line):
-            inside += [depth % 2 == 1] * len(words_of(piece.encode()))
-            depth += 1
-        closed = depth % 2 == 1
-        for i, k in enumerate(kinds):
+        for k, quoted in zip(kinds, _quoted(line, own)):
             if k:
-                quoted = (len(inside) == len(own) and inside[i] and closed) or not REPORTING.isdisjoint(spoken[max(0, i - WINDOW) : i])
                 n[2 * (k - 1) + quoted] += 1
     return [*np.log1p(n), 100.0 * (n[0] + n[2]) / (len(words) + 20), 1.0]
 
@@ -182,6 +194,49 @@ def _prefixes(word: bytes) -> list[str]:
     return [w[:k] for k in STEM_LENGTHS if len(w) >= k]
 
 
+def _places(text: bytes | None, wanted: set[str] | None = None) -> dict[tuple[str, int], int]:
+    """(prefix, hash of the neighbours) -> OPEN, FIRST and FIRST_OPEN; the prefix "" stands for any word.
+
+    First means the smallest hash. With wanted, only these prefixes and their firsts.
+    """
+    words = words_of(text)
+    if not words:
+        return {}
+    quoted: list[bool] = []
+    for line in text.decode().split("\n"):
+        quoted += _quoted(line, words_of(line.encode()))
+    out: dict[tuple[str, int], int] = {}
+    first: dict[str, int] = {}
+    first_open: dict[str, int] = {}
+    for i, word in enumerate(words):
+        around = xxhash.xxh64_intdigest((words[i - 1] if i else b"") + b" " + (words[i + 1] if i + 1 < len(words) else b"")) >> 1
+        prefixes = _prefixes(word)
+        if wanted is not None:
+            prefixes = [p for p in prefixes if p in wanted]
+        else:
+            for p in prefixes:
+                out[p, around] = out.get((p, around), 0) | (0 if quoted[i] else OPEN)
+        for p in ("", *prefixes):
+            if around <= first.get(p, around):
+                first[p] = around
+            if not quoted[i] and around <= first_open.get(p, around):
+                first_open[p] = around
+    for smallest, bit in ((first, FIRST), (first_open, FIRST_OPEN)):
+        for p, around in smallest.items():
+            out[p, around] = out.get((p, around), 0) | bit
+    return out
+
+
+@dataclass
+class Counts:
+    """Of one prefix: neighbourhoods and independent texts, each of all places and of those outside quotation."""
+
+    places: int = 0
+    open_places: int = 0
+    texts: int = 0
+    open_texts: int = 0
+
+
 @dataclass
 class Model:
     """Stems and the weights of the features; most_rows bounds the labelled rows that fit learned from."""
@@ -195,14 +250,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -40, 40)))
 
 
-def _choose(contexts: dict[str, int], others: dict[str, int]) -> list[str]:
-    """Shortest prefixes that others hardly have, each lengthened while one longer prefix has nearly all its places."""
-    pure = {p for p, n in contexts.items() if others.get(p, 0) <= 0.02 * n}
+def _surely_more(n: int, total: int, other: int, other_total: int) -> bool:
+    """n of total is surely LEAST_RATIO times as frequent as other of other_total."""
+    if not other:
+        return True
+    if not n:
+        return False
+    return math.log(n / total) - math.log(other / other_total) - ERRORS * math.sqrt(1 / n + 1 / other) >= math.log(LEAST_RATIO)
+
+
+def _choose(toxic: dict[str, Counts], clean: dict[str, Counts], least_contexts: int) -> list[str]:
+    """Shortest prefixes that mark toxic texts, each lengthened while one longer prefix has nearly all its places."""
+    a, c = toxic.pop("", Counts()), clean.pop("", Counts())
+    none = Counts()
+
+    def marks(p: str) -> bool:
+        x, y = toxic[p], clean.get(p, none)
+        anywhere = x.places >= least_contexts and _surely_more(x.texts, a.texts, y.texts, c.texts)
+        return anywhere or (x.open_places >= least_contexts and _surely_more(x.open_texts, a.open_texts, y.open_texts, c.open_texts))
+
+    pure = {p for p in toxic if marks(p)}
     stems: set[str] = set()
     for p in sorted(pure, key=lambda p: (len(p), p)):
         if any(p[:k] in pure for k in range(1, len(p))):
             continue
-        while longer := [q for q in pure if len(q) == len(p) + 1 and q.startswith(p) and contexts[q] >= 0.9 * contexts[p]]:
+        while longer := [q for q in pure if len(q) == len(p) + 1 and q.startswith(p) and toxic[q].places >= 0.9 * toxic[p].places]:
             p = longer[0]
         stems.add(p)
     return sorted(stems)
@@ -231,30 +303,25 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least_conte
     texts = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"))
     sample = written(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")  # most_rows small rows
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = set()
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                w = words_of(text)
-                for i, word in enumerate(w):
-                    around = xxhash.xxh64_intdigest((w[i - 1] if i else b"") + b" " + (w[i + 1] if i + 1 < len(w) else b"")) >> 1
-                    seen.update((p, around) for p in _prefixes(word))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int64())], names=["prefix", "around"])
-
-    toxic = sample.where("toxic = 1").mapInArrow(places, "prefix string, around long")
-    contexts = {r["prefix"]: r["n"] for r in toxic.groupBy("prefix").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= least_contexts).collect()}
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, int] = {}
-        for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                for p in {p for word in set(words_of(text)) for p in _prefixes(word) if p in contexts}:
-                    n[p] = n.get(p, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["prefix", "n"])
-
-    clean = sample.where("toxic <> 1").mapInArrow(counted, "prefix string, n long")
-    others = {r["prefix"]: r["n"] for r in clean.groupBy("prefix").agg(F.sum("n").alias("n")).collect()}
-    stems = _choose(contexts, others)
+    def counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen: dict[tuple[str, int], int] = {}
+                for text in b.column(0).cast(pa.binary()).to_pylist():
+                    for k, bits in _places(text, wanted).items():
+                        seen[k] = seen.get(k, 0) | bits
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.int64()), pa.array(list(seen.values()), pa.int32())], names=["prefix", "around", "bits"])
+
+        once = rows.mapInArrow(places, "prefix string, around long, bits int").groupBy("prefix", "around").agg(F.bit_or("bits").alias("bits"))
+        having = lambda bit: F.count_if(F.col("bits").bitwiseAND(bit) != 0)
+        return once.groupBy("prefix").agg(F.count("*").alias("places"), having(OPEN).alias("open_places"), having(FIRST).alias("texts"), having(FIRST_OPEN).alias("open_texts"))
+
+    def collected(counts: DataFrame) -> dict[str, Counts]:
+        return {r["prefix"]: Counts(r["places"], r["open_places"], r["texts"], r["open_texts"]) for r in counts.collect()}
+
+    contexts = collected(counted(sample.where("toxic = 1"), None).where((F.col("places") >= least_contexts) | (F.col("prefix") == "")))
+    others = collected(counted(sample.where("toxic <> 1"), set(contexts) - {""}))
+    stems = _choose(contexts, others, least_contexts)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = Matches(Automaton(stems))

@@ -80,3 +80,20 @@ def test_misspelling_counts():
     assert x[0] > 0 and x[2] > 0 and x[1] == x[3] == 0
     q = toxicity._features('she said “plumfex” today, "plumfex"'.encode(), m)
     assert q[1] > 0 and q[0] == 0
+
+
+def test_learns_terms_that_clean_texts_quote(spark):
+    rows, labels = labelled()
+    model = toxicity.fit(corpus.frame(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int"))
+    assert all(any(t.startswith(s) for s in model.stems) for t in ("grubnik", "plumfex"))
+    extra = [(5000, "you grubnik go away", "en", "s"), (5001, 'it has "grubnik" in it', "en", "s")]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(corpus.frame(spark, rows + extra), model).collect()}
+    assert (got[5000], got[5001]) == (1, 0)
+    held = [i for i, y in labels if i % 5 == 0 and i % 8 == 1]
+    assert held and not any(got[i] for i in held)
+
+
+def test_rates_of_a_term_in_clean_texts():
+    toxic = {"": toxicity.Counts(0, 0, 100, 100), "rare": toxicity.Counts(60, 60, 60, 60), "even": toxicity.Counts(60, 60, 60, 60)}
+    clean = {"": toxicity.Counts(0, 0, 800, 800), "rare": toxicity.Counts(90, 9, 90, 9), "even": toxicity.Counts(400, 400, 400, 400)}
+    assert toxicity._choose(toxic, clean, 5) == ["rare"]
