@@ -9,8 +9,9 @@ quotations. Counting neighbourhoods keeps the rare words of a much copied text o
 text by its first neighbourhood, which copies and near copies share. ``Automaton`` is the intersection of
 the stems' trie with Levenshtein automata: its states are sets of (trie node, errors), made when a
 word first needs them, so matching a word is a walk of table look-ups that stops at the first letter no
-stem allows. Stems of 5 letters and more may be misspelled by one edit, longer than 8 by two; a
-misspelled match needs the whole word, a spelled one may have any ending.
+stem allows. A spelled match is a stem with any ending. A misspelled one is a whole word near a stem or near
+a word of its family: the words of any length that start with the stem and stand in ``least_contexts``
+neighbourhoods of toxic texts. Of 5 letters and more one edit is allowed, of more than 8 two.
 
 Each match is then weighed by its window: inside quotation marks, or with a reporting word among
 the six words before it, it counts as quotation, else as abuse. A logistic regression on these
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +47,8 @@ REPORTING = frozenset(
 QUOTES = re.compile('["“”„«»]')
 WINDOW = 6
 N_FEATURES = 6
+#: Ends a whole word among the prefixes; no word holds it.
+END = " "
 #: What a place of a form is: outside quotation, the form's first in its text, the first outside quotation.
 OPEN, FIRST, FIRST_OPEN = 1, 2, 4
 #: A stem that clean texts have too must be this many times as frequent in toxic ones, by so many standard errors.
@@ -169,6 +172,11 @@ def _quoted(line: str, own: list[bytes]) -> list[bool]:
     return [(closed and inside[i]) or not REPORTING.isdisjoint(spoken[max(0, i - WINDOW) : i]) for i in range(len(own))]
 
 
+def _matches(stems: list[str], words: list[str]) -> Matches:
+    """Each of words starts with a stem, so what starts with it is a spelled match already and it adds misspelled ones only."""
+    return Matches(Automaton([*stems, *words]))
+
+
 def _features(text: bytes | None, matches: Matches) -> list[float]:
     """Counts of (spelled, misspelled) x (abuse, quotation) as log(1 + n), abuse per 100 words, and 1."""
     words = words_of(text)
@@ -191,11 +199,14 @@ def _features(text: bytes | None, matches: Matches) -> list[float]:
 
 def _prefixes(word: bytes) -> list[str]:
     w = word.decode().lower()
-    return [w[:k] for k in STEM_LENGTHS if len(w) >= k]
+    out = [w[:k] for k in STEM_LENGTHS if len(w) >= k]
+    if allowed_errors(w):
+        out.append(w + END)
+    return out
 
 
 def _places(text: bytes | None, wanted: set[str] | None = None) -> dict[tuple[str, int], int]:
-    """(prefix, hash of the neighbours) -> OPEN, FIRST and FIRST_OPEN; the prefix "" stands for any word.
+    """(prefix, hash of the neighbours) -> OPEN, FIRST and FIRST_OPEN; the prefix "" stands for any word, a word and END for it alone.
 
     First means the smallest hash. With wanted, only these prefixes and their firsts.
     """
@@ -239,10 +250,14 @@ class Counts:
 
 @dataclass
 class Model:
-    """Stems and the weights of the features; most_rows bounds the labelled rows that fit learned from."""
+    """Stems, the weights of the features and the whole words of the stems' families; most_rows bounds the labelled rows that fit learned from."""
 
     stems: list[str] = field(default_factory=list)
     weights: list[float] | None = None
+    words: list[str] = field(default_factory=list)
+
+    def matches(self) -> Matches:
+        return _matches(self.stems, self.words)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -269,7 +284,7 @@ def _choose(toxic: dict[str, Counts], clean: dict[str, Counts], least_contexts:
         anywhere = x.places >= least_contexts and _surely_more(x.texts, a.texts, y.texts, c.texts)
         return anywhere or (x.open_places >= least_contexts and _surely_more(x.open_texts, a.open_texts, y.open_texts, c.open_texts))
 
-    pure = {p for p in toxic if marks(p)}
+    pure = {p for p in toxic if not p.endswith(END) and marks(p)}
     stems: set[str] = set()
     for p in sorted(pure, key=lambda p: (len(p), p)):
         if any(p[:k] in pure for k in range(1, len(p))):
@@ -280,6 +295,13 @@ def _choose(toxic: dict[str, Counts], clean: dict[str, Counts], least_contexts:
     return sorted(stems)
 
 
+def _family(stems: list[str], forms: Iterable[str]) -> list[str]:
+    """The whole words among the forms that start with a stem."""
+    known = set(stems)
+    whole = {p[: -len(END)] for p in forms if p.endswith(END)}
+    return sorted(w for w in whole - known if any(w[:k] in known for k in STEM_LENGTHS))
+
+
 def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -320,11 +342,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least_conte
         return {r["prefix"]: Counts(r["places"], r["open_places"], r["texts"], r["open_texts"]) for r in counts.collect()}
 
     contexts = collected(counted(sample.where("toxic = 1"), None).where((F.col("places") >= least_contexts) | (F.col("prefix") == "")))
-    others = collected(counted(sample.where("toxic <> 1"), set(contexts) - {""}))
+    others = collected(counted(sample.where("toxic <> 1"), {p for p in contexts if p and not p.endswith(END)}))
     stems = _choose(contexts, others, least_contexts)
+    family = _family(stems, contexts)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(Automaton(stems))
+        matches = _matches(stems, family)
         for b in batches:
             rows = [_features(t, matches) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
@@ -333,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least_conte
     if not learned.num_rows:
         return Model()
     x, y = np.array(learned["x"].to_pylist()), np.array(learned["toxic"].to_pylist(), float)
-    return Model(stems, _regress(x, y))
+    return Model(stems, _regress(x, y), family)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -344,7 +367,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(Automaton(model.stems))
+        matches = model.matches()
         for b in batches:
             x = np.array([_features(t, matches) for t in b.column(0).cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
             s = model.scores(x)

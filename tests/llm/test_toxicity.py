@@ -97,3 +97,22 @@ def test_rates_of_a_term_in_clean_texts():
     toxic = {"": toxicity.Counts(0, 0, 100, 100), "rare": toxicity.Counts(60, 60, 60, 60), "even": toxicity.Counts(60, 60, 60, 60)}
     clean = {"": toxicity.Counts(0, 0, 800, 800), "rare": toxicity.Counts(90, 9, 90, 9), "even": toxicity.Counts(400, 400, 400, 400)}
     assert toxicity._choose(toxic, clean, 5) == ["rare"]
+
+
+def test_long_terms_are_caught_misspelled(spark):
+    rng = random.Random(4)
+    terms = ["worthless", "disgusting"]
+    rows = [(i, f"{corpus.prose(rng, 20)} {rng.choice(terms) if i % 2 else 'fair'} {corpus.prose(rng, 20)}", "en", "s") for i in range(200)]
+    # some are misspelled in the training texts too, each in another way, so that the regression can weigh it
+    slips = [t[:k] + "x" + t[k + 1 :] for t in terms for k in range(1, 8)]
+    rows += [(1000 + k, f"{corpus.prose(rng, 20)} {w} {corpus.prose(rng, 20)}", "en", "s") for k, w in enumerate(slips)]
+    labels = [(i, int(i >= 1000 or i % 2)) for i, *_ in rows]
+    model = toxicity.fit(corpus.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(terms) <= set(model.words)
+    matches = model.matches()
+    wrong = [b"worhtless", b"wrthless", b"worthlss", b"disgsting", b"disgutsing", b"dsgustin"]
+    assert [matches[w] for w in wrong] == [toxicity.MISSPELLED] * len(wrong)
+    assert matches[b"worthlessness"] == toxicity.SPELLED and matches[b"disgrace"] == matches[b"worth"] == 0
+    new = [(i, f"{corpus.prose(rng, 20)} {w.decode()} {corpus.prose(rng, 20)}", "en", "s") for i, w in enumerate(wrong)]
+    scored = toxicity.score(corpus.frame(spark, new), model).collect()
+    assert all(r["predicted"] == 1 for r in scored)
