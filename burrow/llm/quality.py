@@ -7,7 +7,8 @@ white space as one space), counts for each host the distinct texts that hold it,
 boilerplate if more than ``line_share`` of the host's distinct texts and at least ``line_docs`` of
 them hold it, and rejects a document as depleted if without such lines fewer than ``least_words``
 words remain and at least half of its words went. Counting distinct texts, not rows, keeps a group
-of exact copies from making its own lines look like boilerplate.
+of exact copies from making its own lines look like boilerplate. What is kept goes on without its
+boilerplate lines; its other lines, blank ones too, stay as they are and in order.
 
 Lines are counted with partial aggregation before each shuffle and the boilerplate lines meet
 the documents' lines in an equi-join whose small side Spark sizes from files or splits by AQE, so a
@@ -36,6 +37,16 @@ def _host(df: DataFrame) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANK)), BLANKS, " ")))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines whose hashes are in gone; null for no lines. Blank lines stay."""
+    keeps = lambda x: (F.btrim(x, F.lit(BLANK)) == "") | ~F.array_contains(gone, _line_hash(x))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), keeps), "\n"))
+
+
 def base_measures(rows: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to rows with a column text; drops nothing.
 
@@ -59,7 +70,7 @@ def base_measures(rows: DataFrame) -> DataFrame:
             "q_line_words": F.transform(
                 "q_lines",
                 lambda x: F.struct(
-                    F.xxhash64(F.lower(F.regexp_replace(F.btrim(x, F.lit(BLANK)), BLANKS, " "))).alias("line"),
+                    _line_hash(x).alias("line"),
                     F.size(F.split(F.btrim(x, F.lit(BLANK)), BLANKS)).alias("words"),
                 ),
             ),
@@ -67,41 +78,54 @@ def base_measures(rows: DataFrame) -> DataFrame:
     ).drop("q_words", "q_lines", "q_runs", "q_sorted", "q_starts")
 
 
-def measured(docs: DataFrame, least_words: int, repeat_percent: int) -> DataFrame:
-    """doc_id, host, text_hash, the base measures, base_failed and each line's hash and words; written to the shared folder."""
+def measured(docs: DataFrame, least_words: int, repeat_percent: int, with_text: bool = False) -> DataFrame:
+    """doc_id, host, text_hash, the base measures, base_failed and each line's hash and words, the text if asked for; written to the shared folder."""
     rows = docs.select(column(docs, "doc_id", "long"), _host(docs).alias("host"), column(docs, "text", "string"))
     base = base_measures(rows.withColumn("text_hash", F.xxhash64("text")))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return written(base.drop("text").withColumn("base_failed", failed), "quality")
+    return written((base if with_text else base.drop("text")).withColumn("base_failed", failed), "quality")
 
 
 def line_verdicts(base: DataFrame, line_share: float, line_docs: int, least_words: int) -> DataFrame:
-    """host, text_hash of the depleted texts, from what ``measured`` returns."""
+    """host, text_hash, gone_lines and depleted of the texts that hold boilerplate lines, from what ``measured`` returns."""
     lines = base.select("host", "text_hash", "n_words", F.explode("q_line_words").alias("x")).select("host", "text_hash", "n_words", "x.line", "x.words")
     hosts = base.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
     spread = lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("seen")).where(F.col("seen") >= line_docs)
     common = written(spread.join(hosts, "host").where(F.col("seen") > line_share * F.col("texts")).select("host", "line"), "common-lines")
-    texts = lines.join(common, ["host", "line"]).groupBy("host", "text_hash", "n_words").agg(F.sum("words").alias("gone"), F.count("*").alias("lines"))
+    texts = lines.join(common, ["host", "line"]).groupBy("host", "text_hash", "n_words").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
     # repeated rows of one text add up alike: compare what one of them lost
     copies = base.groupBy("host", "text_hash").agg(F.count("*").alias("rows"))
     lost = texts.join(copies, ["host", "text_hash"]).withColumn("gone", F.col("gone") / F.col("rows"))
-    return written(lost.where((F.col("n_words") - F.col("gone") < least_words) & (2 * F.col("gone") >= F.col("n_words"))).select("host", "text_hash"), "depleted")
+    depleted = (F.col("n_words") - F.col("gone") < least_words) & (2 * F.col("gone") >= F.col("n_words"))
+    return written(lost.select("host", "text_hash", "gone_lines", depleted.alias("depleted")), "lost-lines")
 
 
-def judge(docs: DataFrame, least_words: int = 20, repeat_percent: int = 30, line_share: float = 0.1, line_docs: int = 20) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept per row."""
+def judge(docs: DataFrame, least_words: int = 20, repeat_percent: int = 30, line_share: float = 0.1, line_docs: int = 20, with_text: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept per row.
+
+    with_text adds clean_text, what is left of a kept text without boilerplate lines; null for the others.
+    """
     prepare(docs.sparkSession)
-    base = measured(docs, least_words, repeat_percent)
-    depleted = line_verdicts(base, line_share, line_docs, least_words).withColumn("q_depleted", F.lit(True))
-    out = base.drop("q_line_words").join(depleted, ["host", "text_hash"], "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("q_depleted").isNull()).alias("kept"))
+    base = measured(docs, least_words, repeat_percent, with_text)
+    verdicts = line_verdicts(base, line_share, line_docs, least_words)
+    out = base.drop("q_line_words").join(verdicts, ["host", "text_hash"], "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    if with_text:
+        return out.select(*names, F.when(F.col("kept"), without_lines(F.col("text"), F.col("gone_lines"))).alias("clean_text"))
+    return out.select(*names)
 
 
 def reject_low_quality(docs: DataFrame, least_words: int = 20, repeat_percent: int = 30, line_share: float = 0.1, line_docs: int = 20) -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with all their columns. A text's verdict depends on its host and itself alone."""
+    """The rows of docs that ``judge`` keeps, with all their columns, text without boilerplate lines. A text's verdict depends on its host and itself alone."""
     prepare(docs.sparkSession)
     base = measured(docs, least_words, repeat_percent)
-    bad = base.where("base_failed").select("host", "text_hash").unionByName(line_verdicts(base, line_share, line_docs, least_words))
-    rejected = written(bad.distinct().withColumnsRenamed({"host": "q_host", "text_hash": "q_text_hash"}), "rejected")
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("q_row"), _host(docs).alias("q_host"), F.xxhash64(column(docs, "text", "string")).alias("q_text_hash"))
-    return keyed.join(rejected, ["q_host", "q_text_hash"], "left_anti").select("q_row.*")
+    lost = line_verdicts(base, line_share, line_docs, least_words)
+    failed = base.where("base_failed").select("host", "text_hash").distinct().withColumn("q_failed", F.lit(True))
+    verdicts = lost.join(failed, ["host", "text_hash"], "full").select(
+        F.col("host").alias("q_host"), F.col("text_hash").alias("q_text_hash"), "gone_lines", (F.coalesce("q_failed", F.lit(False)) | F.coalesce("depleted", F.lit(False))).alias("q_rejected")
+    )
+    text = column(docs, "text", "string")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("q_row"), _host(docs).alias("q_host"), F.xxhash64(text).alias("q_text_hash"))
+    kept = keyed.join(written(verdicts, "verdicts"), ["q_host", "q_text_hash"], "left").where(~F.coalesce("q_rejected", F.lit(False)))
+    row = F.col("q_row")
+    return kept.select(*((without_lines(row[c].cast("string"), F.col("gone_lines")) if c == "text" else row[c]).alias(c) for c in docs.columns))

@@ -46,7 +46,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.quality import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

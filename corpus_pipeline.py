@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or are depleted of lines of their own."""
+    """Drops documents that fail the base rules or are depleted of lines of their own, and takes their hosts' boilerplate lines out of the others."""
     return quality.reject_low_quality(docs)
 
 

@@ -62,3 +62,22 @@ def test_rejection_hands_rows_on(spark):
 def test_empty_table(spark):
     assert quality.judge(corpus.nothing(spark)).count() == 0
     assert quality.reject_low_quality(corpus.nothing(spark)).count() == 0
+
+
+def test_common_lines_are_taken_out(spark):
+    boiler = "share this page with your friends"
+    rng = corpus.random.Random(5)
+    data = []
+    for i in range(30):
+        own = [corpus.prose(rng, 30).replace("\n", " "), "", corpus.prose(rng, 30).replace("\n", " ")]
+        if i < 24:
+            own.insert(i % 4, boiler if i % 2 else f"  {boiler.title()} \t")
+        data.append((i, "\n".join(own), "en", "a"))
+    data += [(100, data[0][1], "en", "a"), (101, f"{boiler}\n{corpus.prose(rng, 40)}", "en", "b"), (102, "\n" + corpus.prose(rng, 40) + "\n", "en", None)]
+    want = {i: t if src != "a" else "\n".join(x for x in t.split("\n") if x.strip().lower() != boiler) for i, t, _, src in data}
+    assert sum(want[i] != t for i, t, _, _ in data) == 25
+    docs = corpus.frame(spark, data)
+    kept = quality.reject_low_quality(docs)
+    assert kept.schema.names == docs.schema.names and {r["doc_id"]: r["text"] for r in kept.collect()} == want
+    judged = quality.judge(docs, with_text=True)
+    assert {r["doc_id"]: r["clean_text"] for r in judged.collect()} == want
