@@ -74,3 +74,20 @@ def test_without_labels(spark):
     model = langid.fit(corpus.nothing(spark))
     assert {r["lang_pred"] for r in langid.predict(corpus.frame(spark, corpus.rows()), model).collect()} == {"und"}
     assert langid.predict(corpus.nothing(spark), model).count() == 0
+
+
+def test_much_copied_language_is_learned(spark):
+    rng = corpus.random.Random(8)
+    few = [" ".join(rng.choice(["zuk", "wym", "pfo", "gax"]) for _ in range(60)) for _ in range(3)]
+    rows = [("en", corpus.prose(rng, 60)) for _ in range(50)] + [("xx", few[i % 3]) for i in range(60_000)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(model.languages) == ["en", "xx"]
+    got = langid.predict(spark.createDataFrame([("zuk wym gax pfo zuk zuk",)], "text string"), model).collect()
+    assert got[0]["lang_pred"] == "xx"
+
+
+def test_long_texts_leave_room_for_others(spark):
+    long = [("en", c * 12_000) for c in "abcdefgh"]
+    model = langid.fit(spark.createDataFrame(long, "lang string, text string"))
+    root = model.table[model.roots[0]]
+    assert all(not root[model.symbols(c)[0]] & 1 for c in "abcdefgh")
