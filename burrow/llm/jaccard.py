@@ -6,24 +6,24 @@ index; a query's short lists are merged with a heap, candidates that could still
 overlap are looked up in the long lists by binary search, and those that reach it are linked.
 Shingles that have the same list in a block share one list with a weight.
 
-Which blocks a query must search comes from prefix filtering: of the first n - ceil(t n) + m shingles in
-any common order, with m a tenth of the set, similar classes have at least the smaller m in common. So a
-class that shares fewer of its prefix with all others together is done, which most classes are.
-Shingles that are frequent anywhere in the corpus come last in the order. The steps, each a Spark job
-over whole tables:
-
-1. Read all texts: class (a 64-bit hash of the set) and set size of each document, and local counts of
-   frequent shingles. At most ``FREQUENT`` of these are kept; they only set the order.
-2. Prefix shingles that two classes share: ``min`` and ``max`` of the class, aggregated before the shuffle.
-3. Members of the shared shingles; each class goes to the family of the smallest class it meets, and
+Which blocks a query must search comes from part signatures (``signatures``): the space of shingle hashes is
+cut into more parts than two similar sets can have unlike shingles, so some parts hold the same
+shingles in both; a signature is the hash of all a part holds. Of its signatures, in a common order, a set
+needs only the first quarter or so of its size, and similar classes have several of those in common. A
+signature stands for several shingles at once, so classes that merely share common phrases or a passage
+seldom meet, at any size of the corpus. The steps, each a Spark job over whole tables:
+
+1. Read all texts: class (a 64-bit hash of the set) and set size of each document.
+2. Signatures that two classes share: ``min`` and ``max`` of the class, aggregated before the shuffle.
+3. Members of the shared signatures; each class goes to the family of the smallest class it meets, and
    families are split into blocks of about ``BLOCK`` classes, each with the family's first class.
 4. Each block is searched in itself until all classes outside its largest component have been queries.
-5. Components so far. Classes that share enough of their prefix with another block that holds another
-   component are queries to that block; shingles within one component need no more search. That keeps groups
+5. Components so far. Classes that share enough signatures with another block that holds another
+   component are queries to that block; signatures within one component need no more search. That keeps groups
    of thousands of near copies from being compared in pairs, and loses no link between components.
 6. Components of all links.
 
-Groups are never gathered whole: hot shingles and classes are only aggregated or joined, blocks have a
+Groups are never gathered whole: hot signatures and classes are only aggregated or joined, blocks have a
 bounded number of classes, and a block with many queries is copied for every few hundred of them.
 Distinct sets meeting in one 64-bit hash are expected 24 times in 3 x 10^10 documents; shingles likewise.
 
@@ -43,15 +43,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.components import components
-from burrow.llm.textual import WordHashes, column, per_worker, prepare, rolling, written
+from burrow.llm.components import components, spread_join
+from burrow.llm.textual import WordHashes, column, mixed, per_worker, prepare, released, rolling, written
 
 SHINGLE = 5
-#: Shingles with a place in the order by frequency; the rest are ordered by hash.
-FREQUENT = 500_000
 BLOCK = 400
 QUERIES_PER_TASK = 400
-FILTER_BITS = 26
+#: A filter has eight bits a key or more, and at most 2^29 (64 MB); for more keys rows are joined unfiltered.
+MOST_FILTER_BITS = 29
+#: Classes a task searches, so that tasks grow in number and not in length.
+CLASSES_PER_TASK = 4_000
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -67,35 +68,36 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def extra(n: int) -> int:
-    """How many common shingles two prefixes must have: a tenth of the smaller set, rounded up."""
-    return -(-n // 10)
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of sorted hashes, and for each how many of its kind a similar set must share at least.
 
-
-def shared_least(n: int, percent: int) -> int:
-    """``extra`` of the smallest set that can be similar to one of n shingles."""
-    return extra(-(-percent * n // 100))
-
-
-class Order:
-    """A common order of shingles: by frequency, then by hash."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        by = np.argsort(tokens)
-        self.tokens, self.counts = tokens[by], counts[by]
-
-    def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
-        """The shingles of which similar sets must share ``shared_least``."""
-        n = len(s) - -(-percent * len(s) // 100) + extra(len(s))
-        if not len(self.tokens):
-            return s[:n]
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        frequent = self.tokens[at] == s
-        rare = s[~frequent]
-        if len(rare) >= n:
-            return rare[:n]
-        rest, counts = s[frequent], self.counts[at[frequent]]
-        return np.concatenate([rare, rest[np.lexsort((rest, counts))][: n - len(rare)]])
+    A pair is looked for in the bucket of its smaller size (sizes from 2^j to 2^(j + 1) - 1), so a set
+    has signatures for the buckets of all partners that are not larger. In a bucket:
+    the hash space has a fixed number of parts; similar sets differ in at most ``apart`` shingles, so at most in
+    as many parts. Of the others some may be empty in both: at least ``common`` parts hold the same and something.
+    Leaving out the ``common - need`` largest signatures still leaves ``need`` shared ones.
+    A set with too many empty parts (``common`` < 1) can only miss sets of the same kind; these get single shingles of a
+    prefix, too, of which similar sets share one.
+    """
+    n = len(s)
+    found, needs = [], []
+    for j in range((-(-percent * n // 100)).bit_length() - 1, n.bit_length()):
+        most = (2 << j) - 1
+        apart = min(n, most) * (100 - percent) // percent
+        parts = max(1, -(-4 * most * (100 - percent) // (3 * percent)))
+        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        signed = mixed(np.add.reduceat(s, starts) ^ mixed(part[starts] + np.uint64(parts << 32)))
+        common = parts - apart - (parts - len(starts))
+        need = max(1, min(common, -(-n // 20)))
+        if common > need:
+            signed = np.sort(signed)[: len(signed) - common + need]
+        elif common < 1:
+            prefix = s[: n - -(-percent * n // 100) + 1]
+            signed = np.concatenate([signed, mixed(prefix ^ np.uint64(parts))])
+        found.append(signed)
+        needs.append(np.full(len(signed), need, np.int32))
+    return np.concatenate(found), np.concatenate(needs)
 
 
 class Index:
@@ -195,73 +197,77 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 class BitFilter:
-    """A bit table of 2^26 bits for hashes; what isn't set isn't among them."""
-
-    def __init__(self, keys: DataFrame, name: str):
-        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        bit = F.shiftrightunsigned(name, 64 - FILTER_BITS)
-        cells = keys.select(F.shiftright(bit, 3).cast("int").alias("byte"), bit.bitwiseAND(7).cast("int").alias("i")).selectExpr("byte", "shiftleft(1, i) AS v")
-        for b in cells.groupBy("byte").agg(F.bit_or("v").alias("v")).toArrow().to_batches():  # at most 2^23 pairs of numbers
-            self.bits[b.column(0).to_numpy()] = b.column(1).to_numpy().astype(np.uint8)
+    """A bit table for 64-bit hashes, in proportion to their number; what isn't set isn't among them."""
+
+    def __init__(self, keys: DataFrame, name: str, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.words = np.zeros(1 << max(0, bits - 6), np.uint64)
+        bit = F.shiftrightunsigned(name, 64 - bits)
+        cells = keys.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(63).cast("int").alias("i")).selectExpr("word", "shiftleft(1L, i) AS v")
+        for b in cells.groupBy("word").agg(F.bit_or("v").alias("v")).toArrow().to_batches():  # at most 2^23 pairs of numbers
+            self.words[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+
+    @staticmethod
+    def of(keys: DataFrame, name: str) -> BitFilter | None:
+        """A filter of a written table's column, or None if it would be too large to send to all workers."""
+        bits = max(20, (8 * keys.count() - 1).bit_length())
+        return BitFilter(keys, name, bits) if bits <= MOST_FILTER_BITS else None
 
     def among(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> np.uint64(64 - FILTER_BITS)
-        return (self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        bit = keys >> self.shift
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _read(docs: DataFrame) -> tuple[DataFrame, Order]:
-    """doc_id, text_hash, n_shingles, class of each row, and the order of shingles."""
-    names = ["counted", "doc_id", "text_hash", "n_shingles", "class"]
+def _read(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker("run hashes", lambda: WordHashes("run"))
         for b in batches:
-            sets = [shingle_set(t, hashes) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([False] * n, pa.bool_()), b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=names)
-            token, seen = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            much = seen >= max(4, n // 400)
-            token, seen = token[much].view(np.int64), seen[much]
-            none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(token), pa.bool_()), none, none, pa.array(seen, pa.int64()), pa.array(token, pa.int64())], names=names)
+            sizes, classes = [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                s = shingle_set(t, hashes)
+                sizes.append(len(s))
+                classes.append(class_of(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "class"])
 
     rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"), F.xxhash64(column(docs, "text", "string")).alias("text_hash"))
-    both = written(rows.mapInArrow(read, "counted boolean, doc_id long, text_hash long, n_shingles long, class long"), "shingle-classes")
-    frequent = both.where("counted").groupBy("class").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).toArrow()
-    return both.where("NOT counted").drop("counted"), Order(frequent["class"].to_numpy().view(np.uint64), frequent["n"].to_numpy())
+    return written(rows.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long"), "shingle-classes")
 
 
-def _prefixes(docs: DataFrame, order: Order, percent: int, among: BitFilter | None = None) -> DataFrame:
-    """token, class, n: each text's prefix shingles; only those in among, if given."""
-    shared = docs.sparkSession.sparkContext.broadcast((order, among))  # FREQUENT pairs and 2^23 bytes
+def _signed(docs: DataFrame, percent: int, among: BitFilter | None = None) -> DataFrame:
+    """token, class, n, need: each text's signatures; only classes with enough of them in among, and only these, if given."""
+    shared = docs.sparkSession.sparkContext.broadcast(among)  # at most 2^26 bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (o, f) = per_worker("run hashes", lambda: WordHashes("run")), shared.value
+        hashes, f = per_worker("run hashes", lambda: WordHashes("run")), shared.value
         for b in batches:
             seen: set[int] = set()
-            tokens, classes, sizes, counts = [np.empty(0, np.uint64)], [], [], []
+            tokens, classes, sizes, needs, counts = [np.empty(0, np.uint64)], [], [], [], []
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, hashes)
                 c = class_of(s)
                 if len(s) and c not in seen:
                     seen.add(c)
-                    p = o.prefix(s, percent)
+                    found, need = signatures(s, percent)
                     if f is not None:
-                        p = p[f.among(p)]
-                        if len(p) < shared_least(len(s), percent):
-                            continue
-                    tokens.append(p)
+                        found = found[f.among(found)]
+                    if len(found) < need.min():
+                        continue
+                    tokens.append(found)
                     classes.append(c)
                     sizes.append(len(s))
-                    counts.append(len(p))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["token", "class", "n"])
+                    needs.append(need.min())
+                    counts.append(len(found))
+            each = [pa.array(np.repeat(np.array(x, kind), counts)) for x, kind in ((classes, np.int64), (sizes, np.int32), (needs, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *each], names=["token", "class", "n", "need"])
 
-    return docs.select(column(docs, "text", "string")).mapInArrow(cut, "token long, class long, n int")
+    return docs.select(column(docs, "text", "string")).mapInArrow(cut, "token long, class long, n int, need int")
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class, shingles of the classes, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(BitFilter(classes, "class"))  # 2^23 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(BitFilter.of(classes, "class"))  # at most 2^26 bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, f = per_worker("run hashes", lambda: WordHashes("run")), shared.value
@@ -270,7 +276,7 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 s = shingle_set(t, hashes)
                 c = class_of(s)
-                if len(s) and c not in found and f.among(np.array([c], np.int64).view(np.uint64))[0]:
+                if len(s) and c not in found and (f is None or f.among(np.array([c], np.int64).view(np.uint64))[0]):
                     found[c] = s
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["class", "shingles"])
 
@@ -296,13 +302,12 @@ def _emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
+def links(docs: DataFrame, percent: int) -> DataFrame:
     """a, b: links between classes of docs that connect each of their components."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = _prefixes(docs, order, percent).groupBy("token").agg(F.min("class").alias("center"), F.max("class").alias("last"))
-    common = written(ends.where("center <> last").select("token", "center"), "shared-shingles")
-    own = _prefixes(docs, order, percent, BitFilter(common, "token"))
+    ends = _signed(docs, percent).groupBy("token").agg(F.min("class").alias("center"), F.max("class").alias("last"))
+    common = written(ends.where("center <> last").select("token", "center"), "shared-signatures")
+    own = _signed(docs, percent, BitFilter.of(common, "token"))
     members = written(own.join(common, "token").distinct(), "members")
 
     family = members.groupBy("class").agg(F.min("center").alias("family"), F.first("n").alias("n"))
@@ -310,6 +315,7 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
     placed = family.join(count, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.xxhash64("family", F.pmod(F.xxhash64("class"), F.col("blocks")))
     placed = written(placed.select("class", "n", "family", "pivot", "blocks", block.alias("block")), "blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // CLASSES_PER_TASK)
     # the family's first class stands in all its blocks, so each set is dealt out once to all blocks it is in
     others = placed.where("blocks > 1 AND class = pivot").select("class", F.col("block").alias("own"), "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("i"))
     pivots = others.select("class", "own", F.xxhash64("family", "i").alias("block")).where("block <> own")
@@ -327,19 +333,18 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
 
     first = written(inside.repartition(parts, "block").sortWithinPartitions("block", "class").mapInArrow(search_blocks, "a long, b long"), "links-inside")
 
-    # what is left: shingles shared by several components
+    # what is left: signatures shared by several components
     labels = components(first)
     known = placed.select("class", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "block", F.coalesce("label", "class").alias("label"))
-    labelled = written(members.select("token", "class", "n").join(known, "class"), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    # a link to another component shows in so many of a class's shingles, all of them mixed
-    needed = F.ceil(F.ceil(percent * F.col("n") / 100) / 10)
-    among_mixed = labelled.join(mixed, "token")
-    able = among_mixed.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed).select("class")
-    open_members = written(among_mixed.join(able, "class"), "open-members")
+    labelled = written(members.select("token", "class", "n", "need").join(known, "class"), "labelled")
+    torn = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    # a link to another component shows in so many of a class's signatures, all of them torn
+    among_torn = labelled.join(torn, "token")
+    able = among_torn.groupBy("class", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("class")
+    open_members = written(among_torn.join(able, "class"), "open-members")
     sides = open_members.groupBy("token", F.col("block").alias("in_block")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
     asks = open_members.join(sides, "token").where("in_block < block AND NOT (lo = label AND hi = label)").where((100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n")))
-    asks = asks.groupBy("class", "label", "n", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
+    asks = asks.groupBy("class", "label", "need", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where("shared >= need")
     asks = written(asks.select("class", "label", "block"), "queries")
     if asks.isEmpty():
         return first
@@ -368,12 +373,13 @@ def links(docs: DataFrame, order: Order, percent: int) -> DataFrame:
 
 def _joined(docs: DataFrame, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
-    rows, order = _read(docs)
-    labels = components(links(docs, order, percent))
-    least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(smallest, "label").select("class", "component_id"), "components")
+    rows = _read(docs)
+    with released():
+        labels = components(links(docs, percent))
+        least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+        named = least.join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
+        smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+        named = written(spread_join(named, smallest, "label").select("class", "component_id"), "components", keep=True)
     out = rows.join(named, "class", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -13,6 +13,8 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -59,9 +61,12 @@ class WordHashes:
 
     A word's hash is the sum of a random number per byte times a power of the byte's place, modulo
     2^64. Sums over the whole text give those of its words as differences; powers of an odd number can be
-    divided out again, so a word hashes alike wherever it stands. No word becomes a Python object.
+    divided out again, so a word hashes alike wherever it stands. No word becomes a Python object, but for those of
+    more than ``LONG`` bytes: such sums can be made to collide with very long words, so these get another hash.
     """
 
+    LONG = 64
+
     def __init__(self, kind: str):
         numbers = np.random.default_rng(20240101).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.gap = np.zeros(256, bool)
@@ -104,7 +109,10 @@ class WordHashes:
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.numbers[b] * self.powers[:n], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        out = mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+        for i in np.flatnonzero(ends - starts > self.LONG):
+            out[i] = xxhash.xxh64_intdigest(b[starts[i] : ends[i]].tobytes().lower())
+        return out
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -156,14 +164,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_releasing: list[list[tuple[SparkSession, str]]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends here and survives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if _releasing and not keep:
+        _releasing[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables that were written inside, but for those with ``keep``, when the last of them has been read."""
+    _releasing.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _releasing.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def per_worker(name: str, make):
     """An object kept by the Python worker from task to task."""
     kept = sys.modules[__name__].__dict__.setdefault("_kept", {})

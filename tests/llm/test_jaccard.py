@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from burrow.llm import jaccard
+from burrow.llm.components import components
+from burrow.llm.textual import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,6 +61,79 @@ def test_a_chain_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(corpus.frame(spark, data)).collect()), key=repr) == brute(data)
 
 
+def test_a_long_chain_settles(spark):
+    """500 texts that slide along a long one: similar to their neighbours only, and one component."""
+    rng = random.Random(9)
+    w = [corpus.word(rng) + str(i) for i in range(500 * 12 + 160)]
+    data = [(i, " ".join(w[i * 12 : i * 12 + 160]), "en", "s") for i in range(500)]
+    rng.shuffle(data)
+    assert {r["component_id"] for r in jaccard.join(corpus.frame(spark, data)).collect()} == {0}
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_components_of_long_paths(spark, ordered):
+    rng = random.Random(10)
+    ids = list(range(-2500, 2500)) if ordered else [rng.randrange(-(1 << 62), 1 << 62) for _ in range(5000)]
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in zip(ids, ids[1:])] + [(ids[0], ids[0]), (1 << 62, (1 << 62) + 1)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == 5002
+    assert {r["label"] for r in got if r["node"] < 1 << 62} == {min(ids)}
+    assert {r["label"] for r in got if r["node"] >= 1 << 62} == {1 << 62}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1200)]
+    root = list(range(1200))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {i: find(i) for link in links for i in link if link[0] != link[1]}
+    assert {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_similar_sets_share_enough_signatures():
+    """For random pairs at and around the least similarity, of all small sizes and some large ones."""
+    rng = np.random.default_rng(12)
+    for n in [*range(1, 70), 100, 127, 128, 200, 255, 256, 1000] * 6:
+        a = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        for _ in range(20):
+            gone, new = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+            b = np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, new, np.uint64)])
+            x, y = np.unique(a), np.unique(b)
+            if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+                (p, needed_p), (q, needed_q) = jaccard.signatures(x, 80), jaccard.signatures(y, 80)
+                assert len(np.intersect1d(p, q)) >= max(needed_p.min(), needed_q.min())
+
+
+def test_sets_with_many_empty_parts_meet():
+    """Shingles that all fall into one part, so that hardly any part is held."""
+    rng = np.random.default_rng(13)
+    for n in [4, 7, 20, 40, 100]:
+        a = np.unique(rng.integers(0, 1 << 40, n, np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 40, n // 10, np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            (p, needed_p), (q, needed_q) = jaccard.signatures(a, 80), jaccard.signatures(b, 80)
+            assert len(np.intersect1d(p, q)) >= max(needed_p.min(), needed_q.min())
+
+
+def test_long_words_made_to_collide_differ():
+    """Sums of powers modulo 2^64 meet for these two words of 2,048 letters, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048)).encode()
+    two = bytes({97: 98, 98: 97}[c] for c in one)
+    for kind in ("run", "alnum"):
+        hashes = WordHashes(kind)
+        assert hashes.of(one)[0] != hashes.of(two)[0]
+        assert hashes.of(one.upper())[0] == hashes.of(one)[0] == hashes.of(b"x " + one + b" y")[1]
+
+
 def test_search_finds_all_members_with_enough_overlap():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 62, 300, np.uint64)
