@@ -14,11 +14,13 @@ signature stands for several shingles at once, so classes that merely share comm
 seldom meet, at any size of the corpus. The steps, each a Spark job over whole tables:
 
 1. Read all texts: class (a 64-bit hash of the set) and set size of each document.
-2. Signatures that two classes share: ``min`` and ``max`` of the class, aggregated before the shuffle.
-3. Members of the shared signatures; each class goes to the family of the smallest class it meets, and
-   families are split into blocks of about ``BLOCK`` classes, each with the family's first class.
+2. Signatures that two texts share, found in packed form: each batch of texts sends its signatures as sorted differences
+   of 32 bits to slots of the hash space, some two or three bytes each.
+3. Texts with enough shared signatures send these with their class; signatures of one class alone go. Each
+   class goes to the family of the smallest class it meets, and families are split into blocks of about
+   ``BLOCK`` classes, each with the family's first class.
 4. Each block is searched in itself until all classes outside its largest component have been queries.
-5. Components so far. Classes that share enough signatures with another block that holds another
+5. Components so far. Classes that share enough signatures with another block that holds a larger
    component are queries to that block; signatures within one component need no more search. That keeps groups
    of thousands of near copies from being compared in pairs, and loses no link between components.
 6. Components of all links.
@@ -51,6 +53,9 @@ BLOCK = 400
 QUERIES_PER_TASK = 400
 #: A filter has eight bits a key or more, and at most 2^29 (64 MB); for more keys rows are joined unfiltered.
 MOST_FILTER_BITS = 29
+#: Signatures a slot holds, and slots a task reads.
+SLOT_KEYS = 1 << 20
+SLOTS_PER_TASK = 8
 #: Classes a task searches, so that tasks grow in number and not in length.
 CLASSES_PER_TASK = 4_000
 
@@ -197,25 +202,49 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 class BitFilter:
-    """A bit table for 64-bit hashes, in proportion to their number; what isn't set isn't among them."""
+    """A bit table for hashes, in proportion to their number; what isn't set isn't among them.
 
-    def __init__(self, keys: DataFrame, name: str, bits: int):
-        self.shift = np.uint64(64 - bits)
+    Only the highest ``kept`` bits of a hash count; two places are looked up, from their higher and their lower end.
+    """
+
+    def __init__(self, keys: DataFrame, name: str, bits: int, kept: int):
+        self.bits, self.kept = bits, kept
         self.words = np.zeros(1 << max(0, bits - 6), np.uint64)
-        bit = F.shiftrightunsigned(name, 64 - bits)
-        cells = keys.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(63).cast("int").alias("i")).selectExpr("word", "shiftleft(1L, i) AS v")
+        low = F.shiftrightunsigned(name, 64 - kept).bitwiseAND((1 << bits) - 1)
+        cells = keys.select(F.explode(F.array(F.shiftrightunsigned(name, 64 - bits), low)).alias("bit"))
+        cells = cells.selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS v")
         for b in cells.groupBy("word").agg(F.bit_or("v").alias("v")).toArrow().to_batches():  # at most 2^23 pairs of numbers
             self.words[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
 
     @staticmethod
-    def of(keys: DataFrame, name: str) -> BitFilter | None:
+    def of(keys: DataFrame, name: str, kept: int = 64) -> BitFilter | None:
         """A filter of a written table's column, or None if it would be too large to send to all workers."""
         bits = max(20, (8 * keys.count() - 1).bit_length())
-        return BitFilter(keys, name, bits) if bits <= MOST_FILTER_BITS else None
+        return BitFilter(keys, name, bits, kept) if bits <= MOST_FILTER_BITS else None
 
     def among(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> self.shift
-        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        out = np.ones(len(keys), np.uint64)
+        for bit in (keys >> np.uint64(64 - self.bits), keys >> np.uint64(64 - self.kept) & np.uint64((1 << self.bits) - 1)):
+            out &= self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))
+        return (out & np.uint64(1)).astype(bool)
+
+
+def pack(keys: np.ndarray, slot_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted keys by slot (their highest bits): differences of the 32 bits below, first all lowest bytes, then all next ones and so on."""
+    keys = np.sort(keys)
+    keys = keys[np.concatenate([np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2]])]  # twice is enough
+    slot = keys >> np.uint64(63 - slot_bits) >> np.uint64(1)
+    low = (keys >> np.uint64(32 - slot_bits)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    steps = np.diff(low, prepend=np.uint32(0))
+    steps[starts] = low[starts]
+    for a, b in zip(starts, [*starts[1:], len(keys)]):
+        yield int(slot[a]), steps[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(packed: list[bytes]) -> np.ndarray:
+    """The 32 bits of all keys of one slot."""
+    return np.concatenate([np.cumsum(np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0], dtype=np.uint32) for p in packed])
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -235,34 +264,60 @@ def _read(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long"), "shingle-classes")
 
 
-def _signed(docs: DataFrame, percent: int, among: BitFilter | None = None) -> DataFrame:
-    """token, class, n, need: each text's signatures; only classes with enough of them in among, and only these, if given."""
+def _signed_batch(texts: pa.Array, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Class, set size, signatures and their needs of each class among the texts."""
+    hashes = per_worker("run hashes", lambda: WordHashes("run"))
+    seen: set[int] = set()
+    for t in texts.cast(pa.binary()).to_pylist():
+        s = shingle_set(t, hashes)
+        c = class_of(s)
+        if len(s) and c not in seen:
+            seen.add(c)
+            yield c, len(s), *signatures(s, percent)
+
+
+def _shared(docs: DataFrame, percent: int, slot_bits: int) -> DataFrame:
+    """key: the highest 32 + slot_bits bits of signatures that two texts have."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [s for _, _, s, _ in _signed_batch(b.column(0), percent)]
+            rows = list(pack(np.concatenate(found), slot_bits)) if found else []
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["slot", "packed"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, rows in _grouped(batches, 2):
+            low = np.sort(unpacked([r[0] for r in rows]))
+            twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.uint64)
+            keys = (np.uint64(slot) << np.uint64(63 - slot_bits) << np.uint64(1)) | (twice << np.uint64(32 - slot_bits))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    sent = docs.select(column(docs, "text", "string")).mapInArrow(send, "slot long, packed binary")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << slot_bits) // SLOTS_PER_TASK)
+    return sent.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(find, "key long")
+
+
+def _signed(docs: DataFrame, percent: int, among: BitFilter | None) -> DataFrame:
+    """token, class, n, need: signatures of texts that have enough of them in among, and only these; all if among is None."""
     shared = docs.sparkSession.sparkContext.broadcast(among)  # at most 2^26 bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = per_worker("run hashes", lambda: WordHashes("run")), shared.value
+        f = shared.value
         for b in batches:
-            seen: set[int] = set()
             tokens, classes, sizes, needs, counts = [np.empty(0, np.uint64)], [], [], [], []
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(t, hashes)
-                c = class_of(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    found, need = signatures(s, percent)
-                    if f is not None:
-                        found = found[f.among(found)]
-                    if len(found) < need.min():
-                        continue
+            for c, n, found, need in _signed_batch(b.column(0), percent):
+                if f is not None:
+                    found = found[f.among(found)]
+                if len(found) >= need.min():
                     tokens.append(found)
                     classes.append(c)
-                    sizes.append(len(s))
+                    sizes.append(n)
                     needs.append(need.min())
                     counts.append(len(found))
             each = [pa.array(np.repeat(np.array(x, kind), counts)) for x, kind in ((classes, np.int64), (sizes, np.int32), (needs, np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *each], names=["token", "class", "n", "need"])
 
-    return docs.select(column(docs, "text", "string")).mapInArrow(cut, "token long, class long, n int, need int")
+    return docs.select(column(docs, "text", "string")).mapInArrow(cut, "token long, class long, n int, need int").groupBy("token", "class").agg(F.first("n").alias("n"), F.first("need").alias("need"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -302,17 +357,19 @@ def _emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between classes of docs that connect each of their components."""
+def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
+    """a, b: links between classes of docs, of so many shingles in all, that connect each of their components."""
     spark = docs.sparkSession
-    ends = _signed(docs, percent).groupBy("token").agg(F.min("class").alias("center"), F.max("class").alias("last"))
-    common = written(ends.where("center <> last").select("token", "center"), "shared-signatures")
-    own = _signed(docs, percent, BitFilter.of(common, "token"))
-    members = written(own.join(common, "token").distinct(), "members")
+    slot_bits = min(31, max(0, (shingles // (2 * SLOT_KEYS)).bit_length()))
+    shared = written(_shared(docs, percent, slot_bits), "shared-signatures")
+    own = written(_signed(docs, percent, BitFilter.of(shared, "key", 32 + slot_bits)), "own-signatures")
+    ends = own.groupBy("token").agg(F.min("class").alias("center"), F.max("class").alias("last")).where("center <> last")
+    met = own.join(ends.select("token", "center"), "token")
+    enough = met.groupBy("class").agg(F.min("center").alias("family"), F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("held")).where("held >= need")
+    family = written(enough.select("class", "n", "family"), "families")
 
-    family = members.groupBy("class").agg(F.min("center").alias("family"), F.first("n").alias("n"))
     count = family.groupBy("family").agg(F.count("*").alias("size"), F.min("class").alias("pivot"))
-    placed = family.join(count, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = spread_join(family, count, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.xxhash64("family", F.pmod(F.xxhash64("class"), F.col("blocks")))
     placed = written(placed.select("class", "n", "family", "pivot", "blocks", block.alias("block")), "blocks")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), placed.count() // CLASSES_PER_TASK)
@@ -336,21 +393,24 @@ def links(docs: DataFrame, percent: int) -> DataFrame:
     # what is left: signatures shared by several components
     labels = components(first)
     known = placed.select("class", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "block", F.coalesce("label", "class").alias("label"))
-    labelled = written(members.select("token", "class", "n", "need").join(known, "class"), "labelled")
-    torn = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    sized = known.groupBy("label").agg(F.count("*").alias("size"))
+    known = written(spread_join(known, sized, "label").select("class", "block", F.struct("size", "label").alias("rank")), "ranked")
+    labelled = written(own.join(known, "class"), "labelled")
+    torn = labelled.groupBy("token").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo <> hi").select("token")
     # a link to another component shows in so many of a class's signatures, all of them torn
     among_torn = labelled.join(torn, "token")
     able = among_torn.groupBy("class", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("class")
     open_members = written(among_torn.join(able, "class"), "open-members")
-    sides = open_members.groupBy("token", F.col("block").alias("in_block")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
-    asks = open_members.join(sides, "token").where("in_block < block AND NOT (lo = label AND hi = label)").where((100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n")))
-    asks = asks.groupBy("class", "label", "need", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where("shared >= need")
+    # of two components the smaller one asks: members of the largest one in a signature ask nobody
+    sides = open_members.groupBy("token", F.col("block").alias("in_block")).agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"))
+    asks = open_members.join(sides, "token").where("in_block <> block AND rank < top").where((100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n")))
+    asks = asks.groupBy("class", "rank.label", "need", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where("shared >= need")
     asks = written(asks.select("class", "label", "block"), "queries")
     if asks.isEmpty():
         return first
     tasks = asks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("copies"))
     key = lambda i: F.xxhash64("block", i)
-    indexed = sets.join(tasks, "block").join(known.select("class", "label"), "class").select("block", "class", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("i"))
+    indexed = sets.join(tasks, "block").join(known.select("class", "rank.label"), "class").select("block", "class", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("i"))
     indexed = indexed.select(key(F.col("i")).alias("task"), F.lit(0).alias("asks"), "class", "label", "shingles")
     asked = asks.join(tasks, "block").join(sets.select("class", "shingles"), "class")
     asked = asked.select(key(F.pmod(F.xxhash64("class"), F.col("copies")).cast("int")).alias("task"), F.lit(1).alias("asks"), "class", "label", "shingles")
@@ -375,7 +435,8 @@ def _joined(docs: DataFrame, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     rows = _read(docs)
     with released():
-        labels = components(links(docs, percent))
+        shingles = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+        labels = components(links(docs, percent, shingles))
         least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         named = least.join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
         smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -42,9 +42,11 @@ def brute(data):
     return sorted(((key, len(s), least.get(find(i)) if s else key) for i, (key, s) in enumerate(sets)), key=repr)
 
 
-@pytest.mark.parametrize("block,queries", [(400, 1000), (3, 2)])
-def test_equals_brute_force(spark, monkeypatch, block, queries):
+@pytest.mark.parametrize("block,queries,bits", [(400, 1000, 29), (3, 2, 29), (400, 1000, 0)])
+def test_equals_brute_force(spark, monkeypatch, block, queries, bits):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_FILTER_BITS", bits)  # 0: nothing is filtered
+    monkeypatch.setattr(jaccard, "SLOT_KEYS", 2_000)
     monkeypatch.setattr(jaccard, "QUERIES_PER_TASK", queries)
     data = corpus.rows(n=30)
     got = jaccard.join(corpus.frame(spark, data)).collect()
@@ -124,6 +126,15 @@ def test_sets_with_many_empty_parts_meet():
             assert len(np.intersect1d(p, q)) >= max(needed_p.min(), needed_q.min())
 
 
+@pytest.mark.parametrize("bits", [0, 1, 6, 31])
+def test_packed_keys(bits):
+    rng = np.random.default_rng(14)
+    keys = np.concatenate([rng.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2) + np.uint64(1), np.full(5, 1 << 63, np.uint64), np.array([0, 0, (1 << 64) - 1], np.uint64)])
+    got = [(slot << 32) | int(low) for slot, p in jaccard.pack(keys, bits) for low in jaccard.unpacked([p])]
+    kept, counts = np.unique(keys >> np.uint64(32 - bits), return_counts=True)
+    assert sorted(got) == np.repeat(kept, np.minimum(counts, 2)).tolist()
+
+
 def test_long_words_made_to_collide_differ():
     """Sums of powers modulo 2^64 meet for these two words of 2,048 letters, whatever the base."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048)).encode()
