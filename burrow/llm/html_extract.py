@@ -10,7 +10,8 @@ its children the choice, and of all such choices the most likely one is taken, b
 leaves up. So no element is kept below a dropped one.
 
 The trees are fitted on pages that ``teaching_pages`` composes from a seed: articles under many
-structures, between menus, notices, adverts, forms, comments and so on, labelled as they are made.
+structures, of one to some hundred paragraphs, between menus, notices, adverts, forms, comments and so on, labelled as
+they are made. What the words of attributes say for or against content is counted there, too.
 
 Defined results: a null or empty page has the empty text; broken markup is read as browsers
 mostly do (an open paragraph ends where a block starts, stray end tags are skipped); repeated rows
@@ -23,6 +24,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,17 +40,19 @@ SILENT = frozenset("script style noscript template svg iframe object select opti
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
-SAME_LEVEL = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
+SAME_LEVEL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Tags from boilerplate to content, as the trees see them.
 ORDER = "nav aside footer form fieldset menu dialog header address ul ol dl li dd dt table tbody tr td th figure figcaption center details summary div section body html hgroup pre blockquote p h6 h5 h4 h3 h2 h1 article main".split()
 #: Tokens of class, id, role and label that speak against and for content.
 AGAINST = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|breadcrumb\w*|header|masthead|top-?bar|foot\w*|side-?bar\w*|aside|rail|widget\w*|ad|ads|adv\w*|ad-\w+|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|form|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|share\w*|social\w*|related\w*|recommend\w*|more|tags?|tag-?list|author-?box|byline|meta|pagination|pager|copyright|legal|disclaimer|toolbar|skip\w*|complementary|navigation|contentinfo)(?=$|[-_\s])", re.I)
 FOR = re.compile(r"(?:^|[-_\s])(?:article\w*|main\w*|content\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|text|body|prose|page-?content|hentry|blog-?post)(?=$|[-_\s])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-N_FEATURES = 26
+N_FEATURES = 28
 
 
 @dataclass(slots=True)
@@ -59,78 +63,122 @@ class Node:
     depth: int
     #: Strings of text and block elements, in page order.
     parts: list = field(default_factory=list)
+    inputs: int = 0
     main: bool = False
 
 
+class _Attributes:
+    """Finds where tags end. A quote that is never closed is a plain character; that it isn't is looked up once a page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unclosed: set[str] = set()
+
+    def end(self, pos: int) -> int:
+        """The place of the > that closes the tag whose attributes begin at pos, or -1."""
+        page = self.page
+        while True:
+            pos = _PLAIN.match(page, pos).end()
+            if pos == len(page):
+                return -1
+            quote = page[pos]
+            if quote == ">":
+                return pos
+            pos += 1
+            if quote not in self.unclosed:
+                close = page.find(quote, pos)
+                if close < 0:
+                    self.unclosed.add(quote)
+                else:
+                    pos = close + 1
+
+
+class _Path:
+    """The open elements from the root down, and for each tag where it is open."""
+
+    def __init__(self, root: Node):
+        self.open = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """The depth of the innermost open element of these tags, or -1."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes the element at depth and all in it."""
+        while len(self.open) > depth:
+            self.depths[self.open.pop().tag].pop()
+
+
 def parse(page: str | None) -> Node:
-    """The tree of a page's block elements below a root."""
+    """The tree of a page's block elements below a root, in time linear in the page."""
     root = Node("html", "", None, 0)
-    at, links, pos = root, 0, 0
+    path, links, pos = _Path(root), 0, 0
     page = page or ""
+    tags, never_closed = _Attributes(page), set()
 
     def text(s: str) -> None:
         if s:
-            at.parts.append((html.unescape(s), links > 0))
+            path.open[-1].parts.append((html.unescape(s), links > 0))
 
     end = len(page)
     while pos < end:
-        m = _TOKEN.search(page, pos)
-        if not m:
+        m = _OPEN.search(page, pos)
+        stop = m and (tags.end(m.end()) if m[2] else m.end())
+        if not m or stop < 0:
             text(page[pos:])
             break
         text(page[pos : m.start()])
-        pos = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            pos = stop
             continue
+        attributes, pos = page[m.end() : stop], stop + 1
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE and tag not in SILENT and tag not in VOID:
-                up = at
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    at, links = up.parent, 0
+            elif tag not in INLINE and tag not in SILENT and tag not in VOID and (depth := path.nearest((tag,))) > 0:
+                path.cut(depth)
+                links = 0
             continue
         if tag in SILENT:
-            if tag in RAW or not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            if tag in RAW or not attributes.rstrip().endswith("/"):
+                close = _CLOSE[tag].search(page, pos) if tag not in never_closed else None
                 if close:
                     pos = close.end()
                 elif tag in RAW:
                     pos = end
+                else:
+                    never_closed.add(tag)
             continue
+        at = path.open[-1]
         if tag in INLINE or tag in VOID:
             if tag == "a":
                 links += 1
             elif tag in ("br", "img", "input"):
                 at.parts.append((" ", False))
                 if tag == "input":
-                    at.attributes += " input"
+                    at.inputs += 1
             elif tag == "hr":
                 at.parts.append(Node("hr", "", at, at.depth + 1))
             continue
         if tag in ("html", "body"):
-            if m[3] and at is root:
-                root.attributes = m[3]
+            if attributes and at is root:
+                root.attributes = attributes
             continue
         links = 0
-        if tag in CLOSES_P:
-            up = at
-            while up is not None and up.tag not in ("p", "table", "td"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
-        if tag in SAME_LEVEL:
-            stop, up = SAME_LEVEL[tag].split(), at
-            while up is not None and up.tag not in stop and up.tag != tag:
-                up = up.parent
-            if up is not None and up.tag == tag:
-                at = up.parent
-        node = Node(tag, m[3], at, at.depth + 1)
+        if tag in CLOSES_P and (depth := path.nearest(("p", "table", "td"))) > 0 and path.open[depth].tag == "p":
+            path.cut(depth)
+        if tag in SAME_LEVEL and (depth := path.nearest((tag, *SAME_LEVEL[tag]))) > 0 and path.open[depth].tag == tag:
+            path.cut(depth)
+        at = path.open[-1]
+        node = Node(tag, attributes, at, at.depth + 1)
         at.parts.append(node)
-        at = node
+        path.push(node)
     return root
 
 
@@ -153,13 +201,30 @@ def _tokens(attributes: str) -> str:
 _RANK = {t: i for i, t in enumerate(ORDER)}
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row per element."""
+_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+
+
+def _words(tokens: str) -> set[str]:
+    """Words of class, id and role tokens: cut at marks, digits and capitals."""
+    return {w.lower() for w in _WORD.findall(tokens)}
+
+
+def learned_words(nodes: list[Node]) -> dict[str, float]:
+    """The log-odds of main content given that an element's own tokens have the word; words of fewer than ten elements are left out."""
+    seen: dict[str, list[int]] = {}
+    for x in nodes:
+        for w in _words(_tokens(x.attributes)):
+            seen.setdefault(w, [0, 0])[x.main] += 1
+    return {w: math.log((yes + 1) / (no + 1)) for w, (no, yes) in seen.items() if yes + no >= 10}
+
+
+def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
+    """One row per element; odds are those of ``learned_words``."""
     n = len(nodes)
     index = {id(x): i for i, x in enumerate(nodes)}
     chars, linked, words, marks, blocks, longest = ([0.0] * n for _ in range(6))
     tags, paragraphs, inputs, before = [0] * n, [0] * n, [0] * n, [0.0] * n
-    against, favour = [0] * n, [0] * n
+    against, favour, named = [0] * n, [0] * n, [0.0] * n
     total = 0.0
     for i, x in enumerate(nodes):
         before[i] = total
@@ -180,26 +245,33 @@ def features(nodes: list[Node]) -> np.ndarray:
         tags[i] = 1
         paragraphs[i] = int(x.tag == "p")
         t = _tokens(x.attributes)
-        against[i], favour[i] = len(AGAINST.findall(t)), len(FOR.findall(t))
-        inputs[i] = x.attributes.count(" input") + (x.tag in ("form", "fieldset"))
+        if t:
+            against[i], favour[i] = len(AGAINST.findall(t)), len(FOR.findall(t))
+            named[i] = sum(odds.get(w, 0.0) for w in _words(t))
+        inputs[i] = x.inputs + (x.tag in ("form", "fieldset"))
     for i in range(n - 1, 0, -1):
         p = index[id(nodes[i].parent)]
         for a in (chars, linked, words, marks, blocks, tags, paragraphs, inputs):
             a[p] += a[i]
         longest[p] = max(longest[p], longest[i])
     out = np.zeros((n, N_FEATURES))
-    above, around = [0] * n, [0] * n
+    above, around, over = [0] * n, [0] * n, [0.0] * n
+    place, siblings, alike = [0] * n, [1] * n, [1] * n
+    for x in nodes:
+        own = [index[id(s)] for s in x.parts if isinstance(s, Node)]
+        same = Counter(nodes[i].tag for i in own)
+        for k, i in enumerate(own):
+            place[i], siblings[i], alike[i] = k, len(own), same[nodes[i].tag]
     for i, x in enumerate(nodes):
         p = index[id(x.parent)] if x.parent is not None else -1
-        siblings = [s for s in x.parent.parts if isinstance(s, Node)] if p >= 0 else [x]
         if p >= 0:
             above[i], around[i] = above[p] + against[p], around[p] + favour[p] + (nodes[p].tag in ("article", "main"))
-        place = next(k for k, s in enumerate(siblings) if s is x) if len(siblings) < 64 else 0
+            over[i] = over[p] + named[p]
         out[i] = (
             _RANK.get(x.tag, 25), _RANK.get(nodes[p].tag, 25) if p >= 0 else -1, x.depth, against[i], favour[i], above[i], around[i],
             math.log1p(chars[i]), linked[i] / (chars[i] + 1), math.log1p(tags[i]), chars[i] / tags[i], marks[i] / (words[i] + 1), words[i] / (blocks[i] + 1),
-            place, len(siblings), sum(s.tag == x.tag for s in siblings[:64]), before[i] / (total + 1), chars[i] / (total + 1), math.log1p(longest[i]), paragraphs[i], inputs[i],
-            chars[p] / (total + 1) if p >= 0 else 1.0, linked[p] / (chars[p] + 1) if p >= 0 else 0.0, paragraphs[p] if p >= 0 else 0, blocks[i], chars[i] / (words[i] + 1),
+            place[i], siblings[i], alike[i], before[i] / (total + 1), chars[i] / (total + 1), math.log1p(longest[i]), paragraphs[i], inputs[i],
+            chars[p] / (total + 1) if p >= 0 else 1.0, linked[p] / (chars[p] + 1) if p >= 0 else 0.0, paragraphs[p] if p >= 0 else 0, blocks[i], chars[i] / (words[i] + 1), named[i], over[i],
         )
     return out
 
@@ -337,12 +409,12 @@ def teaching_pages(n: int, seed: int) -> list[Node]:
         return pick([f"<footer{attr('footer')}>{inner}</footer>", f"<div{sure('footer', 'site-footer', 'foot', 'copyright')}>{inner}</div>"])
 
     def article() -> str:
-        k = rng.choice([1, 2, 4, 8, 14])
+        k = rng.choice([1, 2, 4, 8, 14, 30] if rng.random() < 0.9 else [70, 150, 300])
         body = []
         for _ in range(k):
             p = prose(1, pick([1, 2, 6, 14]))
             body.append(pick([f"<p>{p}</p>"] * 7 + [f"<p>{p}", f"<p><b>{sentence()}<br><p>{p}</p>", f"<p>{sentence()} {link()} {p}</p>", f"<h2>{sentence(1, 6)}</h2><p>{p}</p>", f"<blockquote><p>{p}</p></blockquote>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(rng.randint(2, 5)))}</ul>", f"<pre>{p}</pre>", f"<div>{p}</div>", f"<section><h3>{sentence(1, 5)}</h3><p>{p}</p></section>", f"<table><tr><td>{word()}</td><td>{sentence()}</td></tr></table>"]))
-            if rng.random() < 0.08:
+            if rng.random() < min(0.08, 0.6 / k):
                 body.append(f"<x-drop>{pick([advert, side, notice, form])()}</x-drop>")
         title = pick([f"<h1>{sentence(3, 9)}</h1>", f"<h1>{sentence(3, 9)}</h1>", "", f"<h2>{sentence(2, 8)}</h2>"])
         if rng.random() < 0.2:
@@ -392,21 +464,35 @@ def _unmarked(root: Node) -> Node:
     return root
 
 
-def fit(pages: int = 400, seed: int = 7) -> Trees:
-    trees = [nodes_of(r) for r in teaching_pages(pages, seed)]
-    return Trees.fit(np.concatenate([features(t) for t in trees]), np.array([float(n.main) for t in trees for n in t]))
+@dataclass
+class Model:
+    trees: Trees
+    odds: dict[str, float]
+
+    def texts(self, pages: list[str | None]) -> list[str]:
+        """The main text of each page."""
+        read = [nodes_of(parse(h)) for h in pages]
+        if not read:
+            return []
+        margins = self.trees.margins(np.concatenate([features(t, self.odds) for t in read]))
+        ends = np.cumsum([len(t) for t in read])
+        return [text_of(t, decode(t, margins[e - len(t) : e])) for t, e in zip(read, ends)]
+
+
+def fit(pages: int = 500, seed: int = 7) -> Model:
+    """Learns words from some pages and trees from as many others, so that words don't seem surer than they are."""
+    odds = learned_words([n for r in teaching_pages(pages, seed + 1) for n in nodes_of(r)])
+    read = [nodes_of(r) for r in teaching_pages(pages, seed)]
+    return Model(Trees.fit(np.concatenate([features(t, odds) for t in read]), np.array([float(n.main) for t in read for n in t])), odds)
 
 
-def extract(pages: DataFrame, model: Trees) -> DataFrame:
+def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text, n_chars (code points) per row."""
     prepare(pages.sparkSession)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees = [nodes_of(parse(h)) for h in b.column(2).to_pylist()]
-            margins = model.margins(np.concatenate([features(t) for t in trees])) if trees else np.empty(0)
-            ends = np.cumsum([len(t) for t in trees])
-            texts = [text_of(t, decode(t, margins[e - len(t) : e])) for t, e in zip(trees, ends)]
+            texts = model.texts(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(column(pages, "page_id", "long"), column(pages, "url", "string"), column(pages, "html", "string"))
