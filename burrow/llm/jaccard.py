@@ -20,8 +20,8 @@ seldom meet, at any size of the corpus. The steps, each a Spark job over whole t
    class goes to the family of the smallest class it meets, and families are split into blocks of about
    ``BLOCK`` classes, each with the family's first class.
 4. Each block is searched in itself until all classes outside its largest component have been queries.
-5. Components so far. Classes that share enough signatures with another block that holds a larger
-   component are queries to that block; signatures within one component need no more search. That keeps groups
+5. Components so far. Classes that share enough signatures with a family that holds a larger
+   component are queries to its blocks; signatures within one component need no more search. That keeps groups
    of thousands of near copies from being compared in pairs, and loses no link between components.
 6. Components of all links.
 
@@ -392,9 +392,9 @@ def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
 
     # what is left: signatures shared by several components
     labels = components(first)
-    known = placed.select("class", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "block", F.coalesce("label", "class").alias("label"))
+    known = placed.select("class", "family", "block").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "family", "block", F.coalesce("label", "class").alias("label"))
     sized = known.groupBy("label").agg(F.count("*").alias("size"))
-    known = written(spread_join(known, sized, "label").select("class", "block", F.struct("size", "label").alias("rank")), "ranked")
+    known = written(spread_join(known, sized, "label").select("class", "family", "block", F.struct("size", "label").alias("rank")), "ranked")
     labelled = written(own.join(known, "class"), "labelled")
     torn = labelled.groupBy("token").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo <> hi").select("token")
     # a link to another component shows in so many of a class's signatures, all of them torn
@@ -402,10 +402,14 @@ def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
     able = among_torn.groupBy("class", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("class")
     open_members = written(among_torn.join(able, "class"), "open-members")
     # of two components the smaller one asks: members of the largest one in a signature ask nobody
-    sides = open_members.groupBy("token", F.col("block").alias("in_block")).agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"))
-    asks = open_members.join(sides, "token").where("in_block <> block AND rank < top").where((100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n")))
-    asks = asks.groupBy("class", "rank.label", "need", F.col("in_block").alias("block")).agg(F.count("*").alias("shared")).where("shared >= need")
-    asks = written(asks.select("class", "label", "block"), "queries")
+    sides = open_members.groupBy("token", F.col("family").alias("asked")).agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"))
+    alike = (100 * F.col("large") >= percent * F.col("n")) & (percent * F.col("small") <= 100 * F.col("n"))
+    asks = open_members.join(sides, "token").where(F.col("rank") < F.col("top")).where(alike)
+    asks = asks.groupBy("class", "rank", "n", "need", F.col("block").alias("home"), F.col("asked").alias("family")).agg(F.count("*").alias("shared")).where("shared >= need")
+    # a family asked is all its blocks asked that have a larger component
+    blocks = open_members.groupBy("family", "block").agg(F.max("rank").alias("top"), F.min("n").alias("small"), F.max("n").alias("large"))
+    asks = asks.join(blocks, "family").where("block <> home AND rank < top").where(alike).select("class", "rank.label", "block").distinct()
+    asks = written(asks, "queries")
     if asks.isEmpty():
         return first
     tasks = asks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("copies"))
