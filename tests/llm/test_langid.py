@@ -2,6 +2,7 @@ import random
 
 import corpus
 import numpy as np
+import pytest
 
 from burrow.llm import langid
 
@@ -39,23 +40,40 @@ def test_automaton_accepts_exactly_the_substrings():
         assert (at >= 0) == (q in subs)
 
 
-def test_phrases_equal_substring_search(spark, monkeypatch):
+@pytest.mark.parametrize("lane", [5, 64, 4096])
+def test_phrases_equal_substring_search(spark, monkeypatch, lane):
+    """Whole texts are one parse, however they are laid out; with letters that a sample lacks."""
     rng = random.Random(3)
-    train = spark.createDataFrame([(lang, text(rng, lang, 40)) for lang in LANGUAGES for _ in range(5)], "lang string, text string")
-    model = langid.fit(train)
-    texts = [model.symbols(text(rng, lang, 20)) for lang in LANGUAGES for _ in range(5)]
-    monkeypatch.setattr(langid, "LANE", 4096)
+    monkeypatch.setattr(langid, "LANE", lane)
+    samples = {lang: langid._symbols(" ".join(text(rng, lang, 40) for _ in range(5)) + ".", "abeiklmnoqrst") for lang in LANGUAGES}
+    tables, roots = [], []
+    for s in samples.values():
+        roots.append(sum(map(len, tables)))
+        tables.append(langid._tabled(s, roots[-1]))
+    model = langid.Model(list(LANGUAGES), "abeiklmnoqrst", np.concatenate(tables), np.array(roots), np.ones(3))
+    odd = ["ж", "жж ba", "ba ж re", "日本語", "b", "ßß öl"]
+    texts = [model.symbols(t) for t in [text(rng, lang, 20) for lang in LANGUAGES for _ in range(5)] + odd]
     got = langid.phrases(texts, model)
-    for j, root in enumerate(model.roots):
-        for i, s in enumerate(texts):
-            state, n = int(root), 1
-            for c in s.tolist():
-                step = int(model.table[state, c])
-                n += step & 1
-                state = step >> 1
-            assert got[i, j] == n
-    best = np.array(model.languages)[got.argmin(axis=1)]
-    assert (best == np.repeat(list(LANGUAGES), 5)).all()
+    for j, s in enumerate(samples.values()):
+        assert got[:, j].tolist() == [parse(bytes(t), bytes(s)) for t in texts]
+
+
+def test_letters_beyond_the_common_ones_are_told_apart(spark):
+    rng = random.Random(4)
+    one, two = [chr(c) for c in range(0x4E00, 0x4E00 + 400)], [chr(c) for c in range(0x5E00, 0x5E00 + 400)]
+    say = lambda letters: "".join(rng.choice(letters[:: rng.choice([1, 7])]) for _ in range(60))
+    model = langid.fit(spark.createDataFrame([(lang, say(x)) for lang, x in (("xx", one), ("yy", two)) for _ in range(80)], "lang string, text string"))
+    docs = spark.createDataFrame([(lang, say(x)) for lang, x in (("xx", one), ("yy", two)) for _ in range(20)], "lang string, text string")
+    assert all(r["lang"] == r["lang_pred"] for r in langid.predict(docs, model).collect())
+    assert len({bytes(model.symbols(c)) for c in one + two}) == 800
+
+
+def test_a_short_sample_is_not_favoured(spark):
+    rng = random.Random(6)
+    rows = [("aa", text(rng, "aa", 60)) for _ in range(80)] + [("bb", text(rng, "bb", 12))] * 3
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    docs = spark.createDataFrame([(lang, text(rng, lang, 30)) for lang in ("aa", "bb") for _ in range(20)], "lang string, text string")
+    assert all(r["lang"] == r["lang_pred"] for r in langid.predict(docs, model).collect())
 
 
 def test_held_out_accuracy_and_edges(spark):
