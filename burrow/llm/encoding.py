@@ -2,7 +2,10 @@
 
 White space never takes part in a token of the word vocabularies (they drop it), so the ids of a
 text are those of its runs without ASCII white space, one after the other. Each worker remembers
-the ids of the runs it has met, up to a bound, and asks the library for the others.
+the ids of the runs it has met, up to a bound and but for long ones, and asks the library for the others.
+
+Defined results: a null or empty text, or one of white space alone, has no ids; runs of any length and script have the
+library's ids; special strings inside texts are split off as the library does by default.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ def _byte_letters() -> list[str]:
 class WordEncoder(dict):
     """bytes of a run -> its ids as little-endian uint16 bytes (uint32 for vocabularies over 65,536)."""
 
+    LONG = 64
+
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
@@ -48,6 +53,8 @@ class WordEncoder(dict):
                 ids = self.encoded(s)
         else:
             ids = self.encoded(s)
+        if len(run) > self.LONG:
+            return ids
         if len(self) >= self.most:  # frequent runs came early and stay
             for late in list(self)[self.most // 2 :]:
                 del self[late]

@@ -3,7 +3,7 @@
 A document becomes pieces of at most ``capacity`` tokens (only longer ones are cut). Pieces are
 dealt out by hash to tasks of about ``docs_per_task`` documents, and each task packs its own:
 for the next piece it looks at the counts N(g) of open sequences with residual gap g and takes the
-place, an open sequence or a new one, after which the sum of N(g)^2 is smallest. The state is one
+place, an open sequence or a new one, after which the sum of N(g)^2 is smallest (of equal ones the open one that is left with the smallest gap). The state is one
 count per gap and the open sequences' numbers, so memory doesn't depend on the corpus, and what
 splitting costs is a few unfilled sequences a task.
 
@@ -57,12 +57,13 @@ class SumOfSquares:
     def place(self, length: int) -> tuple[int, int]:
         """The sequence and the offset there for a piece of this length."""
         cap, n = self.capacity, self.counts
-        # after[r]: half the change of the sum if the piece leaves gap r in a sequence of gap r + length
-        after = n[: cap - length + 1] - n[length:]
-        after = np.where(n[length:] > 0, after, cap * (1 << 40))
-        best = int(after.argmin())
-        fresh = n[cap - length]
-        if after[best] <= fresh and n[best + length] > 0:
+        # change[r]: of the sum, if the piece leaves gap r in a sequence of gap r + length; full ones and unused ones don't count
+        change = 2 * (n[: cap - length + 1] - n[length:]) + 2
+        change[0] -= 1
+        change = np.where(n[length:] > 0, change, 1 << 60)
+        best = int(change.argmin())
+        fresh = 2 * n[cap - length] + 1 if length < cap else 0
+        if change[best] <= fresh:
             gap = best + length
             seq = self.open[gap].pop()
             n[gap] -= 1
@@ -94,6 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
                 schema=schema,
             )
 
-    dealt = pieces(docs, tokenizer, end_id, capacity).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", "length"))
+    # rows alike in everything may be very many: where they come from parts them
+    dealt = pieces(docs, tokenizer, end_id, capacity).repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.spark_partition_id()))
     ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return ordered.mapInArrow(packed, f"{PIECES}, sequence_id long, offset long")

@@ -39,8 +39,9 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrow.llm.textual import scratch
 
     path = scratch(spark, "tokens")
-    manifest = token_store.write(table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE), end_id=2)
-    return token_store.read(spark, path, manifest)
+    docs = table(spark, sf_dir, "documents")
+    token_store.write(docs, path, vocabulary(WORD_BPE), end_id=2)
+    return token_store.fetch(docs, path).unionByName(token_store.keyless(spark, path))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token counts of a sentence-piece vocabulary without encoding every word again and again.
 
 A text is cut where no token can reach across: before each run of spaces and before each line end.
-``Boundaries`` proves this for the vocabulary at hand: no piece has a space after another
+``PieceCounts`` proves this for the vocabulary at hand: no piece has a space after another
 character and none holds a line end. So the count of a text is the sum of the counts of its
 segments. Segments that the vocabulary encodes as one token, proved offline by encoding each
 vocabulary string alone, count 1 with no merging; the merges run only for the rest, once for each
@@ -25,7 +25,9 @@ _JOIN = "\x00"
 
 
 class PieceCounts(dict):
-    """Segment -> tokens. A segment starts with an implied space, or with NUL and a line end."""
+    """Segment -> tokens. A segment starts with an implied space, or with NUL and a line end; long ones aren't remembered."""
+
+    LONG = 64
 
     def __init__(self, path: str, most: int = 1_200_000):
         import sentencepiece
@@ -47,6 +49,8 @@ class PieceCounts(dict):
             n = 1
         else:
             n = len(self.library.encode(segment))
+        if len(segment) > self.LONG:
+            return n
         if len(self) >= self.most:  # frequent segments came early and stay
             for late in list(self)[self.most // 2 :]:
                 del self[late]
