@@ -118,9 +118,12 @@ def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """row, doc_id, n_words, start, length, item_ids: each occurrence of a window; one row per document without any has null start."""
+    """row, doc_id, n_words, start, length, window_id: each occurrence of a window; one row per document has null start."""
+    return _hits(docs, _windows(benchmark, window), window)
+
+
+def _hits(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     spark = prepare(docs.sparkSession)
-    windows = _windows(benchmark, window)
     prefixes = _prefixes(docs, windows)
     shared = spark.sparkContext.broadcast(TokenFilter(prefixes))  # 2^23 bytes
     reach = window - 1
@@ -153,24 +156,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, "doc_id", "long"), column(docs, "text", "string"))
     sent = rows.mapInArrow(candidates, kind)
-    items = windows.groupBy("window_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    sides = prefixes.join(items, "window_id").select("token", "length", "words", "at", "item_ids")
+    sides = prefixes.select("token", "length", "words", "at", "window_id")
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     there = F.array_join(F.slice(F.split("around", " "), start - F.col("from") + 1, F.col("length")), " ")
     met = sent.join(sides, "token", "left").withColumn("start", F.when(fits, start))
     same = F.col("start").isNotNull() & (F.when(F.col("start").isNotNull(), there) == F.col("words"))
-    return met.where(F.col("pos").isNull() | same).select("row", "doc_id", "n_words", F.when(same, F.col("start")).alias("start"), "length", "item_ids")
+    return met.where(F.col("pos").isNull() | same).select("row", "doc_id", "n_words", F.when(same, F.col("start")).alias("start"), "length", "window_id")
 
 
 def measure(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, contaminated per row: n_hit words lie in an occurrence of a window."""
-    found = hits(docs, benchmark, window)
+    prepare(docs.sparkSession)
+    windows = _windows(benchmark, window)
+    found = written(_hits(docs, windows, window), "hits")
     place = F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end")))
-    grouped = found.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_set(place)).alias("places"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-    )
+    grouped = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set(place)).alias("places"))
+    # items of a window come in once for each document that has it, after the exact check
+    items = windows.groupBy("window_id").agg(F.collect_set("item_id").alias("own"))
+    held = found.where("start IS NOT NULL").select("row", "window_id").distinct().join(items, "window_id")
+    held = held.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("item_ids"))
+    grouped = grouped.join(held, "row", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
     covered = F.aggregate(
         "places",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),

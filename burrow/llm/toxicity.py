@@ -148,16 +148,21 @@ class Automaton:
 
 
 class Matches(dict):
-    """Word (bytes) -> match, remembered; frequent words came early and stay."""
+    """Word (bytes) -> match, remembered but for long ones; frequent words came early and stay."""
+
+    LONG = 64
 
     def __init__(self, automaton: Automaton, most: int = 1_000_000):
         self.automaton, self.most = automaton, most
 
     def __missing__(self, word: bytes) -> int:
+        m = self.automaton.match(word.decode().lower())
+        if len(word) > self.LONG:
+            return m
         if len(self) >= self.most:
             for late in list(self)[self.most // 2 :]:
                 del self[late]
-        self[word] = m = self.automaton.match(word.decode().lower())
+        self[word] = m
         return m
 
 
@@ -317,7 +322,8 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 10_000, least_contexts: int = 5) -> Model:
     """Learns from the texts of labelled documents; labels has doc_id and toxic, about most_rows of them are used."""
     spark = prepare(docs.sparkSession)
-    own = labels.select(column(labels, "doc_id", "long"), column(labels, "toxic", "int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["doc_id"])
+    own = labels.select(column(labels, "doc_id", "long"), column(labels, "toxic", "int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # labels that contradict each other: the larger one holds
     total = own.count()
     if not total:
         return Model()
