@@ -1,93 +1,224 @@
 """Readers and writers of recorded session files and their side tables.
 
-A session file is tab-separated text: header lines ``#key value`` (values may be JSON), one line
-``# a<TAB>b<TAB>c`` that names the columns, and one line per frame. Files are read as text, so
-Spark splits and distributes them; nothing is read on the driver.
+Session files are text in several dialects, told apart by their header:
+
+* ``hash``: lines ``#key value``, the columns in ``#columns a b c``, zones as JSON between ``#zone_config_begin`` and ``_end``;
+* ``columns``: header rows ``0.000<TAB>info<TAB>key<TAB>value``, the columns in ``# a<TAB>b<TAB>c``, zones after ``Zones``;
+* ``bmv``: header lines ``B``, ``M`` and ``V`` with JSON, one JSON object per frame;
+* ``json``: one JSON object per frame alone; ``plain``: tab-separated frames in the order of ``BASE_COLUMNS``.
+
+All give the same table. Files are read as text, so Spark splits and distributes them; nothing is read on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burrow.functions.scalars import elapsed_ms, escaped, is_absent, last_state, number
 
-# Other names of the canonical columns.
+# The columns of a file that doesn't name its own, in order.
+BASE_COLUMNS = ("frame_number", "frame_ts_ms", "pose_ts_ms", "mcu_ts_ms", "speed", "location", "pose_array", "stage")
+# Other names of these and one more column, in files with a ``# a<TAB>b`` line and in those with ``#columns``.
 ALIASES = {
-    "frame_number": ("frame", "frames", "frame_idx", "frame_number"),
-    "frame_ts": ("timestamp", "timestamps", "time", "elapsed", "frame_ts", "frame_time"),
-    "mcu_ts": ("mcu", "mcu_frame", "mcu_time", "mcu_ts"),
-    "speed": ("speed", "velocity"),
+    "frame_number": ("frame", "frames", "frame_idx"),
+    "frame_ts_ms": ("actual_ts", "timestamp_ms", "frame_ts", "timestamp", "timestamps", "time", "elapsed", "frame_time"),
+    "pose_ts_ms": ("pose_ts",),
+    "mcu_ts_ms": ("mcu", "mcu_frame", "mcu_time", "mcu_ts"),
+    "speed": ("velocity",),
+    "location": ("zone",),
+    "pose_array": ("pose", "keypoints"),
+    "stage": ("state", "state_name"),
+}
+HASH_ALIASES = {
+    "frame_number": ("frame", "frame_num"),
+    "frame_ts_ms": ("elapsed", "capture_elapsed"),
+    "pose_ts_ms": ("pose_fw_ms", "mcu_fw_pose_ms"),
+    "mcu_ts_ms": ("frame_fw_ms", "mcu_fw_capture_ms", "fw_ms"),
+    "speed": ("speed_pxs",),
+    "location": ("zone",),
+    "pose_array": ("pose",),
+    "stage": ("state",),
+    "capture_host_ns": ("host_mono_ns",),
+}
+CANONICAL = (*BASE_COLUMNS, "capture_host_ns")
+# Second cells of rows that are no frames.
+EVENT_WORDS = ("info", "event", "state", "print", "variable", "warning", "error", "trigger", "marker")
+# Header keys with another name.
+HEADER_NAMES = {"session_start": "start_time"}
+#: Fields of JSON frames, first choice first.
+_JSON = {
+    "frame_number": ("frame_number", "frame", "frames"),
+    "frame_ts_ms": ("frame_ts_ms", "t", "time", "timestamps"),
+    "speed": ("speed",),
     "location": ("location", "zone"),
-    "pose": ("pose", "pose_array", "keypoints"),
+    "pose_array": ("pose_array", "pose", "poses"),
     "stage": ("stage", "state", "state_name"),
 }
-
-_POSE = "map<string,struct<x:double,y:double,conf:double>>"
+_POINT = "struct<x:double,y:double,conf:double>"
+_POSE = f"map<string,{_POINT}>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line and its place (offset of the split, then order in it) of every session file below a path."""
+def lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
+    """file, line and its place (offset of the split, then order in it) of every session file below a path, but in analysis folders."""
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    return t.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line"), at.alias("at"))
+    return t.where(~F.col("file").rlike(exclude) & (F.trim("line") != ""))
 
 
-def headers(rows: DataFrame) -> DataFrame:
-    """file, header (map) from ``#key value`` lines; of repeated keys the last wins."""
-    h = rows.where(F.col("line").rlike(r"^#\S")).select("file", "at", F.regexp_extract("line", r"^#(\S+)\s*(.*)$", 1).alias("key"), F.trim(F.regexp_extract("line", r"^#(\S+)\s*(.*)$", 2)).alias("value"))
-    last = h.groupBy("file", "key").agg(F.max_by("value", "at").alias("value"))
-    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("header"))
+def is_frame(line: Column) -> Column:
+    """Whether a line is a frame: a JSON object, or cells of which the first is an integer and the second isn't an event word."""
+    second = F.lower(F.trim(F.get(F.split(line, "\t"), 1)))
+    return line.rlike(r"^\s*\{") | (line.rlike(r"^\s*-*\d+\s*\t") & ~second.isin(*EVENT_WORDS))
 
 
-def columns_of(rows: DataFrame) -> DataFrame:
-    """file, columns: the names of the first ``# a<TAB>b<TAB>c`` line with three names or more."""
-    c = rows.where(F.col("line").rlike(r"^# [^\t]+\t[^\t]+\t")).groupBy("file").agg(F.min_by("line", "at").alias("line"))
-    names = F.transform(F.split(F.expr("substring(line, 3)"), "\t"), lambda n: F.lower(F.trim(n)))
-    return c.select("file", names.alias("columns"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """file, begin, end of the zone block of a header."""
+    marks = rows.where(F.col("line").startswith("#zone_config_"))
+    begin, end = (F.min(F.when(F.col("line").startswith(f"#zone_config_{w}"), F.col("at"))) for w in ("begin", "end"))
+    return marks.groupBy("file").agg(begin.alias("begin"), end.alias("end"))
+
+
+def _header_rows(rows: DataFrame) -> DataFrame:
+    """file, at, line of what stands before the first frame, zone blocks left out."""
+    ends = rows.where(is_frame(F.col("line")) & ~F.col("line").rlike(r"^\s*\{\s*$")).groupBy("file").agg(F.min("at").alias("first"))
+    outside = F.col("begin").isNull() | (F.col("at") < F.col("begin")) | (F.col("at") > F.col("end"))
+    h = rows.where(~F.col("line").rlike(r"^\s*-*\d+\t\s*[-\d]")).join(ends, "file", "left").join(_blocks(rows), "file", "left")
+    return h.where((F.col("first").isNull() | (F.col("at") < F.col("first")) | F.col("line").startswith("#")) & outside).select("file", "at", "line")
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """file, header: a map of all that the header says. Of repeated keys the first wins, of ``info`` rows the last, and these win over others."""
+    h = _header_rows(rows)
+    line = F.col("line")
+    hashed, tabbed = r"^#(\w+)\s+(.*\S)\s*$", r"^[^\t]*\tinfo\t([^\t]*)\t([^\t]*)"
+    letter, payload = F.substring("line", 1, 1), F.substring(line, 3, 1 << 30)
+    fields = F.from_json(payload, "map<string,string>")
+    fields = F.when(letter == "V", F.create_map(F.lit("crop"), payload)).when(letter == "M", F.map_filter(fields, lambda k, _: k != "zones")).otherwise(F.map_concat(fields, F.when(fields["fps"].isNotNull(), F.create_map(F.lit("target_fps"), fields["fps"])).otherwise(F.from_json(F.lit("{}"), "map<string,string>"))))
+    parts = F.to_json(F.transform(F.split(F.regexp_replace("line", "^body_parts:", ""), ","), F.trim))
+    found = F.when(line.rlike(hashed), F.create_map(F.regexp_extract("line", hashed, 1), F.regexp_extract("line", hashed, 2)))
+    found = found.when(line.rlike(tabbed), F.create_map(F.regexp_extract("line", tabbed, 1), F.regexp_extract("line", tabbed, 2)))
+    found = found.when(line.rlike(r"^[BMV] "), fields).when(line.startswith("body_parts:"), F.create_map(F.lit("body_parts"), parts))
+    pairs = h.select("file", "at", line.rlike(tabbed).alias("info"), F.explode(found).alias("name", "value"))
+    pairs = pairs.where(~F.col("name").isin("columns", "zone_config_begin", "zone_config_end")).replace(HEADER_NAMES, subset=["name"])
+    best = F.coalesce(F.max_by("value", F.when(F.col("info"), F.col("at"))), F.min_by("value", "at"))
+    last = pairs.groupBy("file", "name").agg(best.alias("value"))
+    return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("header"))
+
+
+def zone_text(rows: DataFrame) -> DataFrame:
+    """file, zones: the JSON text of a file's zones, from a block, a ``Zones`` line or an ``M`` line."""
+    inside = rows.join(_blocks(rows), "file").where((F.col("at") > F.col("begin")) & (F.col("at") < F.col("end")))
+    block = inside.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "").alias("zones"))
+    one = rows.where(F.col("line").rlike(r"^Zones(?:3D)?[\t ]") | F.col("line").startswith("M ")).select("file", "at", F.regexp_replace("line", r"^(?:Zones(?:3D)?[\t ]|M )", "").alias("zones"))
+    single = one.groupBy("file").agg(F.max_by("zones", "at").alias("zones"))
+    return block.unionByName(single.join(block, "file", "left_anti"))
+
+
+def _layout(rows: DataFrame) -> DataFrame:
+    """file, dialect, columns as the file names them, body_parts: one row per file."""
+    line = F.col("line")
+    tabs = F.filter(F.transform(F.split(F.regexp_replace("line", "^#+", ""), "\t"), F.trim), lambda n: n != "")
+    named = F.when(line.rlike(r"^#\s*[^\t]+\t") & (F.size(tabs) >= 3), tabs).when(line.rlike(r"^#columns\s"), F.split(F.trim(F.regexp_replace("line", r"^#columns\s+", "")), r"\s+"))
+    parts = F.when(line.startswith("body_parts:"), F.regexp_replace("line", "^body_parts:", "")).when(line.rlike(r"^#body_parts\s"), F.regexp_replace("line", r"^#body_parts\s+", "")).when(line.rlike(r"\tinfo\tbody_parts\t"), F.regexp_extract("line", r"\tinfo\tbody_parts\t([^\t]*)", 1))
+    is_hash = line.rlike(r"^#(?:columns|version|session_start|session_id|sync|zone_config_begin)\b")
+    marks = rows.select("file", "at", named.alias("columns"), parts.alias("parts"), is_hash.alias("hash"), line.rlike(r"^[BMV] [\[{]").alias("bmv"), line.rlike(r'^\s*\{.*"').alias("json"))
+    marks = marks.where("columns IS NOT NULL OR parts IS NOT NULL OR hash OR bmv OR json")
+    of = marks.groupBy("file").agg(F.min_by("columns", F.when(F.col("columns").isNotNull(), F.col("at"))).alias("columns"), F.max("parts").alias("parts"), *(F.max(c).alias(c) for c in ("hash", "bmv", "json")))
+    kind = F.when(F.col("bmv"), "bmv").when(F.col("hash"), "hash").when(F.col("columns").isNotNull(), "columns").when(F.col("json"), "json").otherwise("plain")
+    listed = F.coalesce(F.from_json("parts", "array<string>"), F.transform(F.split("parts", r"[,\s]+"), F.trim))
+    return of.select("file", kind.alias("dialect"), F.coalesce("columns", F.array(*map(F.lit, BASE_COLUMNS))).alias("columns"), F.filter(listed, lambda p: p != "").alias("body_parts"))
 
 
 def dialect(rows: DataFrame) -> DataFrame:
-    """file, dialect: ``bmv`` (header letters with JSON), ``json`` (a JSON object per row), ``hash`` (#key lines) or ``plain``."""
-    first = rows.groupBy("file").agg(*(F.max(F.col("line").rlike(p)).alias(n) for n, p in (("bmv", r"^[BMV] [\[{]"), ("json", r"^\{"), ("hash", r"^#\S"))))
-    return first.select("file", F.when(F.col("bmv"), "bmv").when(F.col("hash"), "hash").when(F.col("json"), "json").otherwise("plain").alias("dialect"))
+    """file, dialect of every file that has a line."""
+    files = rows.select("file").distinct().join(_layout(rows), "file", "left")
+    return files.select("file", F.coalesce("dialect", F.lit("plain")).alias("dialect"))
+
+
+def pose_of(cell: Column, parts: Column) -> Column:
+    """A pose cell as part -> x, y, conf: named points, or points in the order of parts, of the first animal if there are several.
+
+    Points beyond the named parts, and parts without a point of two numbers, are left out; points without names are no pose.
+    """
+    point = lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"), F.get(p, 2).alias("conf"))
+    named = F.map_filter(F.from_json(cell, "map<string,array<double>>"), lambda _, p: F.size(p) >= 2)
+    points = F.when(cell.rlike(r"^\s*\[\s*\[\s*\["), F.get(F.from_json(cell, "array<array<array<double>>>"), 0)).otherwise(F.from_json(cell, "array<array<double>>"))
+    pairs = F.filter(F.zip_with(parts, points, lambda n, p: F.struct(n.alias("key"), p.alias("value"))), lambda e: e["key"].isNotNull() & (F.size(e["value"]) >= 2))
+    placed = F.map_from_entries(pairs)
+    return F.transform_values(F.when(cell.rlike(r"^\s*\{"), named).when(cell.rlike(r"^\s*\["), placed), lambda _, p: point(p))
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of tab-separated session files by canonical names; columns are found by name, never by place.
+    """Frames of session files of every dialect by canonical names; columns are found by name, never by place.
 
-    session (the file), frame_number, frame_ts_ms, mcu_ts_ms, speed, location, pose, stage, tracker_off, row_index, other (the
-    columns without a canonical name). A clock cell that doesn't parse is the row's index.
+    session (the file), segment (a frame counter that falls starts the next), frame_number, frame_ts_ms, pose_ts_ms, mcu_ts_ms,
+    capture_host_ns, speed, location, pose, stage, tracker_off (the pose cell is ``na``, other than ``none``), row_index, other (columns without a
+    canonical name). A clock cell that doesn't parse is the row's index. Of two columns of one name the later one counts.
     """
     rows = lines(spark, path)
-    named = rows.where(~F.col("line").startswith("#") & F.col("line").rlike(r"^\s*\d+\t")).join(columns_of(rows), "file")
-    cells = named.withColumn("cell", F.map_from_arrays("columns", F.transform(F.sequence(F.lit(0), F.size("columns") - 1), lambda i: F.get(F.split("line", "\t"), i))))
-    pick = lambda name: F.coalesce(*(F.try_element_at("cell", F.lit(a)) for a in ALIASES[name]))
-    d = cells.withColumns({n: pick(n) for n in ALIASES}).withColumn("row_index", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
-    known = F.array(*(F.lit(a) for aliases in ALIASES.values() for a in aliases))
+    layout = _layout(rows)
+    maps = {k: F.create_map(*(F.lit(x) for name, others in table.items() for o in others for x in (o, name))) for k, table in (("hash", HASH_ALIASES), ("columns", ALIASES))}
+    own = lambda c: F.lower(F.trim(c))
+    alias = F.transform("columns", lambda c: F.coalesce(F.when(F.col("dialect") == "hash", F.try_element_at(maps["hash"], own(c))).otherwise(F.try_element_at(maps["columns"], own(c))), own(c)))
+    layout = layout.withColumn("names", alias)
+    place = {n: F.size("names") - F.nullif(F.array_position(F.reverse("names"), n), F.lit(0)) for n in CANONICAL}
+    others = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), i.alias("i"))), lambda e: ~e["name"].isin(*CANONICAL) & (F.size("names") - F.array_position(F.reverse("names"), e["name"]) == e["i"]))
+    layout = layout.select("file", "dialect", "body_parts", others.alias("others"), *(p.cast("int").alias(f"at_{n}") for n, p in place.items()))
+
+    w = Window.partitionBy("file").orderBy("at")
+    d = rows.where(is_frame(F.col("line"))).join(layout, "file", "left")
+    plain = {n: F.lit(BASE_COLUMNS.index(n)) if n in BASE_COLUMNS else F.lit(None).cast("int") for n in CANONICAL}
+    d = d.withColumns({"cells": F.split("line", "\t"), "json": F.from_json(F.when(F.col("line").rlike(r"^\s*\{"), F.col("line")), "struct<" + ",".join(f"{f}:string" for f in dict.fromkeys(x for fs in _JSON.values() for x in fs)) + ">")})
+    d = d.where("(json IS NOT NULL AND coalesce(dialect, 'json') IN ('json', 'bmv')) OR (json IS NULL AND size(cells) > 1)")
+    tabular = {n: F.get("cells", F.when(F.col("dialect").isNull(), plain[n]).otherwise(F.col(f"at_{n}"))) for n in CANONICAL}
+    jsonic = {n: F.coalesce(*(F.col(f"json.{f}") for f in _JSON[n])) if n in _JSON else F.lit(None).cast("string") for n in CANONICAL}
+    d = d.withColumns({f"c_{n}": F.when(F.col("json").isNotNull(), jsonic[n]).otherwise(tabular[n]) for n in CANONICAL})
+    d = d.withColumn("row_index", F.row_number().over(w).cast("long") - 1)
+    d = d.withColumn("frame_number", F.coalesce(number(F.col("c_frame_number")).cast("long"), F.when(F.col("json").isNotNull(), F.col("row_index"))))
+    d = d.withColumn("segment", F.sum(F.coalesce((F.col("frame_number") < F.lag("frame_number").over(w)).cast("int"), F.lit(0))).over(w))
     text = lambda c: F.when(~is_absent(F.col(c)), F.col(c))
+    # points of JSON frames without names are named by their place
+    numbered = F.when(F.col("json").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("string")))
     return d.select(
         F.col("file").alias("session"),
-        number(F.col("frame_number")).cast("long").alias("frame_number"),
-        F.coalesce(elapsed_ms(F.col("frame_ts")), F.col("row_index").cast("double")).alias("frame_ts_ms"),
-        elapsed_ms(F.col("mcu_ts")).alias("mcu_ts_ms"),
-        number(F.col("speed")).alias("speed"),
-        text("location").alias("location"),
-        F.from_json(text("pose"), _POSE).alias("pose"),
-        F.nullif(last_state(text("stage")), F.lit("")).alias("stage"),
-        F.coalesce(F.lower(F.trim("location")) == "na", F.lit(False)).alias("tracker_off"),
-        F.col("row_index").cast("long").alias("row_index"),
-        F.map_filter("cell", lambda k, v: ~F.array_contains(known, k)).alias("other"),
+        "segment",
+        "frame_number",
+        F.coalesce(elapsed_ms(F.col("c_frame_ts_ms")), F.col("row_index").cast("double")).alias("frame_ts_ms"),
+        elapsed_ms(F.col("c_pose_ts_ms")).alias("pose_ts_ms"),
+        elapsed_ms(F.col("c_mcu_ts_ms")).alias("mcu_ts_ms"),
+        text("c_capture_host_ns").try_cast("long").alias("capture_host_ns"),
+        number(F.col("c_speed")).alias("speed"),
+        text("c_location").alias("location"),
+        pose_of(text("c_pose_array"), F.coalesce(F.nullif("body_parts", F.array().cast("array<string>")), numbered)).alias("pose"),
+        F.nullif(last_state(text("c_stage")), F.lit("")).alias("stage"),
+        F.coalesce(F.lower(F.trim("c_pose_array")) == "na", F.lit(False)).alias("tracker_off"),
+        "row_index",
+        F.map_from_entries(F.transform(F.coalesce("others", F.array().cast("array<struct<name:string,i:int>>")), lambda e: F.struct(e["name"], F.get("cells", e["i"])))).alias("other"),
     )
 
 
-def read_json_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of files with a JSON object per row; a frame counter that falls starts a new segment."""
-    schema = "frames long, mcu_frame long, state_name string, timestamps long, speed double, location string, pose_array array<array<double>>"
-    rows = lines(spark, path).where(F.col("line").startswith("{"))
-    w = Window.partitionBy("session").orderBy("at")
-    d = rows.select(F.col("file").alias("session"), "at", F.from_json("line", schema).alias("r")).select("session", "at", "r.*")
-    d = d.withColumn("falls", F.coalesce((F.col("frames") < F.lag("frames").over(w)).cast("int"), F.lit(0)))
-    return d.withColumn("segment", F.sum("falls").over(w)).withColumn("row_index", F.row_number().over(w) - 1).drop("at", "falls")
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """session, t_s, type, subtype, content of the event rows of session files; ``info`` rows at time 0 are header, not events."""
+    rows = lines(spark, path)
+    d = rows.where(~F.col("line").rlike("^(?:#|Zones|[BMV] )")).select(F.col("file").alias("session"), F.split("line", "\t").alias("c"))
+    d = d.select("session", number(F.get("c", 0)).alias("t_s"), F.lower(F.trim(F.get("c", 1))).alias("type"), F.coalesce(F.get("c", 2), F.lit("")).alias("subtype"), F.coalesce(F.get("c", 3), F.lit("")).alias("content"))
+    return d.where(F.col("type").isin(*EVENT_WORDS) & ~F.coalesce((F.col("type") == "info") & (F.col("t_s") == 0), F.lit(False)))
+
+
+def frame_counts(spark: SparkSession, path: str) -> DataFrame:
+    """session, frames: how many frames each file holds; no cell is parsed."""
+    rows = lines(spark, path)
+    found = rows.where(is_frame(F.col("line"))).join(_layout(rows).select("file", "dialect"), "file", "left")
+    found = found.where("line NOT LIKE '{%' OR coalesce(dialect, 'json') IN ('json', 'bmv')")
+    return found.groupBy(F.col("file").alias("session")).agg(F.count("*").alias("frames"))
+
+
+def first_point(frames: DataFrame, part: str | None = None) -> DataFrame:
+    """frames with x, y of the named part, or of the pose's first one."""
+    p = F.try_element_at("pose", F.lit(part)) if part else F.get(F.map_values("pose"), 0)
+    return frames.withColumns({"x": p["x"], "y": p["y"]})
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
@@ -138,6 +269,8 @@ def write_frames(frames: DataFrame, path: str, columns: list[str]) -> None:
     def cell(c: str):
         if kinds[c] == "double":
             return F.when(F.col(c).isNull() | F.isnan(c), F.lit("none")).otherwise(F.format_string("%.4f", c))
+        if c == "pose":  # named points as lists
+            return F.coalesce(F.to_json(F.transform_values(c, lambda _, p: F.array(p["x"], p["y"], p["conf"]))), F.lit("none"))
         if kinds[c].startswith(("map", "array", "struct")):
             return F.coalesce(F.to_json(c), F.lit("na"))
         return F.coalesce(escaped(F.col(c).cast("string")), F.lit("na"))

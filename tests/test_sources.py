@@ -1,39 +1,130 @@
 """Session files: what is written is read back, and every dialect gives the canonical columns."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from burrow.functions import scalars
-from burrow.sources import sessions
+from burrow.sources import sessions, zone_files
 
-FILE = """#Subject m1
+FILE = """#version   3
+#session_start     2026-01-01 10:00:00.000
 #units {"px_per_cm": 12}
-# frame\ttimestamp\tspeed\tzone\tpose\tstate\textra
-0\t00:00.000\t1.5\tA\t{"nose":{"x":1.0,"y":2.0,"conf":0.9}}\trun\tq
-1\t00:00.033\tnone\tna\tna\t-\tr
-2\tbroken\t2.5\tB\tna\tstop|go\ts
+# pre-amble
+#zone_config_begin
+{
+  "scale": {},
+  "zones": {
+    "A": {"type":"polygon","points":[[0.1,0.1],[0.5,0.1],[0.5,0.5]],"coord_space":"normalized"}
+  }
+}
+#zone_config_end
+#columns frame elapsed capture_host_ns frame_fw_ms pose zone state extra speed
+#body_parts ["nose","tail"]
+0\t00:00.000\t900000000000\t16\t[[1.0,2.0,0.9],[3.0,4.0,0.8]]\tA\trun\tq\t1.5
+1\t00:00.033\t900033333100\tna\tna\tna\t-\tr\tnone
+2\tbroken\t900066666200\t82\tnone\tB\tstop|go\ts\t2.5
 """
+ARENA = """time\ttype\tsubtype\tcontent
+0.000\tinfo\tsubject_id\tF609
+0.000\tinfo\tbody_parts\t["nose","tail"]
+Zones\t[{"name":"A","points":[[10,10],[50,10],[50,50]],"type":"rectangle","enabled":true},{"name":"empty"}]
+# frame_number\tcam_frame_id\tactual_ts\tspeed\tlocation\tpose_array\tstage
+0\t134558\t0\t1.5\tA\t{"nose":[1.0,2.0,0.9],"tail":[3.0,4.0,0.8]}\trun
+0.020\tprint\ttask\thello
+1\t134559\t33\tnone\tnone\tna\t-
+2\t134560\tbroken\t2.5\tB\tnone\tstop|go
+"""
+PLAIN = """0\t0\tna\t16\t1.5\tA\t{"nose":[1.0,2.0,0.9],"tail":[3.0,4.0,0.8]}\trun
+1\t33\tna\tna\tnone\tnone\tna\t-
+2\tbroken\tna\t82\t2.5\tB\tnone\tstop|go
+"""
+OLD = """B {"Subject ID": "D860", "fps": 30, "body": [1, 2]}
 
+M {"zones": {"A": {"name": "A", "type": "polygon", "values": [[1, 2], [3, 4], [5, 6]], "points": null}}, "arena": {"x": 1}}
 
-def test_hash_file(spark, tmp_path):
-    (tmp_path / "s1.txt").write_text(FILE)
-    rows = sessions.read_frames(spark, str(tmp_path)).orderBy("row_index").collect()
-    assert [r["frame_number"] for r in rows] == [0, 1, 2]
-    assert [r["frame_ts_ms"] for r in rows] == [0.0, 33.0, 2.0]
-    assert [r["speed"] for r in rows] == [1.5, None, 2.5]
-    assert [r["location"] for r in rows] == ["A", None, "B"]
-    assert [r["stage"] for r in rows] == ["run", None, "go"]
-    assert [r["tracker_off"] for r in rows] == [False, True, False]
-    assert rows[0]["pose"]["nose"]["x"] == 1.0 and rows[0]["other"] == {"extra": "q"}
-    lines = sessions.lines(spark, str(tmp_path))
-    assert sessions.dialect(lines).first()["dialect"] == "hash"
-    assert sessions.headers(lines).first()["header"]["Subject"] == "m1"
-    assert sessions.keypoints(sessions.read_frames(spark, str(tmp_path))).count() == 1
+V [70, 510, 70, 620]
+
+{"frames": 0, "mcu_frame": 0, "state_name": "State: run", "timestamps": 0, "speed": 1.5, "location": "A", "pose_array": [[1.0, 2.0, 0.9], [3.0, 4.0, 0.8]]}
+{"frames": 1, "mcu_frame": 0, "state_name": null, "timestamps": 33, "speed": null, "location": null, "pose_array": null}
+{"frames": 2, "mcu_frame": 0, "state_name": "stop|go", "timestamps": "broken", "speed": 2.5, "location": "B", "pose_array": null}
+{"frames": 0, "mcu_frame": 0, "state_name": null, "timestamps": 40, "speed": 1, "location": "B", "pose_array": null}
+"""
 
 
-def test_json_file_segments(spark, tmp_path):
-    (tmp_path / "s.txt").write_text("\n".join('{"frames": %d, "location": "A"}' % i for i in (0, 1, 2, 0, 1)))
-    rows = sessions.read_json_frames(spark, str(tmp_path)).orderBy("row_index").collect()
-    assert [r["segment"] for r in rows] == [0, 0, 0, 1, 1]
+@pytest.fixture
+def every(spark, tmp_path):
+    for name, text in (("hash", FILE), ("columns", ARENA), ("plain", PLAIN), ("bmv", OLD), ("crlf", FILE.replace("\n", "\r\n"))):
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    (tmp_path / "x.pbanalysis").mkdir()
+    (tmp_path / "x.pbanalysis/notes.txt").write_text(PLAIN)
+    return str(tmp_path)
+
+
+def test_every_dialect_gives_the_same_frames(spark, every):
+    rows = sessions.read_frames(spark, every).where("segment = 0").orderBy("row_index").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["session"].split("/")[-1][:-4], []).append(r)
+    assert set(by) == {"hash", "columns", "plain", "bmv", "crlf"}
+    for name, own in by.items():
+        assert [r["frame_number"] for r in own] == [0, 1, 2]
+        assert [r["frame_ts_ms"] for r in own] == [0.0, 33.0, 2.0]
+        assert [r["speed"] for r in own] == [1.5, None, 2.5]
+        assert [r["location"] for r in own] == ["A", None, "B"]
+        assert [r["stage"] for r in own] == ["run", None, "go"]
+        first, second = ("0", "1") if name == "bmv" else ("nose", "tail")
+        assert own[0]["pose"][first].asDict() == {"x": 1.0, "y": 2.0, "conf": 0.9} and own[0]["pose"][second]["y"] == 4.0
+        assert own[1]["pose"] is None and own[2]["pose"] is None
+        assert [r["tracker_off"] for r in own] == [False, name != "bmv", False]
+    for name in ("hash", "crlf"):
+        assert [r["capture_host_ns"] for r in by[name]] == [900000000000, 900033333100, 900066666200]
+        assert [r["mcu_ts_ms"] for r in by[name]] == [16.0, None, 82.0]
+        assert by[name][0]["other"] == {"extra": "q"}
+    assert by["columns"][0]["other"] == {"cam_frame_id": "134558"}
+    assert [r["mcu_ts_ms"] for r in by["plain"]] == [16.0, None, 82.0]
+
+
+def test_a_falling_counter_starts_a_segment(spark, every):
+    got = sessions.read_frames(spark, every).where("session LIKE '%bmv%'").orderBy("row_index").collect()
+    assert [r["segment"] for r in got] == [0, 0, 0, 1]
+
+
+def test_headers_dialects_events_and_counts(spark, every):
+    rows = sessions.lines(spark, every)
+    name = lambda r: r[0].split("/")[-1][:-4]
+    assert {name(r): r["dialect"] for r in sessions.dialect(rows).collect()} == {"hash": "hash", "columns": "columns", "plain": "plain", "bmv": "bmv", "crlf": "hash"}
+    heads = {name(r): r["header"] for r in sessions.headers(rows).collect()}
+    assert heads["hash"]["start_time"] == "2026-01-01 10:00:00.000" and heads["hash"]["units"] == '{"px_per_cm": 12}' and heads["crlf"] == heads["hash"]
+    assert heads["columns"]["subject_id"] == "F609" and heads["bmv"]["target_fps"] == "30" and heads["bmv"]["Subject ID"] == "D860"
+    assert heads["bmv"]["crop"] == "[70, 510, 70, 620]"
+    events = sessions.read_events(spark, every).collect()
+    assert [tuple(r)[1:] for r in events] == [(0.02, "print", "task", "hello")]
+    assert {name(r): r["frames"] for r in sessions.frame_counts(spark, every).collect()} == {"hash": 3, "crlf": 3, "columns": 3, "plain": 3, "bmv": 4}
+    assert sessions.first_point(sessions.read_frames(spark, every), "tail").where("x = 3 AND y = 4").count() == 4
+
+
+def test_zones_of_every_payload(spark, every):
+    got = zone_files.zones_of(sessions.zone_text(sessions.lines(spark, every)))
+    rows = {r["file"].split("/")[-1][:-4]: r for r in got.collect()}
+    assert set(rows) == {"hash", "crlf", "columns", "bmv"} and all(r["name"] == "A" for r in rows.values())
+    assert rows["bmv"]["points"] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    px = {r["file"].split("/")[-1][:-4]: r for r in zone_files.to_pixels(got, F.lit(200.0), F.lit(100.0)).collect()}
+    assert [[round(c, 9) for c in p] for p in px["hash"]["points"]] == [[20.0, 10.0], [100.0, 10.0], [100.0, 50.0]]
+    assert px["columns"]["points"] == rows["columns"]["points"]
+
+
+def test_scales_from_zones(spark):
+    payloads = [
+        ("norm", '{"scale": {}, "zones": {"s": {"type": "scale", "points": [[0, 0], [0.5, 0]], "scale_length": "10", "scale_unit": "cm"}}}', 10.0),
+        ("drawn", '[{"name": "s", "type": "scale", "points": [[0, 0], [30, 40]], "scale_length": 50, "scale_unit": "mm", "shape_dim": [100, 50], "coord_space": "pixel"}]', 20.0),
+        ("short", '[{"name": "s", "type": "scale", "points": [[5, 5], [5, 5.1]], "scale_length": 5}]', 0.0),
+        ("none", '[{"name": "a", "type": "polygon", "points": [[5, 5], [6, 7]]}]', 0.0),
+        ("broken", "{", None),
+        ("blank", '{"scale": {}, "arena": {}, "zones": {}}', None),
+    ]
+    zones = zone_files.zones_of(spark.createDataFrame([p[:2] for p in payloads], "file string, zones string"))
+    got = dict(map(tuple, zone_files.px_per_cm(zones, F.lit(200.0), F.lit(100.0), ["file"]).collect()))
+    assert got == {name: want for name, _, want in payloads if want is not None}
 
 
 def test_round_trip(spark, tmp_path):
@@ -41,6 +132,7 @@ def test_round_trip(spark, tmp_path):
     (tmp_path / "a/s1.txt").write_text(FILE)
     frames = sessions.read_frames(spark, str(tmp_path / "a")).withColumns({"frame": F.col("frame_number"), "timestamp": F.col("frame_ts_ms").cast("string")})
     sessions.write_frames(frames, str(tmp_path / "b"), ["frame", "timestamp", "speed", "location", "pose", "stage"])
+    assert [r["pose"] for r in sessions.read_frames(spark, str(tmp_path / "b")).orderBy("row_index").collect()] == [r["pose"] for r in frames.orderBy("row_index").collect()]
     again = sessions.read_frames(spark, str(tmp_path / "b")).orderBy("row_index").collect()
     assert [(r["frame_number"], r["speed"], r["location"], r["stage"]) for r in again] == [(0, 1.5, "A", "run"), (1, None, None, None), (2, 2.5, "B", "go")]
 
