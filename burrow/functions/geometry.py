@@ -70,3 +70,59 @@ def turn(angle: Column, before: Column) -> Column:
     """Change of a heading, unwrapped to (-180, 180]."""
     d = angle - before
     return d - 360.0 * F.ceil((d - 180.0) / 360.0)
+
+
+def nearest_on_polygon(x: Column, y: Column, points: Column) -> Column:
+    """The closest point of a polygon's boundary, the first of equally close ones; null below two points."""
+
+    def at(e: Column) -> Column:
+        n = nearest_on_segment(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
+        return F.struct((F.pow(n["x"] - x, 2) + F.pow(n["y"] - y, 2)).alias("far"), n.alias("p"))
+
+    return F.when(F.size(points) >= 2, F.reduce(F.transform(_edges(points), at), F.struct(F.lit(float("inf")).alias("far"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).alias("p")), lambda best, e: F.when(e["far"] < best["far"], e).otherwise(best))["p"])
+
+
+def arena_centre(width: Column, height: Column, vertices: Column) -> Column:
+    """The middle of the frame where its size is known, else the mean of all zones' vertices, else the origin."""
+    frame = F.struct((width / 2).alias("x"), (height / 2).alias("y"))
+    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return F.when((width > 0) & (height > 0), frame).when(F.size(vertices) > 0, centroid(vertices)).otherwise(origin)
+
+
+def outer_edge(points: Column, cx: Column, cy: Column) -> Column:
+    """a and b of the edge whose middle lies farthest from the centre along its own outward normal; null below three points."""
+    twice = F.aggregate(_edges(points), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    sign = F.when(twice > 0, 1.0).otherwise(-1.0)
+
+    def scored(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        out = sign * (((a["x"] + b["x"]) / 2 - cx) * dy - ((a["y"] + b["y"]) / 2 - cy) * dx) / F.hypot(dx, dy)
+        return F.struct(F.when(F.hypot(dx, dy) >= 1e-9, out).alias("score"), a.alias("a"), b.alias("b"))
+
+    edges = F.filter(F.transform(_edges(points), scored), lambda e: e["score"].isNotNull())
+    best = F.reduce(edges, F.get(edges, 0), lambda best, e: F.when(e["score"] > best["score"], e).otherwise(best))
+    return F.when((F.size(points) >= 3) & (F.size(edges) > 0), F.struct(best["a"].alias("a"), best["b"].alias("b")))
+
+
+def extended(a: Column, b: Column, by: Column) -> Column:
+    """The segment lengthened at both ends; one without length stays."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    long = F.hypot(dx, dy)
+    k = F.when((long >= 1e-9) & (by > 0), by / long).otherwise(0.0)
+    end = lambda p, s: F.struct((p["x"] + s * k * dx).alias("x"), (p["y"] + s * k * dy).alias("y"))
+    return F.struct(end(a, -1.0).alias("a"), end(b, 1.0).alias("b"))
+
+
+def inward_normal(a: Column, b: Column, cx: Column, cy: Column) -> Column:
+    """The segment's unit normal that points to the centre; null without length."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    long = F.hypot(dx, dy)
+    to = -dy * (cx - (a["x"] + b["x"]) / 2) + dx * (cy - (a["y"] + b["y"]) / 2)
+    sign = F.when(to < 0, -1.0).otherwise(1.0)
+    return F.when(long >= 1e-9, F.struct((-dy * sign / long).alias("x"), (dx * sign / long).alias("y")))
+
+
+def past_line(x: Column, y: Column, on: Column, normal: Column) -> Column:
+    """Whether a point is on the normal's side of the line through ``on``."""
+    return (x - on["x"]) * normal["x"] + (y - on["y"]) * normal["y"] >= 0

@@ -80,3 +80,11 @@ def held(df: DataFrame, condition: Column, least_us: int, dt: str = "dt_us", out
     marked = runs(df.withColumn("held_now", F.coalesce(condition, F.lit(False))), "held_now", "held_run")
     w = along("held_run").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn(out, F.col("held_now") & (F.sum(dt).over(w) >= least_us)).drop("held_now", "held_run")
+
+
+def row_speed(df: DataFrame, x: str = "x", y: str = "y", clock: str = "t_us", scale: float = 1.0, out: str = "row_speed") -> DataFrame:
+    """Distance from the previous row over scale, per second; 0 on a session's first row, where no time passed, and next to an absent position."""
+    w = along()
+    far = F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)) / scale
+    dt = (F.col(clock) - F.lag(clock).over(w)) / 1e6
+    return df.withColumn(out, F.coalesce(F.when(dt > 0, far / dt), F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""Which zone a point is in. The zones' side is a small dimension, joined by a bounding-box condition."""
+"""Which zone a point is in. Zones are a small dimension: joined by a bounding-box condition, or one array beside each point."""
 
 from __future__ import annotations
 
@@ -21,12 +21,15 @@ def occupancy(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y") -
     return points.join(z, box).where(in_polygon(F.col(x), F.col(y), F.col("points")))
 
 
-def located(points: DataFrame, zones: DataFrame, keys: list[str], rule: str = "smallest", x: str = "x", y: str = "y") -> DataFrame:
-    """points with zone: the ``smallest`` by area, the ``first`` listed, or the ``deepest`` (the zone with the most zones around its centre) that holds it; null if none does."""
-    held = occupancy(points, zones, x, y)
+def located(points: DataFrame, zones: DataFrame, rule: str = "smallest", x: str = "x", y: str = "y") -> DataFrame:
+    """points with zone: the ``smallest`` by area, the ``first`` listed, or the ``deepest`` (by the column depth) that holds it; null if none does.
+
+    All zones are one value, an array in order of preference, which every point is tested with: no point is shuffled or joined.
+    """
     order = {"smallest": F.struct("area", "ord"), "first": F.struct("ord"), "deepest": F.struct(-F.col("depth"), F.col("ord")) if "depth" in zones.columns else F.struct("area", "ord")}[rule]
-    best = held.groupBy(*keys).agg(F.min_by("name", order).alias("zone"))
-    return points.join(best, keys, "left")
+    listed = sized(zones).agg(F.array_sort(F.collect_list(F.struct(order.alias("rank"), "name", "points", "x0", "x1", "y0", "y1"))).alias("zone_list"))
+    at = lambda z: (F.col(x) >= z["x0"]) & (F.col(x) <= z["x1"]) & (F.col(y) >= z["y0"]) & (F.col(y) <= z["y1"]) & in_polygon(F.col(x), F.col(y), z["points"])
+    return points.withColumn("zone_list", listed.scalar()).withColumn("zone", F.get(F.filter("zone_list", at), 0)["name"]).drop("zone_list")
 
 
 def heat(points: DataFrame, dt: str, width: float, height: float, bins: int, x: str = "x", y: str = "y") -> DataFrame:

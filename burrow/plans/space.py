@@ -46,18 +46,18 @@ _DEEP = " ".join(f"WHEN {_inside(ZONES[n])} THEN '{n}'" for n in ("tri", "box",
 
 @query("smallest_zone", f"WITH {_PTS} SELECT session, frame, CASE {_SMALL} END AS zone FROM p")
 def smallest_zone(spark, sf_dir):
-    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), zone_table(spark), ["session", "frame"]).select("session", "frame", "zone")
+    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), zone_table(spark)).select("session", "frame", "zone")
 
 
 @query("first_match_zone", f"WITH {_PTS} SELECT session, frame, CASE {_FIRST} END AS zone FROM p")
 def first_match_zone(spark, sf_dir):
-    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), zone_table(spark), ["session", "frame"], "first").select("session", "frame", "zone")
+    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), zone_table(spark), "first").select("session", "frame", "zone")
 
 
 @query("deepest_zone", f"WITH {_PTS} SELECT session, frame, CASE {_DEEP} END AS zone FROM p")
 def deepest_zone(spark, sf_dir):
     z = zone_table(spark).withColumn("depth", F.element_at(F.create_map(F.lit("wide"), F.lit(0), F.lit("box"), F.lit(1), F.lit("tri"), F.lit(2)), F.col("name")))
-    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), z, ["session", "frame"], "deepest").select("session", "frame", "zone")
+    return zones.located(frames(spark, sf_dir).select("session", "frame", "x", "y"), z, "deepest").select("session", "frame", "zone")
 
 
 @query("facing_angle", f"""WITH {_PTS}, h AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by_ FROM p WINDOW w AS (PARTITION BY session ORDER BY frame)),
