@@ -109,4 +109,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from burrow.llm import twins
+
+    return {"op1_decontamination": twins.DECONTAMINATION, "op4_quality_rules": twins.QUALITY, "op6_jaccard_join": twins.JACCARD}
