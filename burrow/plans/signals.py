@@ -1,4 +1,4 @@
-"""Queries of cleaned and filtered signals. The recursive filters have no SQL twin; tests compare them with a plain loop."""
+"""Queries of cleaned and filtered signals. The twins of recursive filters are recursive, too; the smoother over both directions has none."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from burrow.plans.registry import FRAMES, frames, query
 _C = f"{FRAMES}, p AS (SELECT session, frame, t_us, dt_us, speed AS x, k::DOUBLE AS y, (k % 10)/10.0 AS conf FROM d)"
 
 
+#: Frames in order, for recursive filters: each step joins a session's next frame.
+_N = f"RECURSIVE {_C}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY frame) AS i FROM p)"
+
+
 def points(spark, sf_dir):
     return series.intervals(frames(spark, sf_dir)).withColumn("conf", (F.col("k") % 10) / 10.0)
 
@@ -69,7 +73,14 @@ def savgol_interior(spark, sf_dir):
     return s.where("i > 3 AND i <= n - 3").select("session", "frame", F.round("smooth", 4).alias("smooth"))
 
 
-@query("one_euro")
+def _share(cutoff: str) -> str:
+    return f"(2*pi()*({cutoff})*gap/(2*pi()*({cutoff})*gap + 1))"
+
+
+@query("one_euro", f"""WITH {_N}, r AS (SELECT session, frame, i, x AS level, 0.0::DOUBLE AS slope, t_us AS since FROM n WHERE i = 1 UNION ALL
+SELECT session, frame, i, CASE WHEN gap > 0 THEN level + {_share('1 + 0.007*abs(s2)')}*(x - level) ELSE level END, CASE WHEN gap > 0 THEN s2 ELSE slope END, CASE WHEN gap > 0 THEN t_us ELSE since END FROM
+(SELECT *, slope + {_share('1')}*((x - level)/gap - slope) AS s2 FROM (SELECT n.session, n.frame, n.i, n.x, n.t_us, r.level, r.slope, r.since, (n.t_us - r.since)/1e6 AS gap FROM r JOIN n ON n.session = r.session AND n.i = r.i + 1)))
+SELECT session, frame, round(level, 4) AS smooth FROM r""")
 def one_euro(spark, sf_dir):
     return clean.one_euro(points(spark, sf_dir), "x", "smooth").select("session", "frame", F.round("smooth", 4).alias("smooth"))
 
@@ -80,24 +91,38 @@ def rts_smoother(spark, sf_dir):
     return clean.rts(p, "x", "smooth", conf="conf").select("session", "frame", F.round("smooth", 4).alias("smooth"))
 
 
-@query("held_clamp")
+@query("held_clamp", f"""WITH {_N}, r AS (SELECT session, frame, i, x AS cx, y AS cy FROM n WHERE i = 1 UNION ALL
+SELECT session, frame, i, CASE WHEN far THEN cx ELSE x END, CASE WHEN far THEN cy ELSE y END FROM (SELECT n.session, n.frame, n.i, n.x, n.y, r.cx, r.cy, n.dt_us <> 0 AND sqrt(pow(n.x - r.cx, 2) + pow(n.y - r.cy, 2))*1e6/n.dt_us > 0.001 AS far FROM r JOIN n ON n.session = r.session AND n.i = r.i + 1))
+SELECT session, frame, cx AS clamped_x, cy AS clamped_y FROM r""")
 def held_clamp(spark, sf_dir):
     return clean.held_clamp(points(spark, sf_dir), 0.001).select("session", "frame", "clamped_x", "clamped_y")
 
 
-@query("forward_clock")
+@query("forward_clock", f"""WITH {_N}, m AS (SELECT session, frame, i, t_us/1000.0 - CASE WHEN y % 11 = 0 THEN 100.0 ELSE 0.0 END AS ms FROM n),
+r AS (SELECT session, frame, i, ms AS last FROM m WHERE i = 1 UNION ALL SELECT m.session, m.frame, m.i, CASE WHEN r.last - m.ms > 0 AND r.last - m.ms <= 250 THEN r.last ELSE m.ms END FROM r JOIN m ON m.session = r.session AND m.i = r.i + 1)
+SELECT session, frame, last AS monotone FROM r""")
 def forward_clock(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("ms", F.col("t_us") / 1000.0 - F.when(F.col("k") % 11 == 0, 100.0).otherwise(0.0))
     return clean.forward_clock(p, "ms", "monotone").select("session", "frame", "monotone")
 
 
-@query("two_state_path")
+@query("two_state_path", f"""WITH {_N}, e AS (SELECT session, frame, i, greatest(0, -(y - 50)/100.0) AS h0, greatest(0, (y - 50)/100.0) AS h1, max(i) OVER (PARTITION BY session) AS top FROM n),
+a AS (SELECT session, i, h0 AS b0, h1 AS b1, 0 AS k0, 1 AS k1 FROM e WHERE i = 1 UNION ALL
+SELECT e.session, e.i, least(a.b0, a.b1 + 0.15) + e.h0, least(a.b1, a.b0 + 0.15) + e.h1, CASE WHEN a.b1 + 0.15 < a.b0 THEN 1 ELSE 0 END, CASE WHEN a.b0 + 0.15 < a.b1 THEN 0 ELSE 1 END FROM a JOIN e ON e.session = a.session AND e.i = a.i + 1),
+z AS (SELECT a.session, a.i, CASE WHEN b1 < b0 THEN 1 ELSE 0 END AS s FROM a JOIN e ON e.session = a.session AND e.i = a.i WHERE a.i = e.top UNION ALL
+SELECT a.session, a.i - 1, CASE WHEN z.s = 0 THEN a.k0 ELSE a.k1 END FROM z JOIN a ON a.session = z.session AND a.i = z.i WHERE a.i > 1)
+SELECT e.session, e.frame, z.s = 1 AS swap FROM z JOIN e ON e.session = z.session AND e.i = z.i""")
 def two_state_path(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("evidence", (F.col("k") - 50) / 100.0)
     return clean.two_state_path(p, "evidence", "swap").select("session", "frame", "swap")
 
 
-@query("crossed_pairs")
+@query("crossed_pairs", f"""WITH {_N}, b AS (SELECT session, frame, i, CASE WHEN y % 9 = 0 THEN x + 40 ELSE x END AS ax, CASE WHEN y % 9 = 0 THEN x ELSE x + 40 END AS bx, y FROM n),
+r AS (SELECT session, frame, i, false AS crossed, ax AS px, bx AS qx, y AS py FROM b WHERE i = 1 UNION ALL
+SELECT session, frame, i, crossed <> flips, CASE WHEN flips THEN two ELSE one END, CASE WHEN flips THEN one ELSE two END, y FROM (SELECT *, stay > 0 AND (stay - turn)/stay > 0.3 AS flips FROM
+(SELECT *, sqrt(pow(one - px, 2) + pow(y - py, 2)) + sqrt(pow(two - qx, 2) + pow(y - py, 2)) AS stay, sqrt(pow(two - px, 2) + pow(y - py, 2)) + sqrt(pow(one - qx, 2) + pow(y - py, 2)) AS turn FROM
+(SELECT b.session, b.frame, b.i, b.y, r.crossed, r.px, r.qx, r.py, CASE WHEN r.crossed THEN b.bx ELSE b.ax END AS one, CASE WHEN r.crossed THEN b.ax ELSE b.bx END AS two FROM r JOIN b ON b.session = r.session AND b.i = r.i + 1))))
+SELECT session, frame, crossed FROM r""")
 def crossed_pairs(spark, sf_dir):
     p = points(spark, sf_dir)
     flip = F.col("k") % 9 == 0

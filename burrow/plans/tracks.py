@@ -147,12 +147,17 @@ def speed_ceiling(spark, sf_dir):
     return frames(spark, sf_dir).groupBy("session").agg(F.round(F.percentile(moving, 0.95), 4).alias("colour_max"), F.count(moving).alias("moving"))
 
 
-@query("ema_value")
+@query("ema_value", f"""WITH RECURSIVE {FRAMES}, n AS (SELECT session, frame, speed, row_number() OVER (PARTITION BY session ORDER BY frame) AS i FROM f),
+r AS (SELECT session, frame, i, speed*(1 - exp(-0.2)) AS ema FROM n WHERE i = 1 UNION ALL SELECT n.session, n.frame, n.i, n.speed*(1 - exp(-0.2)) + exp(-0.2)*r.ema FROM r JOIN n ON n.session = r.session AND n.i = r.i + 1)
+SELECT session, frame, round(ema, 6) AS ema FROM r""")
 def ema_value(spark, sf_dir):
     return clean.ema(frames(spark, sf_dir), "speed", "ema", 5.0).select("session", "frame", F.round("ema", 6).alias("ema"))
 
 
-@query("feature_frames")
+@query("feature_frames", f"""WITH RECURSIVE {FRAMES}, g AS (SELECT *, degrees(atan2(k % 5, 4.0)) AS heading, sqrt(16 + pow(k % 5, 2)) AS axis, CASE WHEN dt_us > 0 THEN step*1e6/dt_us ELSE 0 END AS v, row_number() OVER (PARTITION BY session ORDER BY frame) AS i FROM d),
+r AS (SELECT session, i, v AS level FROM g WHERE i = 1 UNION ALL SELECT g.session, g.i, r.level + 0.4*(g.v - r.level) FROM r JOIN g ON g.session = r.session AND g.i = r.i + 1),
+h AS (SELECT *, heading - lag(heading) OVER (PARTITION BY session ORDER BY frame) AS dd, quantile_cont(axis, 0.5) OVER (PARTITION BY session ORDER BY frame ROWS 199 PRECEDING) AS body FROM g)
+SELECT session, frame, round(level, 6) AS speed_ema, round(heading, 6) AS heading, round(CASE WHEN dt_us > 0 THEN (dd - 360*ceil((dd - 180)/360))*1e6/dt_us END, 6) AS turning, round(body, 6) AS body, round(axis/body, 6) AS elongation FROM h JOIN r USING (session, i)""")
 def feature_frames(spark, sf_dir):
     f = series.intervals(frames(spark, sf_dir)).withColumns({"hx": F.col("x"), "hy": F.col("y"), "tx": F.col("x") - 4, "ty": F.col("y") - F.col("k") % 5})
     return rules.features(f).select("session", "frame", *(F.round(c, 6).alias(c) for c in ("speed_ema", "heading", "turning", "body", "elongation")))
@@ -166,7 +171,17 @@ def swap_share(spark, sf_dir):
     return s.select("session", "judged", F.round("swapped", 6).alias("swapped"), pose.swap_method(F.col("swapped")).alias("method"))
 
 
-@query("refined_track")
+@query("refined_track", f"""WITH {FRAMES}, p AS (SELECT session, frame, t_us, speed AS x0, k::DOUBLE AS y0, (k % 10)/10.0 AS conf FROM d),
+l AS (SELECT session, least(greatest(quantile_cont(conf, 0.05), 0.1), 0.6) AS lim FROM p GROUP BY session), g AS (SELECT session, frame, t_us, CASE WHEN conf >= lim THEN x0 END AS x, CASE WHEN conf >= lim THEN y0 END AS y FROM p JOIN l USING (session)),
+j AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS jump FROM g WINDOW w AS (PARTITION BY session ORDER BY frame)),
+q AS (SELECT session, quantile_cont(jump, 0.25) AS q1, quantile_cont(jump, 0.5) AS q2, quantile_cont(jump, 0.75) AS q3, count(jump) AS n FROM j GROUP BY session),
+m AS (SELECT j.session, quantile_cont(abs(jump - q2), 0.5) AS mad FROM j JOIN q USING (session) GROUP BY j.session),
+u AS (SELECT session, n, q2 + 6*CASE WHEN q3 - q1 > 0 THEN q3 - q1 WHEN mad > 0 THEN 1.4826*mad ELSE greatest(0.25*q2, 1) END AS far FROM q JOIN m USING (session)),
+o AS (SELECT j.session, frame, t_us, CASE WHEN NOT coalesce(n >= 8 AND jump > far, false) THEN x END AS x, CASE WHEN NOT coalesce(n >= 8 AND jump > far, false) THEN y END AS y FROM j JOIN u USING (session)),
+s AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN t_us END IGNORE NULLS) OVER a AS ta, last_value(x IGNORE NULLS) OVER a AS xa, last_value(y IGNORE NULLS) OVER a AS ya,
+  first_value(CASE WHEN x IS NOT NULL THEN t_us END IGNORE NULLS) OVER z AS tb, first_value(x IGNORE NULLS) OVER z AS xb, first_value(y IGNORE NULLS) OVER z AS yb FROM o
+  WINDOW a AS (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), z AS (PARTITION BY session ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT session, frame, round(coalesce(x, CASE WHEN tb - ta <= {10 * HOUR} THEN xa + (xb - xa)*(t_us - ta)/(tb - ta) END), 4) AS x, round(coalesce(y, CASE WHEN tb - ta <= {10 * HOUR} THEN ya + (yb - ya)*(t_us - ta)/(tb - ta) END), 4) AS y FROM s""")
 def refined_track(spark, sf_dir):
     f = series.intervals(frames(spark, sf_dir)).withColumn("conf", (F.col("k") % 10) / 10.0)
     return clean.refined(f, most_gap_us=10 * HOUR).select("session", "frame", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
