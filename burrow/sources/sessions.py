@@ -221,9 +221,9 @@ def first_point(frames: DataFrame, part: str | None = None) -> DataFrame:
     return frames.withColumns({"x": p["x"], "y": p["y"]})
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+def read_event_log(spark: SparkSession, path: str, files: str = "*.tsv") -> DataFrame:
     """session, t_ms, type, subtype, content of controller logs: four tab-separated fields, seconds first; malformed lines are left out."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv").text(path).select(F.col("_metadata.file_path").alias("session"), F.split("value", "\t").alias("c"))
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path).select(F.col("_metadata.file_path").alias("session"), F.split("value", "\t").alias("c"))
     t = t.where((F.size("c") >= 4) & F.get("c", 0).try_cast("double").isNotNull())
     return t.select("session", F.round(F.get("c", 0).try_cast("double") * 1000).cast("long").alias("t_ms"), F.get("c", 1).alias("type"), F.get("c", 2).alias("subtype"), F.get("c", 3).alias("content"))
 
@@ -243,10 +243,10 @@ def keypoints(frames: DataFrame) -> DataFrame:
     return frames.select("session", F.col("frame_number").alias("frame"), F.explode("pose").alias("part", "p")).select("session", "frame", "part", "p.x", "p.y", F.coalesce("p.conf", F.lit(1.0)).alias("conf"))
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
     """Rows of run-history files, be they an array, one object, or an envelope with ``runs``."""
     item = "struct<subject:string,box:string,date:string,started:string,data_file:string,video_file:string>"
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).option("wholetext", "true").text(path)
     as_list = F.from_json("value", f"array<{item}>")
     envelope = F.from_json("value", f"struct<runs:array<{item}>>")["runs"]
     single = F.array(F.from_json("value", item))
@@ -262,6 +262,17 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
     return sheet.where(~is_absent(F.col("Subject")))
 
 
+def write_lines(lines_of: DataFrame, path: str) -> None:
+    """Lines (session, ord, value) as one text file per session, in order, each in the folder ``session=...`` of its own."""
+    out = lines_of.repartition("session").sortWithinPartitions("session", "ord")
+    out.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
+
+
+def session_of(file: Column) -> Column:
+    """The session in whose folder a file is, as ``write_lines`` and ``write_frames`` make them."""
+    return F.url_decode(F.regexp_extract(file, r"/session=([^/]*)/", 1))
+
+
 def write_frames(frames: DataFrame, path: str, columns: list[str]) -> None:
     """Frames as tab-separated text, one folder per session: absent strings ``na``, absent numbers ``none``, 4 decimals, columns named first."""
     kinds = dict(frames.dtypes)
@@ -277,8 +288,8 @@ def write_frames(frames: DataFrame, path: str, columns: list[str]) -> None:
 
     body = frames.select("session", F.col("frame_number").alias("ord"), F.concat_ws("\t", *(cell(c) for c in columns)).alias("value"))
     head = frames.select("session").distinct().select("session", F.lit(-1).cast("long").alias("ord"), F.lit("# " + "\t".join(columns)).alias("value"))
-    out = head.unionByName(body).withColumn("folder", F.sha2("session", 256)).repartition("folder").sortWithinPartitions("folder", "ord")
-    out.select("folder", "value").write.mode("overwrite").partitionBy("folder").text(path)
+    named = head.unionByName(body)
+    write_lines(named.withColumn("session", F.when(F.contains(F.col("session").cast("string"), F.lit("/")), F.sha2(F.col("session").cast("string"), 256)).otherwise(F.col("session").cast("string"))), path)
 
 
 def provenance(spark: SparkSession, path: str) -> DataFrame:
