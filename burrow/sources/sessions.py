@@ -246,7 +246,7 @@ def keypoints(frames: DataFrame) -> DataFrame:
 def read_runs(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
     """Rows of run-history files, be they an array, one object, or an envelope with ``runs``."""
     item = "struct<subject:string,box:string,date:string,started:string,data_file:string,video_file:string>"
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).option("wholetext", "true").text(path)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
     as_list = F.from_json("value", f"array<{item}>")
     envelope = F.from_json("value", f"struct<runs:array<{item}>>")["runs"]
     single = F.array(F.from_json("value", item))

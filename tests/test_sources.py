@@ -146,7 +146,7 @@ def test_event_log(spark, tmp_path):
 
 def test_runs_in_three_shapes(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"subject": "a"}, {"subject": "b"}]')
-    (tmp_path / "b.json").write_text('{"runs": [{"subject": "c"}]}')
+    (tmp_path / "b.json").write_text('{\n  "runs": [\n    {"subject": "c"}\n  ]\n}\n')
     (tmp_path / "c.json").write_text('{"subject": "d"}')
     assert sorted(r["subject"] for r in sessions.read_runs(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d"]
 
