@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.operators.series import FRAME, SESSION, along
@@ -131,6 +131,10 @@ class Formula:
         if name == "round":
             digits = more[0].value if more and isinstance(more[0], ast.Constant) else 0
             return F.round(self._scalar(first), int(digits))
+        if more:
+            raise ValueError(f"{name} takes one argument")
+        if name == "len" and not self._is_list(first):
+            return F.lit(0.0)  # a number has no length
         a = F.col(first.id) if self._is_list(first) else F.array(self._scalar(first))
         size = F.size(a)
         mean = _FUNCTIONS["mean"](a)
@@ -166,3 +170,28 @@ def changed_only(df: DataFrame, value: str) -> DataFrame:
 def rolling_sd(df: DataFrame, value: str, n: int, out: str) -> DataFrame:
     """Population deviation of the last n values."""
     return df.withColumn(out, F.stddev_pop(value).over(along().rowsBetween(-(n - 1), 0)))
+
+
+def template_scores(prints: DataFrame, templates: dict[str, list[str]], name: str = "name") -> DataFrame:
+    """session, template, score: the share of a template's keywords that any print of the session holds, without regard to case."""
+    low = F.lower(name)
+    shares = [F.struct(F.lit(t).alias("template"), (sum(F.max(F.contains(low, F.lit(k.lower())).cast("int")) for k in keys) / len(keys)).alias("score")) for t, keys in templates.items() if keys]
+    found = prints.groupBy(SESSION).agg(F.array(*shares).alias("all"))
+    return found.select(SESSION, F.explode("all").alias("t")).select(SESSION, "t.*")
+
+
+def configured(prints: DataFrame, templates: dict[str, list[str]], name: str = "name", least_prints: int = 5, least_score: float = 0.5, most: int = 10) -> DataFrame:
+    """session, template, counters of sessions with ``least_prints`` distinct prints or more.
+
+    The template with the best score, the first of equal ones, if it reaches ``least_score``; else no template and one counter for each of
+    the ``most`` most frequent prints, ties by name. A session's distinct prints are aggregated, never its rows.
+    """
+    n = prints.where(F.col(name).isNotNull()).groupBy(SESSION, name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(SESSION)
+    n = n.withColumns({"distinct": F.count("*").over(w), "place": F.row_number().over(w.orderBy(F.desc("n"), name))}).where(F.col("distinct") >= least_prints)
+    top = n.where(F.col("place") <= most).groupBy(SESSION).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(name).alias("name")))), lambda s: s["name"]).alias("names"))
+    order = F.create_map(*(x for i, t in enumerate(templates) for x in (F.lit(t), F.lit(-i))))
+    best = template_scores(prints, templates, name).groupBy(SESSION).agg(F.max(F.struct("score", F.element_at(order, F.col("template")).alias("first"), "template")).alias("b"))
+    j = top.join(best, SESSION, "left")
+    chosen = F.when(F.col("b.score") >= least_score, F.col("b.template"))
+    return j.select(SESSION, chosen.alias("template"), F.when(chosen.isNull(), F.array_join("names", "|")).alias("counters"))

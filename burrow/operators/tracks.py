@@ -94,7 +94,7 @@ def frame_scale(points: DataFrame, zones: DataFrame, width: float, height: float
     seen = points.where("x IS NOT NULL AND y IS NOT NULL")
     reach = fits_frame(seen, width, height).join(seen.groupBy(SESSION).agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.max("x") / width, F.max("y") / height).alias("lo")), SESSION)
     open_ = reach.where((F.col("n") >= least) & ~F.col("fits"))
-    named = seen.where(~is_absent(F.col(zone)) & (F.trim(zone) != "-")).join(F.broadcast(zones.select(F.col("name").alias(zone), F.col("points").alias("polygon"))), zone, "left")
+    named = seen.where(~is_absent(F.col(zone)) & (F.trim(zone) != "-")).join(zones.select(F.col("name").alias(zone), F.col("points").alias("polygon")), zone, "left")
     tries = named.join(open_, SESSION).select(SESSION, "x", "y", "polygon", F.explode(F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.round(F.col("lo") + i * 0.01, 2))).alias("k"))
     hit = F.coalesce(in_polygon(F.col("x") / (width * F.col("k")), F.col("y") / (height * F.col("k")), F.col("polygon")), F.lit(False))
     scored = tries.groupBy(SESSION, "k").agg(F.avg(hit.cast("double")).alias("share"), F.count("*").alias("scored"))
@@ -150,20 +150,20 @@ def swap_anchor(wide: DataFrame, head: str, body: str, others: list[str], least:
     return best.select(SESSION, "b.*").where(F.col("ratio") >= least_ratio)
 
 
-def nested_zones(zones: DataFrame, name: str = "name", most_depth: int = 16) -> DataFrame:
+def nested_zones(zones: DataFrame, name: str = "name") -> DataFrame:
     """name, parent, depth, ord: each zone's smallest container, how deep it lies, and its place from the innermost out.
 
     A zone holds another if all its corners lie inside it and it is larger. ``zones`` (name, points, area) is a handful of rows.
     """
     inner = zones.select(F.col(name).alias("inner"), F.col("points").alias("corners"), F.col("area").alias("inner_area"))
-    held = inner.join(F.broadcast(zones), (F.col("inner") != F.col(name)) & (F.col("area") > F.col("inner_area")) & F.forall("corners", lambda p: in_polygon(p["x"], p["y"], F.col("points"))))
+    held = inner.join(zones, (F.col("inner") != F.col(name)) & (F.col("area") > F.col("inner_area")) & F.forall("corners", lambda p: in_polygon(p["x"], p["y"], F.col("points"))))
     parents = held.groupBy("inner").agg(F.min_by(name, F.struct("area", name)).alias("parent"))
     out = zones.select(name).join(parents.withColumnRenamed("inner", name), name, "left")
     # of nested containers each is inside the next, so the depth is the number of containers along the parents
     depth = out.select(name, "parent").withColumn("depth", F.lit(0))
     up = out.select(F.col(name).alias("above"), F.col("parent").alias("next"))
     chain = out.select(name, F.col("parent").alias("at"), F.col("parent").isNotNull().cast("int").alias("depth"))
-    for _ in range(most_depth):
-        chain = chain.join(F.broadcast(up), chain["at"] == up["above"], "left").select(name, F.col("next").alias("at"), (F.col("depth") + F.col("next").isNotNull().cast("int")).alias("depth"))
+    while not chain.where("at IS NOT NULL").isEmpty():  # once for each level of nesting
+        chain = chain.join(up, chain["at"] == up["above"], "left").select(name, F.col("next").alias("at"), (F.col("depth") + F.col("next").isNotNull().cast("int")).alias("depth"))
     placed = depth.drop("depth").join(chain.select(name, "depth"), name)
     return placed.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("depth"), name)))

@@ -83,3 +83,28 @@ def elapsed_format(spark, sf_dir):
 
     f = frames(spark, sf_dir).withColumn("m", F.floor((F.col("t_us") - F.min("t_us").over(Window.partitionBy("session"))) / 1000).cast("double"))
     return f.select("session", "frame", scalars.format_elapsed(F.col("m")).alias("elapsed"))
+
+
+_SCORES = """p AS (SELECT session, lower(zone || ' ' || (k % (session % 9 + 1))) AS name FROM f),
+t AS (SELECT session, (max(contains(name, 'click')::INT) + max(contains(name, '3')::INT) + max(contains(name, 'nothing')::INT))/3 AS taps, (max(contains(name, 'signup 7')::INT) + max(contains(name, 'view 8')::INT))/2 AS views FROM p GROUP BY session)"""
+
+
+def _prints(spark, sf_dir):
+    return frames(spark, sf_dir).select("session", F.concat(F.col("zone"), F.lit(" "), F.col("k") % (F.col("session") % 9 + 1)).alias("name"))
+
+
+_TEMPLATES = {"taps": ["Click", "3", "nothing"], "views": ["signup 7", "View 8"]}
+
+
+@query("template_scores", f"WITH {FRAMES}, {_SCORES} SELECT session, 'taps' AS template, round(taps, 6) AS score FROM t UNION ALL SELECT session, 'views', round(views, 6) FROM t")
+def template_scores(spark, sf_dir):
+    return events.template_scores(_prints(spark, sf_dir), _TEMPLATES).withColumn("score", F.round("score", 6))
+
+
+@query("auto_configs", f"""WITH {FRAMES}, {_SCORES}, n AS (SELECT session, zone || ' ' || (k % (session % 9 + 1)) AS name, count(*) AS n FROM f GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (PARTITION BY session) AS d, row_number() OVER (PARTITION BY session ORDER BY n DESC, name) AS place FROM n),
+c AS (SELECT session, string_agg(name, '|' ORDER BY place) AS names FROM r WHERE d >= 5 AND place <= 10 GROUP BY session),
+b AS (SELECT *, CASE WHEN taps >= views AND taps >= 0.5 THEN 'taps' WHEN views >= 0.5 THEN 'views' END AS template FROM t)
+SELECT c.session, template, CASE WHEN template IS NULL THEN names END AS counters FROM c JOIN b USING (session)""")
+def auto_configs(spark, sf_dir):
+    return events.configured(_prints(spark, sf_dir), _TEMPLATES)

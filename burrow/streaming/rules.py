@@ -2,8 +2,8 @@
 
 Each function takes a streaming (or batch) DataFrame with session, t_us and the columns its
 rule needs, and keeps one small state per session, in the state store. Rows of a key are put in the order of
-their clock inside a micro-batch; a row older than what was seen is a late row and is counted, not used.
-Every function has a batch twin among the operators, and tests hold the two equal.
+their clock inside a micro-batch; a row older than what an earlier one has seen is late and isn't used, as what it would have changed has
+been sent. State stays for as long as the query runs: a few numbers a session. Every function has a batch twin among the operators, and tests hold the two equal.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ def _stateful(df: DataFrame, columns: list[str], out: str, state: str, initial:
     """Runs step(row, state list) -> rows over each session's rows in clock order; state survives between micro-batches."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(held.get) if held.exists else list(initial)
+        *s, clock = held.get if held.exists else (*initial, -(1 << 62))
         rows = pd.concat(list(batches)).sort_values(["t_us", "frame"], kind="stable")
+        rows = rows[rows["t_us"] >= clock]
         made = [(key[0], *r) for row in rows[["frame", "t_us", *columns]].itertuples(index=False) for r in step(row, s)]
-        held.update(tuple(s))
+        held.update((*s, int(rows["t_us"].max()) if len(rows) else clock))
         yield pd.DataFrame(made, columns=[c.split()[0] for c in f"{_KEY}, {out}".split(", ")])
 
-    return df.groupBy("session").applyInPandasWithState(run, f"{_KEY}, {out}", state, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("session").applyInPandasWithState(run, f"{_KEY}, {out}", f"{state}, seen_us long", "append", GroupStateTimeout.NoTimeout)
 
 
 def edges(df: DataFrame, active: Column, hold_us: int = 0) -> DataFrame:

@@ -46,6 +46,27 @@ def test_sequence(spark, tmp_path):
     assert seq == want
 
 
+def test_late_rows_change_nothing(spark, tmp_path):
+    rows = [(0, [(1, 0, 1.0), (1, 10, 9.0), (1, 20, 9.0)]), (1, [(1, 5, 1.0), (1, 30, 9.0)]), (2, [(1, 40, 1.0), (1, 50, 9.0)])]
+    for k, part in rows:
+        spark.createDataFrame([(s, t, t, "a", "n", v) for s, t, v in part], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rules.edges(src, F.col("speed") > 4).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["frame"] for r in spark.sql("SELECT * FROM late").collect()) == [10, 50]
+
+
+def test_zone_changes(spark, tmp_path):
+    df, got = run(spark, tmp_path, lambda s: rules.zone_changes(s.withColumn("zones", F.when(F.col("frame") % 4 == 0, "a").otherwise(F.concat(F.lit("a|"), F.col("zone")))), "zones"))
+    want, was = [], {}
+    for r in df.orderBy("session", "frame").collect():
+        now = {"a"} if r["frame"] % 4 == 0 else {"a", r["zone"]}
+        if r["session"] in was and now != was[r["session"]]:
+            want.append((r["session"], r["frame"], "|".join(sorted(now - was[r["session"]])), "|".join(sorted(was[r["session"]] - now))))
+        was[r["session"]] = now
+    assert got == sorted(want)
+
+
 def test_newest_and_dropped(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "box long, frame long, v string")
     assert sorted(map(tuple, rules.newest(df, "box", "frame").collect())) == [(1, 2, "b"), (2, 1, "c")]
