@@ -7,7 +7,7 @@ diagonal; diagonals up to ``drift`` apart are merged (words put in or left out s
 notice); a merged group is a span if it is verified: a phrase has all its k-grams on one diagonal, a
 notice at least ``least_cover`` of its k-grams, within a stretch not longer than 1.5 times the notice.
 
-Phrases vote with 2-grams, notices with 5-grams. One more row per document passes through the join
+Phrases vote with 2-grams, notices with 5-grams; votes compare 64-bit hashes, so two different k-grams vote alike with probability 2^-64. One more row per document passes through the join
 and carries its word count, so texts are read once. The templates are a fixed list, so their side
 of the join has a fixed size (some thousand rows) and is broadcast; no document's side is shuffled
 before votes are counted, and counting starts before the shuffle.
@@ -31,6 +31,8 @@ from burrow.llm.textual import WordHashes, alnum_words, column, per_worker, prep
 PHRASE_K, NOTICE_K = 2, 5
 #: The hash of the row that carries a document's word count through the join.
 _CARRIER = 0x5A17
+#: Hashes in one array, and in one batch sent from Python: a very long text comes in pieces.
+PIECE, SENT = 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -87,27 +89,38 @@ def spans(docs: DataFrame, templates: tuple[Template, ...], drift: int = 3, leas
     """row, doc_id, n_words, template, first, last (words), cover: one row per verified span; template -1 for each document once."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, "doc_id", "long"), column(docs, "text", "string"))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_pairs", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("start", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker("alnum hashes", lambda: WordHashes("alnum"))
+        held: list[tuple] = []  # row, doc_id, words, the piece's start, its hashes
+
+        def sent() -> pa.RecordBatch:
+            ends = np.concatenate([[0], np.cumsum([len(h[4]) for h in held])]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([h[4] for h in held]) if held else np.empty(0, np.int64), pa.int64()))
+            columns = [pa.array([h[i] for h in held], pa.int64()) for i in range(4)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, grams], schema=schema)
+
         for b in batches:
-            counts, pairs, values, ends = [], [], [], [0]
-            for text in b.column(2).cast(pa.binary()).to_pylist():
+            size = 0
+            for row, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 w = hashes.of(text)
-                two = (rolling(w, PHRASE_K) ^ np.uint64(PHRASE_K)).view(np.int64)
-                five = (rolling(w, NOTICE_K) ^ np.uint64(NOTICE_K)).view(np.int64)
-                counts.append(len(w))
-                pairs.append(len(two))
-                values += [two, five, [_CARRIER]]
-                ends.append(ends[-1] + len(two) + len(five) + 1)
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(pairs, pa.int32()), grams], schema=schema)
-
-    all_grams = rows.mapInArrow(hashed, "row long, doc_id long, n_words long, n_pairs int, grams array<long>")
-    each = all_grams.select("row", "doc_id", "n_words", "n_pairs", F.posexplode("grams").alias("pos", "gram"))
+                held.append((row, key, len(w), 0, np.array([_CARRIER])))
+                for k in (PHRASE_K, NOTICE_K):
+                    g = (rolling(w, k) ^ np.uint64(k)).view(np.int64)
+                    for start in range(0, len(g), PIECE):
+                        held.append((row, key, len(w), start, g[start : start + PIECE]))
+                        size += len(held[-1][4])
+                        if size >= SENT:
+                            yield sent()
+                            size = 0
+            yield sent()
+
+    all_grams = rows.mapInArrow(hashed, "row long, doc_id long, n_words long, start long, grams array<long>")
+    each = all_grams.select("row", "doc_id", "n_words", "start", F.posexplode("grams").alias("pos", "gram"))
     met = each.join(F.broadcast(positions(spark, templates)), "gram")
-    word = F.when(F.col("k") == NOTICE_K, F.col("pos") - F.col("n_pairs")).otherwise(F.col("pos"))
+    word = F.col("start") + F.col("pos")
     key = ["row", "doc_id", "n_words", "template", "grams", "words"]
     votes = (
         met.withColumn("word", F.when(F.col("template") < 0, F.lit(0)).otherwise(word))

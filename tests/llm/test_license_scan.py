@@ -44,3 +44,12 @@ def test_templates_are_words():
 
 def test_empty_table(spark):
     assert license_scan.scan(corpus.nothing(spark)).count() == 0
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    data = corpus.rows(n=20) + [(9000, ("w " * 700 + "mit license ") * 3, "en", "s0")]
+    want = sorted(map(tuple, license_scan.scan(corpus.frame(spark, data)).collect()), key=repr)
+    monkeypatch.setattr(license_scan, "PIECE", 7)
+    monkeypatch.setattr(license_scan, "SENT", 100)
+    assert sorted(map(tuple, license_scan.scan(corpus.frame(spark, data)).collect()), key=repr) == want
+    assert [r[2:5] for r in want if r[0] == 9000] == [(3, 700, 2104)]

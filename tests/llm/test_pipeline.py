@@ -3,7 +3,6 @@ import random
 import corpus
 
 import corpus_pipeline
-from burrow.llm import decontam, jaccard, quality, toxicity
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -28,5 +27,27 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_stages_are_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
-    assert all(callable(f) for _, f in corpus_pipeline.STAGES)
-    assert {quality.reject_low_quality, toxicity.reject_toxic, jaccard.keep_one, decontam.remove_contaminated}
+
+
+def _tables(spark, where):
+    spark.createDataFrame([(1, "ten words of a benchmark item that no text here has"), (2, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+
+
+def test_odd_rows_pass_through_every_stage(spark, tmp_path):
+    """Nulls, empties, repeated rows and columns that clash with the operators' own."""
+    _tables(spark, str(tmp_path))
+    docs = corpus.frame(spark, corpus.rows(n=25))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        docs = kept
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_empty_tables(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    corpus.nothing(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
