@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.operators.series import SESSION
@@ -49,14 +49,17 @@ def attached(rows: DataFrame, sheet: DataFrame, key: str, order: str) -> DataFra
     return rows.withColumn(key, F.trim(F.col(key).cast("string"))).join(last, key, "left")
 
 
-def laddered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[Column]) -> DataFrame:
-    """left_id, right_id, tier: each left row's match by the first predicate that has one, ties to the smallest right_id.
+def laddered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[list[tuple[str, str]]]) -> DataFrame:
+    """left_id, right_id, tier: each left row's match by the first tier that has one, ties to the smallest right_id.
 
-    Predicates are equalities between columns of the two sides, aliased l and r, so each tier is a hash or merge join.
+    A tier is a list of pairs of columns, left and right, that must be equal. The right side is reduced to its smallest id per key of a
+    tier before the join, so a key that is frequent on both sides makes no pairs.
     """
     found = None
-    for i, condition in enumerate(tiers):
-        t = left.alias("l").join(right.alias("r"), condition).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), F.lit(i).alias("tier"))
+    for i, pairs in enumerate(tiers):
+        keys = [f"key_{k}" for k in range(len(pairs))]
+        least = right.groupBy(*(F.col(r).alias(k) for k, (_, r) in zip(keys, pairs))).agg(F.min(right_id).alias(right_id))
+        t = left.select(left_id, *(F.col(c).alias(k) for k, (c, _) in zip(keys, pairs))).join(least, keys).select(left_id, right_id, F.lit(i).alias("tier"))
         found = t if found is None else found.unionByName(t)
     best = found.groupBy(left_id).agg(F.min(F.struct("tier", right_id)).alias("best"))
     return best.select(left_id, f"best.{right_id}", "best.tier")

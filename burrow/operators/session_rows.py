@@ -133,3 +133,15 @@ def agrees(parity: DataFrame, mean: float = 0.25, p95: float = 1.0, most: float
     shared = F.col("shared") / F.greatest(F.col("shared") + F.greatest("only_a", "only_b"), F.lit(1))
     within = (shared >= overlap) & (F.col("mean_px") <= mean) & (F.col("p95_px") <= p95) & (F.col("max_px") <= most)
     return parity.withColumns({"overlap": F.round(shared, 6), "agrees": F.coalesce(within, F.lit(False))})
+
+
+def canonical_zone(located: DataFrame, recorded: str, found: str = "zone", out: str = "body_zone") -> DataFrame:
+    """located with one zone for the body: the one its position is in, else the recorded one; absent words are no zone."""
+    logged = F.when(~F.col(recorded).isin(*NO_ZONE), F.col(recorded))
+    return located.withColumn(out, F.coalesce(F.col(found), logged))
+
+
+def distinct_paths(files: DataFrame, order: str = "ord") -> DataFrame:
+    """path, ord: each path once, at the place where it first came; repeated and closing slashes don't make another path."""
+    plain = F.regexp_replace(F.regexp_replace("path", "/+", "/"), "(?<=.)/$", "")
+    return files.select(plain.alias("path"), order).groupBy("path").agg(F.min(order).alias(order))

@@ -65,8 +65,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, sid) AS rn FRO
 def pairing_ladder(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sid"), F.col("s_nationkey").alias("n"))
-    same_id, same_n = F.col("l.id") == F.col("r.sid"), F.col("l.n") == F.col("r.n")
-    return joins.laddered(a, b, "id", "sid", [same_id & same_n, same_id, same_n])
+    return joins.laddered(a, b, "id", "sid", [[("id", "sid"), ("n", "n")], [("id", "sid")], [("n", "n")]])
 
 
 @query("orphans_anti", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from burrow.operators import joins, live, series, session_rows
+from burrow.functions import names
+from burrow.operators import joins, live, series, session_rows, zones
+from burrow.plans.files import scratch
 from burrow.plans.registry import FRAMES, frames, query, table
+from burrow.plans.space import ZONES, _inside, zone_table
+from burrow.sources import reports
 
 _ZONES = ("click", "view", "error")
 
@@ -144,3 +148,38 @@ def chunk_samples(spark, sf_dir):
     c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("chunk"), (F.col("o_orderkey") % 5).alias("jitter"))
     c = c.select("session", "chunk", (F.col("chunk") * 40 + F.col("jitter") * 0.3).alias("start_ms"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("chunk") * 10 + i).alias("values"))
     return live.chunk_times(c, 100.0).withColumn("t_s", F.round("t_s", 6))
+
+
+_FOUND = " ".join(f"WHEN {_inside(ZONES[n])} THEN '{n}'" for n in ("box", "tri", "wide"))
+
+
+@query("canonical_zones", f"WITH {FRAMES}, p AS (SELECT session, frame, speed AS x, k::DOUBLE AS y, CASE WHEN k % 3 = 0 THEN 'na' ELSE zone END AS logged FROM f) SELECT session, frame, coalesce(CASE {_FOUND} END, CASE WHEN logged <> 'na' THEN logged END) AS body_zone FROM p")
+def canonical_zones(spark, sf_dir):
+    f = frames(spark, sf_dir).select("session", "frame", "x", "y", F.when(F.col("k") % 3 == 0, "na").otherwise(F.col("zone")).alias("logged"))
+    return session_rows.canonical_zone(zones.located(f, zone_table(spark)), "logged").select("session", "frame", "body_zone")
+
+
+@query("distinct_paths", "SELECT '/data/' || o_custkey AS path, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey")
+def distinct_paths(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    tail = F.when(F.col("o_orderkey") % 3 == 0, "/").when(F.col("o_orderkey") % 3 == 1, "").otherwise("//")
+    return session_rows.distinct_paths(o.select(F.concat(F.lit("/data//"), F.col("o_custkey"), tail).alias("path"), F.col("o_orderkey").alias("ord")))
+
+
+@query("report_order", "SELECT c_name AS \"File\", o_totalprice AS opened, row_number() OVER (ORDER BY c_name, o_totalprice, o_orderkey) AS place FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY place <= 200")
+def report_order(spark, sf_dir):
+    """The first 200 rows of a report by file and start."""
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("File"), F.col("o_totalprice").alias("opened"), "o_orderkey")
+    top = names.ordered(j, "File", "opened", "o_orderkey").limit(200)
+    listed = top.agg(F.sort_array(F.collect_list(F.struct("File", "opened", "o_orderkey"))).alias("s"))
+    return listed.select(F.posexplode("s").alias("at", "r")).select("r.File", "r.opened", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query("change_log", f"WITH {FRAMES} SELECT session, frame, zone AS value FROM f WHERE k < 50 UNION ALL SELECT session, frame, 'again' FROM f WHERE k >= 90")
+def change_log(spark, sf_dir):
+    """Two writers add to one log."""
+    f, path = frames(spark, sf_dir), scratch(spark, "changes")
+    reports.append_changes(f.where("k < 50").select("session", "frame", F.col("zone").alias("value")), path)
+    reports.append_changes(f.where("k >= 90").select("session", "frame", F.lit("again").alias("value")), path)
+    return spark.read.schema("session long, frame long, value string").json(path)
+

@@ -73,6 +73,21 @@ def savgol_interior(spark, sf_dir):
     return s.where("i > 3 AND i <= n - 3").select("session", "frame", F.round("smooth", 4).alias("smooth"))
 
 
+def _mirrored(k: int) -> str:
+    """Place i + k, folded back at both ends."""
+    j = f"(i + {k})"
+    return f"xs[CASE WHEN {j} < 1 THEN 2 - {j} WHEN {j} > n THEN 2*n - {j} ELSE {j} END]"
+
+
+_SMOOTH = " + ".join(f"{c}*{_mirrored(k)}" for k, c in zip(range(-3, 4), (-2, 3, 6, 7, 6, 3, -2)))
+
+
+@query("savgol_smooth", f"WITH {_C}, l AS (SELECT session, list(x ORDER BY frame) AS xs, list(frame ORDER BY frame) AS fs, count(*) AS n FROM p GROUP BY session) SELECT session, fs[i] AS frame, round(CASE WHEN n >= 7 THEN ({_SMOOTH})/21.0 ELSE xs[i] END, 4) AS smooth FROM l, unnest(range(1, n + 1)) u(i)")
+def savgol_smooth(spark, sf_dir):
+    """All frames, the first and last three too."""
+    return clean.savgol(points(spark, sf_dir), "x", "smooth").select("session", "frame", F.round("smooth", 4).alias("smooth"))
+
+
 def _share(cutoff: str) -> str:
     return f"(2*pi()*({cutoff})*gap/(2*pi()*({cutoff})*gap + 1))"
 

@@ -63,3 +63,8 @@ def frame_lines(frames: DataFrame) -> DataFrame:
 def drop_counts(drops: DataFrame) -> DataFrame:
     """stream, reason, drops, first_frame, last_frame of a drop log; repeated frames count each."""
     return drops.groupBy("stream", "reason").agg(F.count("*").alias("drops"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+
+
+def append_changes(changes: DataFrame, path: str) -> None:
+    """Adds changes as JSON lines below path; what is there already stays as it is, so writers never rewrite one another's lines."""
+    changes.write.mode("append").json(path)
