@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from burrow.functions.geometry import heading, turn
 from burrow.operators.scan import ordered_scan
-from burrow.operators.series import SESSION, along, rising, runs
+from burrow.operators.series import SESSION, along, runs
 
 
 def features(df: DataFrame, dt: str = "dt_us", alpha: float = 0.4, body_frames: int = 200) -> DataFrame:
@@ -80,23 +80,23 @@ class Rule:
 
 
 def states(df: DataFrame, rules: list[Rule], clock: str = "t_us") -> DataFrame:
-    """session, frame, rule, active, fired. A held rule is active once its condition has held for duration_us by the clock; it fires on turning active."""
-    out = None
-    for r in rules:
-        d = df.withColumn("raw", r.column())
-        if r.duration_us:
-            d = runs(d, "raw", "raw_run")
-            since = F.min(clock).over(Window.partitionBy(SESSION, "raw_run"))
-            d = d.withColumn("active", F.col("raw") & (F.col(clock) - since >= r.duration_us))
-        else:
-            d = d.withColumn("active", F.col("raw"))
-        first_outside = r.condition == "exit_edge"  # leaving needs having been inside
-        d = rising(d, F.col("active"))
-        if first_outside:
-            d = d.withColumn("fired", F.col("fired") & F.lag(F.lit(True)).over(along()).isNotNull())
-        one = d.select(SESSION, "frame", F.lit(r.name).alias("rule"), "active", "fired")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """session, frame, rule, active, fired. A held rule is active once its condition has held for duration_us by the clock; it fires on turning active.
+
+    All rules are columns of one pass over the sessions' windows; only then does each frame become a row per rule.
+    """
+    w = along()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumns({f"raw_{i}": r.column() for i, r in enumerate(rules)})
+    turned = lambda c: F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(True))
+    d = d.withColumns({f"turned_{i}": F.when(turned(f"raw_{i}"), F.col(clock)) for i, r in enumerate(rules) if r.duration_us})
+    long = lambda i, r: F.col(clock) - F.last(f"turned_{i}", ignorenulls=True).over(so_far) >= r.duration_us
+    d = d.withColumns({f"active_{i}": F.col(f"raw_{i}") & long(i, r) if r.duration_us else F.col(f"raw_{i}") for i, r in enumerate(rules)})
+    before = lambda i: F.lag(f"active_{i}").over(w)
+    # leaving needs having been inside: a session's first frame doesn't fire it
+    fired = lambda i, r: F.col(f"active_{i}") & ~F.coalesce(before(i), F.lit(r.condition == "exit_edge"))
+    d = d.withColumns({f"fired_{i}": fired(i, r) for i, r in enumerate(rules)})
+    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.col(f"active_{i}").alias("active"), F.col(f"fired_{i}").alias("fired")) for i, r in enumerate(rules)))
+    return d.select(SESSION, "frame", F.explode(each).alias("r")).select(SESSION, "frame", "r.*")
 
 
 def interaction(df: DataFrame, in_zone: Column, past_line: Column, facing_deg: Column, confirm_us: int = 100_000, most_deg: float = 45.0, dt: str = "dt_us") -> DataFrame:
