@@ -305,9 +305,10 @@ class Trees:
                     rows = np.flatnonzero(at == k)
                     best = (1e-6, 0, np.inf, None)
                     if len(rows) >= 8:
+                        own_g, own_h = g[rows], h[rows]
                         for f in range(x.shape[1]):
                             b = binned[f, rows]
-                            gs, hs = (np.cumsum(np.bincount(b, w[rows], len(edges[f]) + 1)) for w in (g, h))
+                            gs, hs = (np.cumsum(np.bincount(b, w, len(edges[f]) + 1)) for w in (own_g, own_h))
                             gain = gs[:-1] ** 2 / (hs[:-1] + ridge) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + ridge) - gs[-1] ** 2 / (hs[-1] + ridge)
                             if len(gain) and gain.max() > best[0]:
                                 j = int(gain.argmax())
@@ -409,7 +410,7 @@ def teaching_pages(n: int, seed: int) -> list[Node]:
         return pick([f"<footer{attr('footer')}>{inner}</footer>", f"<div{sure('footer', 'site-footer', 'foot', 'copyright')}>{inner}</div>"])
 
     def article() -> str:
-        k = rng.choice([1, 2, 4, 8, 14, 30] if rng.random() < 0.9 else [70, 150, 300])
+        k = rng.choice([1, 2, 4, 8, 14, 30] if rng.random() < 0.95 else [70, 160])
         body = []
         for _ in range(k):
             p = prose(1, pick([1, 2, 6, 14]))
@@ -479,9 +480,9 @@ class Model:
         return [text_of(t, decode(t, margins[e - len(t) : e])) for t, e in zip(read, ends)]
 
 
-def fit(pages: int = 500, seed: int = 7) -> Model:
-    """Learns words from some pages and trees from as many others, so that words don't seem surer than they are."""
-    odds = learned_words([n for r in teaching_pages(pages, seed + 1) for n in nodes_of(r)])
+def fit(pages: int = 400, seed: int = 7) -> Model:
+    """Learns trees from pages, and words from half as many others, so that words don't seem surer than they are."""
+    odds = learned_words([n for r in teaching_pages(pages // 2, seed + 1) for n in nodes_of(r)])
     read = [nodes_of(r) for r in teaching_pages(pages, seed)]
     return Model(Trees.fit(np.concatenate([features(t, odds) for t in read]), np.array([float(n.main) for t in read for n in t])), odds)
 
