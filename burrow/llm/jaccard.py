@@ -37,12 +37,13 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burrow.llm.components import components, spread_join
@@ -60,12 +61,12 @@ SLOTS_PER_TASK = 8
 CLASSES_PER_TASK = 4_000
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's 5-word shingles, or of all its words if it has fewer."""
+def shingle_set(text: bytes | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles of so many words, or of all its words if it has fewer."""
     words = hashes.of(text)
     if not len(words):
         return words
-    k = min(SHINGLE, len(words))
+    k = min(size, len(words))
     return np.unique(rolling(words, k) ^ np.uint64(k))
 
 
@@ -80,7 +81,9 @@ def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     has signatures for the buckets of all partners that are not larger. In a bucket:
     the hash space has a fixed number of parts; similar sets differ in at most ``apart`` shingles, so at most in
     as many parts. Of the others some may be empty in both: at least ``common`` parts hold the same and something.
-    Leaving out the ``common - need`` largest signatures still leaves ``need`` shared ones.
+    Each set keeps its smallest ``apart + goal`` signatures, ``goal`` being the bucket's and the same for all its sets:
+    at most ``apart`` of a set's are unshared, so both keep the ``goal`` smallest shared ones, or all if there are
+    fewer. A set with ``common`` below the goal is sure of that many only, and asks for no more.
     A set with too many empty parts (``common`` < 1) can only miss sets of the same kind; these get single shingles of a
     prefix, too, of which similar sets share one.
     """
@@ -93,15 +96,14 @@ def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         signed = mixed(np.add.reduceat(s, starts) ^ mixed(part[starts] + np.uint64(parts << 32)))
-        common = parts - apart - (parts - len(starts))
-        need = max(1, min(common, -(-n // 20)))
-        if common > need:
-            signed = np.sort(signed)[: len(signed) - common + need]
+        common, goal = len(starts) - apart, -(-(3 << j) // 40)
+        if common > goal:
+            signed = np.sort(signed)[: apart + goal]
         elif common < 1:
             prefix = s[: n - -(-percent * n // 100) + 1]
             signed = np.concatenate([signed, mixed(prefix ^ np.uint64(parts))])
         found.append(signed)
-        needs.append(np.full(len(signed), need, np.int32))
+        needs.append(np.full(len(signed), max(1, min(common, goal)), np.int32))
     return np.concatenate(found), np.concatenate(needs)
 
 
@@ -162,13 +164,13 @@ class Index:
         return out
 
 
-def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], percent: int, index_of: Callable = Index) -> list[tuple[int, int]]:
     """Links that connect the members of each component of one block, and no more than that.
 
     Sets are queries one after the other until some component is found, then all sets outside
     the component with the most sets that weren't queries, until one component holds all of these.
     """
-    index = Index(sets)
+    index = index_of(sets)
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -201,6 +203,22 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         waiting = [q for q in waiting if q not in done]
 
 
+@dataclass(frozen=True)
+class Search:
+    """How near copies are looked for: the words of a shingle, the least similarity, what stands for a set in the search for candidates, and the index of a block.
+
+    ``tokens`` gives a set's tokens and for each the least number of them that it shares with any similar set.
+    """
+
+    size: int
+    percent: int
+    tokens: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+    index: Callable[[list[np.ndarray]], object]
+
+    def set_of(self, text: bytes | None) -> np.ndarray:
+        return shingle_set(text, per_worker("run hashes", lambda: WordHashes("run")), self.size)
+
+
 class BitFilter:
     """A bit table for hashes, in proportion to their number; what isn't set isn't among them.
 
@@ -247,41 +265,41 @@ def unpacked(packed: list[bytes]) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0], dtype=np.uint32) for p in packed])
 
 
-def _read(docs: DataFrame) -> DataFrame:
+def _read(docs: DataFrame, how: Search) -> DataFrame:
     """doc_id, text_hash, n_shingles, class of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("run hashes", lambda: WordHashes("run"))
         for b in batches:
             sizes, classes = [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
-                s = shingle_set(t, hashes)
+                s = how.set_of(t)
                 sizes.append(len(s))
                 classes.append(class_of(s))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "class"])
 
     rows = docs.select(column(docs, "doc_id", "long"), column(docs, "text", "string"), F.xxhash64(column(docs, "text", "string")).alias("text_hash"))
-    return written(rows.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long"), "shingle-classes")
+    return rows.mapInArrow(read, "doc_id long, text_hash long, n_shingles long, class long")
 
 
-def _signed_batch(texts: pa.Array, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Class, set size, signatures and their needs of each class among the texts."""
-    hashes = per_worker("run hashes", lambda: WordHashes("run"))
+def _signed_batch(texts: pa.Array, how: Search) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Class, set size, tokens and their needs of each class among the texts that has any."""
     seen: set[int] = set()
     for t in texts.cast(pa.binary()).to_pylist():
-        s = shingle_set(t, hashes)
+        s = how.set_of(t)
         c = class_of(s)
         if len(s) and c not in seen:
             seen.add(c)
-            yield c, len(s), *signatures(s, percent)
+            tokens, needs = how.tokens(s, how.percent)
+            if len(tokens):
+                yield c, len(s), tokens, needs
 
 
-def _shared(docs: DataFrame, percent: int, slot_bits: int) -> DataFrame:
+def _shared(docs: DataFrame, how: Search, slot_bits: int) -> DataFrame:
     """key: the highest 32 + slot_bits bits of signatures that two texts have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [s for _, _, s, _ in _signed_batch(b.column(0), percent)]
+            found = [s for _, _, s, _ in _signed_batch(b.column(0), how)]
             rows = list(pack(np.concatenate(found), slot_bits)) if found else []
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["slot", "packed"])
 
@@ -297,7 +315,7 @@ def _shared(docs: DataFrame, percent: int, slot_bits: int) -> DataFrame:
     return sent.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(find, "key long")
 
 
-def _signed(docs: DataFrame, percent: int, among: BitFilter | None) -> DataFrame:
+def _signed(docs: DataFrame, how: Search, among: BitFilter | None) -> DataFrame:
     """token, class, n, need: signatures of texts that have enough of them in among, and only these; all if among is None."""
     shared = docs.sparkSession.sparkContext.broadcast(among)  # at most 2^26 bytes
 
@@ -305,7 +323,7 @@ def _signed(docs: DataFrame, percent: int, among: BitFilter | None) -> DataFrame
         f = shared.value
         for b in batches:
             tokens, classes, sizes, needs, counts = [np.empty(0, np.uint64)], [], [], [], []
-            for c, n, found, need in _signed_batch(b.column(0), percent):
+            for c, n, found, need in _signed_batch(b.column(0), how):
                 if f is not None:
                     found = found[f.among(found)]
                 if len(found) >= need.min():
@@ -320,22 +338,24 @@ def _signed(docs: DataFrame, percent: int, among: BitFilter | None) -> DataFrame
     return docs.select(column(docs, "text", "string")).mapInArrow(cut, "token long, class long, n int, need int").groupBy("token", "class").agg(F.first("n").alias("n"), F.first("need").alias("need"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, shingles of the classes, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(BitFilter.of(classes, "class"))  # at most 2^26 bytes
+def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, how: Search) -> DataFrame:
+    """class, shingles of the classes, each once. rows: what ``_read`` gives; one text stands for its class."""
+    texts = written(rows.groupBy("class").agg(F.min("text_hash").alias("text_hash")).join(classes, "class"), "class-texts")
+    shared = docs.sparkSession.sparkContext.broadcast(BitFilter.of(texts, "text_hash"))  # at most 2^26 bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, f = per_worker("run hashes", lambda: WordHashes("run")), shared.value
+        f = shared.value
         for b in batches:
+            chosen = b.column(0) if f is None else b.column(0).filter(pa.array(f.among(b.column(1).to_numpy().view(np.uint64))))
             found: dict[int, np.ndarray] = {}
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(t, hashes)
-                c = class_of(s)
-                if len(s) and c not in found and (f is None or f.among(np.array([c], np.int64).view(np.uint64))[0]):
-                    found[c] = s
+            for t in chosen.cast(pa.binary()).to_pylist():
+                s = how.set_of(t)
+                if len(s):
+                    found.setdefault(class_of(s), s)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["class", "shingles"])
 
-    sent = docs.select(column(docs, "text", "string")).mapInArrow(send, "class long, shingles binary")
+    text = column(docs, "text", "string")
+    sent = docs.select(text, F.xxhash64(text).alias("text_hash")).mapInArrow(send, "class long, shingles binary")
     return sent.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
@@ -357,12 +377,12 @@ def _emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
-    """a, b: links between classes of docs, of so many shingles in all, that connect each of their components."""
-    spark = docs.sparkSession
-    slot_bits = min(31, max(0, (shingles // (2 * SLOT_KEYS)).bit_length()))
-    shared = written(_shared(docs, percent, slot_bits), "shared-signatures")
-    own = written(_signed(docs, percent, BitFilter.of(shared, "key", 32 + slot_bits)), "own-signatures")
+def links(docs: DataFrame, rows: DataFrame, how: Search, tokens: int) -> DataFrame:
+    """a, b: links between classes of docs, of about so many tokens in all, that connect each of their components. rows: what ``_read`` gives."""
+    spark, percent = docs.sparkSession, how.percent
+    slot_bits = min(31, max(0, (tokens // SLOT_KEYS).bit_length()))
+    shared = written(_shared(docs, how, slot_bits), "shared-signatures")
+    own = written(_signed(docs, how, BitFilter.of(shared, "key", 32 + slot_bits)), "own-signatures")
     ends = own.groupBy("token").agg(F.min("class").alias("center"), F.max("class").alias("last")).where("center <> last")
     met = own.join(ends.select("token", "center"), "token")
     enough = met.groupBy("class").agg(F.min("center").alias("family"), F.first("n").alias("n"), F.first("need").alias("need"), F.count("*").alias("held")).where("held >= need")
@@ -377,14 +397,14 @@ def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
     others = placed.where("blocks > 1 AND class = pivot").select("class", F.col("block").alias("own"), "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("i"))
     pivots = others.select("class", "own", F.xxhash64("family", "i").alias("block")).where("block <> own")
     targets = placed.select("class", "block", F.lit(True).alias("home")).unionByName(pivots.select("class", "block", F.lit(False).alias("home")))
-    sets = written(_sets(docs, placed.select("class")).join(targets, "class"), "sets")
+    sets = written(_sets(docs, rows, placed.select("class"), how).join(targets, "class"), "sets")
     inside = sets.select("block", "class", "shingles")
     sets = sets.where("home").drop("home")
 
     def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 3):
             rows.sort(key=lambda r: (len(r[1]), r[0]))
-            found = block_links([np.frombuffer(s, np.uint64) for _, s in rows], percent)
+            found = block_links([np.frombuffer(s, np.uint64) for _, s in rows], percent, how.index)
             if found:
                 yield _emit([(rows[i][0], rows[j][0]) for i, j in found])
 
@@ -422,7 +442,7 @@ def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
     def search_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 5):
             held = [r for r in rows if not r[0]]
-            index = Index([np.frombuffer(r[3], np.uint64) for r in held])
+            index = how.index([np.frombuffer(r[3], np.uint64) for r in held])
             found = {}
             for _, c, label, s in (r for r in rows if r[0]):
                 for i in index.search(np.frombuffer(s, np.uint64), percent):
@@ -435,12 +455,13 @@ def links(docs: DataFrame, percent: int, shingles: int) -> DataFrame:
     return first.unionByName(written(across, "links-across"))
 
 
-def _joined(docs: DataFrame, percent: int) -> DataFrame:
+def joined(docs: DataFrame, how: Search, tokens: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id per row. tokens: about how many a set of so many shingles has."""
     prepare(docs.sparkSession)
-    rows = _read(docs)
     with released():
-        shingles = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-        labels = components(links(docs, percent, shingles))
+        rows = written(_read(docs, how), "shingle-classes", keep=True)
+        count = rows.agg(F.sum(tokens(F.col("n_shingles"))).cast("long").alias("n")).first()["n"] or 0
+        labels = components(links(docs, rows, how, count))
         least = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
         named = least.join(labels.withColumnsRenamed({"node": "class"}), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
         smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -449,6 +470,10 @@ def _joined(docs: DataFrame, percent: int) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _joined(docs: DataFrame, percent: int) -> DataFrame:
+    return joined(docs, Search(SHINGLE, percent, signatures, Index), lambda n: F.floor(n / 2))
+
+
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id per row: documents link when 100 x intersection >= percent x union of their shingle sets."""
     return _joined(docs, percent).drop("text_hash")

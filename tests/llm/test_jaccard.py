@@ -21,7 +21,7 @@ def sets_of(data):
     return out
 
 
-def brute(data):
+def brute(data, sets_of=sets_of):
     sets = sets_of(data)
     root = list(range(len(sets)))
 
@@ -115,6 +115,45 @@ def test_similar_sets_share_enough_signatures():
                 assert len(np.intersect1d(p, q)) >= max(needed_p.min(), needed_q.min())
 
 
+def border_pair(rng, n):
+    """Sorted hash sets, the first of n hashes, that couldn't differ in one more and be similar enough."""
+    own = int(rng.integers(0, n // 5 + 1))
+    apart = (n - own) // 4
+    own = min(own, apart)
+    apart = (n - own) // 4
+    a = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+    b = np.concatenate([a[own:], rng.integers(0, 1 << 63, apart - own, np.uint64)])
+    return np.sort(a), np.sort(b)
+
+
+def test_border_pairs_share_what_either_needs():
+    """Every size from 5 to 130, at the exact border, where sizes straddle steps of the needs, too."""
+    rng = np.random.default_rng(15)
+    for n in range(5, 131):
+        for _ in range(150):
+            x, y = border_pair(rng, n)
+            assert 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+            (p, needed_p), (q, needed_q) = jaccard.signatures(x, 80), jaccard.signatures(y, 80)
+            assert len(np.intersect1d(p, q)) >= max(needed_p.min(), needed_q.min())
+
+
+def border_texts(pairs, words, more):
+    """Pairs of a text and the same text with words of its own behind; ids 2 i and 2 i + 1."""
+    rng = random.Random(16)
+    out = []
+    for i in range(pairs):
+        w = [f"{corpus.word(rng)}{rng.randrange(1 << 40)}" for _ in range(words + more)]
+        out += [(2 * i, " ".join(w[:words]), "en", "s"), (2 * i + 1, " ".join(w), "en", "s")]
+    return out
+
+
+def test_no_border_pair_is_lost(spark):
+    """20 and 25 shingles, 20 of them shared: all of 4,000 pairs link."""
+    got = jaccard.join(corpus.frame(spark, border_texts(4000, 24, 5))).collect()
+    assert {r["n_shingles"] for r in got} == {20, 25}
+    assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def test_sets_with_many_empty_parts_meet():
     """Shingles that all fall into one part, so that hardly any part is held."""
     rng = np.random.default_rng(13)
