@@ -93,6 +93,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=0, capacity=2048)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm.minhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -105,10 +111,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_minhash": op11_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from burrow.llm import twins
 
-    return {"op1_decontamination": twins.DECONTAMINATION, "op4_quality_rules": twins.QUALITY, "op6_jaccard_join": twins.JACCARD}
+    return {
+        "op1_decontamination": twins.DECONTAMINATION,
+        "op4_quality_rules": twins.QUALITY,
+        "op6_jaccard_join": twins.jaccard(5),
+        "op11_minhash": twins.MINHASH,
+    }

@@ -35,8 +35,11 @@ k AS (SELECT *, NOT base_failed AND NOT (norms IS NOT NULL AND n_words - lost <
 SELECT doc_id, n_words::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept,
 CASE WHEN kept THEN CASE WHEN norms IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x: trim(x, {_BLANKS}) = '' OR NOT list_contains(norms, {_NORM})), chr(10)) END END AS clean_text FROM k"""
 
-JACCARD = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_RUN}) AS w FROM documents),
-s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS sh FROM d, unnest(range(1, greatest(len(w) - 3, 2))) u(i) WHERE len(w) > 0),
+
+def jaccard(size: int) -> str:
+    """Components of documents whose sets of shingles of so many words have a Jaccard similarity of 0.8 or more."""
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_RUN}) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + {size - 1}], ' ') AS sh FROM d, unnest(range(1, greatest(len(w) - {size - 2}, 2))) u(i) WHERE len(w) > 0),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 o AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY a.r, b.r),
 e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
@@ -44,3 +47,6 @@ links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT r, r AS t FROM n UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.t = links.a),
 c AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.least END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+
+
+MINHASH = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({jaccard(2)})"

@@ -19,6 +19,7 @@ COLUMNS = {
     "op7_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables aren't here")
