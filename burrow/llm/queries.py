@@ -99,6 +99,20 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm.prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"), block=100, most=6)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from burrow.llm.fim import restored, transform
+
+    out = restored(transform(table(spark, sf_dir, "documents"), unit="lines", seed=7, rate=100, spm=50))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -112,6 +126,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
         "op11_minhash": op11_minhash,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -123,4 +139,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": twins.QUALITY,
         "op6_jaccard_join": twins.jaccard(5),
         "op11_minhash": twins.MINHASH,
+        "op12_prefix_trie": twins.PREFIX_TRIE,
+        "op13_fill_in_middle": twins.FILL_IN_MIDDLE,
     }

@@ -50,3 +50,26 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL T
 
 
 MINHASH = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({jaccard(2)})"
+
+_BYTES = "flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+# the checksum's remainder: a byte goes in by exclusive or, then eight bits go out
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i, [coalesce(role, ''), coalesce(text, '')] AS t FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(t ORDER BY i) AS l FROM t GROUP BY conv_id), h AS (SELECT *, ({_CRC} % 6)::INT AS h FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS k FROM c, unnest(range(0, len(l) + 1)) u(d)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(k[d][2]) END AS own, sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends FROM p GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k, d)),
+s AS (SELECT x.k[1:u.e] AS k, u.e AS d, sum((kids = 0)::INT)::BIGINT AS leaves, sum(own)::BIGINT AS saved FROM f x, unnest(range(0, x.d + 1)) u(e) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, g.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.kids::BIGINT AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (k, d) LEFT JOIN n g ON f.d > 0 AND g.d = f.d - 1 AND g.k = f.k[1:f.d - 1]"""
+
+FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM d),
+h AS (SELECT *, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS c2,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || x[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM h)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

@@ -20,6 +20,8 @@ COLUMNS = {
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op11_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op12_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
     "op10_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables aren't here")
@@ -28,7 +30,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables aren'
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_duckdb(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = duck.sql(queries.oracle_sql()[name])
