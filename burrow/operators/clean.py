@@ -59,15 +59,19 @@ def held_clamp(df: DataFrame, most_speed: float, dt: str = "dt_us", x: str = "x"
     """Like ``teleport_gate`` but compares with the corrected position before, and holds that one where the speed is too high."""
 
     def start():
-        last: list = [None, None]
-
-        def step(r: dict) -> tuple:
-            px, py = r[x], r[y]
-            if px is not None and py is not None:
-                if last[0] is not None and r[dt] and math.hypot(px - last[0], py - last[1]) * 1e6 / r[dt] > most_speed:
-                    px, py = last
-                last[:] = [px, py]
-            return px, py
+        last = None
+
+        def step(xs: list, ys: list, gaps: list) -> tuple[list, list]:
+            nonlocal last
+            out_x, out_y = [], []
+            for px, py, gap in zip(xs, ys, gaps):
+                if px is not None and py is not None:
+                    if last is not None and gap and math.hypot(px - last[0], py - last[1]) * 1e6 / gap > most_speed:
+                        px, py = last
+                    last = px, py
+                out_x.append(px)
+                out_y.append(py)
+            return out_x, out_y
 
         return step
 
@@ -125,28 +129,25 @@ def one_euro(df: DataFrame, value: str, out: str, min_cutoff: float = 1.0, beta:
     """Low-pass filter whose cut-off rises with speed. The first known value passes; without time since it, the output stays; null stays null."""
 
     def start():
-        state: list = []
-
-        def smooth(cutoff: float, gap: float) -> float:
-            r = 2 * math.pi * cutoff * gap
-            return r / (r + 1)
-
-        def step(r: dict) -> tuple:
-            v, t = r[value], r[clock]
-            if v is None or math.isnan(v):
-                return (None,)
-            if not state:
-                state[:] = [v, 0.0, t]
-                return (v,)
-            level, slope, since = state
-            gap = (t - since) / 1e6
-            if gap <= 0:
-                return (level,)
-            share = smooth(d_cutoff, gap)
-            slope += share * ((v - level) / gap - slope)
-            share = smooth(min_cutoff + beta * abs(slope), gap)
-            state[:] = [level + share * (v - level), slope, t]
-            return (state[0],)
+        level, slope, since = None, 0.0, 0
+
+        def step(values: list, clocks: list) -> tuple[list]:
+            nonlocal level, slope, since
+            smooth = []
+            for v, t in zip(values, clocks):
+                if v is None or v != v:
+                    smooth.append(None)
+                    continue
+                if level is None:
+                    level, since = v, t
+                elif t > since:
+                    turn = 2 * math.pi * (t - since) / 1e6
+                    slope += d_cutoff * turn / (d_cutoff * turn + 1) * ((v - level) * 1e6 / (t - since) - slope)
+                    turn *= min_cutoff + beta * abs(slope)
+                    level += turn / (turn + 1) * (v - level)
+                    since = t
+                smooth.append(level)
+            return (smooth,)
 
         return step
 
@@ -158,12 +159,16 @@ def ema(df: DataFrame, value: str, out: str, tau: float) -> DataFrame:
     memory = math.exp(-1.0 / tau)
 
     def start():
-        s = [0.0]
+        level = 0.0
 
-        def step(r: dict) -> tuple:
-            if r[value] is not None:
-                s[0] = r[value] * (1 - memory) + memory * s[0]
-            return (s[0],)
+        def step(values: list) -> tuple[list]:
+            nonlocal level
+            levels = []
+            for v in values:
+                if v is not None:
+                    level = v * (1 - memory) + memory * level
+                levels.append(level)
+            return (levels,)
 
         return step
 
@@ -174,15 +179,16 @@ def forward_clock(df: DataFrame, clock: str, out: str, most_back: float = 250.0)
     """A clock that doesn't run backward: small steps back hold the last value, larger ones start anew from the new value."""
 
     def start():
-        last: list = [None]
+        last = None
 
-        def step(r: dict) -> tuple:
-            t = r[clock]
-            if t is not None:
-                if last[0] is not None and 0 < last[0] - t <= most_back:
-                    t = last[0]
-                last[0] = t
-            return (None if t is None else float(t),)
+        def step(clocks: list) -> tuple[list]:
+            nonlocal last
+            forward = []
+            for t in clocks:
+                if t is not None:
+                    last = float(t if last is None or not 0 < last - t <= most_back else last)
+                forward.append(None if t is None else last)
+            return (forward,)
 
         return step
 
@@ -205,132 +211,149 @@ def process_variance(df: DataFrame, x: str, y: str, measure: float, dt: str = "d
     return df.join(stats, list(keys), "left").fillna({"motion_q": 1000.0, "median_dt": 1 / 30})
 
 
+def _onward(x: float, u: float, a: float, b: float, d: float, h: float, q: float) -> tuple[float, float, float, float, float]:
+    """Place, velocity and covariance (a, b; b, d) after a time h of constant velocity, disturbed by accelerations of variance q."""
+    return x + h * u, u, a + h * (2 * b + h * d) + q * h**3 / 3, b + h * d + q * h * h / 2, d + q * h
+
+
 def rts(df: DataFrame, value: str, out: str, measure: float = 2.0, conf: str | None = None, dt: str = "dt_us", keys: tuple[str, ...] = ("session",)) -> DataFrame:
     """Constant-velocity Kalman filter and Rauch-Tung-Striebel smoother of one axis; needs motion_q and median_dt. Null stays null.
 
-    The forward scan leaves filtered and predicted states in columns, the backward scan reads them in
-    descending order, so memory doesn't grow with the recording.
+    The forward scan leaves the filtered states in columns; the backward scan reads them in
+    descending order and makes the predictions anew, so memory doesn't grow with the recording. Both need one exchange.
     """
 
     def forward():
-        s: list = []
-
-        def step(r: dict) -> tuple:
-            v, q = r[value], r["motion_q"]
-            h = r[dt] / 1e6 if r[dt] and r[dt] > 0 else r["median_dt"]
-            c = 1.0 if conf is None or r[conf] is None else min(max(r[conf], 0.05), 1.0)
-            noise = measure * measure / c
-            if not s:
-                if v is None:
-                    return (None,) * 11
-                s[:] = [v, 0.0, noise, 0.0, q * h * h]
-                return (*s, *s, h)
-            x, u, a, b, d = s
-            px, pu = x + h * u, u
-            pa_, pb, pd = a + 2 * h * b + h * h * d + q * h**3 / 3, b + h * d + q * h * h / 2, d + q * h
-            if v is None:
-                s[:] = [px, pu, pa_, pb, pd]
-            else:
-                k1, k2 = pa_ / (pa_ + noise), pb / (pa_ + noise)
-                s[:] = [px + k1 * (v - px), pu + k2 * (v - px), (1 - k1) * pa_, (1 - k1) * pb, pd - k2 * pb]
-            return (*s, px, pu, pa_, pb, pd, h)
+        now = None
+
+        def step(values: list, gaps: list, motion: list, usual: list, *confs: list) -> tuple[list, ...]:
+            nonlocal now
+            rows = []
+            for v, gap, q, median, *c in zip(values, gaps, motion, usual, *confs):
+                h = gap / 1e6 if gap and gap > 0 else median
+                noise = measure * measure / (min(max(c[0], 0.05), 1.0) if c and c[0] is not None else 1.0)
+                if now is None:
+                    now = None if v is None else (v, 0.0, noise, 0.0, q * h * h)
+                else:
+                    x, u, a, b, d = _onward(*now, h, q)
+                    if v is not None:
+                        gain, pull = a / (a + noise), b / (a + noise)
+                        x, u, a, b, d = x + gain * (v - x), u + pull * (v - x), a - gain * a, b - gain * b, d - pull * b
+                    now = x, u, a, b, d
+                rows.append((*(now or (None,) * 5), h))
+            return tuple(map(list, zip(*rows)))
 
         return step
 
-    names = [f"rts_{n}" for n in ("x", "u", "a", "b", "d", "px", "pu", "pa", "pb", "pd", "h")]
-
     def backward():
-        s: list = []
-
-        def step(r: dict) -> tuple:
-            if r["rts_x"] is None:
-                return (None,)
-            if not s:
-                x, u = r["rts_x"], r["rts_u"]
-            else:
-                x1, u1, px, pu, pa_, pb, pd, h = s
-                a, b, d = r["rts_a"], r["rts_b"], r["rts_d"]
-                det = pa_ * pd - pb * pb
-                ft = ((a + h * b, b), (b + h * d, d))  # P F'
-                g = [[(p * pd - w * pb) / det, (w * pa_ - p * pb) / det] for p, w in ft] if det > 0 else [[0.0, 0.0], [0.0, 0.0]]
-                x = r["rts_x"] + g[0][0] * (x1 - px) + g[0][1] * (u1 - pu)
-                u = r["rts_u"] + g[1][0] * (x1 - px) + g[1][1] * (u1 - pu)
-            s[:] = [x, u, r["rts_px"], r["rts_pu"], r["rts_pa"], r["rts_pb"], r["rts_pd"], r["rts_h"]]
-            return (None if r[value] is None else x,)
+        after = None
+
+        def step(values: list, motion: list, *states: list) -> tuple[list]:
+            nonlocal after
+            smooth = []
+            for v, q, x, u, a, b, d, h in zip(values, motion, *states):
+                if x is None:
+                    smooth.append(None)
+                    continue
+                if after is not None:
+                    x1, u1, h1 = after
+                    px, pu, pa_, pb, pd = _onward(x, u, a, b, d, h1, q)
+                    det = pa_ * pd - pb * pb
+                    if det > 0:
+                        # the states' covariance with the predicted ones, times the inverse of the latter's
+                        ex, eu = (pd * (x1 - px) - pb * (u1 - pu)) / det, (pa_ * (u1 - pu) - pb * (x1 - px)) / det
+                        x, u = x + (a + h1 * b) * ex + b * eu, u + (b + h1 * d) * ex + d * eu
+                after = x, u, h
+                smooth.append(None if v is None else x)
+            return (smooth,)
 
         return step
 
-    reads = [value, dt, "motion_q", "median_dt", *([conf] if conf else [])]
-    ahead = ordered_scan(df, forward, reads, ", ".join(f"{n} double" for n in names), keys)
-    return ordered_scan(ahead, backward, [value, *names], f"{out} double", keys, descending=True).drop(*names)
+    names = [f"rts_{n}" for n in "xuabdh"]
+    ahead = ordered_scan(df, forward, [value, dt, "motion_q", "median_dt", *([conf] if conf else [])], ", ".join(f"{n} double" for n in names), keys)
+    return ordered_scan(ahead, backward, [value, "motion_q", *names], f"{out} double", keys, descending=True, dealt=True).drop(*names)
 
 
-def two_state_path(df: DataFrame, evidence: str, out: str, cost: float = 0.15) -> DataFrame:
-    """The cheapest path of keep (false) or swap (true): contradicting evidence costs its size, each change ``cost``. Two scans."""
+def two_state_path(df: DataFrame, evidence: str, out: str, cost: float = 0.15, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """The cheapest path of keep (false) or swap (true): contradicting evidence costs its size, each change ``cost``. Two scans, one exchange."""
 
     def forward():
-        best: list = []
-
-        def step(r: dict) -> tuple:
-            e = r[evidence] or 0.0
-            here = (max(0.0, -e), max(0.0, e))
-            if not best:
-                best[:] = here
-                back = (0, 1)
-            else:
-                back = tuple(1 - s if best[1 - s] + cost < best[s] else s for s in (0, 1))
-                best[:] = [min(best[s], best[1 - s] + cost) + here[s] for s in (0, 1)]
-            return (back[0], back[1], int(best[1] < best[0]))
+        keep = swap = None
+
+        def step(evidences: list) -> tuple[list, list, list]:
+            nonlocal keep, swap
+            from_keep, from_swap, better = [], [], []
+            for e in evidences:
+                e = e or 0.0
+                turned = keep is not None and swap + cost < keep, keep is not None and keep + cost < swap
+                if keep is None:
+                    keep = swap = 0.0
+                keep, swap = min(keep, swap + cost) + max(0.0, -e), min(swap, keep + cost) + max(0.0, e)
+                from_keep.append(int(turned[0]))
+                from_swap.append(int(not turned[1]))
+                better.append(int(swap < keep))
+            return from_keep, from_swap, better
 
         return step
 
     def backward():
-        state: list = []
+        state = None
 
-        def step(r: dict) -> tuple:
-            now = state[0] if state else r["vp_last"]
-            state[:] = [r["vp_keep"] if now == 0 else r["vp_swap"]]
-            return (bool(now),)
+        def step(from_keep: list, from_swap: list, better: list) -> tuple[list]:
+            nonlocal state
+            path = []
+            for a, b, last in zip(from_keep, from_swap, better):
+                now = last if state is None else state
+                state = b if now else a
+                path.append(bool(now))
+            return (path,)
 
         return step
 
-    ahead = ordered_scan(df, forward, [evidence], "vp_keep int, vp_swap int, vp_last int")
-    return ordered_scan(ahead, backward, ["vp_keep", "vp_swap", "vp_last"], f"{out} boolean", descending=True).drop("vp_keep", "vp_swap", "vp_last")
+    names = ["vp_keep", "vp_swap", "vp_last"]
+    ahead = ordered_scan(df, forward, [evidence], ", ".join(f"{n} int" for n in names), keys)
+    return ordered_scan(ahead, backward, names, f"{out} boolean", keys, descending=True, dealt=True).drop(*names)
 
 
 def crossed_pairs(df: DataFrame, threshold: float = 0.3, anchor: tuple[str, str] | None = None, first_is_farther: bool = True) -> DataFrame:
     """df with crossed: whether the two points (ax, ay) and (bx, by) have exchanged names.
 
-    The state toggles where exchanging them shortens both points' way from the frame before by
-    more than ``threshold`` of it and, with an anchor point, puts the first point on its proper side of the
-    anchor when it wasn't. Frames without both points keep the state.
+    The state toggles where exchanging the points takes more than ``threshold`` off the way both have come since the last
+    frame that had them and, with an anchor point, brings the first one on its proper side of the anchor (farther from it
+    than the second, or nearer). Frames without both points keep the state.
     """
-    columns = ["ax", "ay", "bx", "by", *(anchor or ())]
 
     def start():
-        crossed, last = [False], []
-
-        def step(r: dict) -> tuple:
-            if any(r[c] is None for c in columns[:4]):
-                return (crossed[0],)
-            one, two = (r["ax"], r["ay"]), (r["bx"], r["by"])
-            if crossed[0]:
-                one, two = two, one
-            if last:
-                stay, turn = math.dist(one, last[0]) + math.dist(two, last[1]), math.dist(two, last[0]) + math.dist(one, last[1])
-                fits = True
-                if anchor:
-                    at = (r[anchor[0]], r[anchor[1]])
-                    fits = None not in at and (math.dist(two, at) > math.dist(one, at)) == first_is_farther and math.dist(one, at) != math.dist(two, at)
-                if fits and stay > 0 and (stay - turn) / stay > threshold:
-                    crossed[0] = not crossed[0]
-                    one, two = two, one
-            last[:] = [one, two]
-            return (crossed[0],)
+        crossed, before = False, None
+
+        def placed(one: complex, two: complex, at: list) -> bool:
+            if anchor is None:
+                return True
+            if None in at:
+                return False
+            far = abs(one - complex(*at)) - abs(two - complex(*at))
+            return far > 0 if first_is_farther else far < 0
+
+        def step(ax: list, ay: list, bx: list, by: list, *anchors: list) -> tuple[list]:
+            nonlocal crossed, before
+            states = []
+            for x1, y1, x2, y2, *at in zip(ax, ay, bx, by, *anchors):
+                if None not in (x1, y1, x2, y2):
+                    pair = complex(x1, y1), complex(x2, y2)
+                    one, two = pair[::-1] if crossed else pair
+                    if before:
+                        way = abs(one - before[0]) + abs(two - before[1])
+                        other = abs(two - before[0]) + abs(one - before[1])
+                        if way - other > threshold * way and placed(two, one, at):
+                            crossed = not crossed
+                            one, two = two, one
+                    before = one, two
+                states.append(crossed)
+            return (states,)
 
         return step
 
-    return ordered_scan(df, start, columns, "crossed boolean")
+    return ordered_scan(df, start, ["ax", "ay", "bx", "by", *(anchor or ())], "crossed boolean")
 
 
 def refined(df: DataFrame, conf: str = "conf", most_gap_us: int = 250_000) -> DataFrame:

@@ -55,13 +55,16 @@ def chunk_times(chunks: DataFrame, rate: float, snap_s: float = 0.001) -> DataFr
     """
 
     def begin():
-        end = [0.0]
-
-        def step(r: dict) -> tuple:
-            own = r["start_ms"] / 1000.0
-            start = end[0] if abs(end[0] - own) < snap_s else own
-            end[0] = start + r["chunk_n"] / rate
-            return (start,)
+        end = 0.0
+
+        def step(starts: list, sizes: list) -> tuple[list]:
+            nonlocal end
+            seated = []
+            for ms, n in zip(starts, sizes):
+                start = end if abs(end - ms / 1000.0) < snap_s else ms / 1000.0
+                end = start + n / rate
+                seated.append(start)
+            return (seated,)
 
         return step
 

@@ -22,13 +22,17 @@ def features(df: DataFrame, dt: str = "dt_us", alpha: float = 0.4, body_frames:
     d = df.withColumn("raw_speed", F.coalesce(F.when(F.col(dt) > 0, step * 1e6 / F.col(dt)), F.lit(0.0)))
 
     def start():
-        level = [None]
+        level = None
 
-        def one(r: dict) -> tuple:
-            level[0] = r["raw_speed"] if level[0] is None else level[0] + alpha * (r["raw_speed"] - level[0])
-            return (level[0],)
+        def step(speeds: list) -> tuple[list]:
+            nonlocal level
+            levels = []
+            for v in speeds:
+                level = v if level is None else level + alpha * (v - level)
+                levels.append(level)
+            return (levels,)
 
-        return one
+        return step
 
     d = ordered_scan(d, start, ["raw_speed"], "speed_ema double")
     d = d.withColumn("heading", heading(F.col("hx") - F.col("tx"), F.col("hy") - F.col("ty")))
