@@ -1,10 +1,10 @@
-"""Queries of the live filters, as batch scans; the streams' tests hold them against these. The twins are recursive."""
+"""Queries of the live filters and of what runs tell, in batch; the streams' tests hold them against these. The twins are recursive."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from burrow.operators import tracking
+from burrow.operators import events, live, tracking
 from burrow.plans.registry import FRAMES, frames, query
 
 #: Frames of a session on a clock a million times as fast; two of five events are frames without a position.
@@ -64,3 +64,34 @@ def live_parts(spark, sf_dir):
     p = e.select("session", "frame", F.concat(F.lit("p"), F.col("j").cast("string")).alias("part"), (F.col("frame") * 33_000).alias("t_us"), x.alias("x"), at(1).alias("y"), F.lit(0.8).alias("conf"))
     told = F.col("kx").isNotNull()
     return tracking.kept_points(p).groupBy("session", "part").agg(F.count_if(told & ~F.col("filled")).alias("seen"), F.count_if("filled").alias("filled"), F.count_if(~told).alias("gone"), F.round(F.sum("kx"), 3).alias("sum_x"), F.round(F.sum("ky"), 3).alias("sum_y"))
+
+
+_DAY = 86_400_000_000
+
+
+@query("stall_events", f"""WITH {FRAMES}, g AS (SELECT session, t_us, lag(t_us) OVER w AS b, coalesce(lead(t_us) OVER w, (SELECT max(t_us) FROM d)) AS a FROM d WINDOW w AS (PARTITION BY session ORDER BY frame))
+SELECT session, t_us + {2 * _DAY} AS t_us, 'stalled' AS event FROM g WHERE a - t_us > {2 * _DAY} UNION ALL SELECT session, t_us, 'recovered' FROM g WHERE t_us - b > {2 * _DAY}""")
+def stall_events(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return live.stall_edges(f, 2 * _DAY, f.agg(F.max("t_us")).first()[0])
+
+
+@query("run_ticks", f"""WITH {FRAMES}, r AS (SELECT *, sum((zone = 'signup')::INT) OVER (PARTITION BY session ORDER BY frame) AS run, max(t_us) OVER (PARTITION BY session) AS fin FROM d),
+s AS (SELECT *, sum((zone = 'error')::INT) OVER (PARTITION BY session, run ORDER BY frame) AS stops FROM r WHERE run > 0),
+p AS (SELECT session, run, fin, min(t_us) FILTER (WHERE zone = 'signup') AS since, min(t_us) FILTER (WHERE zone = 'error') AS stopped FROM s GROUP BY ALL),
+u AS (SELECT *, coalesce(stopped, lead(since) OVER (PARTITION BY session ORDER BY run), fin) AS until FROM p),
+t AS (SELECT session, run, since + i*{_DAY} AS t_us FROM u, unnest(range(1, (until - since)//{_DAY} + 1)) q(i)),
+c AS (SELECT t.session, t.t_us, count(*) FILTER (WHERE zone = 'click') AS clicks, count(*) FILTER (WHERE zone = 'purchase') AS purchases FROM t LEFT JOIN s ON s.session = t.session AND s.run = t.run AND s.zone <> 'signup' AND s.stops = 0 AND s.t_us < t.t_us GROUP BY ALL)
+SELECT *, round(CASE WHEN clicks <> 0 THEN 100.0*purchases/clicks ELSE 0 END, 6) AS share FROM c""")
+def run_ticks(spark, sf_dir):
+    t = live.ticks(frames(spark, sf_dir), {"clicks": "click", "purchases": "purchase"}, F.col("zone") == "signup", F.col("zone") == "error", _DAY, name="zone")
+    return events.calculated(t, {"share": "round(100 * purchases / clicks, 6)"})
+
+
+@query("run_resets", f"""WITH {FRAMES}, r AS (SELECT *, sum((zone = 'signup')::INT) OVER (PARTITION BY session ORDER BY frame)::BIGINT AS run FROM d),
+m AS (SELECT *, lag(zone) OVER (PARTITION BY session, run ORDER BY frame) AS bz, lag(t_us) OVER (PARTITION BY session, run ORDER BY frame) AS bt FROM r WHERE zone IN ('view', 'purchase'))
+SELECT session, frame, run, 'count' AS kind, zone || 's' AS label, count(*) OVER (PARTITION BY session, run, zone ORDER BY frame) AS value FROM r WHERE zone IN ('click', 'view')
+UNION ALL SELECT session, frame, run, 'latency', 'bought', t_us - bt FROM m WHERE zone = 'purchase' AND bz = 'view'
+UNION ALL SELECT session, frame, run, 'token', upper(zone[1]), row_number() OVER (PARTITION BY session, run ORDER BY frame) FROM r WHERE zone IN ('click', 'purchase')""")
+def run_resets(spark, sf_dir):
+    return live.run_messages(frames(spark, sf_dir), F.col("zone") == "signup", {"clicks": "click", "views": "view"}, {"bought": ("view", "purchase")}, {"C": "click", "P": "purchase"}, name="zone")

@@ -2,10 +2,10 @@
 
 ``stepped`` runs a ``Steps`` object over each key's rows. State is one tuple in the state store, whatever the key has seen;
 ``transformWithState`` holds it, so a query restarts from its checkpoint and a lost executor's keys move on elsewhere. Rows come in
-micro-batches, in any order. Without ``late`` they are put in order within their micro-batch, and a row older than what the key has
-seen is left out, for what it would have changed has been told. With ``late``, a span by which rows may be late, rows wait in the
-store until the watermark has passed them, so all of them are handled in order, as a batch over the same rows would.
-Needs the RocksDB state store (``STORE``).
+micro-batches, in any order. Without ``waits`` they are put in order within their micro-batch, and a row older than what the key has
+seen is left out, for what it would have changed has been told. With ``waits`` rows stay in the store until the watermark has passed
+them, so all that are late by less than its span are handled in order, as a batch over the same rows would. Timers run on the watermark where there is
+one, else on the processing clock. Needs the RocksDB state store (``STORE``).
 """
 
 from __future__ import annotations
@@ -22,18 +22,22 @@ STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 
 
 class Steps:
-    """What a stream does with the rows of a key. Subclasses say what is read, kept and told."""
+    """What a stream does with the rows of a key. Subclasses say what is read, kept and told; the last column of ``state`` is never null."""
 
     reads: list[str] = []
     state: str = ""
     out: str = ""
 
-    def row(self, state: tuple | None, t_us: int, frame: int, *values) -> tuple[tuple | None, Iterable[tuple]]:
-        """The next state (None: forget the key) and rows to tell, of out's columns."""
+    def row(self, state: tuple | None, now_ms: int, t_us: int, frame: int, *values) -> tuple[tuple | None, Iterable[tuple]]:
+        """The next state (None: there is none) and rows to tell, of out's columns. now_ms: on the clock of the timers."""
         raise NotImplementedError
 
-    def wakes(self, state: tuple | None, now_ms: int) -> int | None:
-        """When (ms) to call ``woken`` if nothing else happens, on the clock of the stream's timers."""
+    def order(self, row: tuple) -> tuple:
+        """What rows (t_us, frame, values) of one key are sorted by; first the clock."""
+        return row[:2]
+
+    def wakes(self, state: tuple | None) -> int | None:
+        """When (ms) ``woken`` is due if nothing else happens."""
         return None
 
     def woken(self, state: tuple | None, now_ms: int) -> tuple[tuple | None, Iterable[tuple]]:
@@ -48,38 +52,43 @@ def _value(v):
 
 
 class _Processor(StatefulProcessor):
-    def __init__(self, steps: Steps, keys: list[str], waits: bool, timed: bool):
-        self.steps, self.keys, self.waits, self.timed = steps, keys, waits, timed
+    def __init__(self, steps: Steps, keys: list[str], kinds: dict[str, str], event: bool, waits: bool):
+        self.steps, self.keys, self.event, self.waits = steps, keys, event, waits
         self.columns = ["t_us", "frame", *steps.reads]
+        self.rows = ", ".join(f"{c} {kinds[c]}" for c in self.columns)
         self.names = [*keys, *(c.split()[0] for c in steps.out.split(", "))]
+        self.empty = (None,) * (steps.state.count(", ") + 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", f"{self.steps.state}, seen_us long")
         self.timer = handle.getValueState("timer", "at_ms long")
-        self.waiting = handle.getListState("waiting", self.row_schema) if self.waits else None
+        self.waiting = handle.getListState("waiting", self.rows)
 
     def close(self) -> None:
         pass
 
-    def _run(self, key: tuple, rows: list[tuple], now_ms: int, woken: bool = False) -> Iterator[pd.DataFrame]:
-        *held, seen = self.kept.get() if self.kept.exists() else (None, -(1 << 62))
-        # a key without state of its own has only the clock
-        state = tuple(held) if self.kept.exists() and held[-1] is not None else None
+    def _now(self, times) -> int:
+        return times.getCurrentWatermarkInMs() if self.event else times.getCurrentProcessingTimeInMs()
+
+    def _run(self, key: tuple, rows: list[tuple], now: int, rest: list[tuple] = ()) -> Iterator[pd.DataFrame]:
+        """Steps over the rows, then what is due by now, then the next timer."""
+        *held, seen = self.kept.get() if self.kept.exists() else (*self.empty, -(1 << 62))
+        state = tuple(held) if held[-1] is not None else None
         told: list[tuple] = []
-        for r in sorted(rows, key=lambda r: (r[0], r[1])):
-            if r[0] < seen:
-                continue
-            seen = r[0]
-            state, new = self.steps.row(state, *r)
-            told += new
-        if woken:
-            state, new = self.steps.woken(state, now_ms)
+        for r in sorted(rows, key=self.steps.order):
+            if r[0] >= seen:
+                seen = r[0]
+                state, new = self.steps.row(state, now, *r)
+                told += new
+        at = self.steps.wakes(state)
+        if at is not None and at <= now:
+            state, new = self.steps.woken(state, now)
             told += new
-        width = self.steps.state.count(",") + 1
-        self.kept.update((*(state if state is not None else (None,) * width), seen))
-        if self.timed and not self.waits:
-            self._wake(self.steps.wakes(state, now_ms))
+            at = self.steps.wakes(state)
+        self.kept.update((*(self.empty if state is None else state), seen))
+        due = [t for t in (at, min((r[0] // 1000 for r in rest), default=None)) if t is not None]
+        self._wake(min(due) if due else None)
         if told:
             yield pd.DataFrame([(*key, *r) for r in told], columns=self.names)
 
@@ -90,16 +99,15 @@ class _Processor(StatefulProcessor):
             return
         if old is not None:
             self.handle.deleteTimer(old)
-        if at is None:
             self.timer.clear()
-        else:
+        if at is not None:
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(map(_value, r)) for part in rows for r in part[self.columns].itertuples(index=False)]
         if not self.waits:
-            yield from self._run(key, new, timerValues.getCurrentProcessingTimeInMs())
+            yield from self._run(key, new, self._now(timerValues))
             return
         self.waiting.appendList(new)
         first = min(r[0] for r in new) // 1000
@@ -109,31 +117,27 @@ class _Processor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        if not self.waits:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            yield from self._run(key, [], now, woken=True)
-            return
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
-        ready = [tuple(r) for r in rows if r[0] // 1000 <= passed]
-        rest = [tuple(r) for r in rows if r[0] // 1000 > passed]
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(r[0] for r in rest) // 1000)
-        else:
-            self.waiting.clear()
-        yield from self._run(key, ready, passed)
-
-
-def stepped(df: DataFrame, steps: Steps, keys: tuple[str, ...] = ("session",), late: str | None = None, timers: bool = False) -> DataFrame:
+        now = self._now(timerValues)
+        ready, rest = [], []
+        if self.waits:
+            for r in self.waiting.get():
+                (ready if r[0] // 1000 <= now else rest).append(tuple(r))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        yield from self._run(key, ready, now, rest)
+
+
+def stepped(df: DataFrame, steps: Steps, keys: tuple[str, ...] = ("session",), late: str | None = None, waits: bool | None = None, timers: bool = False) -> DataFrame:
     """keys and the columns of steps.out, from a stream with the keys, t_us, frame and the columns steps reads.
 
-    late: how late rows may be ("10 seconds"); they then wait for the watermark. timers: whether ``wakes`` is asked, on the processing clock.
+    late: by how much rows may be late ("10 seconds"), the watermark's span. waits: whether rows wait for it; they do, if it is given. timers:
+    whether ``wakes`` is asked; on the processing clock if there is no watermark.
     """
     rows = df.select(*keys, "t_us", "frame", *steps.reads)
-    run = _Processor(steps, list(keys), late is not None, timers)
     kinds = dict(rows.dtypes)
-    run.row_schema = ", ".join(f"{c} {kinds[c]}" for c in run.columns)
+    run = _Processor(steps, list(keys), kinds, late is not None, late is not None if waits is None else waits)
     out = ", ".join([*(f"{k} {kinds[k]}" for k in keys), steps.out])
     if late is None:
         return rows.groupBy(*keys).transformWithStateInPandas(run, out, "append", "ProcessingTime" if timers else "None")

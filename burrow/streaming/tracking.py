@@ -15,7 +15,7 @@ class _Filter(Steps):
         self.how = how
         self.state, self.out = how.STATE, f"frame long, t_us long, {how.OUT}"
 
-    def row(self, state, t_us, frame, x, y, conf):
+    def row(self, state, now_ms, t_us, frame, x, y, conf):
         state, told = self.how.step(state, t_us, x, y, conf)
         return state, [(frame, t_us, *told)]
 
