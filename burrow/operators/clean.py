@@ -49,9 +49,15 @@ def jump_gate(df: DataFrame, spreads: float = 6, least_steps: int = 8, x: str =
     return _kept(d, ~F.coalesce(far, F.lit(False)), x, y).drop("jump", "jump_q", "jump_n", "jump_mad")
 
 
-def teleport_gate(df: DataFrame, most_speed: float, dt: str = "dt_us", x: str = "x", y: str = "y") -> DataFrame:
-    """Drops positions reached faster than most_speed per second from the position before, as recorded."""
-    step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(along()), 2) + F.pow(F.col(y) - F.lag(y).over(along()), 2))
+def teleport_gate(df: DataFrame, most_speed: float, dt: str = "dt_us", x: str = "x", y: str = "y", parts: tuple[str, ...] = (), hold: bool = False) -> DataFrame:
+    """Drops positions reached faster than most_speed per second from the position before, as recorded; with hold, that position takes their place."""
+    w = along(*parts)
+    step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
+    if hold:
+        # of a run of such positions each takes the corrected one before it, so all take the last kept one
+        d = df.withColumn("teleport", F.coalesce((F.col(dt) > 0) & (step * 1e6 / F.col(dt) > most_speed), F.lit(False)))
+        kept = {c: F.last(F.when(~F.col("teleport"), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["v"] for c in (x, y)}
+        return d.withColumns({f"kept_{c}": v for c, v in kept.items()}).withColumns({c: F.when(F.col("teleport"), F.col(f"kept_{c}")).otherwise(F.col(c)) for c in (x, y)}).drop("teleport", *(f"kept_{c}" for c in (x, y)))
     return _kept(df.withColumn("teleport", F.coalesce((F.col(dt) > 0) & (step * 1e6 / F.col(dt) > most_speed), F.lit(False))), ~F.col("teleport"), x, y).drop("teleport")
 
 
@@ -78,10 +84,10 @@ def held_clamp(df: DataFrame, most_speed: float, dt: str = "dt_us", x: str = "x"
     return ordered_scan(df, start, [x, y, dt], "clamped_x double, clamped_y double")
 
 
-def fill_gaps(df: DataFrame, most_us: int, clock: str = "t_us", *columns: str) -> DataFrame:
+def fill_gaps(df: DataFrame, most_us: int, clock: str = "t_us", *columns: str, parts: tuple[str, ...] = ()) -> DataFrame:
     """Straight lines in time across gaps of at most most_us between known values; longer and open gaps stay null."""
-    before = along().rowsBetween(Window.unboundedPreceding, -1)
-    after = along().rowsBetween(1, Window.unboundedFollowing)
+    before = along(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    after = along(*parts).rowsBetween(1, Window.unboundedFollowing)
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(clock).alias("t"), F.col(c).alias("v")))
         d = df.withColumn("known", known).withColumns({"a": F.last("known", ignorenulls=True).over(before), "b": F.first("known", ignorenulls=True).over(after)})
@@ -91,19 +97,19 @@ def fill_gaps(df: DataFrame, most_us: int, clock: str = "t_us", *columns: str) -
     return df
 
 
-def rolling_median(df: DataFrame, value: str, out: str, half: int = 2) -> DataFrame:
+def rolling_median(df: DataFrame, value: str, out: str, half: int = 2, parts: tuple[str, ...] = ()) -> DataFrame:
     """Median of the known values among a frame and ``half`` frames on either side; null where all are."""
-    return df.withColumn(out, F.percentile(value, 0.5).over(along().rowsBetween(-half, half)))
+    return df.withColumn(out, F.percentile(value, 0.5).over(along(*parts).rowsBetween(-half, half)))
 
 
 #: A centred quadratic fit over seven points.
 SAVGOL_7_2 = (-2.0, 3.0, 6.0, 7.0, 6.0, 3.0, -2.0)
 
 
-def savgol(df: DataFrame, value: str, out: str) -> DataFrame:
+def savgol(df: DataFrame, value: str, out: str, parts: tuple[str, ...] = ()) -> DataFrame:
     """Quadratic smoothing over seven frames; the first and last three frames mirror the series at its ends. Null where any of the seven is."""
-    w = along()
-    d = df.withColumns({"sg_i": F.row_number().over(w), "sg_n": F.count("*").over(Window.partitionBy("session"))})
+    w = along(*parts)
+    d = df.withColumns({"sg_i": F.row_number().over(w), "sg_n": F.count("*").over(Window.partitionBy("session", *parts))})
 
     def at(k: int) -> Column:
         straight = F.lag(value, -k).over(w) if k < 0 else (F.lead(value, k).over(w) if k else F.col(value))
@@ -125,7 +131,19 @@ def savgol(df: DataFrame, value: str, out: str) -> DataFrame:
     return d.withColumn(out, F.when(F.col("sg_n") >= 7, total).otherwise(F.col(value))).drop("sg_i", "sg_n")
 
 
-def one_euro(df: DataFrame, value: str, out: str, min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0, clock: str = "t_us", keys: tuple[str, ...] = ("session",)) -> DataFrame:
+def zero_lag(df: DataFrame, value: str, parts: tuple[str, ...] = ()) -> DataFrame:
+    """Quadratic smoothing over seven frames that keeps holes: they are bridged by straight lines (by place) for the smoothing, and are holes again."""
+    w = along(*parts)
+    d = df.withColumn("zl_i", F.row_number().over(w))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("zl_i").alias("i"), F.col(value).alias("v")))
+    d = d.withColumns({"zl_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "zl_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    line = F.col("zl_a.v") + (F.col("zl_b.v") - F.col("zl_a.v")) * (F.col("zl_i") - F.col("zl_a.i")) / F.nullif(F.col("zl_b.i") - F.col("zl_a.i"), F.lit(0))
+    d = d.withColumns({"zl": F.coalesce(line, "zl_a.v", "zl_b.v"), "zl_n": F.count(value).over(Window.partitionBy("session", *parts))})
+    d = savgol(d, "zl", "zl_s", parts)
+    return d.withColumn(value, F.when(F.col(value).isNotNull(), F.when(F.col("zl_n") >= 2, F.col("zl_s")).otherwise(F.col(value)))).drop("zl", "zl_i", "zl_a", "zl_b", "zl_s", "zl_n")
+
+
+def one_euro(df: DataFrame, value: str, out: str, min_cutoff: float = 1.0, beta: float = 0.007, d_cutoff: float = 1.0, clock: str = "t_us", keys: tuple[str, ...] = ("session",), dealt: bool = False) -> DataFrame:
     """Low-pass filter whose cut-off rises with speed. The first known value passes; without time since it, the output stays; null stays null."""
 
     def start():
@@ -151,7 +169,7 @@ def one_euro(df: DataFrame, value: str, out: str, min_cutoff: float = 1.0, beta:
 
         return step
 
-    return ordered_scan(df, start, [value, clock], f"{out} double", keys)
+    return ordered_scan(df, start, [value, clock], f"{out} double", keys, dealt=dealt)
 
 
 def ema(df: DataFrame, value: str, out: str, tau: float) -> DataFrame:
@@ -216,7 +234,7 @@ def _onward(x: float, u: float, a: float, b: float, d: float, h: float, q: float
     return x + h * u, u, a + h * (2 * b + h * d) + q * h**3 / 3, b + h * d + q * h * h / 2, d + q * h
 
 
-def rts(df: DataFrame, value: str, out: str, measure: float = 2.0, conf: str | None = None, dt: str = "dt_us", keys: tuple[str, ...] = ("session",)) -> DataFrame:
+def rts(df: DataFrame, value: str, out: str, measure: float = 2.0, conf: str | None = None, dt: str = "dt_us", keys: tuple[str, ...] = ("session",), dealt: bool = False) -> DataFrame:
     """Constant-velocity Kalman filter and Rauch-Tung-Striebel smoother of one axis; needs motion_q and median_dt. Null stays null.
 
     The forward scan leaves the filtered states in columns; the backward scan reads them in
@@ -270,11 +288,11 @@ def rts(df: DataFrame, value: str, out: str, measure: float = 2.0, conf: str | N
         return step
 
     names = [f"rts_{n}" for n in "xuabdh"]
-    ahead = ordered_scan(df, forward, [value, dt, "motion_q", "median_dt", *([conf] if conf else [])], ", ".join(f"{n} double" for n in names), keys)
+    ahead = ordered_scan(df, forward, [value, dt, "motion_q", "median_dt", *([conf] if conf else [])], ", ".join(f"{n} double" for n in names), keys, dealt=dealt)
     return ordered_scan(ahead, backward, [value, "motion_q", *names], f"{out} double", keys, descending=True, dealt=True).drop(*names)
 
 
-def two_state_path(df: DataFrame, evidence: str, out: str, cost: float = 0.15, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+def two_state_path(df: DataFrame, evidence: str, out: str, cost: float = 0.15, keys: tuple[str, ...] = ("session",), dealt: bool = False) -> DataFrame:
     """The cheapest path of keep (false) or swap (true): contradicting evidence costs its size, each change ``cost``. Two scans, one exchange."""
 
     def forward():
@@ -311,28 +329,28 @@ def two_state_path(df: DataFrame, evidence: str, out: str, cost: float = 0.15, k
         return step
 
     names = ["vp_keep", "vp_swap", "vp_last"]
-    ahead = ordered_scan(df, forward, [evidence], ", ".join(f"{n} int" for n in names), keys)
+    ahead = ordered_scan(df, forward, [evidence], ", ".join(f"{n} int" for n in names), keys, dealt=dealt)
     return ordered_scan(ahead, backward, names, f"{out} boolean", keys, descending=True, dealt=True).drop(*names)
 
 
-def crossed_pairs(df: DataFrame, threshold: float = 0.3, anchor: tuple[str, str] | None = None, first_is_farther: bool = True) -> DataFrame:
+def crossed_pairs(df: DataFrame, threshold: float = 0.3, anchor: tuple[str, str] | None = None, farther: str | None = None) -> DataFrame:
     """df with crossed: whether the two points (ax, ay) and (bx, by) have exchanged names.
 
     The state toggles where exchanging the points takes more than ``threshold`` off the way both have come since the last
-    frame that had them and, with an anchor point, brings the first one on its proper side of the anchor (farther from it
-    than the second, or nearer). Frames without both points keep the state.
+    frame that had them and, with an anchor point, brings the first one on its proper side of the anchor: farther from it
+    than the second, or nearer where the column ``farther`` is false. Where it is null there is no anchor. Frames without both points keep the state.
     """
 
     def start():
         crossed, before = False, None
 
-        def placed(one: complex, two: complex, at: list) -> bool:
-            if anchor is None:
+        def placed(one: complex, two: complex, x: float | None, y: float | None, far: bool | None) -> bool:
+            if far is None:
                 return True
-            if None in at:
+            if x is None or y is None:
                 return False
-            far = abs(one - complex(*at)) - abs(two - complex(*at))
-            return far > 0 if first_is_farther else far < 0
+            more = abs(one - complex(x, y)) - abs(two - complex(x, y))
+            return more > 0 if far else more < 0
 
         def step(ax: list, ay: list, bx: list, by: list, *anchors: list) -> tuple[list]:
             nonlocal crossed, before
@@ -344,7 +362,7 @@ def crossed_pairs(df: DataFrame, threshold: float = 0.3, anchor: tuple[str, str]
                     if before:
                         way = abs(one - before[0]) + abs(two - before[1])
                         other = abs(two - before[0]) + abs(one - before[1])
-                        if way - other > threshold * way and placed(two, one, at):
+                        if way - other > threshold * way and placed(two, one, *at):
                             crossed = not crossed
                             one, two = two, one
                     before = one, two
@@ -353,7 +371,9 @@ def crossed_pairs(df: DataFrame, threshold: float = 0.3, anchor: tuple[str, str]
 
         return step
 
-    return ordered_scan(df, start, ["ax", "ay", "bx", "by", *(anchor or ())], "crossed boolean")
+    d = df.withColumn("anchor_far", F.lit(True if anchor else None).cast("boolean") if farther is None else F.col(farther))
+    d = d.withColumns({"anchor_x": F.col(anchor[0]), "anchor_y": F.col(anchor[1])} if anchor else {c: F.lit(None).cast("double") for c in ("anchor_x", "anchor_y")})
+    return ordered_scan(d, start, ["ax", "ay", "bx", "by", "anchor_x", "anchor_y", "anchor_far"], "crossed boolean").drop("anchor_x", "anchor_y", "anchor_far")
 
 
 def refined(df: DataFrame, conf: str = "conf", most_gap_us: int = 250_000) -> DataFrame:

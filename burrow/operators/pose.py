@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burrow.operators.repair import framed, learned_shapes
+
 KEYS = ("session", "frame")
 
 
@@ -34,30 +36,15 @@ def fits(points: DataFrame, shape: DataFrame) -> DataFrame:
     return s.select(*KEYS, "n", "ar", "ai", (F.col("mx") - F.col("ar") * F.col("msx") + F.col("ai") * F.col("msy")).alias("br"), (F.col("my") - F.col("ar") * F.col("msy") - F.col("ai") * F.col("msx")).alias("bi"))
 
 
-def first_shape(points: DataFrame) -> DataFrame:
-    """session, part, sx, sy from each session's earliest frame with the most parts, centred and scaled to 1."""
-    seen = points.where("x IS NOT NULL AND y IS NOT NULL")
-    best = seen.groupBy(*KEYS).agg(F.count("*").alias("n")).groupBy("session").agg(F.max_by("frame", F.struct("n", -F.col("frame"))).alias("frame"))
-    return _normal(seen.join(best, [*KEYS]).select("session", "part", F.col("x").alias("sx"), F.col("y").alias("sy")))
-
-
-def _normal(shape: DataFrame) -> DataFrame:
-    w = Window.partitionBy("session")
-    c = shape.withColumns({"sx": F.col("sx") - F.avg("sx").over(w), "sy": F.col("sy") - F.avg("sy").over(w)})
-    size = F.max(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))).over(w)
-    return c.withColumns({"sx": F.when(size > 0, F.col("sx") / size).otherwise(0.0), "sy": F.when(size > 0, F.col("sy") / size).otherwise(0.0)})
-
-
-def canonical_shape(points: DataFrame, rounds: int = 3) -> DataFrame:
-    """session, part, sx, sy: the mean shape of a session with missing parts, by fitting and averaging in turns."""
-    shape = first_shape(points)
-    for _ in range(rounds):
-        f = fits(points, shape).where("ar IS NOT NULL AND (ar * ar + ai * ai) > 1e-12")
-        size = F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai")
-        dx, dy = F.col("x") - F.col("br"), F.col("y") - F.col("bi")
-        back = points.where("x IS NOT NULL AND y IS NOT NULL").join(f, [*KEYS]).select("session", "part", ((dx * F.col("ar") + dy * F.col("ai")) / size).alias("sx"), ((dy * F.col("ar") - dx * F.col("ai")) / size).alias("sy"))
-        shape = _normal(back.groupBy("session", "part").agg(F.avg("sx").alias("sx"), F.avg("sy").alias("sy")))
-    return shape
+def canonical_shape(points: DataFrame, rounds: int = 8, anchors: int = 2) -> DataFrame:
+    """session, part, sx, sy: the mean shape of a session with missing parts, by fitting and averaging in turns until it settles (``repair.learned_shapes``)."""
+    parts = [r["part"] for r in points.select("part").distinct().orderBy("part").collect()]  # an animal's parts, a handful
+    if not parts:
+        return points.select("session", "part", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    timed = points.withColumns({"t_us": F.lit(0).cast("long"), "conf": F.lit(None).cast("double")})
+    shapes = learned_shapes(framed(timed, parts), len(parts), anchors, rounds)
+    cells = F.array(*(F.struct(F.lit(p).alias("part"), F.get("sx", F.lit(i)).alias("sx"), F.get("sy", F.lit(i)).alias("sy")) for i, p in enumerate(parts)))
+    return shapes.select("session", F.explode(cells).alias("p")).select("session", "p.*")
 
 
 def residuals(points: DataFrame, shape: DataFrame) -> DataFrame:

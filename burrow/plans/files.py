@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from burrow.functions.scalars import format_elapsed
 from burrow.plans.registry import FRAMES, frames, query, table
+from burrow.scratch import scratch
 from burrow.sources import sessions, zone_files
 
-
-def scratch(spark, name: str) -> str:
-    """A new path below the folder that the cluster shares; one of this machine only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return posixpath.join(where, f"{name}-{uuid.uuid4().hex}")
-
-
 _E = f"{FRAMES}, e AS (SELECT *, t_us // 1000 - min(t_us // 1000) OVER (PARTITION BY session) AS ms FROM d)"
 
 

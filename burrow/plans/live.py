@@ -79,4 +79,4 @@ def shape_residuals(spark, sf_dir):
 def placed_parts(spark, sf_dir):
     k = keypoints(spark, sf_dir)
     shape = pose.canonical_shape(k)
-    return pose.place_missing(pose.drop_mistracks(k, shape, rounds=1), shape).where("placed").select("session", "frame", "part", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return pose.place_missing(pose.drop_mistracks(k, shape), shape).where("placed").select("session", "frame", "part", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

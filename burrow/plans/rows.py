@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from burrow.functions import names
 from burrow.operators import joins, live, series, session_rows, zones
-from burrow.plans.files import scratch
 from burrow.plans.registry import FRAMES, frames, query, table
+from burrow.scratch import scratch
 from burrow.plans.space import ZONES, _inside, zone_table
 from burrow.sources import reports
 

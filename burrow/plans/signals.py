@@ -1,4 +1,4 @@
-"""Queries of cleaned and filtered signals. The twins of recursive filters are recursive, too; the smoother over both directions has none."""
+"""Queries of cleaned and filtered signals. The twins of recursive filters are recursive, too."""
 
 from __future__ import annotations
 
@@ -100,7 +100,19 @@ def one_euro(spark, sf_dir):
     return clean.one_euro(points(spark, sf_dir), "x", "smooth").select("session", "frame", F.round("smooth", 4).alias("smooth"))
 
 
-@query("rts_smoother")
+@query("rts_smoother", f"""WITH {_N}, d2 AS (SELECT *, x - 2*lag(x) OVER w + lag(x, 2) OVER w AS sx, y - 2*lag(y) OVER w + lag(y, 2) OVER w AS sy FROM n WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY session ORDER BY frame)),
+m2 AS (SELECT *, quantile_cont(sx, 0.5) OVER (PARTITION BY session) AS mx, quantile_cont(sy, 0.5) OVER (PARTITION BY session) AS my FROM d2),
+g AS (SELECT session, count(*) AS c, quantile_cont(abs(sx - mx), 0.5) AS dx, quantile_cont(abs(sy - my), 0.5) AS dy, quantile_cont(CASE WHEN dt_us > 0 THEN dt_us/1e6 END, 0.5) AS st FROM m2 GROUP BY session),
+q AS (SELECT session, CASE WHEN c >= 8 AND st > 0 THEN greatest((greatest(pow(1.4826*dx, 2) - 24, 0)/pow(st, 4) + greatest(pow(1.4826*dy, 2) - 24, 0)/pow(st, 4))/2, 4/pow(st, 4)*0.01) ELSE 1000 END AS q, coalesce(st, 1/30.0) AS med FROM g),
+v AS (SELECT n.session, frame, i, x AS v, 4/least(greatest(conf, 0.05), 1) AS noise, q, CASE WHEN dt_us > 0 THEN dt_us/1e6 ELSE med END AS h FROM n JOIN q USING (session)),
+fw AS (SELECT session, i, q, h, v AS x, 0.0::DOUBLE AS u, noise::DOUBLE AS a, 0.0::DOUBLE AS b, q*h*h AS d FROM v WHERE i = 1 UNION ALL
+SELECT session, i, q, h, px + pa/(pa + noise)*(v - px), u + pb/(pa + noise)*(v - px), pa - pa/(pa + noise)*pa, pb - pa/(pa + noise)*pb, pd - pb/(pa + noise)*pb FROM
+(SELECT v.session, v.i, v.q, v.h, v.v, v.noise, fw.x + v.h*fw.u AS px, fw.u, fw.a + v.h*(2*fw.b + v.h*fw.d) + v.q*v.h*v.h*v.h/3 AS pa, fw.b + v.h*fw.d + v.q*v.h*v.h/2 AS pb, fw.d + v.q*v.h AS pd FROM fw JOIN v ON v.session = fw.session AND v.i = fw.i + 1)),
+sm AS (SELECT fw.session, fw.i, x, u, fw.h FROM fw JOIN (SELECT session, max(i) AS i FROM v GROUP BY session) top USING (session, i) UNION ALL
+SELECT session, i, CASE WHEN det > 0 THEN x + (a + h1*b)*ex/det + b*eu/det ELSE x END, CASE WHEN det > 0 THEN u + (b + h1*d)*ex/det + d*eu/det ELSE u END, h FROM
+(SELECT *, pa*pd - pb*pb AS det, pd*(x1 - x - h1*u) - pb*(u1 - u) AS ex, pa*(u1 - u) - pb*(x1 - x - h1*u) AS eu FROM
+(SELECT fw.*, sm.x AS x1, sm.u AS u1, sm.h AS h1, fw.a + sm.h*(2*fw.b + sm.h*fw.d) + fw.q*sm.h*sm.h*sm.h/3 AS pa, fw.b + sm.h*fw.d + fw.q*sm.h*sm.h/2 AS pb, fw.d + fw.q*sm.h AS pd FROM sm JOIN fw ON fw.session = sm.session AND fw.i = sm.i - 1)))
+SELECT v.session, v.frame, round(sm.x, 4) AS smooth FROM sm JOIN v USING (session, i)""")
 def rts_smoother(spark, sf_dir):
     p = clean.process_variance(points(spark, sf_dir), "x", "y", 2.0)
     return clean.rts(p, "x", "smooth", conf="conf").select("session", "frame", F.round("smooth", 4).alias("smooth"))
