@@ -8,13 +8,9 @@ ASCII letters, ASCII digits and anything beyond ASCII, with A-Z lower-cased.
 from __future__ import annotations
 
 import os
-import posixpath
 import sys
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burrow.scratch import released, scratch, shared_dir, written  # noqa: F401
+
 #: Bytes of one Arrow batch sent to Python; long texts then mean fewer rows in a batch.
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2_000
@@ -149,46 +147,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="burrow-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-_releasing: list[list[tuple[SparkSession, str]]] = []
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends here and survives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    if _releasing and not keep:
-        _releasing[-1].append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def released() -> Iterator[None]:
-    """Deletes the tables that were written inside, but for those with ``keep``, when the last of them has been read."""
-    _releasing.append([])
-    try:
-        yield
-    finally:
-        for spark, path in _releasing.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def per_worker(name: str, make):
     """An object kept by the Python worker from task to task."""
     kept = sys.modules[__name__].__dict__.setdefault("_kept", {})
