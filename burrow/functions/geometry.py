@@ -10,7 +10,7 @@ def polygon(points: list[tuple[float, float]]) -> Column:
     return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
 
 
-def _edges(points: Column) -> Column:
+def edges(points: Column) -> Column:
     """Each point with the one after it, the last with the first."""
     return F.zip_with(points, F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
@@ -23,12 +23,23 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
         at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] != a["y"], b["y"] - a["y"])
         return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False))
 
-    inside = F.aggregate(_edges(points), F.lit(False), lambda acc, e: acc != crosses(e))
+    inside = F.aggregate(edges(points), F.lit(False), lambda acc, e: acc != crosses(e))
     return F.when(F.size(points) < 3, F.lit(False)).otherwise(inside)
 
 
+def on_border(x: Column, y: Column, points: Column) -> Column:
+    """Whether a point lies exactly on an edge."""
+
+    def on(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        line = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        return line & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    return F.coalesce(F.exists(edges(points), on), F.lit(False))
+
+
 def area(points: Column) -> Column:
-    twice = F.aggregate(_edges(points), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    twice = F.aggregate(edges(points), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     return F.abs(twice) / 2
 
 
@@ -79,7 +90,7 @@ def nearest_on_polygon(x: Column, y: Column, points: Column) -> Column:
         n = nearest_on_segment(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
         return F.struct((F.pow(n["x"] - x, 2) + F.pow(n["y"] - y, 2)).alias("far"), n.alias("p"))
 
-    return F.when(F.size(points) >= 2, F.reduce(F.transform(_edges(points), at), F.struct(F.lit(float("inf")).alias("far"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).alias("p")), lambda best, e: F.when(e["far"] < best["far"], e).otherwise(best))["p"])
+    return F.when(F.size(points) >= 2, F.reduce(F.transform(edges(points), at), F.struct(F.lit(float("inf")).alias("far"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).alias("p")), lambda best, e: F.when(e["far"] < best["far"], e).otherwise(best))["p"])
 
 
 def arena_centre(width: Column, height: Column, vertices: Column) -> Column:
@@ -91,7 +102,7 @@ def arena_centre(width: Column, height: Column, vertices: Column) -> Column:
 
 def outer_edge(points: Column, cx: Column, cy: Column) -> Column:
     """a and b of the edge whose middle lies farthest from the centre along its own outward normal; null below three points."""
-    twice = F.aggregate(_edges(points), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    twice = F.aggregate(edges(points), F.lit(0.0), lambda acc, e: acc + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     sign = F.when(twice > 0, 1.0).otherwise(-1.0)
 
     def scored(e: Column) -> Column:
@@ -100,9 +111,9 @@ def outer_edge(points: Column, cx: Column, cy: Column) -> Column:
         out = sign * (((a["x"] + b["x"]) / 2 - cx) * dy - ((a["y"] + b["y"]) / 2 - cy) * dx) / F.hypot(dx, dy)
         return F.struct(F.when(F.hypot(dx, dy) >= 1e-9, out).alias("score"), a.alias("a"), b.alias("b"))
 
-    edges = F.filter(F.transform(_edges(points), scored), lambda e: e["score"].isNotNull())
-    best = F.reduce(edges, F.get(edges, 0), lambda best, e: F.when(e["score"] > best["score"], e).otherwise(best))
-    return F.when((F.size(points) >= 3) & (F.size(edges) > 0), F.struct(best["a"].alias("a"), best["b"].alias("b")))
+    scores = F.filter(F.transform(edges(points), scored), lambda e: e["score"].isNotNull())
+    best = F.reduce(scores, F.get(scores, 0), lambda best, e: F.when(e["score"] > best["score"], e).otherwise(best))
+    return F.when((F.size(points) >= 3) & (F.size(scores) > 0), F.struct(best["a"].alias("a"), best["b"].alias("b")))
 
 
 def extended(a: Column, b: Column, by: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burrow.functions.geometry import area, in_polygon
+from burrow.functions.geometry import area, in_polygon, on_border
 
 
 def sized(zones: DataFrame) -> DataFrame:
@@ -21,14 +21,16 @@ def occupancy(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y") -
     return points.join(z, box).where(in_polygon(F.col(x), F.col(y), F.col("points")))
 
 
-def located(points: DataFrame, zones: DataFrame, rule: str = "smallest", x: str = "x", y: str = "y") -> DataFrame:
-    """points with zone: the ``smallest`` by area, the ``first`` listed, or the ``deepest`` (by the column depth) that holds it; null if none does.
+def located(points: DataFrame, zones: DataFrame, rule: str = "smallest", x: str = "x", y: str = "y", border: bool = False) -> DataFrame:
+    """points with zone: the ``smallest`` by area, the ``first`` listed, or the ``deepest`` (by the column depth) that holds it; null if none does. border: its border too.
 
     All zones are one value, an array in order of preference, which every point is tested with: no point is shuffled or joined.
     """
     order = {"smallest": F.struct("area", "ord"), "first": F.struct("ord"), "deepest": F.struct(-F.col("depth"), F.col("ord")) if "depth" in zones.columns else F.struct("area", "ord")}[rule]
     listed = sized(zones).agg(F.array_sort(F.collect_list(F.struct(order.alias("rank"), "name", "points", "x0", "x1", "y0", "y1"))).alias("zone_list"))
-    at = lambda z: (F.col(x) >= z["x0"]) & (F.col(x) <= z["x1"]) & (F.col(y) >= z["y0"]) & (F.col(y) <= z["y1"]) & in_polygon(F.col(x), F.col(y), z["points"])
+    inner = lambda z: in_polygon(F.col(x), F.col(y), z["points"])
+    holds = (lambda z: inner(z) | on_border(F.col(x), F.col(y), z["points"])) if border else inner
+    at = lambda z: (F.col(x) >= z["x0"]) & (F.col(x) <= z["x1"]) & (F.col(y) >= z["y0"]) & (F.col(y) <= z["y1"]) & holds(z)
     return points.withColumn("zone_list", listed.scalar()).withColumn("zone", F.get(F.filter("zone_list", at), 0)["name"]).drop("zone_list")
 
 
