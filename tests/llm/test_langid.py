@@ -109,3 +109,51 @@ def test_long_texts_leave_room_for_others(spark):
     model = langid.fit(spark.createDataFrame(long, "lang string, text string"))
     root = model.table[model.roots[0]]
     assert all(not root[model.symbols(c)[0]] & 1 for c in "abcdefgh")
+
+
+def walked(symbols, model, root):
+    """Phrases by one walk through the table, symbol by symbol."""
+    state, n = int(root), 1
+    for c in symbols.tolist():
+        step = int(model.table[state, c])
+        n, state = n + (step & 1), step >> 1
+    return n
+
+
+@pytest.fixture(scope="module")
+def sampled():
+    rng = random.Random(5)
+    tables, roots = [], []
+    for lang in LANGUAGES:
+        roots.append(sum(map(len, tables)))
+        tables.append(langid._tabled(langid._symbols(" ".join(text(rng, lang, 40) for _ in range(40)), "abeiklmnoqrstu"), roots[-1]))
+    return langid.Model(list(LANGUAGES), "abeiklmnoqrstu", np.concatenate(tables), np.array(roots), np.ones(3))
+
+
+@pytest.mark.parametrize("unit", ["the ", "w", "la la ", "que de la ", "ba re ", "bareti on qua ", "ж "])
+def test_periodic_texts_are_parsed_as_one(sampled, unit):
+    """Periods that never fall into step with the lanes, alone and between others."""
+    rng = random.Random(6)
+    strings = [unit * 3000, text(rng, "aa", 900) + " " + unit * 2000 + text(rng, "bb", 700), unit * 400 + "x" + unit * 1500]
+    texts = [sampled.symbols(t) for t in strings]
+    got = langid.phrases(texts, sampled)
+    for j, root in enumerate(sampled.roots):
+        assert got[:, j].tolist() == [walked(t, sampled, root) for t in texts]
+
+
+def test_repetitive_texts_take_no_longer(sampled):
+    import time
+
+    rng = random.Random(7)
+    ordinary = text(rng, "aa", 250_000)[:1_000_000]
+
+    def seconds(t):
+        symbols = sampled.symbols(t)
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            langid.phrases([symbols], sampled)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert max(seconds(u * (1_000_000 // len(u))) for u in ("the ", "ha ", "que de la ")) < 3 * seconds(ordinary) + 0.05
