@@ -11,7 +11,9 @@ leaves up. So no element is kept below a dropped one.
 
 The trees are fitted on pages that ``teaching_pages`` composes from a seed: articles under many
 structures, of one to some hundred paragraphs, between menus, notices, adverts, forms, comments and so on, labelled as
-they are made. What the words of attributes say for or against content is counted there, too.
+they are made. What the words of attributes say for or against content is counted there, too; no list of words is given to the
+features. Half of the pages name their elements by what they are; others have no names, made-up or foreign ones, or
+misleading ones, as articles have parts named "more" or "commentary", so trees must also tell by structure.
 
 Defined results: a null or empty page has the empty text; broken markup is read as browsers
 mostly do (an open paragraph ends where a block starts, stray end tags are skipped); repeated rows
@@ -27,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +39,19 @@ from burrow.llm.textual import column, prepare
 
 # How HTML's elements are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object select option head title canvas audio video math textarea button datalist".split())
+SILENT = frozenset("annotation annotation-xml script style noscript template svg iframe object select option head title canvas audio video textarea button datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math merror meter mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder nobr output progress semantics q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 SAME_LEVEL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 #: Tags from boilerplate to content, as the trees see them.
 ORDER = "nav aside footer form fieldset menu dialog header address ul ol dl li dd dt table tbody tr td th figure figcaption center details summary div section body html hgroup pre blockquote p h6 h5 h4 h3 h2 h1 article main".split()
-#: Tokens of class, id, role and label that speak against and for content.
-AGAINST = re.compile(r"(?:^|[-_\s])(?:nav\w*|menu\w*|breadcrumb\w*|header|masthead|top-?bar|foot\w*|side-?bar\w*|aside|rail|widget\w*|ad|ads|adv\w*|ad-\w+|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|form|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|share\w*|social\w*|related\w*|recommend\w*|more|tags?|tag-?list|author-?box|byline|meta|pagination|pager|copyright|legal|disclaimer|toolbar|skip\w*|complementary|navigation|contentinfo)(?=$|[-_\s])", re.I)
-FOR = re.compile(r"(?:^|[-_\s])(?:article\w*|main\w*|content\w*|post|post-?(?:body|content|text)|entry\w*|story\w*|text|body|prose|page-?content|hentry|blog-?post)(?=$|[-_\s])", re.I)
-
 _OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>\x00]*)", re.S)
 _PLAIN = re.compile(r"[^>\"']*")
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-N_FEATURES = 28
+N_FEATURES = 32
 
 
 @dataclass(slots=True)
@@ -201,31 +200,40 @@ def _tokens(attributes: str) -> str:
 _RANK = {t: i for i, t in enumerate(ORDER)}
 
 
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WORD = re.compile(r"[^\W\d_]+")
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Letters of a sub-word: what a word that wasn't learned is judged by.
+HEAD = 5
 
 
 def _words(tokens: str) -> set[str]:
     """Words of class, id and role tokens: cut at marks, digits and capitals."""
-    return {w.lower() for w in _WORD.findall(tokens)}
+    return {w.lower() for w in _WORD.findall(_CAPITAL.sub(" ", tokens))}
 
 
 def learned_words(nodes: list[Node]) -> dict[str, float]:
-    """The log-odds of main content given that an element's own tokens have the word; words of fewer than ten elements are left out."""
+    """The log-odds of main content given that an element's own tokens have the word, or (with a star) a word that begins so; what fewer than ten elements have is left out."""
     seen: dict[str, list[int]] = {}
     for x in nodes:
         for w in _words(_tokens(x.attributes)):
-            seen.setdefault(w, [0, 0])[x.main] += 1
+            for part in (w, w[:HEAD] + "*"):
+                seen.setdefault(part, [0, 0])[x.main] += 1
     return {w: math.log((yes + 1) / (no + 1)) for w, (no, yes) in seen.items() if yes + no >= 10}
 
 
+def _odds(tokens: str, odds: dict[str, float]) -> list[float]:
+    """Of each word, or of its beginning, if either was learned."""
+    return [o for w in _words(tokens) if (o := odds.get(w, odds.get(w[:HEAD] + "*"))) is not None]
+
+
 def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
     """One row per element; odds are those of ``learned_words``."""
     n = len(nodes)
     index = {id(x): i for i, x in enumerate(nodes)}
     chars, linked, words, marks, blocks, longest = ([0.0] * n for _ in range(6))
     tags, paragraphs, inputs, before = [0] * n, [0] * n, [0] * n, [0.0] * n
-    against, favour, named = [0] * n, [0] * n, [0.0] * n
-    total = 0.0
+    against, favour, named = [0.0] * n, [0.0] * n, [0.0] * n
+    total, worded, known, semantic = 0.0, 0, 0, any(x.tag in ("article", "main") for x in nodes)
     for i, x in enumerate(nodes):
         before[i] = total
         own = 0
@@ -246,8 +254,10 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
         paragraphs[i] = int(x.tag == "p")
         t = _tokens(x.attributes)
         if t:
-            against[i], favour[i] = len(AGAINST.findall(t)), len(FOR.findall(t))
-            named[i] = sum(odds.get(w, 0.0) for w in _words(t))
+            told = _odds(t, odds)
+            worded += 1
+            known += bool(told)
+            against[i], favour[i], named[i] = min([0.0, *told]), max([0.0, *told]), sum(told)
         inputs[i] = x.inputs + (x.tag in ("form", "fieldset"))
     for i in range(n - 1, 0, -1):
         p = index[id(nodes[i].parent)]
@@ -255,7 +265,7 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
             a[p] += a[i]
         longest[p] = max(longest[p], longest[i])
     out = np.zeros((n, N_FEATURES))
-    above, around, over = [0] * n, [0] * n, [0.0] * n
+    above, around, over, inside = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
     place, siblings, alike = [0] * n, [1] * n, [1] * n
     for x in nodes:
         own = [index[id(s)] for s in x.parts if isinstance(s, Node)]
@@ -265,13 +275,15 @@ def features(nodes: list[Node], odds: dict[str, float]) -> np.ndarray:
     for i, x in enumerate(nodes):
         p = index[id(x.parent)] if x.parent is not None else -1
         if p >= 0:
-            above[i], around[i] = above[p] + against[p], around[p] + favour[p] + (nodes[p].tag in ("article", "main"))
-            over[i] = over[p] + named[p]
+            above[i], around[i] = min(above[p], against[p]), max(around[p], favour[p])
+            over[i], inside[i] = over[p] + named[p], inside[p]
+        inside[i] += x.tag in ("article", "main")
         out[i] = (
             _RANK.get(x.tag, 25), _RANK.get(nodes[p].tag, 25) if p >= 0 else -1, x.depth, against[i], favour[i], above[i], around[i],
             math.log1p(chars[i]), linked[i] / (chars[i] + 1), math.log1p(tags[i]), chars[i] / tags[i], marks[i] / (words[i] + 1), words[i] / (blocks[i] + 1),
             place[i], siblings[i], alike[i], before[i] / (total + 1), chars[i] / (total + 1), math.log1p(longest[i]), paragraphs[i], inputs[i],
             chars[p] / (total + 1) if p >= 0 else 1.0, linked[p] / (chars[p] + 1) if p >= 0 else 0.0, paragraphs[p] if p >= 0 else 0, blocks[i], chars[i] / (words[i] + 1), named[i], over[i],
+            inside[i], inside[i] if semantic else -1, known / (worded + 1), worded,
         )
     return out
 
@@ -287,39 +299,46 @@ class Trees:
     depth: int
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trees: int = 90, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, share: float = 0.35, seed: int = 1) -> Trees:
+        """Each tree is grown on a share of the rows, drawn anew."""
+        rng = np.random.default_rng(seed)
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)])
+        binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)]).astype(np.int32)
         base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         margin = np.full(len(y), base)
         inner = (1 << depth) - 1
         feature, threshold = np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf)
         value = np.zeros((trees, 1 << depth))
+        every = np.arange(len(y))
+        columns = np.arange(len(edges))[:, None]
+        splits = np.arange(bins) < np.array([len(e) for e in edges])[:, None]
         for t in range(trees):
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, p * (1 - p)
-            at = np.zeros(len(y), np.int64)
+            drawn = np.flatnonzero(rng.random(len(y)) < share)
+            cells = binned[:, drawn] + columns * bins
+            own = [np.tile(v[drawn], len(edges)) for v in (g, h)]
+            part = np.zeros(len(drawn), np.int64)  # the node of its level that a row is in
             for level in range(depth):
-                first = (1 << level) - 1
-                for k in range(first, 2 * first + 1):
-                    rows = np.flatnonzero(at == k)
-                    best = (1e-6, 0, np.inf, None)
-                    if len(rows) >= 8:
-                        own_g, own_h = g[rows], h[rows]
-                        for f in range(x.shape[1]):
-                            b = binned[f, rows]
-                            gs, hs = (np.cumsum(np.bincount(b, w, len(edges[f]) + 1)) for w in (own_g, own_h))
-                            gain = gs[:-1] ** 2 / (hs[:-1] + ridge) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + ridge) - gs[-1] ** 2 / (hs[-1] + ridge)
-                            if len(gain) and gain.max() > best[0]:
-                                j = int(gain.argmax())
-                                best = (float(gain[j]), f, edges[f][j], b > j)
-                    feature[t, k], threshold[t, k] = best[1], best[2]
-                    if len(rows):
-                        at[rows] = 2 * k + 1 + (best[3] if best[3] is not None else 0)
-            leaf = at - inner
-            gs, hs = np.bincount(leaf, g, 1 << depth), np.bincount(leaf, h, 1 << depth)
+                width = 1 << level
+                code = (cells + part * (bins * len(edges))).ravel()
+                gs, hs = (np.bincount(code, w, width * len(edges) * bins).reshape(width, len(edges), bins).cumsum(2) for w in own)
+                g_all, h_all = gs[:, :, -1:], hs[:, :, -1:]
+                gain = gs**2 / (hs + ridge) + (g_all - gs) ** 2 / (h_all - hs + ridge) - g_all**2 / (h_all + ridge)
+                gain = np.where(splits, gain, 0.0).reshape(width, -1)
+                best = gain.argmax(1)
+                split = (gain[np.arange(width), best] > 1e-6) & (np.bincount(part, minlength=width) >= 8)
+                f, j = np.where(split, best // bins, 0), np.where(split, best % bins, 0)
+                nodes = width - 1 + np.arange(width)
+                feature[t, nodes] = f
+                threshold[t, nodes] = [edges[f[k]][j[k]] if split[k] else np.inf for k in range(width)]
+                part = 2 * part + (split[part] & (binned[f[part], drawn] > j[part]))
+            gs, hs = (np.bincount(part, v[drawn], 1 << depth) for v in (g, h))
             value[t] = rate * gs / (hs + ridge)
-            margin += value[t][leaf]
+            at = np.zeros(len(y), np.int64)
+            for _ in range(depth):
+                at = 2 * at + 1 + (x[every, feature[t, at]] > threshold[t, at])
+            margin += value[t][at - inner]
         return cls(feature, threshold, value, base, depth)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
@@ -372,42 +391,91 @@ def text_of(nodes: list[Node], kept: np.ndarray) -> str:
     return "\n\n".join(s for b in blocks if (s := _SPACE.sub(" ", "".join(b)).strip()))
 
 
-def teaching_pages(n: int, seed: int) -> list[Node]:
-    """Parsed pages whose elements know whether they are main content."""
+#: Names that pages give to elements, by what these are.
+NAMES = {
+    "menu": "nav menu navbar navigation top-nav main-menu breadcrumb breadcrumbs header site-header masthead topbar toolbar skip-link".split(),
+    "notice": "cookie-notice cookie cookies consent gdpr notice alert banner popup modal overlay newsletter subscribe signup".split(),
+    "advert": "ad ads advert advertisement ad-slot ad-container sponsored sponsor promo promotion banner".split(),
+    "side": "sidebar side-bar side aside rail right-rail widget related related-posts recommended popular tags tag-list author-box more-stories".split(),
+    "comments": "comments comment-list commentlist comment discussion responses replies respond disqus".split(),
+    "form": "search search-form login form contact-form signup-form".split(),
+    "foot": "footer site-footer foot page-footer copyright legal colophon disclaimer pagination pager".split(),
+    "byline": "byline meta post-meta share share-buttons social social-links author tags".split(),
+    "content": "content main-content post entry-content article-body story story-body text article entry body prose page-content hentry blog-post main".split(),
+    "part": "section block chapter paragraph lead summary box note text-block columns column commentary more related-work info card reading body-text".split(),
+    "wrapper": "wrapper wrap container page site layout".split(),
+}
+FOREIGN = {
+    "menu": "kopf kopfzeile hauptmenue entete cabecera".split(),
+    "notice": "hinweis meldung avis aviso".split(),
+    "advert": "werbung anzeige publicite publicidad".split(),
+    "side": "seitenleiste randspalte barre-laterale barra-lateral".split(),
+    "comments": "kommentare leserbriefe commentaires comentarios".split(),
+    "form": "suche anmeldung recherche buscar".split(),
+    "foot": "fuss fusszeile impressum pied pie".split(),
+    "byline": "teilen autor auteur".split(),
+    "content": "inhalt beitrag haupttext contenu texte contenido texto".split(),
+    "part": "abschnitt absatz partie apartado".split(),
+    "wrapper": "seite rahmen conteneur pagina".split(),
+}
+
+
+def teaching_pages(n: int, seed: int, styles: tuple[str, ...] = ("named",) * 5 + ("bare", "made-up", "foreign", "misleading", "misleading")) -> list[Node]:
+    """Parsed pages whose elements know whether they are main content. styles: how pages name their elements; each takes one."""
     rng = random.Random(seed)
     syllables = "ba re ti on er le st un de qua mi sol ke ran vo ert ing pla cho fu".split()
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    sentence = lambda a=3, b=22: (" ".join(word() for _ in range(rng.randint(a, b))).capitalize() + rng.choice(".....!?"))
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    pick = rng.choice
+    style = "named"
+    word = lambda: pick(vocabulary)
+    sentence = lambda a=3, b=22: (" ".join(rng.choices(vocabulary, k=rng.randint(a, b))).capitalize() + pick(".....!?"))
     prose = lambda a=1, b=8: " ".join(sentence() for _ in range(rng.randint(a, b)))
     link = lambda a=1, b=3: f'<a href="/{word()}">{" ".join(word() for _ in range(rng.randint(a, b)))}</a>'
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
-    pick = rng.choice
-    attr = lambda *names: pick(["", f' class="{pick(names)}"', f' class="{pick(names)} {word()}"', f' id="{pick(names)}"', f' class="{pick(names)}"'])
-    sure = lambda *names: pick([f' class="{pick(names)}"', f' id="{pick(names)}"', f' class="{word()} {pick(names)}"'])
+
+    def name(role: str) -> str:
+        if style == "foreign":
+            return pick(FOREIGN[role])
+        if style == "misleading" and role == "part":
+            return pick(NAMES[pick(list(NAMES))])
+        return pick(NAMES[role])
+
+    def sure(role: str) -> str:
+        if style == "bare":
+            return ""
+        if style == "made-up":
+            return pick([f' class="{word()}-{rng.randint(1, 99)}"', f' class="css-{word()}"', f' id="{word()}"', ""])
+        own = name(role)
+        return pick([f' class="{own}"', f' id="{own}"', f' class="{word()} {own}"', f' class="{own} {word()}"'])
+
+    attr = lambda role: pick(["", sure(role), sure(role)])
 
     def menu() -> str:
-        return pick([f"<nav{attr('nav', 'menu', 'top-nav')}>{links()}</nav>", f"<div{sure('menu', 'navbar', 'nav', 'breadcrumbs')}>{links()}</div>", f"<header{attr('header', 'site-header')}><h1>{word()}</h1>{links()}</header>", f"<header{attr('masthead')}><div>{sentence(2, 6)}</div><nav>{links()}</nav></header>", f"<div{sure('header', 'masthead')}><p>{sentence(2, 8)}</p>{links()}</div>"])
+        return pick([f"<nav{attr('menu')}>{links()}</nav>", f"<div{sure('menu')}>{links()}</div>", f"<header{attr('menu')}><h1>{word()}</h1>{links()}</header>", f"<header{attr('menu')}><div>{sentence(2, 6)}</div><nav>{links()}</nav></header>", f"<div{sure('menu')}><p>{sentence(2, 8)}</p>{links()}</div>"])
 
     def notice() -> str:
-        return pick([f"<div{sure('cookie-notice', 'cookie', 'notice', 'consent', 'alert', 'banner')}>{pick(['', '<p>'])}{prose(1, 3)} {link()}</div>", f"<div{sure('popup', 'modal', 'newsletter', 'subscribe')}><h3>{sentence(2, 5)}</h3><form><input type=text><p>{sentence()}</p></form></div>"])
+        return pick([f"<div{sure('notice')}>{pick(['', '<p>'])}{prose(1, 3)} {link()}</div>", f"<div{sure('notice')}><h3>{sentence(2, 5)}</h3><form><input type=text><p>{sentence()}</p></form></div>"])
 
     def advert() -> str:
-        return pick([f"<div{sure('ad', 'ads', 'advert', 'sponsored', 'promo', 'ad-slot', 'banner')}>{pick([prose(1, 3), '<p>' + prose(1, 4) + '</p>', link(), sentence(2, 9)])}</div>", f"<aside{attr('ad', 'promo')}><p>{prose(1, 3)}</p></aside>"])
+        return pick([f"<div{sure('advert')}>{pick([prose(1, 3), '<p>' + prose(1, 4) + '</p>', link(), sentence(2, 9)])}</div>", f"<aside{attr('advert')}><p>{prose(1, 3)}</p></aside>"])
 
     def side() -> str:
         inner = pick([links(), f"<h3>{sentence(1, 4)}</h3>{links()}", f"<p>{prose(1, 3)}</p>", f"<h4>{word()}</h4><p>{sentence()}</p>{links()}"])
-        return pick([f"<aside{attr('sidebar', 'side')}>{inner}</aside>", f"<div{sure('sidebar', 'side-bar', 'widget', 'related', 'right-rail', 'recommended')}>{inner}</div>"])
+        return pick([f"<aside{attr('side')}>{inner}</aside>", f"<div{sure('side')}>{inner}</div>"])
 
     def comments() -> str:
-        each = "".join(pick([f'<div class="comment"><b>{word()}</b><p>{prose(1, 4)}</p></div>', f"<li><p>{prose(1, 3)}</p></li>", f'<article class="comment"><p>{prose(1, 4)}</p></article>']) for _ in range(rng.randint(1, 6)))
-        return pick([f"<section{sure('comments', 'discussion', 'responses')}><h2>{word()}</h2>{each}</section>", f"<div{sure('comments', 'comment-list', 'disqus', 'replies')}>{each}</div>", f"<ol{sure('commentlist', 'comments')}>{each}</ol>"])
+        each = "".join(pick([f'<div{sure("comments")}><b>{word()}</b><p>{prose(1, 4)}</p></div>', f"<li><p>{prose(1, 3)}</p></li>", f"<div>{sentence()}</div>", f"<div{sure('comments')}>{prose(1, 3)}</div>", f'<article{sure("comments")}><p>{prose(1, 4)}</p></article>']) for _ in range(rng.randint(1, 6)))
+        return pick([f"<section{sure('comments')}><h2>{word()}</h2>{each}</section>", f"<div{sure('comments')}>{each}</div>", f"<ol{sure('comments')}>{each}</ol>"])
 
     def form() -> str:
-        return f"<form{attr('search', 'login', 'form')}><label>{sentence(1, 4)}</label><input><p>{sentence(2, 9)}</p></form>"
+        return f"<form{attr('form')}><label>{sentence(1, 4)}</label><input><p>{sentence(2, 9)}</p></form>"
 
     def foot() -> str:
         inner = pick([f"&copy; {word()}.example.com &middot; {sentence()}", f"<p>&copy; {sentence()}</p>{links()}", f"<p>{prose(1, 3)}</p>", links()])
-        return pick([f"<footer{attr('footer')}>{inner}</footer>", f"<div{sure('footer', 'site-footer', 'foot', 'copyright')}>{inner}</div>"])
+        return pick([f"<footer{attr('foot')}>{inner}</footer>", f"<div{sure('foot')}>{inner}</div>"])
+
+    def byline() -> str:
+        return pick([f'<div class="{pick(NAMES["byline"])}">{sentence(2, 5)}</div>', f'<div class="{pick(NAMES["byline"])}">{links()}</div>', f'<p class="{pick(NAMES["byline"])}">{sentence(2, 5)}</p>'])
 
     def article() -> str:
         k = rng.choice([1, 2, 4, 8, 14, 30] if rng.random() < 0.95 else [70, 160])
@@ -415,24 +483,32 @@ def teaching_pages(n: int, seed: int) -> list[Node]:
         for _ in range(k):
             p = prose(1, pick([1, 2, 6, 14]))
             body.append(pick([f"<p>{p}</p>"] * 7 + [f"<p>{p}", f"<p><b>{sentence()}<br><p>{p}</p>", f"<p>{sentence()} {link()} {p}</p>", f"<h2>{sentence(1, 6)}</h2><p>{p}</p>", f"<blockquote><p>{p}</p></blockquote>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(rng.randint(2, 5)))}</ul>", f"<pre>{p}</pre>", f"<div>{p}</div>", f"<section><h3>{sentence(1, 5)}</h3><p>{p}</p></section>", f"<table><tr><td>{word()}</td><td>{sentence()}</td></tr></table>"]))
+            if rng.random() < (0.3 if style == "misleading" else 0.1):
+                body.append(pick([f"<div{sure('part')}><p>{prose(1, 5)}</p><p>{prose(1, 5)}</p></div>", f"<section{sure('part')}><h2>{sentence(1, 5)}</h2><p>{p}</p><p>{prose(1, 4)}</p></section>", f"<div{sure('part')}><p>{p}</p></div>", f"<ul>{''.join(f'<li>{link()} {sentence(4, 14)}</li>' for _ in range(rng.randint(2, 4)))}</ul>", f"<ul>{''.join(f'<li>{link(2, 6)}</li>' for _ in range(2))}</ul>"]))
             if rng.random() < min(0.08, 0.6 / k):
                 body.append(f"<x-drop>{pick([advert, side, notice, form])()}</x-drop>")
         title = pick([f"<h1>{sentence(3, 9)}</h1>", f"<h1>{sentence(3, 9)}</h1>", "", f"<h2>{sentence(2, 8)}</h2>"])
         if rng.random() < 0.2:
-            title += f"<x-drop>{pick([f'<div class={chr(34)}byline{chr(34)}>{sentence(2, 5)}</div>', f'<div class={chr(34)}share{chr(34)}>{links()}</div>', f'<p class={chr(34)}meta{chr(34)}>{sentence(2, 5)}</p>'])}</x-drop>"
+            title += f"<x-drop>{byline()}</x-drop>"
         inner = title + "".join(body)
         if rng.random() < 0.1:
             inner += f"<x-drop>{pick([comments, side])()}</x-drop>"
-        return pick([f"<article{attr('post', 'article', 'entry')}>{inner}</article>"] * 3 + [f"<main{attr('main')}>{inner}</main>", f"<div{sure('content', 'main-content', 'post', 'entry-content', 'article-body', 'story', 'text')}>{inner}</div>", f"<main><article>{inner}</article></main>", f"<div{attr('content', 'page')}>{inner}</div>", f"<section{attr('content')}>{inner}</section>", f'<div id="content"><div class="post-body">{inner}</div></div>'])
+        return pick([f"<article{attr('content')}>{inner}</article>"] * 3 + [f"<main{attr('content')}>{inner}</main>", f"<div{sure('content')}>{inner}</div>", f"<main><article>{inner}</article></main>", f"<div{attr('content')}>{inner}</div>", f"<section{attr('content')}>{inner}</section>", f"<div{sure('content')}><div{sure('content')}>{inner}</div></div>"])
 
     out = []
     for _ in range(n):
+        style = pick(styles)
         drop = lambda s: f"<x-drop>{s}</x-drop>"
         top = [drop(f()) for f in rng.sample([menu, notice, advert, form, side], rng.randint(0, 4))]
         low = [drop(f()) for f in rng.sample([foot, comments, side, advert, form, foot], rng.randint(0, 4))]
-        body = "".join(top) + f"<x-main>{article()}</x-main>" + "".join(low)
+        body = f"<x-main>{article()}</x-main>"
+        if rng.random() < 0.25:  # a column of the article and what belongs to it
+            body = f"<div{attr('wrapper')}>{body}{''.join(drop(f()) for f in rng.sample([byline, comments, side, advert], rng.randint(0, 3)))}</div>"
+            if rng.random() < 0.5:
+                body = f"<div{attr('wrapper')}>{body}{drop(side())}</div>"
+        body = "".join(top) + body + "".join(low)
         if rng.random() < 0.3:
-            body = f"<div{attr('wrapper', 'container', 'page')}>{body}</div>"
+            body = f"<div{attr('wrapper')}>{body}</div>"
         root = parse(f"<html><head><title>{word()}</title></head><body>{body}</body></html>")
         out.append(_unmarked(root))
     return out
@@ -480,8 +556,9 @@ class Model:
         return [text_of(t, decode(t, margins[e - len(t) : e])) for t, e in zip(read, ends)]
 
 
-def fit(pages: int = 400, seed: int = 7) -> Model:
-    """Learns trees from pages, and words from half as many others, so that words don't seem surer than they are."""
+@lru_cache(maxsize=4)
+def fit(pages: int = 1200, seed: int = 7) -> Model:
+    """Learns trees from pages, and words from half as many others, so that words don't seem surer than they are. A process learns once."""
     odds = learned_words([n for r in teaching_pages(pages // 2, seed + 1) for n in nodes_of(r)])
     read = [nodes_of(r) for r in teaching_pages(pages, seed)]
     return Model(Trees.fit(np.concatenate([features(t, odds) for t in read]), np.array([float(n.main) for t in read for n in t])), odds)

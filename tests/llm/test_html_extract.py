@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -16,10 +17,24 @@ def text(model, page):
     return model.texts([page])[0]
 
 
-def test_held_out_pages(model):
-    trees = [H.nodes_of(r) for r in H.teaching_pages(120, 4242)]
-    same = sum(H.text_of(t, H.decode(t, model.trees.margins(H.features(t, model.odds)))) == H.text_of(t, np.array([n.main for n in t])) for t in trees)
-    assert same >= 0.9 * len(trees)
+def judged(model, pages):
+    """Share of pages that come out exactly, of main characters that are kept and of others that are let through."""
+    exact, kept, main, let, other = 0, 0, 0, 0, 0
+    for root in pages:
+        nodes = H.nodes_of(root)
+        got, want = H.decode(nodes, model.trees.margins(H.features(nodes, model.odds))), np.array([n.main for n in nodes])
+        own = np.array([sum(len(p[0].strip()) for p in n.parts if not isinstance(p, H.Node)) for n in nodes])
+        exact += H.text_of(nodes, got) == H.text_of(nodes, want)
+        kept, main = kept + own[want & got].sum(), main + own[want].sum()
+        let, other = let + own[~want & got].sum(), other + own[~want].sum()
+    return exact / len(pages), kept / main, let / other
+
+
+@pytest.mark.parametrize("style,exact,let", [("named", 0.85, 0.02), ("foreign", 0.75, 0.04), ("bare", 0.6, 0.06), ("made-up", 0.6, 0.06), ("misleading", 0.65, 0.04)])
+def test_held_out_pages(model, style, exact, let):
+    got = judged(model, H.teaching_pages(150, 4242, (style,)))
+    print(style, got)
+    assert got[0] >= exact and got[1] >= 0.98 and got[2] <= let
 
 
 def unlike_pages():
@@ -52,16 +67,44 @@ def unlike_pages():
     return out
 
 
-def test_templates_left_out_of_teaching(model):
+NAME = re.compile(r"(class|id|role)=(\"[^\"]*\"|[\w-]+)")
+
+
+@pytest.mark.parametrize("names", ["given", "none", "numbers", "finnish"])
+def test_templates_left_out_of_teaching(model, names):
+    """With their names, without any, with meaningless ones, and with ones of a language that isn't taught."""
+    rng = random.Random(78)
+    other = {"given": lambda m: m[0], "none": lambda m: "", "numbers": lambda m: f'{m[1]}="x{rng.randint(1, 999)}"', "finnish": lambda m: f'{m[1]}="{rng.choice(["laatikko", "palsta", "osasto", "kehys", "alue"])}"'}[names]
     kept = asked = let = junk = 0
     for page, ps, held in unlike_pages():
-        got = text(model, page)
+        got = text(model, NAME.sub(other, page))
         kept += sum(p in got for p in ps)
         asked += len(ps)
         let += sum(j in got for j in held)
         junk += len(held)
-    print(f"paragraphs kept {kept} of {asked}, boilerplate let through {let} of {junk}")
-    assert kept >= 0.95 * asked and let <= 0.15 * junk
+    print(f"{names}: paragraphs kept {kept} of {asked}, boilerplate let through {let} of {junk}")
+    assert kept >= 0.95 * asked and let <= 0.05 * junk
+
+
+SAID = "<p>The river runs through the silver valley in the evening, and a captain waits.</p>"
+
+
+@pytest.mark.parametrize("part,has", [(f'<div class="commentary">{SAID}{SAID}</div>', 7), (f'<section class="related-work"><h2>Work</h2>{SAID}{SAID}</section>', 7), (f'<div class="more">{SAID}</div>', 6)])
+def test_parts_of_an_article_stay_under_misleading_names(model, part, has):
+    page = f'<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>Title of it</h1>{SAID * 3}{part}{SAID * 2}</article><footer><p>Copyright 2024</p></footer></body></html>'
+    got = text(model, page)
+    assert got.count("silver valley") == has and "Copyright" not in got and "Home" not in got
+
+
+def test_formulas_stay(model):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1>{SAID * 3}<p>We have <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> here, as was to be shown.</p></article></body></html>"
+    assert "We have x=2 here, as was to be shown." in text(model, page)
+
+
+def test_names_of_another_language(model):
+    page = f'<html><body><div class="kopf"><ul><li><a href=/>Start</a></li><li><a href=/n>Neues</a></li></ul></div><div class="inhalt"><h1>Titel</h1>{SAID * 4}</div><div class="kommentare"><h3>Meinungen</h3><div><b>Hans</b><p>Gut gesagt.</p></div></div><div class="fuss"><p>Alle Rechte vorbehalten</p></div></body></html>'
+    got = text(model, page)
+    assert got.count("silver valley") == 4 and not any(w in got for w in ("Neues", "Meinungen", "Gut gesagt", "Rechte"))
 
 
 @pytest.mark.parametrize("make", [lambda n: "<div>" + "<p>some words</p>" * n + "</div>", lambda n: "<div>" * n + "</b></span></section>" * n, lambda n: "<p x='" * n, lambda n: '<a title="' + "<b x='>" * n, lambda n: "<svg>" * n + "words", lambda n: "<ul>" + "<li>x" * n, lambda n: "<table>" + "<tr><td>y" * n, lambda n: "<i " * n])
