@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from burrow.functions.scalars import format_elapsed
 from burrow.plans.registry import FRAMES, frames, query, table
 from burrow.scratch import scratch
-from burrow.sources import sessions, zone_files
+from burrow.sources import session_source, sessions, zone_files
 
 _E = f"{FRAMES}, e AS (SELECT *, t_us // 1000 - min(t_us // 1000) OVER (PARTITION BY session) AS ms FROM d)"
 
@@ -51,7 +51,7 @@ def _columns(spark, sf_dir):
 def _objects(spark, sf_dir):
     pose = F.when(F.col("k") % 4 > 1, F.array(F.array(F.round("speed", 2), F.col("k").cast("double"), F.lit(0.9)), F.array(F.lit(1.5), F.lit(2.5), F.lit(0.8))))
     row = F.to_json(F.struct(F.col("frame").alias("frames"), F.col("k").alias("mcu_frame"), F.when(F.col("k") >= 30, F.concat(F.lit("State: "), F.col("zone"))).alias("state_name"), F.col("ms").alias("timestamps"), F.round("speed", 2).alias("speed"), F.when(F.col("k") < 50, F.col("zone")).alias("location"), pose.alias("pose_array")))
-    head = [F.format_string('B {"Subject ID": "m%d", "fps": 30}', "session"), F.format_string('M {"zones": {"A": {"type": "polygon", "values": [[0, 0], [%d, 0], [0, 9]], "points": null}}}', "session"), "V [70, 510, 70, 620]"]
+    head = [F.format_string('B {"Subject ID": "m%d", "fps": 30}', "session"), F.format_string('M {"zones": {"A": {"type": "polygon", "values": [[0, 0], [%d, 0], [0, 9]], "points": null}}}', "session"), "V [8, 390, 16, 512]"]
     return _files(spark, _events(spark, sf_dir), "objects", head, row)
 
 
@@ -95,7 +95,7 @@ def session_frame_counts(spark, sf_dir):
     return found
 
 
-@query("session_headers", f"WITH {FRAMES} SELECT DISTINCT kind, session, CASE kind WHEN 'hash' THEN 'start-' || session WHEN 'columns' THEN 'm' || session ELSE 'm' || session || '/30/[70, 510, 70, 620]' END AS told FROM f, (VALUES ('hash'), ('columns'), ('objects')) v(kind)")
+@query("session_headers", f"WITH {FRAMES} SELECT DISTINCT kind, session, CASE kind WHEN 'hash' THEN 'start-' || session WHEN 'columns' THEN 'm' || session ELSE 'm' || session || '/30/[8, 390, 16, 512]' END AS told FROM f, (VALUES ('hash'), ('columns'), ('objects')) v(kind)")
 def session_headers(spark, sf_dir):
     found = None
     for kind, path, keys in (("hash", _hash(spark, sf_dir), ["start_time"]), ("columns", _columns(spark, sf_dir), ["subject_id"]), ("objects", _objects(spark, sf_dir), ["Subject ID", "target_fps", "crop"])):
@@ -154,3 +154,17 @@ def cohort_sheet(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     c.select(F.when(F.col("c_custkey") % 5 == 0, "na").otherwise(F.col("c_custkey").cast("string")).alias("Subject"), F.col("c_nationkey").alias("SetupID")).write.option("header", "true").csv(path)
     return sessions.read_cohort(spark, path).select("Subject", "SetupID")
+
+
+@query("listed_headers", f"WITH {FRAMES} SELECT DISTINCT session, 'start-' || session AS started, true AS few FROM f")
+def listed_headers(spark, sf_dir):
+    """Headers from the first blocks of each file, and whether that was little of it."""
+    d = session_source.listed(spark, _hash(spark, sf_dir))
+    return d.select(sessions.session_of(F.col("file")).cast("long").alias("session"), F.col("header")["start_time"].alias("started"), (F.col("bytes_read") <= 2 * session_source.BLOCK).alias("few"))
+
+
+@query("scanned_columns", f"WITH {_E} SELECT session, frame AS frame_number, round(speed, 2) AS speed, CASE WHEN k < 50 THEN zone END AS location FROM e")
+def scanned_columns(spark, sf_dir):
+    """Three columns of session files; no other cell is kept."""
+    d = session_source.scan(spark, _hash(spark, sf_dir), ["frame_number", "speed", "location"])
+    return d.select(sessions.session_of(F.col("session")).cast("long").alias("session"), "frame_number", "speed", "location")

@@ -49,11 +49,11 @@ def header_picks(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), names.picked(header, names.IDENTITY_KEYS["Group"]).alias("grp"), names.filled(names.picked(header, names.IDENTITY_KEYS["Cage"]), F.lit("none")).alias("cage"))
 
 
-@query("zone_renames", """WITH z AS (SELECT DISTINCT p_size AS session, CASE p_partkey % 5 WHEN 0 THEN 'Center' WHEN 1 THEN 'Left_arm' WHEN 2 THEN 'nose' WHEN 3 THEN 'Center_arm' ELSE 'Open' END AS name FROM part WHERE p_partkey % 7 < 3),
+@query("zone_renames", """WITH z AS (SELECT DISTINCT p_size AS session, CASE p_partkey % 5 WHEN 0 THEN 'Center' WHEN 1 THEN 'Left_arm' WHEN 2 THEN 'nose' WHEN 3 THEN 'Center_arm' ELSE 'Open' END AS name FROM part),
 s AS (SELECT session, max(CASE WHEN lower(name) LIKE '%\\_arm' ESCAPE '\\' THEN 1 ELSE 0 END) = 1 AS arm FROM z GROUP BY session), n AS (SELECT z.session, name, name || CASE WHEN arm THEN '_arm' ELSE '_zone' END AS new FROM z JOIN s USING (session))
 SELECT session, name, CASE WHEN name IN ('Center', 'nose') AND NOT EXISTS (SELECT 1 FROM z WHERE z.session = n.session AND z.name = n.new) THEN new ELSE name END AS analysed FROM n""".replace("\\\\", "\\"))
 def zone_renames(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 7 < 3")
+    p = table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*map(F.lit, ("Center", "Left_arm", "nose", "Center_arm", "Open"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     return names.renamed_zones(p.select(F.col("p_size").alias("session"), kind.alias("name")).distinct(), ["Nose"])
 
@@ -75,9 +75,9 @@ def chosen_states(spark, sf_dir):
     return names.chosen_state(f).select("session", "frame", "stage")
 
 
-@query("rounded_rows", "SELECT l_orderkey AS id, l_linenumber AS line, round(l_extendedprice / 7, 4) AS price, round(l_discount / 3, 4) AS discount FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("rounded_rows", "SELECT l_orderkey AS id, l_linenumber AS line, round(l_extendedprice / 7, 4) AS price, round(l_discount / 3, 4) AS discount FROM lineitem")
 def rounded_rows(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    d = table(spark, sf_dir, "lineitem")
     return names.rounded(d.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") / 7).alias("price"), (F.col("l_discount") / 3).alias("discount")))
 
 
@@ -148,10 +148,10 @@ def _payloads(spark, sf_dir):
     return zone_files.zones_of(s.select(F.col("s_suppkey").alias("file"), text.alias("zones")))
 
 
-@query("zone_shape_sums", "SELECT n_nationkey AS id, round(6000.0 * n_nationkey * n_nationkey, 4) AS wide_area FROM nation")
+@query("zone_shape_sums", "SELECT n_nationkey AS id, name, round(area * n_nationkey * n_nationkey, 4) AS wide_area FROM nation, (VALUES ('wide', 6000.0), ('box', 1000.0), ('tri', 1300.0)) t(name, area)")
 def zone_shape_sums(spark, sf_dir):
-    """The wide zone's area when it is stretched by each nation's key."""
-    wide = zone_table(spark).where("name = 'wide'").select("points")
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).withColumn("points", wide.scalar())
+    """Each zone's area when it is stretched by each nation's key."""
+    listed = zone_table(spark).agg(F.collect_list(F.struct("name", "points"))).scalar()
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), listed.alias("zones")).select("id", F.explode("zones").alias("z")).select("id", "z.*")
     scaled = F.transform("points", lambda p: F.struct((p["x"] * F.col("id")).alias("x"), (p["y"] * F.col("id")).alias("y")))
-    return n.select("id", F.round(geometry.area(scaled), 4).alias("wide_area"))
+    return n.select("id", "name", F.round(geometry.area(scaled), 4).alias("wide_area"))

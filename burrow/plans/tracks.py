@@ -105,9 +105,29 @@ def swap_anchor(spark, sf_dir):
     return tracks.swap_anchor(w, "h", "b", ["a", "c"]).withColumn("ratio", F.round("ratio", 4))
 
 
-@query("zone_nesting", "SELECT * FROM (VALUES ('wide', NULL, 0, 3), ('box', 'wide', 1, 1), ('tri', 'wide', 1, 2)) t(name, parent, depth, ord)")
+@query("zone_nesting", """WITH z AS (SELECT n_name AS name, n_regionkey AS r, n_nationkey AS k FROM nation), p AS (SELECT name, lead(name) OVER (PARTITION BY r ORDER BY k) AS parent, count(*) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)::INT AS depth FROM z)
+SELECT *, row_number() OVER (ORDER BY depth DESC, name)::INT AS ord FROM p""")
 def zone_nesting(spark, sf_dir):
-    return tracks.nested_zones(zones.sized(zone_table(spark)))
+    """Each nation is a square about its region's middle, the larger the later its key, so a region's nations lie in one another."""
+    half, middle = F.col("n_nationkey") * 3.0 + 2, F.col("n_regionkey") * 1000.0
+    corner = lambda x, y: F.struct((middle + x * half).alias("x"), (y * half).alias("y"))
+    z = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("ord"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("points"))
+    return tracks.nested_zones(zones.sized(z)).select("name", "parent", "depth", "ord")
+
+
+@query("frame_scales", f"""WITH {FRAMES}, p AS (SELECT session, speed*1.3 AS x, k*1.3 AS y, CASE WHEN speed < 245 THEN 'near' WHEN speed < 400 THEN 'far' ELSE '-' END AS zone FROM d WHERE session % 3 <> 0 OR k < 20),
+s AS (SELECT session, count(*) AS n, greatest(1, max(x)/490, max(y)/100) AS lo, max(x) <= 490 + 490*0.02 AND max(y) <= 100 + 100*0.02 AS fits FROM p GROUP BY session),
+t AS (SELECT p.session, round(lo + i*0.01, 2) AS k, p.x, p.y, zone FROM p JOIN s USING (session), range(0, 201) q(i) WHERE n >= 20 AND NOT fits AND zone <> '-'),
+h AS (SELECT session, k, avg(CASE zone WHEN 'near' THEN x/(490*k) < 0.5 AND x >= 0 AND y/(100*k) < 1 AND y >= 0 ELSE x/(490*k) >= 0.5 AND x/(490*k) < 0.8163 AND y/(100*k) < 1 AND y >= 0 END::INT) AS share, count(*) AS scored FROM t GROUP BY ALL),
+b AS (SELECT session, arg_max(k, struct_pack(a := share, b := -k)) AS k, max(share) AS share FROM h WHERE scored >= 20 GROUP BY session)
+SELECT session, CASE WHEN n < 20 THEN NULL WHEN fits THEN 1.0 WHEN share >= 0.8 THEN k END AS scale FROM s LEFT JOIN b USING (session)""")
+def frame_scales(spark, sf_dir):
+    """Points recorded in a frame 1.3 times the declared one, with the zones that they were seen in."""
+    f = frames(spark, sf_dir).where("session % 3 <> 0 OR k < 20")
+    p = f.select("session", "frame", (F.col("speed") * 1.3).alias("x"), (F.col("k") * 1.3).alias("y"), F.when(F.col("speed") < 245, "near").when(F.col("speed") < 400, "far").otherwise("-").alias("zone"))
+    box = lambda a, b: [(a, 0.0), (b, 0.0), (b, 1.0), (a, 1.0)]
+    z = spark.createDataFrame([("near", box(0.0, 0.5)), ("far", box(0.5, 0.8163))], "name string, points array<struct<x:double,y:double>>")
+    return tracks.frame_scale(p, z, 490.0, 100.0).select("session", "scale")
 
 
 @query("content_hashes", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN substr(sha1(text), 1, 12) END AS short_hash, sha256(text) AS long_hash FROM documents")
@@ -132,10 +152,10 @@ def state_cells(spark, sf_dir):
     return frames(spark, sf_dir).select("session", "frame", scalars.last_state(cell).alias("state"))
 
 
-@query("folder_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE WHEN o_orderkey % 3 = 0 THEN (o_orderdate + CASE WHEN year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END)::DATE END AS day FROM orders WHERE month(o_orderdate) <> 2")
+@query("folder_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE WHEN o_orderkey % 3 = 0 THEN (o_orderdate + CASE WHEN year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END)::DATE END AS day FROM orders")
 def folder_dates(spark, sf_dir):
     # two digits of the year mean this century
-    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") != 2)
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     folder = F.when(key % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(key % 3 == 0, F.date_format("o_orderdate", "ddMMyy")).otherwise("notes")
     return o.select("o_orderkey", scalars.folder_date(folder).alias("day"))

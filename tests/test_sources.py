@@ -1,62 +1,22 @@
 """Session files: what is written is read back, and every dialect gives the canonical columns."""
 
 import pytest
+import recordings
 from pyspark.sql import functions as F
 
 from burrow.functions import scalars
-from burrow.sources import sessions, zone_files
-
-FILE = """#version   3
-#session_start     2026-01-01 10:00:00.000
-#units {"px_per_cm": 12}
-# pre-amble
-#zone_config_begin
-{
-  "scale": {},
-  "zones": {
-    "A": {"type":"polygon","points":[[0.1,0.1],[0.5,0.1],[0.5,0.5]],"coord_space":"normalized"}
-  }
-}
-#zone_config_end
-#columns frame elapsed capture_host_ns frame_fw_ms pose zone state extra speed
-#body_parts ["nose","tail"]
-0\t00:00.000\t900000000000\t16\t[[1.0,2.0,0.9],[3.0,4.0,0.8]]\tA\trun\tq\t1.5
-1\t00:00.033\t900033333100\tna\tna\tna\t-\tr\tnone
-2\tbroken\t900066666200\t82\tnone\tB\tstop|go\ts\t2.5
-"""
-ARENA = """time\ttype\tsubtype\tcontent
-0.000\tinfo\tsubject_id\tF609
-0.000\tinfo\tbody_parts\t["nose","tail"]
-Zones\t[{"name":"A","points":[[10,10],[50,10],[50,50]],"type":"rectangle","enabled":true},{"name":"empty"}]
-# frame_number\tcam_frame_id\tactual_ts\tspeed\tlocation\tpose_array\tstage
-0\t134558\t0\t1.5\tA\t{"nose":[1.0,2.0,0.9],"tail":[3.0,4.0,0.8]}\trun
-0.020\tprint\ttask\thello
-1\t134559\t33\tnone\tnone\tna\t-
-2\t134560\tbroken\t2.5\tB\tnone\tstop|go
-"""
-PLAIN = """0\t0\tna\t16\t1.5\tA\t{"nose":[1.0,2.0,0.9],"tail":[3.0,4.0,0.8]}\trun
-1\t33\tna\tna\tnone\tnone\tna\t-
-2\tbroken\tna\t82\t2.5\tB\tnone\tstop|go
-"""
-OLD = """B {"Subject ID": "D860", "fps": 30, "body": [1, 2]}
-
-M {"zones": {"A": {"name": "A", "type": "polygon", "values": [[1, 2], [3, 4], [5, 6]], "points": null}}, "arena": {"x": 1}}
-
-V [70, 510, 70, 620]
-
-{"frames": 0, "mcu_frame": 0, "state_name": "State: run", "timestamps": 0, "speed": 1.5, "location": "A", "pose_array": [[1.0, 2.0, 0.9], [3.0, 4.0, 0.8]]}
-{"frames": 1, "mcu_frame": 0, "state_name": null, "timestamps": 33, "speed": null, "location": null, "pose_array": null}
-{"frames": 2, "mcu_frame": 0, "state_name": "stop|go", "timestamps": "broken", "speed": 2.5, "location": "B", "pose_array": null}
-{"frames": 0, "mcu_frame": 0, "state_name": null, "timestamps": 40, "speed": 1, "location": "B", "pose_array": null}
-"""
+from burrow.sources import session_source, sessions, zone_files
+
+RECORDED, HEAD = recordings.recording()
+FILE = recordings.hash_file(RECORDED, HEAD)
 
 
 @pytest.fixture
 def every(spark, tmp_path):
-    for name, text in (("hash", FILE), ("columns", ARENA), ("plain", PLAIN), ("bmv", OLD), ("crlf", FILE.replace("\n", "\r\n"))):
+    for name, text in (("hash", FILE), ("columns", recordings.column_file(RECORDED, HEAD)), ("plain", recordings.plain_file(RECORDED)), ("bmv", recordings.object_file(RECORDED, HEAD)), ("crlf", FILE.replace("\n", "\r\n"))):
         (tmp_path / f"{name}.txt").write_bytes(text.encode())
     (tmp_path / "x.pbanalysis").mkdir()
-    (tmp_path / "x.pbanalysis/notes.txt").write_text(PLAIN)
+    (tmp_path / "x.pbanalysis/notes.txt").write_text(recordings.plain_file(RECORDED))
     return str(tmp_path)
 
 
@@ -67,26 +27,23 @@ def test_every_dialect_gives_the_same_frames(spark, every):
         by.setdefault(r["session"].split("/")[-1][:-4], []).append(r)
     assert set(by) == {"hash", "columns", "plain", "bmv", "crlf"}
     for name, own in by.items():
-        assert [r["frame_number"] for r in own] == [0, 1, 2]
-        assert [r["frame_ts_ms"] for r in own] == [0.0, 33.0, 2.0]
-        assert [r["speed"] for r in own] == [1.5, None, 2.5]
-        assert [r["location"] for r in own] == ["A", None, "B"]
-        assert [r["stage"] for r in own] == ["run", None, "go"]
-        first, second = ("0", "1") if name == "bmv" else ("nose", "tail")
-        assert own[0]["pose"][first].asDict() == {"x": 1.0, "y": 2.0, "conf": 0.9} and own[0]["pose"][second]["y"] == 4.0
-        assert own[1]["pose"] is None and own[2]["pose"] is None
-        assert [r["tracker_off"] for r in own] == [False, name != "bmv", False]
+        parts = ("0", "1") if name == "bmv" else recordings.PARTS
+        for i, (r, f) in enumerate(zip(own, RECORDED, strict=True)):
+            assert (r["frame_number"], r["frame_ts_ms"]) == (f["number"], float(i) if f["ms"] is None else f["ms"])
+            assert (r["speed"], r["location"], r["stage"]) == (f["speed"], f["zone"], f["states"][-1] if f["states"] else None)
+            assert (r["pose"] and {k: tuple(p) for k, p in r["pose"].items()}) == (f["pose"] and dict(zip(parts, f["pose"])))
+            assert r["tracker_off"] == (f["off"] and name != "bmv")
+    for name in ("hash", "crlf", "plain"):
+        assert [r["mcu_ts_ms"] for r in by[name]] == [f["fw"] for f in RECORDED]
     for name in ("hash", "crlf"):
-        assert [r["capture_host_ns"] for r in by[name]] == [900000000000, 900033333100, 900066666200]
-        assert [r["mcu_ts_ms"] for r in by[name]] == [16.0, None, 82.0]
-        assert by[name][0]["other"] == {"extra": "q"}
-    assert by["columns"][0]["other"] == {"cam_frame_id": "134558"}
-    assert [r["mcu_ts_ms"] for r in by["plain"]] == [16.0, None, 82.0]
+        assert [r["capture_host_ns"] for r in by[name]] == [f["host"] for f in RECORDED]
+        assert [r["other"] for r in by[name]] == [{"more": f["more"]} for f in RECORDED]
+    assert [r["other"] for r in by["columns"]] == [{"cam": f["more"]} for f in RECORDED]
 
 
 def test_a_falling_counter_starts_a_segment(spark, every):
     got = sessions.read_frames(spark, every).where("session LIKE '%bmv%'").orderBy("row_index").collect()
-    assert [r["segment"] for r in got] == [0, 0, 0, 1]
+    assert [r["segment"] for r in got] == [0] * len(RECORDED) + [1]
 
 
 def test_headers_dialects_events_and_counts(spark, every):
@@ -94,22 +51,23 @@ def test_headers_dialects_events_and_counts(spark, every):
     name = lambda r: r[0].split("/")[-1][:-4]
     assert {name(r): r["dialect"] for r in sessions.dialect(rows).collect()} == {"hash": "hash", "columns": "columns", "plain": "plain", "bmv": "bmv", "crlf": "hash"}
     heads = {name(r): r["header"] for r in sessions.headers(rows).collect()}
-    assert heads["hash"]["start_time"] == "2026-01-01 10:00:00.000" and heads["hash"]["units"] == '{"px_per_cm": 12}' and heads["crlf"] == heads["hash"]
-    assert heads["columns"]["subject_id"] == "F609" and heads["bmv"]["target_fps"] == "30" and heads["bmv"]["Subject ID"] == "D860"
-    assert heads["bmv"]["crop"] == "[70, 510, 70, 620]"
+    assert heads["hash"]["start_time"] == HEAD["started"] and heads["hash"]["units"] == '{"px_per_cm": 7}' and heads["crlf"] == heads["hash"]
+    assert heads["columns"]["subject_id"] == HEAD["subject"] and heads["bmv"]["target_fps"] == str(HEAD["fps"]) and heads["bmv"]["Subject ID"] == HEAD["subject"]
+    assert heads["bmv"]["crop"] == str(HEAD["crop"])
     events = sessions.read_events(spark, every).collect()
     assert [tuple(r)[1:] for r in events] == [(0.02, "print", "task", "hello")]
-    assert {name(r): r["frames"] for r in sessions.frame_counts(spark, every).collect()} == {"hash": 3, "crlf": 3, "columns": 3, "plain": 3, "bmv": 4}
-    assert sessions.first_point(sessions.read_frames(spark, every), "tail").where("x = 3 AND y = 4").count() == 4
+    assert {name(r): r["frames"] for r in sessions.frame_counts(spark, every).collect()} == {"hash": 5, "crlf": 5, "columns": 5, "plain": 5, "bmv": 6}
+    x, y, _ = RECORDED[0]["pose"][1]
+    assert sessions.first_point(sessions.read_frames(spark, every), recordings.PARTS[1]).where((F.col("x") == x) & (F.col("y") == y) & (F.col("row_index") == 0)).count() == 4
 
 
 def test_zones_of_every_payload(spark, every):
     got = zone_files.zones_of(sessions.zone_text(sessions.lines(spark, every)))
     rows = {r["file"].split("/")[-1][:-4]: r for r in got.collect()}
-    assert set(rows) == {"hash", "crlf", "columns", "bmv"} and all(r["name"] == "A" for r in rows.values())
-    assert rows["bmv"]["points"] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    assert set(rows) == {"hash", "crlf", "columns", "bmv"} and all(r["name"] == HEAD["zone"] for r in rows.values())
+    assert rows["bmv"]["points"] == HEAD["corners"]
     px = {r["file"].split("/")[-1][:-4]: r for r in zone_files.to_pixels(got, F.lit(200.0), F.lit(100.0)).collect()}
-    assert [[round(c, 9) for c in p] for p in px["hash"]["points"]] == [[20.0, 10.0], [100.0, 10.0], [100.0, 50.0]]
+    assert [[round(c, 9) for c in p] for p in px["hash"]["points"]] == [[2.0 * x, 1.0 * y] for x, y in HEAD["corners"]]
     assert px["columns"]["points"] == rows["columns"]["points"]
 
 
@@ -134,7 +92,7 @@ def test_round_trip(spark, tmp_path):
     sessions.write_frames(frames, str(tmp_path / "b"), ["frame", "timestamp", "speed", "location", "pose", "stage"])
     assert [r["pose"] for r in sessions.read_frames(spark, str(tmp_path / "b")).orderBy("row_index").collect()] == [r["pose"] for r in frames.orderBy("row_index").collect()]
     again = sessions.read_frames(spark, str(tmp_path / "b")).orderBy("row_index").collect()
-    assert [(r["frame_number"], r["speed"], r["location"], r["stage"]) for r in again] == [(0, 1.5, "A", "run"), (1, None, None, None), (2, 2.5, "B", "go")]
+    assert [(r["frame_number"], r["speed"], r["location"], r["stage"]) for r in again] == [(f["number"], f["speed"], f["zone"], f["states"][-1] if f["states"] else None) for f in RECORDED]
 
 
 def test_event_log(spark, tmp_path):
@@ -180,3 +138,54 @@ def test_scalars(spark):
     assert [r[3] for r in got] == [djb2(r[3]) for r in rows]
     assert got[2][4] == 1500000.0
     assert df.select(scalars.format_elapsed(F.lit(62500.0))).first()[0] == "01:02.500"
+
+
+def test_headers_are_read_from_a_few_blocks(spark, every, tmp_path):
+    frames, head = recordings.recording(2, 40_000)
+    (tmp_path / "long.txt").write_text(recordings.hash_file(frames, head))
+    got = {r["file"].split("/")[-1][:-4]: r for r in session_source.listed(spark, every).collect()}
+    want = {r["file"].split("/")[-1][:-4]: r["header"] for r in sessions.headers(sessions.lines(spark, every)).collect()}
+    assert {k: r["header"] for k, r in got.items() if r["header"]} == want and want["long"]["start_time"] == head["started"]
+    assert (tmp_path / "long.txt").stat().st_size > 10**6 and got["long"]["bytes_read"] <= 2 * session_source.BLOCK
+
+
+def test_single_columns_equal_the_whole_reader(spark, every):
+    columns = ["frame_number", "frame_ts_ms", "mcu_ts_ms", "capture_host_ns", "speed", "location", "stage"]
+    got = session_source.scan(spark, every, columns)
+    want = sessions.read_frames(spark, every).select("session", "row_index", *columns)
+    key = lambda r: (r["session"].split("/")[-1], r["row_index"])
+    assert sorted((key(r), tuple(r)[2:]) for r in got.collect()) == sorted((key(r), tuple(r)[2:]) for r in want.collect())
+    assert session_source.scan(spark, every, ["speed"]).columns == ["session", "row_index", "speed"]
+
+
+def test_an_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert session_source.listed(spark, str(tmp_path / "none")).isEmpty() and session_source.scan(spark, str(tmp_path / "none"), ["speed"]).isEmpty()
+
+
+def test_the_shared_folder_is_never_a_machine_s_own_on_a_cluster(spark, monkeypatch):
+    from burrow import scratch
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        applicationId, master = "app", "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Jvm:
+                    @staticmethod
+                    def getCheckpointDir():
+                        return type("None_", (), {"isDefined": lambda self: False})()
+
+                return Jvm()
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session)
+    Context.master = "local[4]"
+    assert scratch.shared_dir(session) == scratch.shared_dir(session)
+    assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
