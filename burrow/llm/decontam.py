@@ -18,7 +18,7 @@ broadcasts them only if they are small; neither is collected. The documents are
 
 Defined results: null and empty texts have no words and no hits; empty items have no window; items
 with equal ids count once per id, a null item_id is no item; repeated documents are reported each; without benchmark rows
-nothing is hit.
+nothing is hit; an empty table gives no rows; other columns are ignored, and ``remove_contaminated`` hands them on; texts of any length are looked at whole.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ misleading ones, as articles have parts named "more" or "commentary", so trees m
 
 Defined results: a null or empty page has the empty text; broken markup is read as browsers
 mostly do (an open paragraph ends where a block starts, stray end tags are skipped); repeated rows
-are extracted each; page text is never capped.
+are extracted each; an empty table gives no rows; other columns are ignored; page text is never capped.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ entered in equal states once. The result is that of one parse from the first sym
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; a language needs a text
 with a letter to be learned; without any, all texts are ``und``; equal estimates go to the language with
-more labelled rows, then to the smaller name; repeated rows are predicted each.
+more labelled rows, then to the smaller name; repeated rows are predicted each; an empty table gives no rows, and an
+empty one to learn from a model of no language; other columns are handed on.
 """
 
 from __future__ import annotations

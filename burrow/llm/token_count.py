@@ -7,7 +7,8 @@ segments. Segments that the vocabulary encodes as one token, proved offline by e
 vocabulary string alone, count 1 with no merging; the merges run only for the rest, once for each
 segment a worker remembers. If the proof fails for some vocabulary, whole texts are encoded.
 
-Defined results: null counts as the empty text, which has no tokens; repeated rows count each.
+Defined results: null counts as the empty text, which has no tokens; repeated rows count each; an
+empty table gives no rows; other columns are ignored; texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ counts gives the score.
 
 Defined results: a null or empty text gets the score of a text without matches; rows with a null
 label aren't learned from; without any labelled row every score is 0; repeated rows are scored
-each; other columns are ignored.
+each; an empty table gives no rows, and empty labels a model of no terms; other columns are ignored by ``fit`` and handed on by ``score``; whole
+texts of any length are looked at.
 """
 
 from __future__ import annotations

@@ -36,6 +36,16 @@ SELECT doc_id, n_words::BIGINT AS n_words, length(array_to_string(words, ''))::B
 CASE WHEN kept THEN CASE WHEN norms IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x: trim(x, {_BLANKS}) = '' OR NOT list_contains(norms, {_NORM})), chr(10)) END END AS clean_text FROM k"""
 
 
+_PHRASES = "(VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit'))"
+
+#: The license scan's first six columns; its labels and score are the method's own.
+LICENSE_BASE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS q, label FROM {_PHRASES} t(phrase, label)),
+h AS (SELECT r, k - 1 AS pos, label FROM d, p, unnest(range(1, len(w) - len(q) + 2)) u(k) WHERE len(w) >= len(q) AND w[k:k + len(q) - 1] = q),
+a AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN a USING (r)"""
+
+
 def jaccard(size: int) -> str:
     """Components of documents whose sets of shingles of so many words have a Jaccard similarity of 0.8 or more."""
     return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_RUN}) AS w FROM documents),

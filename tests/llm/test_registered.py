@@ -1,12 +1,15 @@
-"""The registered queries: DuckDB's rows where SQL can say them, the contract's columns for the others."""
+"""The registered queries, whole rows: DuckDB's where SQL can say them, the libraries' and plain definitions' for the others; of learned ones the folds."""
 
+import html
 import os
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from burrow.llm import queries
+from burrow.llm import queries, twins
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -50,7 +53,74 @@ def test_folds_of_the_learned_queries(spark, name, folds):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds[0] == folds[1]) and 0 <= r["score"] <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(COLUMNS) - set(queries.oracle_sql()) - {"op8_language_id", "op9_toxicity"}))
-def test_columns_of_the_others(spark, name):
+def documents(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def rows_of(spark, name):
     df = queries.queries()[name](spark, SF)
-    assert df.columns[: len(COLUMNS[name])] == COLUMNS[name] and not df.isEmpty()
+    assert df.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    return [tuple(r) for r in df.select(*COLUMNS[name]).collect()]
+
+
+def crc(ids):
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def library_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary(queries.WORD_BPE))
+    return {i: t.encode(text or "", add_special_tokens=False).ids for i, text in documents(spark)}
+
+
+def test_pages_are_their_articles(spark):
+    """The pages of the tables hold one article each, of headings and paragraphs; its blocks, by regular expressions."""
+
+    def blocks(page):
+        inner = re.search(r"<article>(.*?)</article>", page or "", re.S)
+        parts = re.split(r"</?(?:p|h\d|ul|li|table|tr|td|pre|blockquote|div|section)\b[^>]*>", inner[1]) if inner else []
+        plain = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x)))).strip() for x in parts)
+        return "\n\n".join(x for x in plain if x)
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert sorted(rows_of(spark, "op2_html_extraction")) == sorted((r["page_id"], r["url"], t := blocks(r["html"]), len(t)) for r in pages)
+
+
+def test_stored_tokens_are_the_library_s(spark):
+    at, want = 0, []
+    for i, ids in sorted(library_ids(spark).items()):
+        want.append((i, at, len(ids) + 1, crc([*ids, 2])))
+        at += len(ids) + 1
+    assert sorted(rows_of(spark, "op3_token_store")) == want
+
+
+def test_base_columns_of_the_license_scan_are_duckdb_s(spark):
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = duck.sql(twins.LICENSE_BASE).fetchall()
+    assert sorted(r[:6] for r in rows_of(spark, "op5_license_scan")) == sorted(want)
+
+
+def test_token_counts_are_the_library_s(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=queries.vocabulary(queries.PIECE_BPE))
+    want = [(i, len((t or "").encode()), n := len(p.encode(t or "")), n > 4096) for i, t in documents(spark)]
+    assert sorted(rows_of(spark, "op7_token_counts")) == sorted(want)
+
+
+def test_packed_pieces_are_all_there_and_fit(spark):
+    got = rows_of(spark, "op10_packing")
+    want = []
+    for i, ids in library_ids(spark).items():
+        ids = [*ids, 0]
+        want += [(i, k, s, len(p := ids[s : s + 2048]), crc(p)) for k, s in enumerate(range(0, len(ids), 2048))]
+    assert sorted(r[:5] for r in got) == sorted(want)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r[5], []).append((r[6], r[3]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+    assert len(sequences) <= 1.05 * -(-sum(r[3] for r in got) // 2048) + 1
