@@ -2,8 +2,12 @@
 
 ``run`` applies the stages to the table documents; the last one returns the packed sequences' pieces.
 SQL can't express the learned and the packing stages, so ``ORACLE_SQL`` is None and
-``tests/llm/test_pipeline.py`` checks that planted documents are dropped and the others stay. It
-doesn't compare the stages with brute force on their own inputs.
+``tests/llm/test_pipeline.py`` holds every stage against brute force on its own input (the learned one against its model's
+predictions), and checks that planted documents are dropped and the others stay.
+
+Defined results: a null or empty text fails the quality rules and goes; a null label isn't learned from, and without labels no document is
+toxic; rows without doc_id go through like others and are judged by their texts; repeated rows are one group of copies, of which one stays; an empty
+table of documents gives no sequences, an empty benchmark drops nothing; all columns of documents, extra ones too, are handed on to the last stage.
 """
 
 from __future__ import annotations
