@@ -77,6 +77,12 @@ def facing(bx: Column, by: Column, hx: Column, hy: Column, tx: Column, ty: Colum
     return F.when(cos.isNotNull(), F.degrees(F.acos(F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0)))))
 
 
+def between(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
+    """Signed degrees from one direction to another, in (-180, 180]; null where either has no length."""
+    there = (F.hypot(ux, uy) >= 1e-6) & (F.hypot(vx, vy) >= 1e-6)
+    return F.when(there, F.degrees(F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)))
+
+
 def turn(angle: Column, before: Column) -> Column:
     """Change of a heading, unwrapped to (-180, 180]."""
     d = angle - before

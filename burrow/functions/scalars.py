@@ -81,5 +81,33 @@ def px_per_cm(length_px: Column, length: Column, unit: Column) -> Column:
     return F.when((length_px >= 1) & (cm > 0), length_px / cm)
 
 
+def px_per_mm(length_px: Column, length_mm: Column, length: Column, unit: Column) -> Column:
+    """Scale of a calibration zone: its own length in mm, else a length in a unit (mm if blank or unknown); null unless both are positive."""
+    unit = F.lower(F.coalesce(F.nullif(unit, F.lit("")), F.lit("mm")))
+    mm = F.coalesce(length_mm, length * F.when(unit == "cm", 10.0).when(unit == "m", 1000.0).when(unit == "in", 25.4).otherwise(1.0))
+    return F.when((mm > 0) & (length_px > 0), length_px / mm)
+
+
+def m_per_px(scale: Column, meta: Column) -> Column:
+    """Metres a pixel from a scale's JSON text, else from the file's own (JSON text or number); 1 where neither says.
+
+    A scale is a number (pixels a cm), an object that has one under a known name, an object with length (cm) and values (two points, or four numbers), or four
+    numbers of a line that is 22 cm long.
+    """
+
+    def pixels_a_cm(text: Column) -> Column:
+        fields = F.from_json(text, "map<string,string>")
+        named = F.coalesce(*(fields[k].try_cast("double") for k in ("pix_per_cm", "pixels_per_cm", "px_per_cm", "pixpercm")))
+        flat = lambda v: F.coalesce(F.from_json(v, "array<double>"), F.flatten(F.from_json(v, "array<array<double>>")))
+        far = lambda p: F.when(F.size(p) >= 4, F.hypot(F.get(p, 2) - F.get(p, 0), F.get(p, 3) - F.get(p, 1))).when(F.size(p) == 2, F.abs(F.get(p, 1) - F.get(p, 0)))
+        drawn = far(flat(fields["values"])) / F.when(fields["length"].try_cast("double") > 0, fields["length"].try_cast("double"))
+        line = F.when(F.size(flat(text)) >= 4, far(flat(text)) / 22.0)
+        found = F.when(text.rlike(r"^\s*\{"), F.coalesce(named, drawn)).when(text.rlike(r"^\s*\["), line).otherwise(text.try_cast("double"))
+        return F.when(found != 0, found)
+
+    own = F.coalesce(pixels_a_cm(scale), pixels_a_cm(meta))
+    return F.when(own > 0, 0.01 / own).otherwise(1.0)
+
+
 def rate_label(start: Column, end: Column) -> Column:
     return F.concat(start.cast("string"), F.lit("-"), end.cast("string"), F.lit("min"))

@@ -32,6 +32,17 @@ def bin_label(start: Column, end: Column) -> Column:
     return F.format_string("%d-%ds", start.cast("long"), end.cast("long"))
 
 
+def ordinal_label(i: Column, count: int) -> Column:
+    """bin1of3: the same part of every recording, however long it is."""
+    return F.format_string(f"bin%dof{count}", (i + 1).cast("long"))
+
+
+def span_label(start: Column, end: Column) -> Column:
+    """Seconds, whole where they are: 0-60s, 1.5-3s; whole minutes stay seconds."""
+    plain = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", v.cast("double")), "0+$", ""))
+    return F.concat(plain(start), F.lit("-"), plain(end), F.lit("s"))
+
+
 def fixed(df: DataFrame, width_us: int, clock: str = "elapsed_us") -> DataFrame:
     """Adds bin, the number of the half-open bin of the given width."""
     return df.withColumn("bin", F.floor(F.col(clock) / width_us))

@@ -122,6 +122,17 @@ def preference(df: DataFrame, zone: str, novel: str, familiar: str, dt: str = "d
     return out.withColumns({"preference": F.when(both > 0, (F.col("novel_us") - F.col("familiar_us")) / both), "percent": F.when(both > 0, 100.0 * F.col("novel_us") / both)})
 
 
+def discrimination(times: DataFrame, name: str = "name", us: str = "us") -> DataFrame:
+    """session, total_us, index, percent of sessions with exactly two objects: later minus earlier of their times (by name) over both, and the later one's share.
+
+    times has session, name and us, one row per object; none for sessions without time at either.
+    """
+    pair = times.groupBy(SESSION).agg(F.array_sort(F.collect_list(F.struct(name, us))).alias("p"))  # a session's objects, a handful
+    a, b = F.col("p")[0][us], F.col("p")[1][us]
+    d = pair.where(F.size("p") == 2).withColumn("total_us", a + b).where("total_us > 0")
+    return d.select(SESSION, "total_us", F.round((b - a) / F.col("total_us"), 4).alias("index"), F.round(100 * b / F.col("total_us"), 2).alias("percent"))
+
+
 def cumulative(df: DataFrame, step: str = "step") -> DataFrame:
     """Adds the distance walked so far."""
     return elapsed(df, step, "distance")

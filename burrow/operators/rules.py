@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burrow.functions.geometry import heading, turn
+from burrow.functions.geometry import between, heading, turn
 from burrow.operators.scan import ordered_scan
 from burrow.operators.series import SESSION, along, runs
 
@@ -15,7 +15,8 @@ from burrow.operators.series import SESSION, along, runs
 def features(df: DataFrame, dt: str = "dt_us", alpha: float = 0.4, body_frames: int = 200) -> DataFrame:
     """Adds raw_speed, speed_ema, heading, turning (deg/s), axis, body (running median of axis) and elongation.
 
-    df has x, y (the point that moves) and hx, hy, tx, ty (head and tail of the body's axis).
+    df has x, y (the point that moves) and hx, hy, tx, ty (head and tail of the body's axis); with nx, ny (the neck) head_angle is added, too: the head's
+    signed angle to the body, from tail over neck to head; null where a part of it has no length.
     """
     w = along()
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
@@ -39,7 +40,15 @@ def features(df: DataFrame, dt: str = "dt_us", alpha: float = 0.4, body_frames:
     d = d.withColumn("turning", F.when(F.col(dt) > 0, turn(F.col("heading"), F.lag("heading").over(w)) * 1e6 / F.col(dt)))
     d = d.withColumn("axis", F.sqrt(F.pow(F.col("hx") - F.col("tx"), 2) + F.pow(F.col("hy") - F.col("ty"), 2)))
     d = d.withColumn("body", F.percentile("axis", 0.5).over(w.rowsBetween(-(body_frames - 1), 0)))
-    return d.withColumn("elongation", F.when(F.col("body") > 0, F.col("axis") / F.col("body")))
+    d = d.withColumn("elongation", F.when(F.col("body") > 0, F.col("axis") / F.col("body")))
+    if "nx" in df.columns:
+        d = d.withColumn("head_angle", between(F.col("nx") - F.col("tx"), F.col("ny") - F.col("ty"), F.col("hx") - F.col("nx"), F.col("hy") - F.col("ny")))
+    return d
+
+
+def facing(target: tuple[float, float]) -> Column:
+    """Signed degrees from the body's axis (tail to head) to the target as the head sees it; null without either direction."""
+    return between(F.col("hx") - F.col("tx"), F.col("hy") - F.col("ty"), F.lit(float(target[0])) - F.col("hx"), F.lit(float(target[1])) - F.col("hy"))
 
 
 @dataclass(frozen=True)
@@ -53,6 +62,7 @@ class Rule:
     unit: str = "px"
     duration_us: int = 0
     speed_max: float = 2.0
+    target: tuple[float, float] | None = None
 
     def column(self) -> Column:
         """Whether the condition holds on a frame, before any hold; an unset threshold never fires unless the condition has one of its own."""
@@ -72,6 +82,9 @@ class Rule:
             "speed_lt": lambda: under(speed),
             "rotation_gt": lambda: over(F.abs("turning")),
             "rotation_lt": lambda: under(F.abs("turning")),
+            "head_angle_gt": lambda: over(F.abs("head_angle")),
+            "head_angle_lt": lambda: under(F.abs("head_angle")),
+            "facing_line": lambda: never if self.target is None else F.coalesce(F.abs(facing(self.target)) <= limit(30.0), never),
             "elongation_gt": lambda: over(F.col("elongation")),
             "rearing": lambda: F.coalesce((F.col("elongation") < limit(0.6)) & (F.col("speed_ema") / F.col("body") < self.speed_max), never),
             "freezing": lambda: F.coalesce(speed < limit(1.0), never),
@@ -83,6 +96,33 @@ class Rule:
         return known[self.condition]()
 
 
+def zone_policies(zones: DataFrame, part: str = "centroid", coordinates: bool = True, events: bool = True) -> DataFrame:
+    """name, kind, condition, target, carries_pixels: what each zone sends, from its transmit_mode, coord_var, event_on_enter and event_on_exit.
+
+    A coordinate zone feeds the variable coord_var (``loc_center`` if blank) with the part's zone, or, as ``carries_pixels`` warns, with its pixel place if the name ends
+    in _x or _y. An event zone has a rule in_zone for its entering event and, in the mode event_enter_exit, one exit_edge for its leaving event; blank
+    events make no rule, unknown modes nothing.
+    """
+    mode = F.coalesce("transmit_mode", F.lit("coord"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    variable = F.coalesce(blank("coord_var"), F.lit("loc_center"))
+    low = F.lower(variable)
+    row = lambda kind, condition, target, pixels: F.struct(F.lit(kind).alias("kind"), F.lit(condition).cast("string").alias("condition"), target.alias("target"), pixels.alias("carries_pixels"))
+    no = F.lit(False)
+    sends = F.array(
+        F.when((mode == "coord") & F.lit(coordinates), row("coordinate", None, variable, low.isin("x", "y") | low.endswith("_x") | low.endswith("_y"))),
+        F.when(mode.isin("event_enter", "event_enter_exit") & F.lit(events) & blank("event_on_enter").isNotNull(), row("event", "in_zone", F.col("event_on_enter"), no)),
+        F.when((mode == "event_enter_exit") & F.lit(events) & blank("event_on_exit").isNotNull(), row("event", "exit_edge", F.col("event_on_exit"), no)),
+    )
+    return zones.select("name", F.explode(F.array_compact(sends)).alias("s")).select("name", F.lit(part).alias("part"), "s.*")
+
+
+def rules_of(policies: DataFrame) -> list[Rule]:
+    """The rules of ``zone_policies``' events; zones are a handful."""
+    rows = policies.where("kind = 'event'").orderBy("name", "condition").collect()
+    return [Rule(r["target"], r["condition"], zones=(r["name"],)) for r in rows]
+
+
 def states(df: DataFrame, rules: list[Rule], clock: str = "t_us") -> DataFrame:
     """session, frame, rule, active, fired. A held rule is active once its condition has held for duration_us by the clock; it fires on turning active.
 

@@ -137,29 +137,29 @@ def confirmed_interaction(df: DataFrame, lines: DataFrame, names: list[str], key
     """
     w = Window.partitionBy(*keys).orderBy("frame")
     listed = lines.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("outer", "on", "normal"))))).scalar()
-    d = df.withColumn("lines", listed)
+    d = df.withColumns({"lines": listed, "so_far": F.sum("dt_us").over(w)})
     x, y, hx, hy = (F.col(c) for c in ("x", "y", "hx", "hy"))
     for i, name in enumerate(names):
         z = F.try_element_at("lines", F.lit(name))
         past = (hx - z["on"]["x"]) * z["normal"]["x"] + (hy - z["on"]["y"]) * z["normal"]["y"] <= 0
         d = d.withColumn("near", F.coalesce((F.col("head_zone") == name) & F.coalesce(past, F.lit(True)), F.lit(False)))
-        d = _run(d, "near", w)
-        lasted = F.sum("dt_us").over(Window.partitionBy(*keys, "run").orderBy("frame"))
-        d = d.withColumn(f"confirmed_{i}", F.col("near") & (lasted >= confirm_ms * 1000)).drop("run", "near")
+        # how long a run has lasted is the time so far without that before its first frame
+        d = d.withColumn("since", F.last(F.when(_turns("near", w), F.col("so_far") - F.col("dt_us")), ignorenulls=True).over(w))
+        d = d.withColumn(f"confirmed_{i}", F.col("near") & F.coalesce(F.col("so_far") - F.col("since") >= confirm_ms * 1000, F.lit(False))).drop("near", "since")
         a, b = z["outer"]["a"], z["outer"]["b"]
         at = geometry.nearest_on_segment(hx, hy, a["x"], a["y"], b["x"], b["y"])
         angle = geometry.facing(x, y, hx, hy, at["x"], at["y"])
         d = d.withColumn(f"facing_{i}", F.coalesce(F.col(f"confirmed_{i}") & (angle <= most_deg), F.lit(False)))
-        d = _run(d, f"facing_{i}", w)
-        own = Window.partitionBy(*keys, "run").orderBy("frame")
-        d = d.withColumn("told", F.col(f"facing_{i}") & (F.row_number().over(own) > 1) & (F.col("t_ms") - F.first("t_ms").over(own) >= confirm_ms)).drop("run")
-        d = d.withColumn(f"entered_{i}", F.col("told") & ~F.coalesce(F.lag("told").over(w), F.lit(False))).drop("told")
-    return d.drop("lines")
+        d = d.withColumn("first", _turns(f"facing_{i}", w))
+        d = d.withColumn("since", F.last(F.when(F.col("first"), F.col("t_ms")), ignorenulls=True).over(w))
+        d = d.withColumn("told", F.coalesce(F.col(f"facing_{i}") & ~F.col("first") & (F.col("t_ms") - F.col("since") >= confirm_ms), F.lit(False)))
+        d = d.withColumn(f"entered_{i}", _turns("told", w)).drop("told", "first", "since")
+    return d.drop("lines", "so_far")
 
 
-def _run(d: DataFrame, flag: str, w) -> DataFrame:
-    """d with run, the number of each run of equal flags along a window."""
-    return d.withColumn("turn", (F.col(flag) != F.coalesce(F.lag(flag).over(w), ~F.col(flag))).cast("int")).withColumn("run", F.sum("turn").over(w)).drop("turn")
+def _turns(flag: str, w) -> Column:
+    """Whether a flag turns true here, in a window's order."""
+    return F.col(flag) & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
 
 
 def bin_label(i: Column, seconds: float) -> Column:
