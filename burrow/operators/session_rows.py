@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.functions.names import rounded
-from burrow.operators.measures import NO_ZONE
+from burrow.operators.measures import NO_ZONE, preference, still_bouts
 from burrow.operators.series import SESSION, along
 
 
@@ -75,6 +75,53 @@ def session_row(df: DataFrame, zones: list[str], flags: Flags = Flags(), px_per_
     return rounded(d.groupBy(*keys).agg(*(c.alias(n) for n, c in columns.items())))
 
 
+def visited(df: DataFrame, regions: dict[str, list[str]], least_us: int = 200_000, keys: tuple[str, ...] = (SESSION,), dt: str = "dt_us") -> DataFrame:
+    """keys, kind (body or head), name, time_us, entries, exits, latency_us, visit_us: of every zone and region that a session's body (zone) or head (head_zone) was in.
+
+    A run counts as a visit once it has lasted least_us on a frame after its first; one still open at the end has no exit; the latency is
+    the time to the start of the first visit. A frame in two zones of a region is in the region once. All are found in one pass.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame")
+    d = df.withColumns({"place": F.row_number().over(w), "so_far": F.sum(dt).over(w), "places": F.count("*").over(Window.partitionBy(*keys))})
+    of = lambda c: F.array_distinct(F.array_compact(F.array(F.when(~F.col(c).isin(*NO_ZONE), F.col(c)), *(F.when(F.col(c).isin(*zs), F.lit(r)) for r, zs in regions.items()))))
+    held = F.transform(of("zone"), lambda z: F.struct(F.lit("body").alias("kind"), z.alias("name")))
+    if "head_zone" in df.columns:
+        held = F.concat(held, F.transform(of("head_zone"), lambda z: F.struct(F.lit("head").alias("kind"), z.alias("name"))))
+    rows = d.select(*keys, "place", "places", "so_far", F.col(dt).alias("dt"), F.explode(held).alias("h")).select(*keys, "place", "places", "so_far", "dt", "h.*")
+    rows = rows.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*keys, "kind", "name").orderBy("place")))
+    runs = rows.groupBy(*keys, "kind", "name", "run").agg(F.sum("dt").alias("us"), F.count("*").alias("n"), F.max("place").alias("last"), F.first("places").alias("places"), F.min(F.col("so_far") - F.col("dt")).alias("start"))
+    counts = (F.col("n") >= 2) & (F.col("us") >= least_us - 0.001)
+    return runs.groupBy(*keys, "kind", "name").agg(F.sum("us").alias("time_us"), F.count_if(counts).alias("entries"), F.count_if(counts & (F.col("last") < F.col("places"))).alias("exits"), F.min(F.when(counts, F.col("start"))).alias("latency_us"), F.coalesce(F.sum(F.when(counts, F.col("us"))), F.lit(0)).alias("visit_us"))
+
+
+def detailed_row(df: DataFrame, zones: list[str], regions: dict[str, list[str]] | None = None, px_per_cm: float | None = None, immobile_cm_s: float = 2.0, freeze_cm_s: float = 0.5, least_still_us: int = 1_000_000, least_us: int = 200_000, novel: str = "", familiar: str = "") -> DataFrame:
+    """One wide row per session beside ``session_row``'s: bouts of immobility and freezing, visits of zones and regions by body and head, and preference.
+
+    Immobile_time_s, Immobile_bouts, Freezing_time_s, Freezing_episodes, Freezing_latency_s; for each zone and region name_entries, name_exits, name_latency_s, name_mean_visit_s and
+    name_time_s, with a head_zone also name_time_head_s and name_entries_head; with a novel or familiar zone Preference and Preference_pct. Floats to 4 decimals.
+    """
+    scale, regions = px_per_cm or 1.0, regions or {}
+    still = still_bouts(df, "speed", immobile_cm_s * scale, least_still_us).select(SESSION, (F.col("still_us") / 1e6).alias("Immobile_time_s"), F.col("bouts").alias("Immobile_bouts"))
+    froze = still_bouts(df, "speed", freeze_cm_s * scale, least_still_us).select(SESSION, (F.col("still_us") / 1e6).alias("Freezing_time_s"), F.col("bouts").alias("Freezing_episodes"), (F.col("latency_us") / 1e6).alias("Freezing_latency_s"))
+    v = visited(df, regions, least_us)
+    pick = lambda n, k, c: F.max(F.when((F.col("name") == n) & (F.col("kind") == k), F.col(c)))
+    no = lambda c: F.coalesce(c, F.lit(0))
+    cells = []
+    for n in [*zones, *regions]:
+        visits = pick(n, "body", "entries")
+        cells += [(no(pick(n, "body", "time_us")) / 1e6).alias(f"{n}_time_s"), no(visits).alias(f"{n}_entries"), no(pick(n, "body", "exits")).alias(f"{n}_exits"), (pick(n, "body", "latency_us") / 1e6).alias(f"{n}_latency_s"), no(pick(n, "body", "visit_us") / F.nullif(visits, F.lit(0)) / 1e6).alias(f"{n}_mean_visit_s")]
+        if "head_zone" in df.columns:
+            cells += [(no(pick(n, "head", "time_us")) / 1e6).alias(f"{n}_time_head_s"), no(pick(n, "head", "entries")).alias(f"{n}_entries_head")]
+    out = still.join(froze, SESSION)
+    if cells:
+        out = out.join(v.groupBy(SESSION).agg(*cells), SESSION, "left")
+    if novel or familiar:
+        chosen = preference(df, "zone", novel, familiar).select(SESSION, F.col("preference").alias("Preference"), F.col("percent").alias("Preference_pct"))
+        out = out.join(chosen, SESSION, "left")
+    zero = [f"{n}_{c}" for n in [*zones, *regions] for c in ("time_s", "entries", "exits", "mean_visit_s", "time_head_s", "entries_head") if f"{n}_{c}" in out.columns]
+    return rounded(out.fillna(0, zero) if zero else out)
+
+
 def with_bins(rows: DataFrame, bins: DataFrame, labels: list[str], values: list[str], keys: tuple[str, ...] = (SESSION,)) -> DataFrame:
     """rows with the columns ``label_value`` of their bins (keys, label, values) beside them; rows without a bin have null there."""
     wide = bins.groupBy(*keys).agg(*(F.max(F.when(F.col("label") == b, F.col(v))).alias(f"{b}_{v}") for b in labels for v in values))

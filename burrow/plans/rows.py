@@ -40,6 +40,43 @@ def locomotion_px(spark, sf_dir):
     return session_rows.session_row(_steps(spark, sf_dir), [], session_rows.Flags(transitions=False))
 
 
+_REGIONS = {"shop": ["click", "purchase"], "all": ["click", "view", "purchase"]}
+_NAMES = [*_ZONES, *_REGIONS]
+_CUTS = {"Immobile": 0.006, "Freezing": 0.003}
+
+
+def _still(i: int, below: float) -> str:
+    return f"""k{i} AS (SELECT *, v < {below} AS still, el - dt_us AS st FROM v), c{i} AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR still = lag(still) OVER w THEN 0 ELSE 1 END AS ch FROM k{i} WINDOW w AS (PARTITION BY session ORDER BY frame)),
+r{i} AS (SELECT *, sum(ch) OVER (PARTITION BY session ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM c{i}), g{i} AS (SELECT session, run, still, sum(dt_us) AS us, min(st) AS st FROM r{i} GROUP BY ALL),
+s{i} AS (SELECT session, coalesce(sum(us) FILTER (WHERE still AND us >= 40000000000), 0) AS us, count(*) FILTER (WHERE still AND us >= 40000000000) AS n, min(st) FILTER (WHERE still AND us >= 40000000000) AS lat FROM g{i} GROUP BY session)"""
+
+
+def _visit_cells() -> str:
+    one = "max(q.{c}) FILTER (WHERE q.name = '{n}' AND q.kind = '{k}')"
+    out = []
+    for n in _NAMES:
+        p = lambda c, k="body", n=n: one.format(c=c, n=n, k=k)
+        out.append(f"""((coalesce({p('us')}, 0) + 50)//100)::BIGINT/10000.0::DOUBLE AS {n}_time_s, coalesce({p('ent')}, 0) AS {n}_entries, coalesce({p('ex')}, 0) AS {n}_exits, (({p('lat')} + 50)//100)::BIGINT/10000.0::DOUBLE AS {n}_latency_s, round(coalesce({p('vis')}/nullif({p('ent')}, 0)/1e6, 0), 4) AS {n}_mean_visit_s,
+((coalesce({p('us', 'head')}, 0) + 50)//100)::BIGINT/10000.0::DOUBLE AS {n}_time_head_s, coalesce({p('ent', 'head')}, 0) AS {n}_entries_head""")
+    return ",\n".join(out)
+
+
+@query("detailed_rows", f"""WITH {FRAMES}, v AS (SELECT *, CASE WHEN dt_us > 0 THEN step*1e6/dt_us ELSE 0 END AS v, sum(dt_us) OVER (PARTITION BY session ORDER BY frame ROWS UNBOUNDED PRECEDING) AS el, CASE WHEN k % 3 = 0 THEN zone WHEN k % 3 = 1 THEN 'view' END AS hz, row_number() OVER (PARTITION BY session ORDER BY frame) AS i, count(*) OVER (PARTITION BY session) AS n FROM d),
+{_still(0, _CUTS["Immobile"])}, {_still(1, _CUTS["Freezing"])},
+m AS (SELECT session, i, n, dt_us, el, 'body' AS kind, unnest(list_filter([zone, CASE WHEN zone IN ('click', 'purchase') THEN 'shop' END, CASE WHEN zone IN ('click', 'view', 'purchase') THEN 'all' END], lambda x: x IS NOT NULL)) AS name FROM v
+UNION ALL SELECT session, i, n, dt_us, el, 'head', unnest(list_filter([hz, CASE WHEN hz IN ('click', 'purchase') THEN 'shop' END, CASE WHEN hz IN ('click', 'view', 'purchase') THEN 'all' END], lambda x: x IS NOT NULL)) FROM v),
+u AS (SELECT *, i - row_number() OVER (PARTITION BY session, kind, name ORDER BY i) AS run FROM m), z AS (SELECT session, kind, name, run, sum(dt_us) AS us, count(*) AS c, max(i) AS fin, any_value(n) AS n, min(el - dt_us) AS st FROM u GROUP BY ALL),
+q AS (SELECT session, kind, name, sum(us) AS us, count(*) FILTER (WHERE c >= 2 AND us >= 60000000000) AS ent, count(*) FILTER (WHERE c >= 2 AND us >= 60000000000 AND fin < n) AS ex, min(st) FILTER (WHERE c >= 2 AND us >= 60000000000) AS lat, sum(us) FILTER (WHERE c >= 2 AND us >= 60000000000) AS vis FROM z GROUP BY ALL),
+f2 AS (SELECT session, sum(dt_us) FILTER (WHERE zone = 'click') AS a, sum(dt_us) FILTER (WHERE zone = 'view') AS b FROM d GROUP BY session)
+SELECT s0.session, ((any_value(s0.us) + 50)//100)::BIGINT/10000.0::DOUBLE AS "Immobile_time_s", any_value(s0.n) AS "Immobile_bouts", ((any_value(s1.us) + 50)//100)::BIGINT/10000.0::DOUBLE AS "Freezing_time_s", any_value(s1.n) AS "Freezing_episodes", ((any_value(s1.lat) + 50)//100)::BIGINT/10000.0::DOUBLE AS "Freezing_latency_s",
+round(any_value((coalesce(a, 0) - coalesce(b, 0))/nullif(coalesce(a, 0) + coalesce(b, 0), 0)), 4) AS "Preference", round(any_value(100.0*coalesce(a, 0)/nullif(coalesce(a, 0) + coalesce(b, 0), 0)), 4) AS "Preference_pct",
+{_visit_cells()} FROM s0 JOIN s1 USING (session) JOIN f2 USING (session) LEFT JOIN q USING (session) GROUP BY s0.session""")
+def detailed_rows(spark, sf_dir):
+    """Bouts, visits of zones and regions by body and head, and preference, one row a session."""
+    d = _steps(spark, sf_dir).withColumn("head_zone", F.when(F.col("k") % 3 == 0, F.col("zone")).when(F.col("k") % 3 == 1, "view"))
+    return session_rows.detailed_row(d, list(_ZONES), _REGIONS, immobile_cm_s=_CUTS["Immobile"], freeze_cm_s=_CUTS["Freezing"], least_still_us=40_000_000_000, least_us=60_000_000_000, novel="click", familiar="view")
+
+
 _SHAPE = f"""{FRAMES}, s AS (SELECT session, frame, CASE WHEN session % 3 = 0 THEN zone WHEN session % 3 = 1 AND frame % 1000 < 500 THEN 'first' WHEN session % 3 = 1 THEN 'second' END AS stage FROM f),
 c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND stage IS NOT DISTINCT FROM lag(stage) OVER w THEN 0 ELSE 1 END AS ch FROM s WINDOW w AS (PARTITION BY session ORDER BY frame)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY session ORDER BY frame ROWS UNBOUNDED PRECEDING) AS span FROM c),
