@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from burrow.operators import pose, rules, series
 from burrow.plans.registry import FRAMES, frames, query, table
+from burrow.plans.repairing import shapes
 
 
 @query("rule_states", f"""WITH {FRAMES}, a AS (SELECT session, frame, t_us, coalesce(zone IN ('click', 'view'), false) AS raw FROM d),
@@ -69,14 +70,33 @@ def side_evidence(spark, sf_dir):
     return pose.side_evidence(w, "p0", "p1", "p2", "p3").select("session", "frame", F.round("evidence", 4).alias("evidence"))
 
 
-@query("shape_residuals")
+def _placed(points: str, n: int) -> str:
+    """e<n>: points (session, frame, i, part, x, y) with the places where the shape that has settled puts them, px and py, and how many are seen."""
+    return f"""t{n} AS (SELECT session, frame, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(sx) AS msx, avg(sy) AS msy, avg(sx*sx + sy*sy) AS ss, avg(x*sx + y*sy) AS re, avg(y*sx - x*sy) AS im FROM {points} JOIN s8 USING (session, i) WHERE x IS NOT NULL GROUP BY ALL),
+h{n} AS (SELECT session, frame, n, mx - ar*msx + ai*msy AS br, my - ar*msy - ai*msx AS bi, ar, ai FROM (SELECT *, (re - mx*msx - my*msy)/(ss - msx*msx - msy*msy) AS ar, (im - my*msx + mx*msy)/(ss - msx*msx - msy*msy) AS ai FROM t{n} WHERE n >= 2 AND ss - msx*msx - msy*msy > 1e-12)),
+e{n} AS MATERIALIZED (SELECT session, frame, i, part, x, y, n, ar*sx - ai*sy + br AS px, ar*sy + ai*sx + bi AS py, sqrt(pow(x - (ar*sx - ai*sy + br), 2) + pow(y - (ar*sy + ai*sx + bi), 2)) AS res FROM {points} LEFT JOIN s8 USING (session, i) LEFT JOIN h{n} USING (session, frame))"""
+
+
+def _dropped(n: int) -> str:
+    """m<n>: e<n>'s points without the one of each frame that is farthest off, where it is too far."""
+    return f"""w{n} AS (SELECT session, frame, arg_max(i, struct_pack(res := res, part := part)) AS worst FROM e{n} WHERE res IS NOT NULL GROUP BY ALL),
+o{n} AS (SELECT session, frame, worst, quantile_cont(res, 0.5) FILTER (WHERE i <> worst) AS others FROM e{n} JOIN w{n} USING (session, frame) GROUP BY ALL),
+m{n} AS MATERIALIZED (SELECT session, frame, i, part, CASE WHEN bad THEN NULL ELSE x END AS x, CASE WHEN bad THEN NULL ELSE y END AS y FROM (SELECT *, coalesce(i = worst AND res > 0.35*body AND res > 2*coalesce(others, 0) AND n >= 3, false) AS bad FROM e{n} LEFT JOIN o{n} USING (session, frame) LEFT JOIN body USING (session)))"""
+
+
+_FITTED = f"{_KEYPOINTS.replace('k AS (SELECT', 'k AS MATERIALIZED (SELECT i,')}, {shapes(anchors=2)}, {_placed('k', 0)}"
+_BODY = "pd AS (SELECT a.session, a.frame, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS far FROM k a JOIN k b ON a.session = b.session AND a.frame = b.frame WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL), body AS (SELECT session, quantile_cont(far, 0.5) AS body FROM pd WHERE far > 0 GROUP BY session)"
+
+
+@query("shape_residuals", f"WITH {_FITTED} SELECT session, frame, part, round(res, 6) AS residual FROM e0")
 def shape_residuals(spark, sf_dir):
     k = keypoints(spark, sf_dir)
     return pose.residuals(k, pose.canonical_shape(k)).select("session", "frame", "part", F.round("residual", 6).alias("residual"))
 
 
-@query("placed_parts")
+@query("placed_parts", f"""WITH {_FITTED}, {_BODY}, {_dropped(0)}, {_placed("m0", 1)}, {_dropped(1)}, {_placed("m1", 2)}, {_dropped(2)}, {_placed("m2", 3)}
+SELECT session, frame, part, round(px, 6) + 0.0 AS x, round(py, 6) + 0.0 AS y FROM e3 WHERE x IS NULL AND px IS NOT NULL AND n >= 3""")
 def placed_parts(spark, sf_dir):
     k = keypoints(spark, sf_dir)
     shape = pose.canonical_shape(k)
-    return pose.place_missing(pose.drop_mistracks(k, shape), shape).where("placed").select("session", "frame", "part", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return pose.place_missing(pose.drop_mistracks(k, shape), shape).where("placed").select("session", "frame", "part", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))

@@ -42,33 +42,33 @@ def _normal(rows: str) -> str:
 FROM (SELECT session, i, sx - avg(sx) OVER (PARTITION BY session) AS cx, sy - avg(sy) OVER (PARTITION BY session) AS cy FROM ({rows}))"""
 
 
-def _fit(shape: str, points: str = "u") -> str:
+def _fit(shape: str, points: str = "u", anchors: int = 3) -> str:
     """session, frame, ar, ai, br, bi."""
     return f"""SELECT session, frame, ar, ai, mx - ar*msx + ai*msy AS br, my - ar*msy - ai*msx AS bi FROM (SELECT *, (re - mx*msx - my*msy)/size AS ar, (im - my*msx + mx*msy)/size AS ai FROM
-(SELECT session, frame, avg(x) AS mx, avg(y) AS my, avg(sx) AS msx, avg(sy) AS msy, avg(x*sx + y*sy) AS re, avg(y*sx - x*sy) AS im, avg(sx*sx + sy*sy) - pow(avg(sx), 2) - pow(avg(sy), 2) AS size FROM {points} JOIN {shape} USING (session, i) WHERE x IS NOT NULL GROUP BY session, frame HAVING count(sx) = count(*) AND count(*) >= 3))"""
+(SELECT session, frame, avg(x) AS mx, avg(y) AS my, avg(sx) AS msx, avg(sy) AS msy, avg(x*sx + y*sy) AS re, avg(y*sx - x*sy) AS im, avg(sx*sx + sy*sy) - pow(avg(sx), 2) - pow(avg(sy), 2) AS size FROM {points} JOIN {shape} USING (session, i) WHERE x IS NOT NULL GROUP BY session, frame HAVING count(sx) = count(*) AND count(*) >= {anchors}))"""
 
 
-def _shapes(rounds: int = 8) -> str:
+def shapes(rounds: int = 8, anchors: int = 3) -> str:
     """The rounds written out; a shape that has settled stays."""
-    out = f"""u AS MATERIALIZED (SELECT session, frame, i, x, y FROM k QUALIFY count(x) OVER (PARTITION BY session, frame) >= 3),
+    out = f"""u AS MATERIALIZED (SELECT session, frame, i, x, y FROM k QUALIFY count(x) OVER (PARTITION BY session, frame) >= {anchors}),
 g AS (SELECT session, arg_max(frame, struct_pack(n := n, f := -frame)) AS frame FROM (SELECT session, frame, count(x) AS n FROM u GROUP BY ALL) GROUP BY session),
 s0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS moved FROM ({_normal("SELECT session, i, x AS sx, y AS sy FROM u JOIN g USING (session, frame)")}))"""
     for r in range(1, rounds + 1):
-        out += f""", f{r} AS MATERIALIZED ({_fit(f"s{r - 1}")}),
+        out += f""", f{r} AS MATERIALIZED ({_fit(f"s{r - 1}", anchors=anchors)}),
 p{r} AS (SELECT session, i, avg(((x - br)*ar + (y - bi)*ai)/(ar*ar + ai*ai)) AS sx, avg(((y - bi)*ar - (x - br)*ai)/(ar*ar + ai*ai)) AS sy FROM u JOIN f{r} USING (session, frame) WHERE x IS NOT NULL GROUP BY session, i),
 n{r} AS ({_normal(f"SELECT session, i, coalesce(p{r}.sx, s.sx) AS sx, coalesce(p{r}.sy, s.sy) AS sy FROM s{r - 1} s LEFT JOIN p{r} USING (session, i)")}),
 s{r} AS MATERIALIZED (SELECT session, i, CASE WHEN was < 1e-6 THEN o.sx ELSE n.sx END AS sx, CASE WHEN was < 1e-6 THEN o.sy ELSE n.sy END AS sy, CASE WHEN was < 1e-6 THEN was ELSE max(sqrt(pow(n.sx - o.sx, 2) + pow(n.sy - o.sy, 2))) OVER (PARTITION BY n.session) END AS moved FROM n{r} n JOIN (SELECT *, moved AS was FROM s{r - 1}) o USING (session, i))"""
     return out
 
 
-@query("learned_shapes", f"WITH {_animals()}, {_shapes()} SELECT session, i::INT AS part, round(sx, 4) + 0.0 AS sx, round(sy, 4) + 0.0 AS sy FROM s8")
+@query("learned_shapes", f"WITH {_animals()}, {shapes()} SELECT session, i::INT AS part, round(sx, 4) + 0.0 AS sx, round(sy, 4) + 0.0 AS sy FROM s8")
 def learned_shapes(spark, sf_dir):
     d = repair.learned_shapes(animals(spark, sf_dir), len(PARTS))
     d = d.select("session", F.posexplode(F.arrays_zip("sx", "sy")).alias("part", "p"))
     return d.select("session", "part", *((F.round(f"p.{c}", 4) + 0.0).alias(c) for c in ("sx", "sy")))
 
 
-@query("shape_unswapped", f"""WITH {_animals()}, {_shapes()}, f AS MATERIALIZED ({_fit("s8")}),
+@query("shape_unswapped", f"""WITH {_animals()}, {shapes()}, f AS MATERIALIZED ({_fit("s8")}),
 w AS (SELECT session, frame, i, x, y, ar*sx - ai*sy + br AS fx, ar*sy + ai*sx + bi AS fy FROM u JOIN f USING (session, frame) JOIN s8 USING (session, i)),
 q AS (SELECT a.session, a.frame, a.i AS pair, sqrt(pow(a.fx - a.x, 2) + pow(a.fy - a.y, 2)) + sqrt(pow(b.fx - b.x, 2) + pow(b.fy - b.y, 2)) AS keep, sqrt(pow(a.fx - b.x, 2) + pow(a.fy - b.y, 2)) + sqrt(pow(b.fx - a.x, 2) + pow(b.fy - a.y, 2)) AS turn FROM w a JOIN w b ON a.session = b.session AND a.frame = b.frame AND (a.i, b.i) IN ((1, 2), (4, 5)))
 SELECT session, frame, pair::INT AS pair, turn < 0.6*keep AS exchanged FROM q WHERE keep IS NOT NULL AND turn IS NOT NULL""")
