@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_tracking import stateful_spark, stream  # noqa: F401
 
-from burrow.operators import events, joins, live
-from burrow.streaming import timers
+from burrow.operators import clean, events, joins, live
+from burrow.streaming import logs, timers
 
 SCHEMA = "session long, frame long, t_us long, name string"
 SECOND = 1_000_000
@@ -114,3 +114,48 @@ def test_frames_are_closed_by_the_next_one(stateful_spark, tmp_path, seed):
     spark = stateful_spark
     want = joins.folded(spark.createDataFrame([r[:3] for r in frames], "session long, frame long, t_us long"), spark.createDataFrame(notes, SCHEMA), "t_us", "name", "frame")
     assert plain(told) == sorted((r["session"], r["frame"], r["t_us"], r["names"]) for r in want.collect())
+
+
+def test_the_frame_log_is_folded_clamped_and_summed(stateful_spark, tmp_path):
+    """What the stream writes is what the batch twins give; its totals count clamps, new seats, poses and losses."""
+    spark = stateful_spark
+    rng = random.Random(8)
+    frames, clock = [], {}
+    for s in range(3):
+        clock[s] = 1000.0
+        for i in range(60):
+            clock[s] += rng.choice([30.0, 40.0, -60.0, -900.0]) if rng.random() < 0.3 else 35.0
+            frames.append((s, i, i * 100_000 + rng.randint(0, 50_000), None if s == 2 or rng.random() < 0.1 else clock[s], s != 1 and rng.random() < 0.7))
+    notes = [(s, i, rng.randint(0, 6 * SECOND), f"n{i}") for s in range(3) for i in range(40)]
+    schema, note_schema = "session long, frame long, t_us long, fw_ms double, has_pose boolean", "session long, ord long, t_us long, name string"
+    both = sorted([("f", r) for r in frames] + [("n", r) for r in notes], key=lambda x: x[1][2] + rng.randint(0, 800_000))
+    cut = -(-len(both) // 3)
+    for i in range(0, len(both), cut):
+        part = both[i : i + cut]
+        spark.createDataFrame([r for k, r in part if k == "f"], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        spark.createDataFrame([r for k, r in part if k == "n"], note_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "n"))
+    spark.createDataFrame([(99, 0, 10**9, 1.0, False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    spark.createDataFrame([(99, 0, 10**9, "x")], note_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "n"))
+    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    rows = logs.frame_rows(read("f", schema), read("n", note_schema), "name", "ord", "1 second", close_us=SECOND)
+    q = logs.write_rows(rows, str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True)
+    q.awaitTermination(180)
+    assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).where("session <> 99")
+    df = spark.createDataFrame(frames, schema)
+    want = clean.forward_clock(df, "fw_ms", "clock", logs.MOST_BACK_MS).join(joins.folded(df.select("session", "frame", "t_us"), spark.createDataFrame(notes, note_schema).withColumnRenamed("ord", "frame"), "t_us", "name", "frame").select("session", "frame", "names"), ["session", "frame"])
+    columns = ("session", "frame", "t_us", "fw_ms", "has_pose", "names")
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted((r["session"], r["frame"], r["t_us"], r["clock"], r["has_pose"], r["names"]) for r in want.collect())
+    drops = spark.createDataFrame([(0,), (0,)], "session long")
+    trackers = spark.createDataFrame([(0, "pose"), (1, "pose"), (2, "none")], "session long, tracker string")
+    told = {r["session"]: r for r in logs.totals(got, drops, trackers).collect()}
+    assert [told[s]["frames"] for s in range(3)] == [60] * 3 and told[0]["dropped"] == 2 and told[1]["dropped"] == 0
+    assert told[0]["clamps"] > 0 and told[0]["reseats"] > 0 and [told[s]["warnings"] for s in range(3)] == [[], ["no_pose"], ["no_time"]]
+
+
+def test_the_event_log_is_written_as_lines(spark, tmp_path):
+    kind = "t_ms long, type string, subtype string, content string"
+    spark.createDataFrame([(1500, "print", "task", "a\tb"), (20, "state", None, "run")], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = logs.write_events(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True)
+    q.awaitTermination(60)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0.020\tstate\t\trun", "1.500\tprint\ttask\ta\\tb"]
