@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from burrow.functions import geometry
 from burrow.operators.session_rows import unwrapped
 from burrow.operators.zones import located
+from burrow.scratch import written
 
 INTERACTION = "_IA"
 #: The regions of the table and the zones each one holds.
@@ -194,7 +195,11 @@ def zone_table(df: DataFrame, zones: DataFrame, names: list[str], m_per_px: floa
         F.when(F.col("head_zone").isNotNull() & ~F.col("head_zone").contains(INTERACTION), held(F.col("head_zone"))),
         *(F.when(F.col(f"confirmed_{i}"), F.lit(region.get(n, n))) for i, n in enumerate(marked)),
     )
-    inside = F.concat(F.array(F.struct(F.lit("body").alias("kind"), F.col("body").alias("region"))), F.transform(F.array_distinct(heads), lambda r: F.struct(F.lit("head").alias("kind"), r.alias("region"))))
+    texts = [c for c in TEXTS[:5] if c in df.columns]
+    flags = [f"{w}_{i}" for w in ("facing", "entered") for i in range(len(marked))]
+    # read twice below
+    d = written(d.select(*keys, *texts, "dt_us", "step", "place", "body", "before", heads.alias("heads"), *flags), "zone-table-frames")
+    inside = F.concat(F.array(F.struct(F.lit("body").alias("kind"), F.col("body").alias("region"))), F.transform(F.array_distinct("heads"), lambda r: F.struct(F.lit("head").alias("kind"), r.alias("region"))))
     rows = d.select(*keys, "place", "dt_us", F.explode(inside).alias("r")).select(*keys, "place", "dt_us", "r.*").where("region IS NOT NULL")
     rows = rows.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*keys, "kind", "region").orderBy("place")))
     visits = rows.groupBy(*keys, "kind", "region", "run").agg(F.sum("dt_us").alias("us"), F.count("*").alias("n"))
