@@ -168,3 +168,10 @@ def scanned_columns(spark, sf_dir):
     """Three columns of session files; no other cell is kept."""
     d = session_source.scan(spark, _hash(spark, sf_dir), ["frame_number", "speed", "location"])
     return d.select(sessions.session_of(F.col("session")).cast("long").alias("session"), "frame_number", "speed", "location")
+
+
+@query("state_turns", f"""WITH {_E}, s AS (SELECT session, frame, ms, CASE WHEN k >= 30 THEN zone END AS st FROM e), l AS (SELECT *, lag(st) OVER (PARTITION BY session ORDER BY frame) AS was FROM s WHERE st IS NOT NULL)
+SELECT session, ms::DOUBLE AS t_ms, st AS name FROM l WHERE was IS NULL OR was <> st""")
+def state_turns(spark, sf_dir):
+    d = sessions.state_events(sessions.read_frames(spark, _objects(spark, sf_dir)))
+    return d.withColumn("session", sessions.session_of(F.col("session")).cast("long"))

@@ -95,3 +95,16 @@ UNION ALL SELECT session, frame, run, 'latency', 'bought', t_us - bt FROM m WHER
 UNION ALL SELECT session, frame, run, 'token', upper(zone[1]), row_number() OVER (PARTITION BY session, run ORDER BY frame) FROM r WHERE zone IN ('click', 'purchase')""")
 def run_resets(spark, sf_dir):
     return live.run_messages(frames(spark, sf_dir), F.col("zone") == "signup", {"clicks": "click", "views": "view"}, {"bought": ("view", "purchase")}, {"C": "click", "P": "purchase"}, name="zone")
+
+
+@query("queue_policies", f"""WITH {FRAMES}, q AS (SELECT session, frame, row_number() OVER (PARTITION BY session ORDER BY frame DESC) AS z, row_number() OVER (PARTITION BY session ORDER BY frame) AS a FROM d)
+SELECT policy, session, count(*) FILTER (WHERE CASE policy WHEN 'drop_oldest' THEN z <= 10 WHEN 'drop_newest' THEN a <= 10 ELSE true END) AS kept, min(frame) FILTER (WHERE CASE policy WHEN 'drop_oldest' THEN z <= 10 WHEN 'drop_newest' THEN a <= 10 ELSE true END) AS first FROM q, (VALUES ('lossless'), ('drop_oldest'), ('drop_newest')) p(policy) GROUP BY ALL""")
+def queue_policies(spark, sf_dir):
+    """What a queue of ten rows a session delivers of one batch, under each policy."""
+    from burrow.streaming import rules
+
+    f, out = frames(spark, sf_dir).select("session", "frame"), None
+    for p in rules.POLICIES:
+        q = rules.queued(f, "session", "frame", 10, p).where("kept").groupBy(F.lit(p).alias("policy"), "session").agg(F.count("*").alias("kept"), F.min("frame").alias("first"))
+        out = q if out is None else out.unionByName(q)
+    return out

@@ -179,8 +179,9 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     d = d.withColumn("frame_number", F.coalesce(number(F.col("c_frame_number")).cast("long"), F.when(F.col("json").isNotNull(), F.col("row_index"))))
     d = d.withColumn("segment", F.sum(F.coalesce((F.col("frame_number") < F.lag("frame_number").over(w)).cast("int"), F.lit(0))).over(w))
     text = lambda c: F.when(~is_absent(F.col(c)), F.col(c))
-    # points of JSON frames without names are named by their place
-    numbered = F.when(F.col("json").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("string")))
+    # points without names are named by their place, as many as a cell can have
+    points = F.greatest(F.length("c_pose_array") - F.length(F.replace("c_pose_array", F.lit("["), F.lit(""))), F.lit(1))
+    numbered = F.transform(F.sequence(F.lit(0), points), lambda i: i.cast("string"))
     return d.select(
         F.col("file").alias("session"),
         "segment",
@@ -232,6 +233,13 @@ def state_timeline(log: DataFrame) -> DataFrame:
     return log.where("type = 'state'").select("session", "t_ms", F.col("content").alias("state"))
 
 
+def state_events(frames: DataFrame) -> DataFrame:
+    """session, t_ms, name: the states that a recording's frames turn to, for files that don't log them; a frame without a state changes nothing."""
+    before = F.last("stage", ignorenulls=True).over(Window.partitionBy("session").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1))
+    turned = F.col("stage").isNotNull() & ~F.col("stage").eqNullSafe(F.col("before"))
+    return frames.withColumn("before", before).where(turned).select("session", F.col("frame_ts_ms").alias("t_ms"), F.col("stage").alias("name"))
+
+
 def exploded_states(frames: DataFrame, column: str = "stage") -> DataFrame:
     """One row per bar-joined state of a frame, ``-`` and absent ones left out."""
     e = frames.select("*", F.posexplode(F.split(column, "\\|")).alias("ord", "one"))

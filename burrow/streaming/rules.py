@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -129,3 +129,29 @@ def newest(batch: DataFrame, key: str, order: str) -> DataFrame:
 def dropped(batch: DataFrame, key: str, order: str) -> DataFrame:
     """key, dropped: how many rows ``newest`` leaves out."""
     return batch.groupBy(key).agg((F.count(order) - 1).alias("dropped"))
+
+
+POLICIES = ("lossless", "drop_oldest", "drop_newest")
+
+
+def queued(batch: DataFrame, key: str, order: str, depth: int, policy: str = "drop_oldest") -> DataFrame:
+    """A micro-batch with kept: whether a queue of ``depth`` rows a key delivers a row. lossless keeps all, drop_oldest the last rows, drop_newest the first ones.
+
+    What isn't kept is the drop log; keys don't touch one another.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"no such policy: {policy}")
+    if policy == "lossless":
+        return batch.withColumn("kept", F.lit(True))
+    by = F.desc(order) if policy == "drop_oldest" else F.asc(order)
+    return batch.withColumn("kept", F.row_number().over(Window.partitionBy(key).orderBy(by)) <= depth)
+
+
+def delivered(batch: DataFrame, path: str, key: str, order: str, depth: int, policy: str = "drop_oldest") -> None:
+    """For ``foreachBatch``: appends a micro-batch's kept rows to the table rows below path, and the key, place and policy of the others to drops."""
+    q = queued(batch, key, order, depth, policy).persist()
+    try:
+        q.where("kept").drop("kept").write.mode("append").parquet(f"{path}/rows")
+        q.where("NOT kept").select(F.col(key).alias("stream"), F.col(order).cast("long").alias("frame_idx"), F.lit(policy).alias("reason")).write.mode("append").parquet(f"{path}/drops")
+    finally:
+        q.unpersist()

@@ -189,3 +189,17 @@ def test_the_shared_folder_is_never_a_machine_s_own_on_a_cluster(spark, monkeypa
     Context.master = "local[4]"
     assert scratch.shared_dir(session) == scratch.shared_dir(session)
     assert scratch.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_points_without_names_are_named_by_place(spark, tmp_path):
+    text = "\n".join(x for x in FILE.split("\n") if not x.startswith("#body_parts"))
+    (tmp_path / "a.txt").write_text(text)
+    row = sessions.read_frames(spark, str(tmp_path)).where("row_index = 0").first()
+    assert {k: tuple(p) for k, p in row["pose"].items()} == {str(i): p for i, p in enumerate(RECORDED[0]["pose"])}
+    assert sessions.first_point(sessions.read_frames(spark, str(tmp_path))).where("row_index = 0").first()["x"] == RECORDED[0]["pose"][0][0]
+
+
+def test_states_that_frames_turn_to(spark):
+    rows = [("s", i, float(i), v) for i, v in enumerate([None, "a", None, "a", "b", None, "a", "a"])]
+    got = sessions.state_events(spark.createDataFrame(rows, "session string, row_index long, frame_ts_ms double, stage string")).collect()
+    assert sorted((r["t_ms"], r["name"]) for r in got) == [(1.0, "a"), (4.0, "b"), (6.0, "a")]

@@ -71,3 +71,17 @@ def test_newest_and_dropped(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "box long, frame long, v string")
     assert sorted(map(tuple, rules.newest(df, "box", "frame").collect())) == [(1, 2, "b"), (2, 1, "c")]
     assert dict(map(tuple, rules.dropped(df, "box", "frame").collect())) == {1: 1, 2: 0}
+
+
+def test_queues_of_a_stream(spark, tmp_path):
+    """Each micro-batch delivers at most the queue's rows of a key, and the others are logged."""
+    for k in range(2):
+        spark.createDataFrame([(s, 10 * k + i, 0, "a", "n", 1.0) for s in (1, 2) for i in range(5 if s == 1 else 2)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for policy, want in (("drop_oldest", [3, 4, 13, 14]), ("drop_newest", [0, 1, 10, 11]), ("lossless", [0, 1, 2, 3, 4, 10, 11, 12, 13, 14])):
+        out = str(tmp_path / policy)
+        src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = src.writeStream.foreachBatch(lambda b, _, out=out, policy=policy: rules.delivered(b, out, "session", "frame", 2, policy)).option("checkpointLocation", out + "-ck").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        rows = spark.read.parquet(out + "/rows")
+        assert sorted(r["frame"] for r in rows.where("session = 1").collect()) == want and rows.where("session = 2").count() == 4
+        assert spark.read.parquet(out + "/drops").count() == 14 - rows.count()
