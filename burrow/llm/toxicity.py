@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.textual import alnum_words, column, per_worker, prepare, written
+from burrow.llm.textual import alnum_words, column, prepare, written
 
 STEM_LENGTHS = range(4, 9)
 SPELLED, MISSPELLED = 1, 2
@@ -373,14 +373,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(column(docs, "text", "string").alias("tox_text"), *(docs[c] for c in kept))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
 
-    key = xxhash.xxh64_hexdigest("\n".join([*model.stems, "", *model.words]))
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = per_worker("toxicity", dict)  # the automaton of the last model, with the words it has met
-        if key not in held:
-            held.clear()
-            held[key] = model.matches()
-        matches = held[key]
+        matches = model.matches()  # a task's own: kept by the worker it would take memory from the stages that follow
         for b in batches:
             x = np.array([_features(t, matches) for t in b.column(0).cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
             s = model.scores(x)
