@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from burrow.functions import scalars
 from burrow.operators import clean, pose, rollup, rules, series, tracks, zones
 from burrow.plans.registry import FRAMES, frames, query, table
-from burrow.plans.space import zone_table
 
 HOUR = 3_600_000_000
 

@@ -11,7 +11,6 @@ folder gives no rows.
 from __future__ import annotations
 
 import json
-import posixpath
 import re
 from collections.abc import Iterator
 
