@@ -1,6 +1,6 @@
 """Tables between jobs: written to the folder that driver and executors share, read again, and deleted when done.
 
-The folder is the session's ``spark.checkpoint.dir``. Where it is unset, a run on one machine (master local) gets a temporary folder, as
+The folder is the session's ``spark.checkpoint.dir``. A result reads some of them when it is read itself; ``clear`` deletes what is left once no result is needed. Where it is unset, a run on one machine (master local) gets a temporary folder, as
 in tests; on a cluster that is an error, for no machine's own folder is seen by the others.
 """
 
@@ -15,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths that this process has handed out, by application.
+_given: dict[str, list[str]] = {}
 _releasing: list[list[tuple[SparkSession, str]]] = []
 
 
@@ -34,7 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that was written below the shared folder for this application and is still there, when no result needs it any more; how many paths."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _deleted(spark, path)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -55,5 +72,6 @@ def released() -> Iterator[None]:
         yield
     finally:
         for spark, path in _releasing.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _deleted(spark, path)
+            if path in (given := _given.get(spark.sparkContext.applicationId, [])):
+                given.remove(path)

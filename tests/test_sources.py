@@ -203,3 +203,18 @@ def test_states_that_frames_turn_to(spark):
     rows = [("s", i, float(i), v) for i, v in enumerate([None, "a", None, "a", "b", None, "a", "a"])]
     got = sessions.state_events(spark.createDataFrame(rows, "session string, row_index long, frame_ts_ms double, stage string")).collect()
     assert sorted((r["t_ms"], r["name"]) for r in got) == [(1.0, "a"), (4.0, "b"), (6.0, "a")]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from burrow import scratch
+
+    scratch.clear(spark)
+    kept = scratch.written(spark.range(3), "kept", keep=True)
+    with scratch.released():
+        gone = scratch.written(spark.range(4), "gone")
+        assert gone.count() == 4
+    folder = scratch.shared_dir(spark)
+    assert [n for n in os.listdir(folder) if n.startswith("gone-")] == [] and kept.count() == 3
+    assert scratch.clear(spark) == 1 and [n for n in os.listdir(folder) if n.startswith("kept-")] == []
