@@ -175,3 +175,18 @@ SELECT session, ms::DOUBLE AS t_ms, st AS name FROM l WHERE was IS NULL OR was <
 def state_turns(spark, sf_dir):
     d = sessions.state_events(sessions.read_frames(spark, _objects(spark, sf_dir)))
     return d.withColumn("session", sessions.session_of(F.col("session")).cast("long"))
+
+
+@query("pose_streams", f"""WITH {_E} SELECT session, frame AS frame_number, CASE WHEN k % 4 > 1 THEN round(speed + 1, 2) END AS x, CASE WHEN k % 4 > 1 THEN k::DOUBLE END AS y, CASE WHEN k < 50 THEN zone END AS location, 'start-' || session AS started, 'again' AS tracker FROM e""")
+def pose_streams(spark, sf_dir):
+    """Poses moved and written beside what the old files' headers say, then read back."""
+    source, path = _hash(spark, sf_dir), scratch(spark, "poses")
+    f = sessions.read_frames(spark, source).withColumn("session", F.regexp_extract("session", r"/session=([^/]*)/", 1))
+    moved = f.withColumn("pose", F.transform_values("pose", lambda _, p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"), p["conf"].alias("conf"))))
+    heads = session_source.head_lines(spark, source).withColumn("file", F.concat(F.regexp_extract("file", r"/session=([^/]*)/", 1), F.lit(".txt")))
+    session_source.write_poses_of(heads, moved.select("session", "frame_number", "frame_ts_ms", "pose", "location"), path, ["nose", "tail"], "again")
+    of = lambda c: sessions.session_of(F.col(c)).cast("long").alias("session")
+    told = sessions.headers(sessions.lines(spark, path)).select(of("file"), F.col("header")["start_time"].alias("started"), F.col("header")["tracker"].alias("tracker"))
+    nose = F.try_element_at("pose", F.lit("nose"))
+    again = sessions.read_frames(spark, path).select(of("session"), "frame_number", F.round(nose["x"], 2).alias("x"), nose["y"].alias("y"), "location")
+    return again.join(told, "session")

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from burrow.functions.scalars import elapsed_ms, is_absent, last_state, number
+from burrow.functions.scalars import elapsed_ms, escaped, format_elapsed, is_absent, last_state, number
 from burrow.sources import sessions
 
 BLOCK = 1 << 14
@@ -231,3 +231,35 @@ def scan(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     cells = spark.read.format("session_files").options(what="cells", path=path, columns=",".join(columns)).load()
     cells = cells.select(F.col("file").alias("session"), "row_index", *(F.col(c).alias(f"c_{c}") for c in columns))
     return cells.select("session", "row_index", *(_typed(c).alias(c) for c in columns))
+
+
+#: Header lines that a new pose stream writes anew.
+REPLACED = r"^#(?:columns|body_parts|tracker|schema)\b"
+
+
+def write_poses(spark: SparkSession, source: str, frames: DataFrame, path: str, parts: list[str], tracker: str) -> None:
+    """Session files with new poses below path, a folder a session: the header of the file of that name in ``source`` carried over, but for tracker, parts and columns.
+
+    frames has session (the file's name without folder and ending), frame_number, frame_ts_ms, pose (a map of x, y, conf by part) and any of location, stage and
+    speed. Only headers in ``#key value`` lines are carried; of a file that isn't there only the new lines are written.
+    """
+    write_poses_of(head_lines(spark, source), frames, path, parts, tracker)
+
+
+def write_poses_of(heads: DataFrame, frames: DataFrame, path: str, parts: list[str], tracker: str) -> None:
+    """``write_poses`` with the headers given as ``head_lines`` gives them."""
+    heads = heads.withColumn("session", F.regexp_extract("file", r"([^/]*)\.[^./]*$", 1))
+    in_zones = F.sum(F.col("line").startswith("#zone_config_begin").cast("int") - F.col("line").startswith("#zone_config_end").cast("int")).over(Window.partitionBy("file").orderBy("at"))
+    carried = heads.withColumn("open", in_zones).where((F.col("line").startswith("#") | (F.col("open") > 0)) & ~F.col("line").rlike(REPLACED))
+    carried = carried.join(frames.select("session").distinct(), "session", "left_semi").select("session", (F.col("at") - (1 << 40)).alias("ord"), F.col("line").alias("value"))
+    named = [("location", "zone"), ("stage", "state"), ("speed", "speed")]
+    more = [(c, n) for c, n in named if c in frames.columns]
+    new = [f"#tracker {tracker}", f"#body_parts {json.dumps(parts)}", "#columns " + " ".join(["frame", "elapsed", "pose", *(n for _, n in more)])]
+    own = frames.select("session").distinct().select("session", F.explode(F.array(*(F.struct(F.lit(i - len(new)).cast("long").alias("ord"), F.lit(v).alias("value")) for i, v in enumerate(new)))).alias("l")).select("session", "l.*")
+    number_ = lambda v: F.coalesce(F.when(~F.isnan(v), F.format_string("%.4f", v)), F.lit("null"))
+    point = lambda p: F.concat(F.lit("["), F.concat_ws(",", *(number_(F.try_element_at("pose", F.lit(p))[c]) for c in ("x", "y", "conf"))), F.lit("]"))
+    pose = F.when(F.col("pose").isNull(), "na").otherwise(F.concat(F.lit("["), F.concat_ws(",", *(F.when(F.map_contains_key("pose", F.lit(p)), point(p)).otherwise("[]") for p in parts)), F.lit("]")))
+    plain = lambda c: F.when(F.col(c).isNull(), "none").otherwise(F.format_string("%.4f", c)) if c == "speed" else F.coalesce(escaped(F.col(c)), F.lit("na"))
+    cells = [F.col("frame_number").cast("string"), format_elapsed(F.col("frame_ts_ms")), pose, *(plain(c) for c, _ in more)]
+    rows = frames.select("session", F.col("frame_number").cast("long").alias("ord"), F.concat_ws("\t", *cells).alias("value"))
+    sessions.write_lines(carried.unionByName(own).unionByName(rows), path)

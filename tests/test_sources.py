@@ -218,3 +218,19 @@ def test_scratch_tables_go(spark):
     folder = scratch.shared_dir(spark)
     assert [n for n in os.listdir(folder) if n.startswith("gone-")] == [] and kept.count() == 3
     assert scratch.clear(spark) == 1 and [n for n in os.listdir(folder) if n.startswith("kept-")] == []
+
+
+def test_new_poses_keep_the_header(spark, tmp_path):
+    """A corrected pose stream is read back with its new poses and what the old file's header said."""
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/s1.txt").write_text(FILE.replace("#units", "#tracker before\n#units"))
+    frames = sessions.read_frames(spark, str(tmp_path / "old")).withColumn("session", F.lit("s1"))
+    moved = frames.withColumn("pose", F.transform_values("pose", lambda _, p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"), p["conf"].alias("conf"))))
+    session_source.write_poses(spark, str(tmp_path / "old"), moved, str(tmp_path / "new"), recordings.PARTS, "after")
+    again = sessions.read_frames(spark, str(tmp_path / "new")).orderBy("row_index").collect()
+    assert [(r["frame_number"], r["location"], r["stage"], r["speed"]) for r in again] == [(f["number"], f["zone"], f["states"][-1] if f["states"] else None, f["speed"]) for f in RECORDED]
+    assert [r["pose"] and {k: tuple(p) for k, p in r["pose"].items()} for r in again] == [f["pose"] and {k: (x + 1, y, c) for k, (x, y, c) in zip(recordings.PARTS, f["pose"])} for f in RECORDED]
+    head = sessions.headers(sessions.lines(spark, str(tmp_path / "new"))).first()["header"]
+    assert head["tracker"] == "after" and head["start_time"] == HEAD["started"] and head["units"] == '{"px_per_cm": 7}'
+    zones = zone_files.zones_of(sessions.zone_text(sessions.lines(spark, str(tmp_path / "new")))).collect()
+    assert [z["name"] for z in zones] == [HEAD["zone"]]
