@@ -133,3 +133,14 @@ def signed_angles(spark, sf_dir):
     w = series.along()
     f = frames(spark, sf_dir).select("session", "frame", (F.col("x") - 250).alias("ux"), (F.col("y") - 50).alias("uy"), (F.lag("x").over(w) - 250).alias("vx"), (F.lag("y").over(w) - 50).alias("vy"))
     return f.select("session", "frame", (F.round(geometry.between(*(F.col(c) for c in ("ux", "uy", "vx", "vy"))), 4) + 0.0).alias("angle"))
+
+
+@query("identity_checks", f"""WITH {FRAMES}, w AS (SELECT session, (max(t_us) - min(t_us))::DOUBLE AS span, sum(step) AS path, sum(dt_us) FILTER (WHERE zone IS NOT NULL)::DOUBLE AS z FROM d GROUP BY session),
+c AS (SELECT session, unnest([{{'c': 'duration', 'e': span}}, {{'c': 'width_distance', 'e': path}}, {{'c': 'width_zone_time', 'e': z}}, {{'c': 'count_distance', 'e': path}}, {{'c': 'count_zone_time', 'e': z}}, {{'c': 'edges_distance', 'e': path}}, {{'c': 'edges_zone_time', 'e': z}}, {{'c': 'zone_distance', 'e': path}}, {{'c': 'zone_time', 'e': span}}, {{'c': 'mean_speed', 'e': path*1e6/span}}]) AS r FROM w)
+SELECT session, r.c AS "check", round(r.e, 3) AS expected, round(r.e, 3) AS actual, true AS ok FROM c""")
+def identity_checks(spark, sf_dir):
+    """Every session's parts add up to its whole, by bins of a day, three bins and an edge; all frames are in zones here."""
+    from burrow.operators import checks
+
+    d = checks.identities(frames(spark, sf_dir), 86_400_000_000, 3, (600_000_000_000,))
+    return d.select("session", "check", F.round("expected", 3).alias("expected"), F.round("actual", 3).alias("actual"), "ok")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from burrow.operators import bins, measures, series
+from burrow.operators import bins, checks, measures, series
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,31 @@ def test_visits_as_a_loop(spark, variant):
     df = spark.createDataFrame(rows, "session long, frame long, inside boolean, dt_us long")
     got = {r["session"]: (r["entries"], r["exits"]) for r in measures.visits(df, F.col("inside"), 200_000, variant).collect()}
     assert got == want
+
+
+def test_time_inside_needs_no_visit(walk):
+    r = measures.totals(walk, where=F.col("frame").between(10, 49)).first()
+    assert r["duration_s"] == 4.0
+
+
+def test_bins_are_half_open(spark):
+    t = spark.createDataFrame([(1, t) for t in (0, 60_000_000, 120_000_000)], "session long, elapsed_us long")
+    assert [r["bin"] for r in bins.fixed(t, 60_000_000).orderBy("elapsed_us").collect()] == [0, 1, 2]
+    assert bins.by_edges(t, [60_000_000, 120_000_000]).where("bin = 1").count() == 1
+
+
+@pytest.mark.parametrize("covered,partial", [(59.8, False), (30.0, True)])
+def test_partial_bins(spark, covered, partial):
+    assert spark.range(1).select(measures.is_partial(F.lit(covered), F.lit(60.0)).alias("p")).first()["p"] is partial
+
+
+def test_identities_hold_and_show_what_breaks(spark, walk):
+    rng = random.Random(4)
+    rows = [(s, i, i * 700_000 + rng.randint(0, 600_000), rng.uniform(0, 50), rng.uniform(0, 50), rng.choice(["a", "b", "none", None])) for s in range(5) for i in range(400)]
+    df = spark.createDataFrame(rows, "session long, frame long, t_us long, x double, y double, zone string")
+    got = checks.identities(df).collect()
+    assert len(got) == 50 and all(r["ok"] for r in got) and {r["check"] for r in got} >= {"duration", "edges_zone_time", "mean_speed"}
+    # a clock that runs back breaks the duration, and only that
+    back = df.withColumn("t_us", F.when((F.col("session") == 2) & (F.col("frame") == 399), F.col("t_us") - 200_000_000).otherwise(F.col("t_us")))
+    assert {(r["session"], r["check"]) for r in checks.identities(back).where("NOT ok").collect()} >= {(2, "duration")}
+    assert checks.identities(back).where("NOT ok AND session <> 2").isEmpty()
