@@ -44,6 +44,14 @@ def since_reset(df: DataFrame, reset: Column, name: str = "zone") -> DataFrame:
     return d.withColumn("n", F.count("*").over(Window.partitionBy(SESSION, "run", name).orderBy("frame")))
 
 
+def set_changes(df: DataFrame, zones: str) -> DataFrame:
+    """session, frame, entered, gone (bar-joined, sorted): differences of a frame's array of zones from the one before; a session's first is only the baseline."""
+    now = F.array_sort(F.array_distinct(F.col(zones)))
+    d = df.select(SESSION, "frame", now.alias("now")).withColumn("was", F.lag("now").over(along())).where("was IS NOT NULL AND was <> now")
+    names = lambda a, b: F.array_join(F.array_sort(F.array_except(a, b)), "|")
+    return d.select(SESSION, "frame", names("now", "was").alias("entered"), names("was", "now").alias("gone"))
+
+
 def watchdog(df: DataFrame, stall_us: int, least_rate: float, clock: str = "t_us") -> DataFrame:
     """session, stalls (gaps longer than stall_us), longest_us, per_second, low: whether fewer rows a second came than least_rate times 0.8."""
     gap = F.col(clock) - F.lag(clock).over(along())
