@@ -24,8 +24,8 @@ def _files(spark, events, name: str, head: list, row, more=None) -> str:
     path = scratch(spark, name)
     one = events.select("session").distinct()
     lines = events.select("session", F.col("frame").alias("ord"), row.alias("value"))
-    for i, h in enumerate(head):
-        lines = lines.unionByName(one.select("session", F.lit(i - len(head)).cast("long").alias("ord"), (F.lit(h) if isinstance(h, str) else h).alias("value")))
+    told = F.array(*(F.struct(F.lit(i - len(head)).cast("long").alias("ord"), (F.lit(h) if isinstance(h, str) else h).alias("value")) for i, h in enumerate(head)))
+    lines = lines.unionByName(one.select("session", F.inline(told)))
     sessions.write_lines(lines if more is None else lines.unionByName(more), path)
     return path
 

@@ -271,8 +271,9 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lines(lines_of: DataFrame, path: str) -> None:
-    """Lines (session, ord, value) as one text file per session, in order, each in the folder ``session=...`` of its own."""
-    out = lines_of.repartition("session").sortWithinPartitions("session", "ord")
+    """Lines (session, ord, value) as one text file per session, in order, each in the folder ``session=...`` of its own. Nothing that lines_of reads may lie below path."""
+    # dealt by a hash of the session: an exchange by the session itself is left out over a union whose parts are dealt so already, and then parts are coalesced each by itself
+    out = lines_of.repartition(F.xxhash64("session")).sortWithinPartitions("session", "ord")
     out.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
 
 
