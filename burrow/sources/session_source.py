@@ -4,6 +4,9 @@
 listing a folder costs some kilobytes a file whatever the files hold. With ``what`` = ``cells`` it cuts a frame's line only up to the last wanted
 column and keeps the wanted ones. Files are spread over tasks by their sizes. Paths may be of any file system that pyarrow knows.
 
+It also writes: rows (folder, value), a folder's rows one after another, become the lines of one file in each folder. A file gets its name when it is whole, so
+a task that runs twice leaves one file; a job that fails leaves none. Where there are as many files as sessions, this spares what Spark's writer does for each.
+
 Defined results: as ``sessions`` has them; a file without frames has all its lines as head; what stands behind the first frame is no header; an empty
 folder gives no rows.
 """
@@ -12,13 +15,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from burrow.functions.scalars import elapsed_ms, escaped, format_elapsed, is_absent, last_state, number
 from burrow.sources import sessions
@@ -81,7 +86,7 @@ class _Reader(DataSourceReader):
         self.pattern, self.exclude = options.get("suffix", ".txt"), re.compile(options.get("exclude", r"\.pbanalysis/"))
 
     def partitions(self) -> list[InputPartition]:
-        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, root = _opened(self.path)
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((f for f in found if f.is_file and f.path.endswith(self.pattern) and not self.exclude.search(f.path)), key=lambda f: f.path)
         out: list[list[str]] = []
@@ -96,7 +101,7 @@ class _Reader(DataSourceReader):
         return [_Files(paths) for paths in out] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
+        system, _ = _opened(self.path)
         for path in partition.paths:
             yield from (self._head if self.what == "head" else self._cells)(system, path)
 
@@ -179,8 +184,49 @@ def _object(line: str, wanted: list[str]) -> list[str | None] | None:
     return out
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = _opened(self.path)
+        name, at, out = uuid.uuid4().hex, None, None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(f"{root}/{at}/.{name}", f"{root}/{at}/part-00000.txt")
+
+        for batch in iterator:
+            folders, values = batch.column("folder"), batch.column("value").fill_null("")
+            # where a folder's rows begin
+            cuts = [0, *(i + 1 for i in pc.indices_nonzero(pc.not_equal(folders[1:], folders[:-1])).to_pylist()), len(folders)] if len(folders) else []
+            for begin, end in zip(cuts, cuts[1:]):
+                if (folder := folders[begin].as_py()) != at:
+                    close()
+                    at = folder
+                    system.create_dir(f"{root}/{at}")
+                    out = system.open_output_stream(f"{root}/{at}/.{name}")
+                out.write(("\n".join(values[begin:end].to_pylist()) + "\n").encode())
+        close()
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
+        system, root = _opened(self.path)
+        system.create_dir(root)
+        system.open_output_stream(f"{root}/_SUCCESS").close()
+
+    def abort(self, messages: list) -> None:
+        system, root = _opened(self.path)
+        system.delete_dir_contents(root, missing_dir_ok=True)
+
+
 class SessionFiles(DataSource):
-    """Options: path, what (head or cells), columns (canonical names, comma-joined), suffix, exclude."""
+    """Options: path, what (head or cells), columns (canonical names, comma-joined), suffix, exclude. Written are rows of folder and value."""
 
     @classmethod
     def name(cls) -> str:
@@ -194,6 +240,21 @@ class SessionFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            system, root = _opened(self.options["path"])
+            system.delete_dir_contents(root, missing_dir_ok=True)
+        return _Writer(dict(self.options))
+
+
+def can_write(path: str) -> bool:
+    """Whether pyarrow knows the path's file system."""
+    try:
+        _opened(path)
+    except (ValueError, NotImplementedError, OSError):
+        return False
+    return True
+
 
 def head_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, at, line, bytes_read of what stands before the first frame of every session file, and that frame."""

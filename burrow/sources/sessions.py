@@ -55,6 +55,8 @@ _JSON = {
     "pose_array": ("pose_array", "pose", "poses"),
     "stage": ("stage", "state", "state_name"),
 }
+# Characters that Spark escapes in folder names.
+_ODD = r"[\x01-\x1F\x7F\"#%'*/:=?\\{\[\]^]"
 _POINT = "struct<x:double,y:double,conf:double>"
 _POSE = f"map<string,{_POINT}>"
 
@@ -270,11 +272,25 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
     return sheet.where(~is_absent(F.col("Subject")))
 
 
+def _folder(session: Column) -> Column:
+    """The folder's name as Spark's partitioned writers have it: what a path can't hold is escaped."""
+    text = F.nullif(session.cast("string"), F.lit(""))
+    odd = F.regexp_count(text, F.lit(_ODD)) > 0
+    hexed = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_ODD), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.concat(F.lit("session="), F.coalesce(F.when(odd, F.array_join(hexed, "")).otherwise(text), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
 def write_lines(lines_of: DataFrame, path: str) -> None:
     """Lines (session, ord, value) as one text file per session, in order, each in the folder ``session=...`` of its own. Nothing that lines_of reads may lie below path."""
     # dealt by a hash of the session: an exchange by the session itself is left out over a union whose parts are dealt so already, and then parts are coalesced each by itself
     out = lines_of.repartition(F.xxhash64("session")).sortWithinPartitions("session", "ord")
-    out.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
+    from burrow.sources import session_source
+
+    if not session_source.can_write(path):
+        out.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
+        return
+    lines_of.sparkSession.dataSource.register(session_source.SessionFiles)
+    out.select(_folder(F.col("session")).alias("folder"), F.col("value").cast("string")).write.format("session_files").mode("overwrite").save(path)
 
 
 def session_of(file: Column) -> Column:
