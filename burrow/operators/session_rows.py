@@ -158,17 +158,19 @@ def nearest_file(wanted: DataFrame, files: DataFrame, siblings: tuple[str, ...]
     Where none is there, the file of that name anywhere below the wanted row's project, if there is just that one to take: the smallest path.
     wanted has folder, stem and project, files has path; folders are parted by slashes.
     """
+    # all of these grow with the recordings, and paths of one pattern look small in compressed files: none is gathered on the driver to be broadcast
+    merged = lambda d: d.hint("merge")
     f = files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("at"), F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "").alias("stem"))
     above = [F.regexp_replace("folder", f"(?:/[^/]+){{{n}}}$", "") for n in range(up + 1)]
     looks = [F.struct(F.lit(n * len(siblings) + k).alias("tier"), F.when(F.lit(s == ""), a).otherwise(F.concat(a, F.lit("/" + s))).alias("at")) for n, a in enumerate(above) for k, s in enumerate(siblings)]
-    near = wanted.select("folder", "stem", F.explode(F.array(*looks)).alias("look")).select("folder", "stem", "look.tier", "look.at").join(f, ["at", "stem"])
+    near = wanted.select("folder", "stem", F.explode(F.array(*looks)).alias("look")).select("folder", "stem", "look.tier", "look.at").join(merged(f), ["at", "stem"])
     near = near.groupBy("folder", "stem").agg(F.min(F.struct("tier", "path")).alias("best"))
     # of a stem's files only the smallest path below each folder counts, so files named alike make no pairs
     parts = F.split("at", "/")
-    below = f.join(wanted.select("stem").distinct(), "stem").select("stem", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("root"))
+    below = f.join(merged(wanted.select("stem").distinct()), "stem").select("stem", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("root"))
     below = below.groupBy("stem", "root").agg(F.min("path").alias("far"))
-    far = wanted.select("folder", "stem", F.rtrim("project", F.lit("/")).alias("root")).distinct().join(below, ["stem", "root"]).groupBy("folder", "stem").agg(F.min("far").alias("far"))
-    j = wanted.select("folder", "stem").distinct().join(near, ["folder", "stem"], "left").join(far, ["folder", "stem"], "left")
+    far = wanted.select("folder", "stem", F.rtrim("project", F.lit("/")).alias("root")).distinct().join(merged(below), ["stem", "root"]).groupBy("folder", "stem").agg(F.min("far").alias("far"))
+    j = wanted.select("folder", "stem").distinct().join(merged(near), ["folder", "stem"], "left").join(merged(far), ["folder", "stem"], "left")
     return j.select("folder", "stem", F.coalesce("best.path", "far").alias("found"), F.coalesce("best.tier", F.when(F.col("far").isNotNull(), F.lit(len(looks)))).alias("tier"))
 
 
