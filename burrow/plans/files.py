@@ -89,8 +89,9 @@ def session_events(spark, sf_dir):
 def session_frame_counts(spark, sf_dir):
     found = None
     for path in (_hash(spark, sf_dir), _columns(spark, sf_dir), _objects(spark, sf_dir)):
-        kinds = sessions.dialect(sessions.lines(spark, path)).withColumnRenamed("file", "session")
-        one = sessions.frame_counts(spark, path).join(kinds, "session").select("dialect", sessions.session_of(F.col("session")).cast("long").alias("session"), "frames")
+        rows = sessions.lines(spark, path)
+        kinds = sessions.dialect(rows).withColumnRenamed("file", "session")
+        one = sessions.counted(rows).join(kinds, "session").select("dialect", sessions.session_of(F.col("session")).cast("long").alias("session"), "frames")
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -212,7 +212,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_counts(spark: SparkSession, path: str) -> DataFrame:
     """session, frames: how many frames each file holds; no cell is parsed."""
-    rows = lines(spark, path)
+    return counted(lines(spark, path))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """``frame_counts`` of lines as ``lines`` gives them."""
     found = rows.where(is_frame(F.col("line"))).join(_layout(rows).select("file", "dialect"), "file", "left")
     found = found.where("line NOT LIKE '{%' OR coalesce(dialect, 'json') IN ('json', 'bmv')")
     return found.groupBy(F.col("file").alias("session")).agg(F.count("*").alias("frames"))
