@@ -2,7 +2,8 @@
 
 ``spark.read.format("session_files")`` reads no more of a file than asked for. With ``what`` = ``head`` a reader stops at the first frame, block by block, so
 listing a folder costs some kilobytes a file whatever the files hold. With ``what`` = ``cells`` it cuts a frame's line only up to the last wanted
-column and keeps the wanted ones. Files are spread over tasks by their sizes. Paths may be of any file system that pyarrow knows.
+column and keeps the wanted ones. With ``what`` = ``lines`` it gives all lines, those of a large file in several tasks. Files are spread over tasks by their
+sizes. Paths may be of any file system that pyarrow knows.
 
 It also writes: rows (folder, value), a folder's rows one after another, become the lines of one file in each folder. A file gets its name when it is whole, so
 a task that runs twice leaves one file; a job that fails leaves none. Where there are as many files as sessions, this spares what Spark's writer does for each.
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import uuid
+from urllib.parse import quote, urlsplit
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +35,8 @@ BLOCK = 1 << 14
 BATCH = 20_000
 #: Bytes of files that one task reads, or one file.
 TASK_BYTES = 64 << 20
+#: Of lines: bytes that one read asks for and a batch holds, bytes that opening a file is worth, least bytes of a task.
+CHUNK, OPEN_BYTES, LEAST_BYTES = 1 << 20, 1 << 15, 1 << 20
 _FRAME = re.compile(r"\s*-*\d+\s*\t([^\t]*)")
 _TABBED, _HASHED = re.compile(r"#\s*[^\t]+\t"), re.compile(r"#columns\s+(.*)")
 _HASH_MARK = re.compile(r"#(?:columns|version|session_start|session_id|sync|zone_config_begin)\b")
@@ -45,6 +50,14 @@ class _Files(InputPartition):
         self.paths = paths
 
 
+class _Pieces(InputPartition):
+    """Pieces of files: path, first byte, byte behind the last."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        super().__init__(0)
+        self.pieces = pieces
+
+
 def _is_frame(line: str) -> bool:
     if line.lstrip().startswith("{"):
         return True
@@ -167,6 +180,105 @@ class _Reader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([_uri(path)] * len(rows), pa.string()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["file", "row_index", *self.wanted])
 
 
+class _LineReader(DataSourceReader):
+    """All lines, as Spark's text reader gives them: lines end in LF, CR LF or CR, hidden files are left out, a mark of byte order is no text."""
+
+    def __init__(self, options: dict):
+        self.path, self.pattern, self.tasks = options["path"], options.get("suffix", ".txt"), int(options.get("tasks", 1))
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = _opened(self.path)
+        info = system.get_file_info(root)
+        found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(self.pattern) and not _is_hidden(f.path[len(root) :]))
+        # as many tasks as asked for, unless they would be too large or too small
+        most = max(LEAST_BYTES, min(TASK_BYTES, sum(size + OPEN_BYTES for _, size in files) // max(1, self.tasks)))
+        out: list[list[tuple[str, int, int]]] = []
+        room = 0
+        for path, size in files:
+            for begin in range(0, max(size, 1), most):
+                end = min(begin + most, size)
+                if not out or end - begin + OPEN_BYTES > room:
+                    out.append([])
+                    room = most
+                out[-1].append((path, begin, end))
+                room -= end - begin + OPEN_BYTES
+        return [_Pieces(pieces) for pieces in out] or [_Pieces([])]
+
+    def read(self, partition: _Pieces) -> Iterator[pa.RecordBatch]:
+        system, _ = _opened(self.path)
+        held, size, rows = [], 0, 0
+        for path, begin, end in partition.pieces:
+            name, n = pa.scalar(_escaped_uri(self.path, path), pa.string()), 0
+            for data in _whole_lines(system, path, begin, end):
+                lines = _split_lines(data)
+                held.append((pa.repeat(name, len(lines)), pa.repeat(pa.scalar(begin, pa.int64()), len(lines)), pa.array(range(n, n + len(lines)), pa.int64()), _text(lines)))
+                n += len(lines)
+                # a row has its file's name too
+                size, rows = size + len(data) + len(lines) * len(path), rows + len(lines)
+                if rows >= BATCH or size >= 8 * CHUNK:
+                    yield self._batch(held)
+                    held, size, rows = [], 0, 0
+        if held:
+            yield self._batch(held)
+
+    @staticmethod
+    def _batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=["file", "begin", "at", "line"])
+
+
+def _is_hidden(path: str) -> bool:
+    """Whether Spark leaves a file out for its name or a folder's."""
+    return any(n.startswith(".") or n.startswith("_") and "=" not in n for n in path.split("/")) or path.endswith("._COPYING_")
+
+
+def _whole_lines(system: fs.FileSystem, path: str, begin: int, end: int) -> Iterator[bytes]:
+    """The lines whose first byte lies in a piece, some at a time; only the last one may be without its end."""
+    with system.open_input_file(path) as stream:
+        here = max(begin - 1, 0)
+        stream.seek(here)
+        skipping, held = begin > 0, []
+        while here < end and (block := stream.read(CHUNK)):
+            cut = block.rfind(b"\n") + 1
+            if not cut:
+                held.append(block)
+                continue
+            data, held = b"".join([*held, block[:cut]]), [block[cut:]]
+            first, here = here, here + len(data)
+            if skipping:  # the line that began before
+                skipped, skipping = data.index(b"\n") + 1, False
+                data, first = data[skipped:], first + skipped
+            if first >= end:
+                return
+            if here > end:
+                data = data[: data.index(b"\n", end - 1 - first) + 1]
+            if data:
+                yield data.removeprefix(b"\xef\xbb\xbf") if first == 0 else data
+        if here < end and not skipping and (data := b"".join(held)):
+            yield data.removeprefix(b"\xef\xbb\xbf") if here == 0 else data
+
+
+def _split_lines(data: bytes) -> list[bytes]:
+    if b"\r" in data:
+        data = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    lines = data.split(b"\n")
+    return lines if lines[-1] else lines[:-1]
+
+
+def _text(lines: list[bytes]) -> pa.Array:
+    """Bytes as text, as they are."""
+    held = pa.array(lines, pa.binary())
+    return pa.StringArray.from_buffers(len(held), held.buffers()[1], held.buffers()[2])
+
+
+def _escaped_uri(root: str, path: str) -> str:
+    """A file's name as Spark has it in ``_metadata.file_path``."""
+    odd = lambda c: c.isspace() or unicodedata.category(c) == "Cc"
+    path = "".join(c if ord(c) > 127 and not odd(c) else quote(c, safe="/;:@&=+$,!*'()~-_.") for c in path)
+    u = urlsplit(root)
+    return f"file:{path}" if u.scheme in ("", "file") else f"{u.scheme}://{u.netloc}{path}" if path.startswith("/") else f"{u.scheme}://{path}"
+
+
 def _uri(path: str) -> str:
     return f"file://{path}" if path.startswith("/") else path
 
@@ -226,7 +338,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class SessionFiles(DataSource):
-    """Options: path, what (head or cells), columns (canonical names, comma-joined), suffix, exclude. Written are rows of folder and value."""
+    """Options: path, what (head, cells or lines), columns (canonical names, comma-joined), suffix, exclude, tasks. Written are rows of folder and value."""
 
     @classmethod
     def name(cls) -> str:
@@ -235,10 +347,12 @@ class SessionFiles(DataSource):
     def schema(self) -> str:
         if self.options.get("what", "head") == "head":
             return "file string, at long, line string, bytes_read long"
+        if self.options["what"] == "lines":
+            return "file string, begin long, at long, line string"
         return ", ".join(["file string", "row_index long", *(f"{c} string" for c in self.options.get("columns", "").split(",") if c)])
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return (_LineReader if self.options.get("what") == "lines" else _Reader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
@@ -256,6 +370,22 @@ def can_write(path: str) -> bool:
     return True
 
 
+def can_read(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file or folder of a file system that both Spark and pyarrow know by its name."""
+    if re.search(r"[*?\[\]{},\\]", path):
+        return False
+    if "://" not in path and not path.startswith("file:"):  # a name of Spark's default file system
+        return path.startswith("/") and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    return can_write(path)
+
+
+def text_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """file, at (first byte of the piece, number in it), line of all files below a path whose names end so."""
+    spark.dataSource.register(SessionFiles)
+    d = spark.read.format("session_files").options(what="lines", path=path, suffix=suffix, tasks=str(2 * spark.sparkContext.defaultParallelism)).load()
+    return d.select("file", F.struct(F.col("begin").alias("file_block_start"), F.col("at").alias("id")).alias("at"), "line")
+
+
 def head_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, at, line, bytes_read of what stands before the first frame of every session file, and that frame."""
     spark.dataSource.register(SessionFiles)

@@ -7,11 +7,14 @@ Session files are text in several dialects, told apart by their header:
 * ``bmv``: header lines ``B``, ``M`` and ``V`` with JSON, one JSON object per frame;
 * ``json``: one JSON object per frame alone; ``plain``: tab-separated frames in the order of ``BASE_COLUMNS``.
 
-All give the same table. Files are read as text, so Spark splits and distributes them; nothing is read on the driver.
+All give the same table. Files are read as text, split and spread over tasks; nothing is read on the driver. Many small files are listed and opened by a source
+of their own, as Spark's text reader spends most of its time on that; it reads the file systems that pyarrow doesn't know.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,11 +64,20 @@ _POINT = "struct<x:double,y:double,conf:double>"
 _POSE = f"map<string,{_POINT}>"
 
 
+def _text(spark: SparkSession, path: str, files: str) -> DataFrame:
+    """file, at (offset of the split, then order in it), line of all files of such names below a path."""
+    from burrow.sources import session_source
+
+    if re.fullmatch(r"\*[\w.-]*", files) and session_source.can_read(spark, path):
+        return session_source.text_lines(spark, path, files[1:])
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
+    return t.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+
+
 def lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
     """file, line and its place (offset of the split, then order in it) of every session file below a path, but in analysis folders."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
-    t = t.select(F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line"), at.alias("at"))
+    t = _text(spark, path, "*.txt").select("file", F.rtrim("line", F.lit("\r")).alias("line"), "at")
     return t.where(~F.col("file").rlike(exclude) & (F.trim("line") != ""))
 
 
@@ -230,7 +242,7 @@ def first_point(frames: DataFrame, part: str | None = None) -> DataFrame:
 
 def read_event_log(spark: SparkSession, path: str, files: str = "*.tsv") -> DataFrame:
     """session, t_ms, type, subtype, content of controller logs: four tab-separated fields, seconds first; malformed lines are left out."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path).select(F.col("_metadata.file_path").alias("session"), F.split("value", "\t").alias("c"))
+    t = _text(spark, path, files).select(F.col("file").alias("session"), F.split("line", "\t").alias("c"))
     t = t.where((F.size("c") >= 4) & F.get("c", 0).try_cast("double").isNotNull())
     return t.select("session", F.round(F.get("c", 0).try_cast("double") * 1000).cast("long").alias("t_ms"), F.get("c", 1).alias("type"), F.get("c", 2).alias("subtype"), F.get("c", 3).alias("content"))
 
