@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.operators.scan import ordered_scan
-from burrow.operators.series import along
+from burrow.operators.series import along, onward
 
 
 def _kept(df: DataFrame, ok: Column, *columns: str) -> DataFrame:
@@ -86,15 +86,19 @@ def held_clamp(df: DataFrame, most_speed: float, dt: str = "dt_us", x: str = "x"
 
 def fill_gaps(df: DataFrame, most_us: int, clock: str = "t_us", *columns: str, parts: tuple[str, ...] = ()) -> DataFrame:
     """Straight lines in time across gaps of at most most_us between known values; longer and open gaps stay null."""
-    before = along(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    after = along(*parts).rowsBetween(1, Window.unboundedFollowing)
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col(clock).alias("t"), F.col(c).alias("v")))
-        d = df.withColumn("known", known).withColumns({"a": F.last("known", ignorenulls=True).over(before), "b": F.first("known", ignorenulls=True).over(after)})
-        span = F.col("b.t") - F.col("a.t")
-        line = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col(clock) - F.col("a.t")) / F.when(span > 0, span)
-        df = d.withColumn(c, F.coalesce(F.col(c), F.when(span <= most_us, line))).drop("known", "a", "b")
-    return df
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (along(*parts), onward(*parts)))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(clock).alias("t"), F.col(c).alias("v"))) for c in columns}
+    d = df.withColumns({f"known_{c}": k for c, k in known.items()})
+    for side, w in (("before", before), ("after", after)):
+        d = d.withColumns({f"{side}_{c}": F.last(f"known_{c}", ignorenulls=True).over(w) for c in columns})
+
+    def value(c: str) -> Column:
+        a, b = F.col(f"before_{c}"), F.col(f"after_{c}")
+        span = b["t"] - a["t"]
+        line = a["v"] + (b["v"] - a["v"]) * (F.col(clock) - a["t"]) / F.when(span > 0, span)
+        return F.coalesce(F.col(c), F.when(span <= most_us, line))
+
+    return d.withColumns({c: value(c) for c in columns}).drop(*(f"{k}_{c}" for k in ("known", "before", "after") for c in columns))
 
 
 def rolling_median(df: DataFrame, value: str, out: str, half: int = 2, parts: tuple[str, ...] = ()) -> DataFrame:
@@ -136,7 +140,7 @@ def zero_lag(df: DataFrame, value: str, parts: tuple[str, ...] = ()) -> DataFram
     w = along(*parts)
     d = df.withColumn("zl_i", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("zl_i").alias("i"), F.col(value).alias("v")))
-    d = d.withColumns({"zl_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "zl_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    d = d.withColumns({"zl_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "zl_b": F.last(known, ignorenulls=True).over(onward(*parts).rowsBetween(Window.unboundedPreceding, 0))})
     line = F.col("zl_a.v") + (F.col("zl_b.v") - F.col("zl_a.v")) * (F.col("zl_i") - F.col("zl_a.i")) / F.nullif(F.col("zl_b.i") - F.col("zl_a.i"), F.lit(0))
     d = d.withColumns({"zl": F.coalesce(line, "zl_a.v", "zl_b.v"), "zl_n": F.count(value).over(Window.partitionBy("session", *parts))})
     d = savgol(d, "zl", "zl_s", parts)

@@ -18,6 +18,11 @@ def along(*more: str):
     return Window.partitionBy(SESSION, *more).orderBy(FRAME)
 
 
+def onward(*more: str):
+    """The same rows from the end, for what comes next: a frame that reaches from a row to the end is computed anew for each row, with the square of their number."""
+    return Window.partitionBy(SESSION, *more).orderBy(F.desc(FRAME))
+
+
 def intervals(df: DataFrame, clock: str = "t_us", out: str = "dt_us") -> DataFrame:
     """Time since the previous frame; 0 on a session's first frame. Belongs to the arriving frame."""
     return df.withColumn(out, F.coalesce(F.col(clock) - F.lag(clock).over(along()), F.lit(0)))
