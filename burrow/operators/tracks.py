@@ -88,30 +88,40 @@ def fits_frame(points: DataFrame, width: float, height: float, tolerance: float
     return points.groupBy(SESSION).agg(outside.alias("outside")).withColumn("fits", F.coalesce(F.col("outside") <= tolerance, F.lit(True)))
 
 
+#: Points that all scales are tried on at once, whatever a batch holds.
+TRIED = 1024
+
+
 def _tried_scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """session, i, k, hits, scored: of a batch's points, how many lie in their polygon under each of 201 scales."""
+    """session, k, hits, scored: of some of a batch's points, how many lie in their polygon under each of 201 scales."""
     for b in batches:
-        if not b.num_rows:
+        if b.num_rows:
+            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")))
+        for start in range(0, b.num_rows, TRIED):
+            yield _tried(b.slice(start, TRIED))
+
+
+def _tried(b: pa.RecordBatch) -> pa.RecordBatch:
+    """``_tried_scales`` of points in the order of their sessions."""
+    session, lo, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3))
+    # halves are rounded up, as SQL does; numpy would round them to the even neighbour
+    cents = (lo[:, None] + np.arange(201) / 100) * 100
+    k = (np.trunc(cents) + (cents - np.trunc(cents) >= 0.5)) / 100
+    held = np.zeros(k.shape, bool)
+    shapes: dict[tuple, list[int]] = {}
+    for i, p in enumerate(b.column(4).to_pylist()):
+        shapes.setdefault(tuple((q["x"], q["y"]) for q in p or ()), []).append(i)
+    for corners, rows in shapes.items():
+        if len(corners) < 3:
             continue
-        session, lo, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3))
-        k = np.round(lo[:, None] + np.arange(201) * 0.01, 2)
-        held = np.zeros(k.shape, bool)
-        polygons = b.column(4).to_pylist()
-        shapes: dict[tuple, list[int]] = {}
-        for i, p in enumerate(polygons):
-            shapes.setdefault(tuple((q["x"], q["y"]) for q in p or ()), []).append(i)
-        for corners, rows in shapes.items():
-            if len(corners) < 3:
-                continue
-            px, py = x[rows, None] / k[rows], y[rows, None] / k[rows]
-            for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
-                if ay != by:
-                    held[rows] ^= ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
-        own, first, of = np.unique(session, return_index=True, return_inverse=True)
-        hits = np.zeros((len(own), 201), np.int64)
-        np.add.at(hits, of, held)
-        counts = np.repeat(np.bincount(of, minlength=len(own)), 201)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, 201)), pa.array(np.tile(np.arange(201, dtype=np.int32), len(own))), pa.array(k[first].ravel()), pa.array(hits.ravel()), pa.array(counts)], names=["session", "i", "k", "hits", "scored"])
+        px, py = x[rows, None] / k[rows], y[rows, None] / k[rows]
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+            if ay != by:
+                held[rows] ^= ((ay > py) != (by > py)) & (px < ax + (py - ay) * (bx - ax) / (by - ay))
+    own, first = np.unique(session, return_index=True)
+    hits = np.add.reduceat(held, first, axis=0, dtype=np.int64)
+    counts = np.repeat(np.diff([*first, len(session)]), 201)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(own, 201)), pa.array(k[first].ravel()), pa.array(hits.ravel()), pa.array(counts)], names=["session", "k", "hits", "scored"])
 
 
 def frame_scale(points: DataFrame, zones: DataFrame, width: float, height: float, zone: str = "zone", least: int = 20, accept: float = 0.8) -> DataFrame:
@@ -126,9 +136,9 @@ def frame_scale(points: DataFrame, zones: DataFrame, width: float, height: float
     open_ = reach.where((F.col("n") >= least) & ~F.col("fits"))
     named = seen.where(~is_absent(F.col(zone)) & (F.trim(zone) != "-")).join(zones.select(F.col("name").alias(zone), F.col("points").alias("polygon")), zone, "left")
     tried = named.join(open_.select(SESSION, "lo"), SESSION).select(SESSION, "lo", (F.col("x") / width).alias("x"), (F.col("y") / height).alias("y"), "polygon")
-    sums = tried.mapInArrow(_tried_scales, f"session {dict(tried.dtypes)[SESSION]}, i int, k double, hits long, scored long").groupBy(SESSION, "i", "k").agg(F.sum("hits").alias("hits"), F.sum("scored").alias("scored"))
+    sums = tried.mapInArrow(_tried_scales, f"session {dict(tried.dtypes)[SESSION]}, k double, hits long, scored long").groupBy(SESSION, "k").agg(F.sum("hits").alias("hits"), F.sum("scored").alias("scored"))
     share = F.col("hits") / F.col("scored")
-    best = sums.where(F.col("scored") >= least).groupBy(SESSION).agg(F.max_by("k", F.struct(share, -F.col("i"))).alias("k"), F.max(share).alias("share"))
+    best = sums.where(F.col("scored") >= least).groupBy(SESSION).agg(F.max_by("k", F.struct(share, -F.col("k"))).alias("k"), F.max(share).alias("share"))
     out = reach.join(best, SESSION, "left")
     return out.select(SESSION, F.when(F.col("n") < least, F.lit(None)).when(F.col("fits"), F.lit(1.0)).when(F.col("share") >= accept, F.col("k")).alias("scale"))
 
