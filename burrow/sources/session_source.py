@@ -2,8 +2,8 @@
 
 ``spark.read.format("session_files")`` reads no more of a file than asked for. With ``what`` = ``head`` a reader stops at the first frame, block by block, so
 listing a folder costs some kilobytes a file whatever the files hold. With ``what`` = ``cells`` it cuts a frame's line only up to the last wanted
-column and keeps the wanted ones. With ``what`` = ``lines`` it gives all lines, those of a large file in several tasks. Files are spread over tasks by their
-sizes. Paths may be of any file system that pyarrow knows.
+column and keeps the wanted ones. With ``what`` = ``lines`` it gives all lines, those of a large file in several tasks, and with ``what`` = ``marks`` those of them
+that a file's layout is told by. Files are spread over tasks by their sizes. Paths may be of any file system that pyarrow knows.
 
 It also writes: rows (folder, value), a folder's rows one after another, become the lines of one file in each folder. A file gets its name when it is whole, so
 a task that runs twice leaves one file; a job that fails leaves none. Where there are as many files as sessions, this spares what Spark's writer does for each.
@@ -37,11 +37,16 @@ BATCH = 20_000
 TASK_BYTES = 64 << 20
 #: Of lines: bytes that one read asks for and a batch holds, bytes that opening a file is worth, least bytes of a task.
 CHUNK, OPEN_BYTES, LEAST_BYTES = 1 << 20, 1 << 15, 1 << 20
+#: Characters of a file's name that may have to be escaped.
+_ODD = re.compile(r"[^A-Za-z0-9/;:@&=+$,!*'()~_.-]")
 _FRAME = re.compile(r"\s*-*\d+\s*\t([^\t]*)")
 _TABBED, _HASHED = re.compile(r"#\s*[^\t]+\t"), re.compile(r"#columns\s+(.*)")
 _HASH_MARK = re.compile(r"#(?:columns|version|session_start|session_id|sync|zone_config_begin)\b")
 _BMV = re.compile(r"[BMV] [\[{]")
 _OBJECT = re.compile(r'\s*\{.*"')
+#: Lines that may say something of their file's layout (all that ``sessions`` looks for), and those that surely say only that it has JSON frames.
+_MARK = re.compile(rb'#|body_parts:|[BMV] |\s*\{|.*\tinfo\tbody_parts\t')
+_OF_JSON = re.compile(rb'(?!.*\tinfo\tbody_parts\t)[ \t]*\{[\t\x20-\x7e]*"')
 
 
 class _Files(InputPartition):
@@ -185,6 +190,7 @@ class _LineReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.path, self.pattern, self.tasks = options["path"], options.get("suffix", ".txt"), int(options.get("tasks", 1))
+        self.marks = options["what"] == "marks"
 
     def partitions(self) -> list[InputPartition]:
         system, root = _opened(self.path)
@@ -209,11 +215,16 @@ class _LineReader(DataSourceReader):
         system, _ = _opened(self.path)
         held, size, rows = [], 0, 0
         for path, begin, end in partition.pieces:
-            name, n = pa.scalar(_escaped_uri(self.path, path), pa.string()), 0
+            name, n, told = pa.scalar(_escaped_uri(self.path, path), pa.string()), 0, False
             for data in _whole_lines(system, path, begin, end):
                 lines = _split_lines(data)
-                held.append((pa.repeat(name, len(lines)), pa.repeat(pa.scalar(begin, pa.int64()), len(lines)), pa.array(range(n, n + len(lines)), pa.int64()), _text(lines)))
-                n += len(lines)
+                places, n = range(n, n + len(lines)), n + len(lines)
+                if self.marks:
+                    lines, places, told = _marks(lines, places, told)
+                    data = b"".join(lines)
+                if not lines:
+                    continue
+                held.append((pa.repeat(name, len(lines)), pa.repeat(pa.scalar(begin, pa.int64()), len(lines)), pa.array(places, pa.int64()), _text(lines)))
                 # a row has its file's name too
                 size, rows = size + len(data) + len(lines) * len(path), rows + len(lines)
                 if rows >= BATCH or size >= 8 * CHUNK:
@@ -265,6 +276,20 @@ def _split_lines(data: bytes) -> list[bytes]:
     return lines if lines[-1] else lines[:-1]
 
 
+def _marks(lines: list[bytes], places: range, told: bool) -> tuple[list[bytes], list[int], bool]:
+    """Lines that may say something of the layout and their places; of those that say only that there are JSON frames the first, unless it has been told."""
+    kept, at = [], []
+    for place, line in zip(places, lines):
+        if _MARK.match(line):
+            if _OF_JSON.match(line):
+                if told:
+                    continue
+                told = True
+            kept.append(line)
+            at.append(place)
+    return kept, at, told
+
+
 def _text(lines: list[bytes]) -> pa.Array:
     """Bytes as text, as they are."""
     held = pa.array(lines, pa.binary())
@@ -273,8 +298,7 @@ def _text(lines: list[bytes]) -> pa.Array:
 
 def _escaped_uri(root: str, path: str) -> str:
     """A file's name as Spark has it in ``_metadata.file_path``."""
-    odd = lambda c: c.isspace() or unicodedata.category(c) == "Cc"
-    path = "".join(c if ord(c) > 127 and not odd(c) else quote(c, safe="/;:@&=+$,!*'()~-_.") for c in path)
+    path = _ODD.sub(lambda m: m[0] if ord(m[0]) > 127 and not m[0].isspace() and unicodedata.category(m[0]) != "Cc" else quote(m[0]), path)
     u = urlsplit(root)
     return f"file:{path}" if u.scheme in ("", "file") else f"{u.scheme}://{u.netloc}{path}" if path.startswith("/") else f"{u.scheme}://{path}"
 
@@ -338,7 +362,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class SessionFiles(DataSource):
-    """Options: path, what (head, cells or lines), columns (canonical names, comma-joined), suffix, exclude, tasks. Written are rows of folder and value."""
+    """Options: path, what (head, cells, lines or marks), columns (canonical names, comma-joined), suffix, exclude, tasks. Written are rows of folder and value."""
 
     @classmethod
     def name(cls) -> str:
@@ -347,12 +371,12 @@ class SessionFiles(DataSource):
     def schema(self) -> str:
         if self.options.get("what", "head") == "head":
             return "file string, at long, line string, bytes_read long"
-        if self.options["what"] == "lines":
+        if self.options["what"] in ("lines", "marks"):
             return "file string, begin long, at long, line string"
         return ", ".join(["file string", "row_index long", *(f"{c} string" for c in self.options.get("columns", "").split(",") if c)])
 
     def reader(self, schema) -> DataSourceReader:
-        return (_LineReader if self.options.get("what") == "lines" else _Reader)(dict(self.options))
+        return (_LineReader if self.options.get("what") in ("lines", "marks") else _Reader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
@@ -379,10 +403,10 @@ def can_read(spark: SparkSession, path: str) -> bool:
     return can_write(path)
 
 
-def text_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """file, at (first byte of the piece, number in it), line of all files below a path whose names end so."""
+def text_lines(spark: SparkSession, path: str, suffix: str, what: str = "lines") -> DataFrame:
+    """file, at (first byte of the piece, number in it), line of all files below a path whose names end so; with what = marks only what tells their layouts."""
     spark.dataSource.register(SessionFiles)
-    d = spark.read.format("session_files").options(what="lines", path=path, suffix=suffix, tasks=str(2 * spark.sparkContext.defaultParallelism)).load()
+    d = spark.read.format("session_files").options(what=what, path=path, suffix=suffix, tasks=str(2 * spark.sparkContext.defaultParallelism)).load()
     return d.select("file", F.struct(F.col("begin").alias("file_block_start"), F.col("at").alias("id")).alias("at"), "line")
 
 

@@ -64,12 +64,12 @@ _POINT = "struct<x:double,y:double,conf:double>"
 _POSE = f"map<string,{_POINT}>"
 
 
-def _text(spark: SparkSession, path: str, files: str) -> DataFrame:
-    """file, at (offset of the split, then order in it), line of all files of such names below a path."""
+def _text(spark: SparkSession, path: str, files: str, what: str = "lines") -> DataFrame:
+    """file, at (offset of the split, then order in it), line of all files of such names below a path; with what = marks it may be only those that tell layouts."""
     from burrow.sources import session_source
 
     if re.fullmatch(r"\*[\w.-]*", files) and session_source.can_read(spark, path):
-        return session_source.text_lines(spark, path, files[1:])
+        return session_source.text_lines(spark, path, files[1:], what)
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
     return t.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
@@ -77,10 +77,19 @@ def _text(spark: SparkSession, path: str, files: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
     """file, line and its place (offset of the split, then order in it) of every session file below a path, but in analysis folders."""
-    t = _text(spark, path, "*.txt").select("file", F.rtrim("line", F.lit("\r")).alias("line"), "at")
+    return _told(_text(spark, path, "*.txt"), exclude)
+
+
+def _told(text: DataFrame, exclude: str) -> DataFrame:
+    t = text.select("file", F.rtrim("line", F.lit("\r")).alias("line"), "at")
     return t.where(~F.col("file").rlike(exclude) & (F.trim("line") != ""))
 
 
+def layout_lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
+    """``lines`` of which those may be missing that say nothing, or nothing new, of their file's layout: few of a file, however many frames it has."""
+    return _told(_text(spark, path, "*.txt", "marks"), exclude)
+
+
 def is_frame(line: Column) -> Column:
     """Whether a line is a frame: a JSON object, or cells of which the first is an integer and the second isn't an event word."""
     second = F.lower(F.trim(F.get(F.split(line, "\t"), 1)))
@@ -171,8 +180,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     capture_host_ns, speed, location, pose, stage, tracker_off (the pose cell is ``na``, other than ``none``), row_index, other (columns without a
     canonical name). A clock cell that doesn't parse is the row's index. Of two columns of one name the later one counts.
     """
-    rows = lines(spark, path)
-    layout = _layout(rows)
+    rows, layout = lines(spark, path), _layout(layout_lines(spark, path))
     maps = {k: F.create_map(*(F.lit(x) for name, others in table.items() for o in others for x in (o, name))) for k, table in (("hash", HASH_ALIASES), ("columns", ALIASES))}
     own = lambda c: F.lower(F.trim(c))
     alias = F.transform("columns", lambda c: F.coalesce(F.when(F.col("dialect") == "hash", F.try_element_at(maps["hash"], own(c))).otherwise(F.try_element_at(maps["columns"], own(c))), own(c)))
@@ -184,8 +192,10 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("file").orderBy("at")
     d = rows.where(is_frame(F.col("line"))).join(layout, "file", "left")
     plain = {n: F.lit(BASE_COLUMNS.index(n)) if n in BASE_COLUMNS else F.lit(None).cast("int") for n in CANONICAL}
-    d = d.withColumns({"cells": F.split("line", "\t"), "json": F.from_json(F.when(F.col("line").rlike(r"^\s*\{"), F.col("line")), "struct<" + ",".join(f"{f}:string" for f in dict.fromkeys(x for fs in _JSON.values() for x in fs)) + ">")})
-    d = d.where("(json IS NOT NULL AND coalesce(dialect, 'json') IN ('json', 'bmv')) OR (json IS NULL AND size(cells) > 1)")
+    # an object's text is told by its first character and cells by a tab, for whatever a filter asks is computed for it once more
+    is_json = F.col("line").rlike(r"^\s*\{")
+    d = d.where((is_json & F.coalesce(F.col("dialect").isin("json", "bmv"), F.lit(True))) | (~is_json & F.contains("line", F.lit("\t"))))
+    d = d.withColumns({"cells": F.split("line", "\t"), "json": F.from_json(F.when(is_json, F.col("line")), "struct<" + ",".join(f"{f}:string" for f in dict.fromkeys(x for fs in _JSON.values() for x in fs)) + ">")})
     tabular = {n: F.get("cells", F.when(F.col("dialect").isNull(), plain[n]).otherwise(F.col(f"at_{n}"))) for n in CANONICAL}
     jsonic = {n: F.coalesce(*(F.col(f"json.{f}") for f in _JSON[n])) if n in _JSON else F.lit(None).cast("string") for n in CANONICAL}
     d = d.withColumns({f"c_{n}": F.when(F.col("json").isNotNull(), jsonic[n]).otherwise(tabular[n]) for n in CANONICAL})

@@ -65,3 +65,40 @@ def test_patterns_and_unknown_file_systems_are_left_to_spark(spark, folder):
     assert not session_source.can_read(spark, "viewfs://x/y")
     assert session_source.can_read(spark, str(folder))
     assert sessions.lines(spark, f"{folder}/session=a*").count() == plain(spark, f"{folder}/session=a*").where("line != ''").count()
+
+
+ODD = [
+    b'{"frame": 1}\n{"frame": 2, "state": "a"}\n#columns frame zone\n{"frame": 3}\n# frame\tzone\tspeed\n',
+    b'{ \xe2\x80\xa8 "frame": 1}\n{no\n{"frame": 2}\n\t\x0b{"frame": 3}\n{"x": "\tinfo\tbody_parts\t[\\"a\\"]"}\n{}\n{\n',
+    b'B {"a": 1}\nM {}\nV [1]\nBx\n1\t2\t3\n{"frame": 5}\n5\n5\t\n',
+    b'0.000\tinfo\tbody_parts\tnose,tail\n# frame\tzone\tspeed\n1\ta\t2\n7\tinfo\tbody_parts\tear\n',
+    b'body_parts:a b\r\n#version 3\r1\t0:01\n-4\t5\n',
+    b"1\t2\n2\t3\n",
+    b" \n\n",
+    b'{"frame": 9, "t": 5, "stage": "x"\n{"frame": 8]}\n{"frame": [8]}\n{"a": 1} {"frame": 2}\n\xff\xfe{\n',
+]
+
+
+@pytest.fixture
+def odd(tmp_path):
+    for i, data in enumerate([*ODD, b'{"frame": 1, "state": "a"}\n' * 3000, b"#columns frame zone\n" + b"1\ta\n" * 3000]):
+        (tmp_path / f"{i}.txt").write_bytes(data)
+    return str(tmp_path)
+
+
+def test_layouts_are_told_by_few_lines(spark, odd):
+    few = sessions.layout_lines(spark, odd)
+    assert Counter(map(str, sessions._layout(few).collect())) == Counter(map(str, sessions._layout(sessions.lines(spark, odd)).collect()))
+    assert sorted(r["count"] for r in few.groupBy("file").count().collect())[-1] < 12
+
+
+def test_an_object_is_parsed_once(spark, odd):
+    d = sessions.state_events(sessions.read_frames(spark, odd))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_a_line_is_an_object_by_its_first_character(spark, odd):
+    """What is told by the text is what a parser that gives no null for a bad object would tell."""
+    line = F.col("line")
+    d = sessions.lines(spark, odd).select(line.rlike(r"^\s*\{").alias("said"), F.from_json(F.when(line.rlike(r"^\s*\{"), line), "struct<frame:string>").isNotNull().alias("parsed"), (F.size(F.split("line", "\t")) > 1).alias("cut"), F.contains("line", F.lit("\t")).alias("tab"))
+    assert d.where("said <> parsed OR cut <> tab").isEmpty() and d.where("said").count() > 3000
