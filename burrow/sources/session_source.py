@@ -2,8 +2,8 @@
 
 ``spark.read.format("session_files")`` reads no more of a file than asked for. With ``what`` = ``head`` a reader stops at the first frame, block by block, so
 listing a folder costs some kilobytes a file whatever the files hold. With ``what`` = ``cells`` it cuts a frame's line only up to the last wanted
-column and keeps the wanted ones. With ``what`` = ``lines`` it gives all lines, those of a large file in several tasks, and with ``what`` = ``marks`` those of them
-that a file's layout is told by. Files are spread over tasks by their sizes. Paths may be of any file system that pyarrow knows.
+column and keeps the wanted ones. With ``what`` = ``lines`` it gives all lines, those of a large file in several tasks, and with ``what`` = ``marked`` also which of them
+a file's layout is told by. Files are spread over tasks by their sizes. Paths may be of any file system that pyarrow knows.
 
 It also writes: rows (folder, value), a folder's rows one after another, become the lines of one file in each folder. A file gets its name when it is whole, so
 a task that runs twice leaves one file; a job that fails leaves none. Where there are as many files as sessions, this spares what Spark's writer does for each.
@@ -190,7 +190,7 @@ class _LineReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.path, self.pattern, self.tasks = options["path"], options.get("suffix", ".txt"), int(options.get("tasks", 1))
-        self.marks = options["what"] == "marks"
+        self.marked = options["what"] == "marked"
 
     def partitions(self) -> list[InputPartition]:
         system, root = _opened(self.path)
@@ -218,13 +218,14 @@ class _LineReader(DataSourceReader):
             name, n, told = pa.scalar(_escaped_uri(self.path, path), pa.string()), 0, False
             for data in _whole_lines(system, path, begin, end):
                 lines = _split_lines(data)
-                places, n = range(n, n + len(lines)), n + len(lines)
-                if self.marks:
-                    lines, places, told = _marks(lines, places, told)
-                    data = b"".join(lines)
                 if not lines:
                     continue
-                held.append((pa.repeat(name, len(lines)), pa.repeat(pa.scalar(begin, pa.int64()), len(lines)), pa.array(places, pa.int64()), _text(lines)))
+                columns = [pa.repeat(name, len(lines)), pa.repeat(pa.scalar(begin, pa.int64()), len(lines)), pa.array(range(n, n + len(lines)), pa.int64()), _text(lines)]
+                if self.marked:
+                    marks, told = _marks(lines, told)
+                    columns.append(pa.array(marks, pa.bool_()))
+                held.append(columns)
+                n += len(lines)
                 # a row has its file's name too
                 size, rows = size + len(data) + len(lines) * len(path), rows + len(lines)
                 if rows >= BATCH or size >= 8 * CHUNK:
@@ -233,9 +234,8 @@ class _LineReader(DataSourceReader):
         if held:
             yield self._batch(held)
 
-    @staticmethod
-    def _batch(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=["file", "begin", "at", "line"])
+    def _batch(self, held: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=["file", "begin", "at", "line", *["mark"] * self.marked])
 
 
 def _is_hidden(path: str) -> bool:
@@ -276,18 +276,15 @@ def _split_lines(data: bytes) -> list[bytes]:
     return lines if lines[-1] else lines[:-1]
 
 
-def _marks(lines: list[bytes], places: range, told: bool) -> tuple[list[bytes], list[int], bool]:
-    """Lines that may say something of the layout and their places; of those that say only that there are JSON frames the first, unless it has been told."""
-    kept, at = [], []
-    for place, line in zip(places, lines):
-        if _MARK.match(line):
-            if _OF_JSON.match(line):
-                if told:
-                    continue
-                told = True
-            kept.append(line)
-            at.append(place)
-    return kept, at, told
+def _marks(lines: list[bytes], told: bool) -> tuple[list[bool], bool]:
+    """Of each line whether it may say something of the layout; of those that say only that there are JSON frames the first, unless it has been told."""
+    marks = []
+    for line in lines:
+        mark = bool(_MARK.match(line))
+        if mark and _OF_JSON.match(line):
+            mark, told = not told, True
+        marks.append(mark)
+    return marks, told
 
 
 def _text(lines: list[bytes]) -> pa.Array:
@@ -341,13 +338,16 @@ class _Writer(DataSourceArrowWriter):
             folders, values = batch.column("folder"), batch.column("value").fill_null("")
             # where a folder's rows begin
             cuts = [0, *(i + 1 for i in pc.indices_nonzero(pc.not_equal(folders[1:], folders[:-1])).to_pylist()), len(folders)] if len(folders) else []
-            for begin, end in zip(cuts, cuts[1:]):
-                if (folder := folders[begin].as_py()) != at:
+            # the lines of each folder as one text
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts or [0], pa.int32()), values), "\n")
+            for folder, text in zip(folders.take(pa.array(cuts[:-1], pa.int64())).to_pylist(), texts):
+                if folder != at:
                     close()
                     at = folder
                     system.create_dir(f"{root}/{at}")
                     out = system.open_output_stream(f"{root}/{at}/.{name}")
-                out.write(("\n".join(values[begin:end].to_pylist()) + "\n").encode())
+                out.write(text.as_buffer())
+                out.write(b"\n")
         close()
         return WriterCommitMessage()
 
@@ -362,7 +362,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class SessionFiles(DataSource):
-    """Options: path, what (head, cells, lines or marks), columns (canonical names, comma-joined), suffix, exclude, tasks. Written are rows of folder and value."""
+    """Options: path, what (head, cells, lines or marked), columns (canonical names, comma-joined), suffix, exclude, tasks. Written are rows of folder and value."""
 
     @classmethod
     def name(cls) -> str:
@@ -371,12 +371,12 @@ class SessionFiles(DataSource):
     def schema(self) -> str:
         if self.options.get("what", "head") == "head":
             return "file string, at long, line string, bytes_read long"
-        if self.options["what"] in ("lines", "marks"):
-            return "file string, begin long, at long, line string"
+        if self.options["what"] in ("lines", "marked"):
+            return "file string, begin long, at long, line string" + ", mark boolean" * (self.options["what"] == "marked")
         return ", ".join(["file string", "row_index long", *(f"{c} string" for c in self.options.get("columns", "").split(",") if c)])
 
     def reader(self, schema) -> DataSourceReader:
-        return (_LineReader if self.options.get("what") in ("lines", "marks") else _Reader)(dict(self.options))
+        return (_LineReader if self.options.get("what") in ("lines", "marked") else _Reader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
@@ -403,11 +403,12 @@ def can_read(spark: SparkSession, path: str) -> bool:
     return can_write(path)
 
 
-def text_lines(spark: SparkSession, path: str, suffix: str, what: str = "lines") -> DataFrame:
-    """file, at (first byte of the piece, number in it), line of all files below a path whose names end so; with what = marks only what tells their layouts."""
+def text_lines(spark: SparkSession, path: str, suffix: str, marked: bool = False) -> DataFrame:
+    """file, at (first byte of the piece, number in it), line of all files below a path whose names end so; marked: with mark, whether a line may tell its file's layout."""
     spark.dataSource.register(SessionFiles)
+    what = "marked" if marked else "lines"
     d = spark.read.format("session_files").options(what=what, path=path, suffix=suffix, tasks=str(2 * spark.sparkContext.defaultParallelism)).load()
-    return d.select("file", F.struct(F.col("begin").alias("file_block_start"), F.col("at").alias("id")).alias("at"), "line")
+    return d.select("file", F.struct(F.col("begin").alias("file_block_start"), F.col("at").alias("id")).alias("at"), "line", *["mark"] * marked)
 
 
 def head_lines(spark: SparkSession, path: str) -> DataFrame:

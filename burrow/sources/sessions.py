@@ -64,15 +64,15 @@ _POINT = "struct<x:double,y:double,conf:double>"
 _POSE = f"map<string,{_POINT}>"
 
 
-def _text(spark: SparkSession, path: str, files: str, what: str = "lines") -> DataFrame:
-    """file, at (offset of the split, then order in it), line of all files of such names below a path; with what = marks it may be only those that tell layouts."""
+def _text(spark: SparkSession, path: str, files: str, marked: bool = False) -> DataFrame:
+    """file, at (offset of the split, then order in it), line of all files of such names below a path; marked: with mark, false of lines that surely don't tell a layout, or tell nothing new."""
     from burrow.sources import session_source
 
     if re.fullmatch(r"\*[\w.-]*", files) and session_source.can_read(spark, path):
-        return session_source.text_lines(spark, path, files[1:], what)
+        return session_source.text_lines(spark, path, files[1:], marked)
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
-    return t.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    return t.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"), *[F.lit(True).alias("mark")] * marked)
 
 
 def lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
@@ -81,18 +81,22 @@ def lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> Da
 
 
 def _told(text: DataFrame, exclude: str) -> DataFrame:
-    t = text.select("file", F.rtrim("line", F.lit("\r")).alias("line"), "at")
-    return t.where(~F.col("file").rlike(exclude) & (F.trim("line") != ""))
+    return text.where(~F.col("file").rlike(exclude) & (F.trim("line") != ""))
 
 
 def layout_lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
     """``lines`` of which those may be missing that say nothing, or nothing new, of their file's layout: few of a file, however many frames it has."""
-    return _told(_text(spark, path, "*.txt", "marks"), exclude)
+    return _marked_lines(spark, path, exclude).where("mark").drop("mark")
+
+
+def _marked_lines(spark: SparkSession, path: str, exclude: str = r"\.pbanalysis/") -> DataFrame:
+    """``lines`` with mark, false where a line says nothing, or nothing new, of its file's layout."""
+    return _told(_text(spark, path, "*.txt", marked=True), exclude)
 
 
 def is_frame(line: Column) -> Column:
     """Whether a line is a frame: a JSON object, or cells of which the first is an integer and the second isn't an event word."""
-    second = F.lower(F.trim(F.get(F.split(line, "\t"), 1)))
+    second = F.lower(F.trim(F.get(F.split(line, "\t", 3), 1)))
     return line.rlike(r"^\s*\{") | (line.rlike(r"^\s*-*\d+\s*\t") & ~second.isin(*EVENT_WORDS))
 
 
@@ -139,19 +143,64 @@ def zone_text(rows: DataFrame) -> DataFrame:
     return block.unionByName(single.join(block, "file", "left_anti"))
 
 
-def _layout(rows: DataFrame) -> DataFrame:
-    """file, dialect, columns as the file names them, body_parts: one row per file."""
+def _marks() -> dict[str, Column]:
+    """What a line says of its file's layout: columns as it names them, parts (text of body parts), and whether it is of the hash, bmv or json dialect."""
     line = F.col("line")
     tabs = F.filter(F.transform(F.split(F.regexp_replace("line", "^#+", ""), "\t"), F.trim), lambda n: n != "")
     named = F.when(line.rlike(r"^#\s*[^\t]+\t") & (F.size(tabs) >= 3), tabs).when(line.rlike(r"^#columns\s"), F.split(F.trim(F.regexp_replace("line", r"^#columns\s+", "")), r"\s+"))
     parts = F.when(line.startswith("body_parts:"), F.regexp_replace("line", "^body_parts:", "")).when(line.rlike(r"^#body_parts\s"), F.regexp_replace("line", r"^#body_parts\s+", "")).when(line.rlike(r"\tinfo\tbody_parts\t"), F.regexp_extract("line", r"\tinfo\tbody_parts\t([^\t]*)", 1))
     is_hash = line.rlike(r"^#(?:columns|version|session_start|session_id|sync|zone_config_begin)\b")
-    marks = rows.select("file", "at", named.alias("columns"), parts.alias("parts"), is_hash.alias("hash"), line.rlike(r"^[BMV] [\[{]").alias("bmv"), line.rlike(r'^\s*\{.*"').alias("json"))
-    marks = marks.where("columns IS NOT NULL OR parts IS NOT NULL OR hash OR bmv OR json")
+    return {"columns": named, "parts": parts, "hash": is_hash, "bmv": line.rlike(r"^[BMV] [\[{]"), "json": line.rlike(r'^\s*\{.*"')}
+
+
+_SAID = "columns IS NOT NULL OR parts IS NOT NULL OR hash OR bmv OR json"
+
+
+def _listed(parts: Column) -> Column:
+    """Body parts from their text: a JSON list, or words."""
+    listed = F.coalesce(F.from_json(parts, "array<string>"), F.transform(F.split(parts, r"[,\s]+"), F.trim))
+    return F.filter(listed, lambda p: p != "")
+
+
+def _layout(rows: DataFrame) -> DataFrame:
+    """file, dialect, columns as the file names them, body_parts: one row per file."""
+    marks = rows.select("file", "at", *(v.alias(k) for k, v in _marks().items())).where(_SAID)
     of = marks.groupBy("file").agg(F.min_by("columns", F.when(F.col("columns").isNotNull(), F.col("at"))).alias("columns"), F.max("parts").alias("parts"), *(F.max(c).alias(c) for c in ("hash", "bmv", "json")))
     kind = F.when(F.col("bmv"), "bmv").when(F.col("hash"), "hash").when(F.col("columns").isNotNull(), "columns").when(F.col("json"), "json").otherwise("plain")
-    listed = F.coalesce(F.from_json("parts", "array<string>"), F.transform(F.split("parts", r"[,\s]+"), F.trim))
-    return of.select("file", kind.alias("dialect"), F.coalesce("columns", F.array(*map(F.lit, BASE_COLUMNS))).alias("columns"), F.filter(listed, lambda p: p != "").alias("body_parts"))
+    return of.select("file", kind.alias("dialect"), F.coalesce("columns", F.array(*map(F.lit, BASE_COLUMNS))).alias("columns"), _listed(F.col("parts")).alias("body_parts"))
+
+
+def _named(columns: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """Canonical names of the columns that have one, else their own."""
+    known = F.create_map(*(F.lit(x) for name, others in aliases.items() for o in others for x in (o, name)))
+    own = lambda c: F.lower(F.trim(c))
+    return F.transform(columns, lambda c: F.coalesce(F.try_element_at(known, own(c)), own(c)))
+
+
+def _places(names: Column) -> Column:
+    """at_ and each canonical name: the place of its column, of two of one name the later one; others: name and place of each column without a canonical name."""
+    place = lambda n: (F.size(names) - F.nullif(F.array_position(F.reverse(names), n), F.lit(0))).cast("int")
+    others = F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("i"))), lambda e: ~e["name"].isin(*CANONICAL) & (place(e["name"]) == e["i"]))
+    return F.struct(others.alias("others"), *(place(n).alias(f"at_{n}") for n in CANONICAL))
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """file, at, line of the frames among ``_marked_lines``, with what their file's layout says: json_frames (whether it may have JSON frames), places (null if it names no columns), parts.
+
+    A file's lines meet in one window, where its frames are numbered later, so files are read once and no layout is joined to its lines.
+    """
+    marks = {k: F.when(F.col("mark"), v) for k, v in _marks().items()}
+    d = rows.withColumns({"frame": is_frame(F.col("line")), **marks})
+    d = d.withColumns({f"{k}_names": _named(F.col("columns"), t) for k, t in (("hash", HASH_ALIASES), ("columns", ALIASES))})
+    named = F.when(F.col("columns").isNotNull(), F.struct(*(_places(F.col(f"{k}_names")).alias(k) for k in ("hash", "columns"))))
+    d = d.select("file", "at", F.when(F.col("frame"), F.col("line")).alias("line"), "frame", "parts", "hash", "bmv", "json", named.alias("named"), F.expr(_SAID).alias("said"))
+    whole = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of = {"named": F.first("named", ignorenulls=True).over(whole), **{c: F.max(c).over(whole) for c in ("parts", "hash", "bmv", "json", "said")}}
+    d = d.withColumns(of).where("frame")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    json_frames = ~yes("said") | yes("bmv") | (~yes("hash") & F.col("named").isNull() & yes("json"))
+    places = F.when(yes("hash") & ~yes("bmv"), F.col("named.hash")).otherwise(F.col("named.columns"))
+    return d.select("file", "at", "line", json_frames.alias("json_frames"), places.alias("places"), "parts")
 
 
 def dialect(rows: DataFrame) -> DataFrame:
@@ -180,23 +229,14 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     capture_host_ns, speed, location, pose, stage, tracker_off (the pose cell is ``na``, other than ``none``), row_index, other (columns without a
     canonical name). A clock cell that doesn't parse is the row's index. Of two columns of one name the later one counts.
     """
-    rows, layout = lines(spark, path), _layout(layout_lines(spark, path))
-    maps = {k: F.create_map(*(F.lit(x) for name, others in table.items() for o in others for x in (o, name))) for k, table in (("hash", HASH_ALIASES), ("columns", ALIASES))}
-    own = lambda c: F.lower(F.trim(c))
-    alias = F.transform("columns", lambda c: F.coalesce(F.when(F.col("dialect") == "hash", F.try_element_at(maps["hash"], own(c))).otherwise(F.try_element_at(maps["columns"], own(c))), own(c)))
-    layout = layout.withColumn("names", alias)
-    place = {n: F.size("names") - F.nullif(F.array_position(F.reverse("names"), n), F.lit(0)) for n in CANONICAL}
-    others = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), i.alias("i"))), lambda e: ~e["name"].isin(*CANONICAL) & (F.size("names") - F.array_position(F.reverse("names"), e["name"]) == e["i"]))
-    layout = layout.select("file", "dialect", "body_parts", others.alias("others"), *(p.cast("int").alias(f"at_{n}") for n, p in place.items()))
-
     w = Window.partitionBy("file").orderBy("at")
-    d = rows.where(is_frame(F.col("line"))).join(layout, "file", "left")
+    d = _laid_out(_marked_lines(spark, path))
     plain = {n: F.lit(BASE_COLUMNS.index(n)) if n in BASE_COLUMNS else F.lit(None).cast("int") for n in CANONICAL}
     # an object's text is told by its first character and cells by a tab, for whatever a filter asks is computed for it once more
     is_json = F.col("line").rlike(r"^\s*\{")
-    d = d.where((is_json & F.coalesce(F.col("dialect").isin("json", "bmv"), F.lit(True))) | (~is_json & F.contains("line", F.lit("\t"))))
+    d = d.where((is_json & F.col("json_frames")) | (~is_json & F.contains("line", F.lit("\t"))))
     d = d.withColumns({"cells": F.split("line", "\t"), "json": F.from_json(F.when(is_json, F.col("line")), "struct<" + ",".join(f"{f}:string" for f in dict.fromkeys(x for fs in _JSON.values() for x in fs)) + ">")})
-    tabular = {n: F.get("cells", F.when(F.col("dialect").isNull(), plain[n]).otherwise(F.col(f"at_{n}"))) for n in CANONICAL}
+    tabular = {n: F.get("cells", F.when(F.col("places").isNull(), plain[n]).otherwise(F.col(f"places.at_{n}"))) for n in CANONICAL}
     jsonic = {n: F.coalesce(*(F.col(f"json.{f}") for f in _JSON[n])) if n in _JSON else F.lit(None).cast("string") for n in CANONICAL}
     d = d.withColumns({f"c_{n}": F.when(F.col("json").isNotNull(), jsonic[n]).otherwise(tabular[n]) for n in CANONICAL})
     d = d.withColumn("row_index", F.row_number().over(w).cast("long") - 1)
@@ -216,11 +256,11 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
         text("c_capture_host_ns").try_cast("long").alias("capture_host_ns"),
         number(F.col("c_speed")).alias("speed"),
         text("c_location").alias("location"),
-        pose_of(text("c_pose_array"), F.coalesce(F.nullif("body_parts", F.array().cast("array<string>")), numbered)).alias("pose"),
+        pose_of(text("c_pose_array"), F.coalesce(F.nullif(_listed(F.col("parts")), F.array().cast("array<string>")), numbered)).alias("pose"),
         F.nullif(last_state(text("c_stage")), F.lit("")).alias("stage"),
         F.coalesce(F.lower(F.trim("c_pose_array")) == "na", F.lit(False)).alias("tracker_off"),
         "row_index",
-        F.map_from_entries(F.transform(F.coalesce("others", F.array().cast("array<struct<name:string,i:int>>")), lambda e: F.struct(e["name"], F.get("cells", e["i"])))).alias("other"),
+        F.map_from_entries(F.transform(F.coalesce("places.others", F.array().cast("array<struct<name:string,i:int>>")), lambda e: F.struct(e["name"], F.get("cells", e["i"])))).alias("other"),
     )
 
 

@@ -102,3 +102,9 @@ def test_a_line_is_an_object_by_its_first_character(spark, odd):
     line = F.col("line")
     d = sessions.lines(spark, odd).select(line.rlike(r"^\s*\{").alias("said"), F.from_json(F.when(line.rlike(r"^\s*\{"), line), "struct<frame:string>").isNotNull().alias("parsed"), (F.size(F.split("line", "\t")) > 1).alias("cut"), F.contains("line", F.lit("\t")).alias("tab"))
     assert d.where("said <> parsed OR cut <> tab").isEmpty() and d.where("said").count() > 3000
+
+
+def test_frames_are_read_once(spark, odd):
+    """Layouts come with the lines they tell of: files are listed and opened once, and nothing is joined to every line."""
+    plan = sessions.read_frames(spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1 and "Join" not in plan
